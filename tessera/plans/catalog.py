@@ -1,0 +1 @@
+"""Query bindings (filled in below)."""
