@@ -1 +1,100 @@
-"""Query bindings (filled in below)."""
+"""Edit-log queries over the ``conversations`` table.
+
+Binding: key ``conv_id``, order ``turn``; a user turn inserts its text at 0,
+an assistant turn appends it, a system turn replaces the whole text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..sources.tables import table
+from ..streaming.edits import conversation_edits, dirty_recompute, fold_edits
+from .registry import query
+
+SPLICE_TEXT = "<>"
+DIRTY_FROM = 3
+
+
+@query("splice", sql=f"""
+WITH s AS (
+  SELECT conv_id, turn, hex(encode(text)) AS h, strlen(text) AS n,
+         (conv_id * 7) % (strlen(text) + 1) AS beg FROM conversations),
+r AS (
+  SELECT conv_id, turn, substr(h, 1, 2 * beg) || hex(encode('{SPLICE_TEXT}'))
+           || substr(h, 2 * least(beg + turn, n) + 1) AS rh FROM s)
+SELECT conv_id, turn, CAST(strlen(rh) / 2 AS BIGINT) AS n_bytes, md5(unhex(rh)) AS bin_md5,
+       try(decode(unhex(rh))) IS NOT NULL AS valid_utf8
+FROM r
+""")
+def splice_q(spark, sf_dir):
+    """byte splice of '<>' into every turn; may cut a code point, so the
+    result stays BINARY and carries a validity flag."""
+    c = table(spark, sf_dir, "conversations")
+    n = F.octet_length("text").cast("bigint")
+    beg = (F.col("conv_id") * 7) % (n + 1)
+    end = F.least(beg + F.col("turn"), n)
+    out = T.splice(F.encode("text", "UTF-8"), beg, end, F.encode(F.lit(SPLICE_TEXT), "UTF-8"))
+    r = c.select("conv_id", "turn", out.alias("_b"))
+    return r.select("conv_id", "turn", F.octet_length("_b").cast("bigint").alias("n_bytes"),
+                    F.md5("_b").alias("bin_md5"),
+                    F.is_valid_utf8(F.col("_b").cast("string")).alias("valid_utf8"))
+
+
+FINAL_CTE = """
+c AS (SELECT conv_id, turn, role, text,
+             max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS ls
+      FROM conversations {where}),
+a AS (
+  SELECT conv_id, count(*) AS n_edits,
+         coalesce(string_agg(CASE WHEN role = 'user' AND turn > coalesce(ls, -1) THEN text END, ''
+                             ORDER BY turn DESC), '')
+         || coalesce(max(CASE WHEN turn = ls THEN text END), '')
+         || coalesce(string_agg(CASE WHEN role = 'assistant' AND turn > coalesce(ls, -1) THEN text END, ''
+                                ORDER BY turn), '') AS final
+  FROM c GROUP BY conv_id)"""
+
+
+@query("apply_edits", sql=f"""
+WITH {FINAL_CTE.format(where="")}
+SELECT conv_id, CAST(n_edits AS BIGINT) AS n_edits, CAST(strlen(final) AS BIGINT) AS n_bytes,
+       md5(final) AS text_md5
+FROM a
+""")
+def apply_edits_q(spark, sf_dir):
+    """Fold every conversation's edit log into its current text."""
+    e = conversation_edits(table(spark, sf_dir, "conversations"))
+    f = fold_edits(e, "conv_id")
+    return f.select("conv_id", "n_edits", F.octet_length("bin").cast("bigint").alias("n_bytes"),
+                    F.md5("bin").alias("text_md5"))
+
+
+@query("dirty_recompute", sql=f"""
+WITH {FINAL_CTE.format(where=f"WHERE turn < {DIRTY_FROM}")},
+old AS (SELECT conv_id, strlen(final) AS old_len FROM a),
+n AS (SELECT conv_id, max(turn) >= {DIRTY_FROM} AS dirty FROM conversations GROUP BY conv_id),
+full_c AS (SELECT conv_id, turn, role, text,
+                  max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS ls
+           FROM conversations),
+full_a AS (
+  SELECT conv_id,
+         coalesce(string_agg(CASE WHEN role = 'user' AND turn > coalesce(ls, -1) THEN text END, ''
+                             ORDER BY turn DESC), '')
+         || coalesce(max(CASE WHEN turn = ls THEN text END), '')
+         || coalesce(string_agg(CASE WHEN role = 'assistant' AND turn > coalesce(ls, -1) THEN text END, ''
+                                ORDER BY turn), '') AS final
+  FROM full_c GROUP BY conv_id)
+SELECT n.conv_id, CAST(old.old_len AS BIGINT) AS old_len, CAST(strlen(full_a.final) AS BIGINT) AS new_len,
+       n.dirty
+FROM n JOIN old USING (conv_id) JOIN full_a USING (conv_id)
+""")
+def dirty_recompute_q(spark, sf_dir):
+    """State from turns < 3, then a batch of turns >= 3 recomputes only the
+    conversations it touches."""
+    e = conversation_edits(table(spark, sf_dir, "conversations"))
+    state = fold_edits(e.filter(F.col("seq") < DIRTY_FROM), "conv_id").select("conv_id", "bin")
+    new = dirty_recompute(state, e.filter(F.col("seq") >= DIRTY_FROM), "conv_id")
+    old = state.select("conv_id", F.octet_length("bin").cast("bigint").alias("old_len"))
+    return new.join(old, "conv_id").select(
+        "conv_id", "old_len", F.octet_length("bin").cast("bigint").alias("new_len"), "dirty")

@@ -1 +1,78 @@
-"""Query bindings (filled in below)."""
+"""Type-descriptor queries over the ``part`` table.
+
+Binding: each part carries a type descriptor
+``case p_size % 3 when 0 then p_brand when 1 then '*' || p_brand else '[]' || p_type``;
+a brand is a named struct type whose members are the part types that some
+part of that brand has with a retail price below ``MEMBER_PRICE``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import index as IX
+from ..sources.tables import table
+from .registry import query
+
+MEMBER_PRICE = 950.0
+
+
+def descriptor():
+    m = F.col("p_size") % 3
+    return (F.when(m == 0, F.col("p_brand"))
+            .when(m == 1, F.concat(F.lit("*"), F.col("p_brand")))
+            .otherwise(F.concat(F.lit("[]"), F.col("p_type"))))
+
+
+DESC_SQL = ("CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN '*' || p_brand "
+            "ELSE '[]' || p_type END")
+REPR_SQL = ("regexp_extract({d}, '^((?:\\*|\\[\\])*)', 1) || 'type ' || "
+            "substr({d}, strlen(regexp_extract({d}, '^((?:\\*|\\[\\])*)', 1)) + 1)")
+
+
+@query("intern_types", sql=f"""
+WITH d AS (SELECT {DESC_SQL} AS descriptor, p_partkey FROM part),
+f AS (SELECT descriptor, min(p_partkey) AS first_part FROM d GROUP BY descriptor)
+SELECT descriptor, CAST(row_number() OVER (ORDER BY first_part) AS BIGINT) AS type_no,
+       CASE WHEN starts_with(descriptor, '*') THEN 'Ref' WHEN starts_with(descriptor, '[]') THEN 'Array'
+            ELSE 'IdType' END AS head,
+       {REPR_SQL.format(d="descriptor")} AS repr
+FROM f
+""")
+def intern_types(spark, sf_dir):
+    """I3 + F15: structural interning of type descriptors (first-seen numbering)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", descriptor().alias("descriptor"))
+    n = IX.intern(p, "descriptor", ["p_partkey"], col="type_no")
+    return n.select("descriptor", "type_no", T.type_head(F.col("descriptor")).alias("head"),
+                    T.type_repr(F.col("descriptor")).alias("repr"))
+
+
+@query("resolve_members", sql=f"""
+WITH d AS (SELECT p_partkey, p_type, {DESC_SQL} AS descriptor FROM part),
+o AS (SELECT *, CASE WHEN starts_with(descriptor, '*') THEN substr(descriptor, 2) ELSE descriptor END AS owner FROM d),
+m AS (SELECT DISTINCT p_brand AS owner, p_type AS member FROM part WHERE p_retailprice < {MEMBER_PRICE})
+SELECT o.p_partkey, o.owner, o.p_type AS member,
+       CASE WHEN starts_with(o.owner, '[]') THEN 'struct_required'
+            WHEN m.member IS NULL THEN 'no_member' ELSE 'found' END AS status,
+       CASE WHEN starts_with(o.owner, '[]')
+            THEN 'struct type required instead of ''' || {REPR_SQL.format(d="o.owner")} || '''' END AS msg
+FROM o LEFT JOIN m ON m.owner = o.owner AND m.member = o.p_type
+""")
+def resolve_members(spark, sf_dir):
+    """J5 + F16: ``x.member`` -- strip one pointer from the owner type, then look
+    the member up in the struct's field table (left join); non-struct owners
+    are an error, a missing member is a silent miss."""
+    p = table(spark, sf_dir, "part")
+    o = p.select("p_partkey", F.col("p_type").alias("member"),
+                 T.type_strip_pointer(descriptor()).alias("owner"))
+    fields = (p.filter(F.col("p_retailprice") < MEMBER_PRICE)
+              .select(F.col("p_brand").alias("owner"), F.col("p_type").alias("member"))
+              .distinct().withColumn("_f", F.lit(True)))
+    j = o.join(fields, ["owner", "member"], "left")
+    is_struct = T.type_head(F.col("owner")).isin("IdType", "Struct")
+    status = (F.when(~is_struct, F.lit("struct_required"))
+              .when(F.col("_f").isNull(), F.lit("no_member")).otherwise(F.lit("found")))
+    msg = F.when(~is_struct, F.format_string("struct type required instead of '%s'",
+                                             T.type_repr(F.col("owner"))))
+    return j.select("p_partkey", "owner", "member", status.alias("status"), msg.alias("msg"))
