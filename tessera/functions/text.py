@@ -116,10 +116,19 @@ def quote_ascii(s: Column) -> Column:
                 .when(cp < 128, c)
                 .when(cp < 65536, F.concat(F.lit("\\u"), _hex(cp, 4)))
                 .otherwise(F.concat(F.lit("\\U"), _hex(cp, 8))))
-    body = F.array_join(F.transform(F.split(s, ""), esc), "")
+    # Runs of printable ASCII other than '"' and '\\' pass through whole; only
+    # the remaining characters are escaped one by one.
+    parts = F.regexp_extract_all(s, F.lit(QUOTE_RUN_RX), 0)
+    body = F.array_join(F.transform(
+        parts, lambda p: F.when(F.length(p) > 1, p).when(p.rlike(QUOTE_PLAIN_RX), p)
+        .otherwise(esc(p))), "")
     return F.concat(F.lit('"'), F.coalesce(body, F.lit("")), F.lit('"'))
 
 
+QUOTE_RUN_RX = r'[ !#-\[\]-~]+|(?s).'
+QUOTE_PLAIN_RX = r'^[ !#-\[\]-~]$'
+
+
 # --------------------------------------------------------------------------
 # width of a parser error span
 # --------------------------------------------------------------------------

@@ -63,16 +63,21 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     a = F.when(F.col("kind").isNotNull(),
                F.struct(F.when(F.col("kind") == OPEN, 1).otherwise(2).alias("role"),
                         F.col("level").alias("lvl")))
-    ev = t.withColumn("_ev", F.explode(F.filter(F.array(q, a), lambda x: x.isNotNull())))
+    # explode + null filter (not a lambda filter) keeps the stage code-generated.
+    ev = t.withColumn("_ev", F.explode(F.array(q, a))).filter(F.col("_ev").isNotNull())
     ev = ev.withColumn("_role", F.col("_ev.role")).withColumn("_lvl", F.col("_ev.lvl")).drop("_ev")
-    wl = Window.partitionBy(key, "_lvl").orderBy("i", "_role")
-    before = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = wl.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before = (Window.partitionBy(key, "_lvl").orderBy("i", "_role")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # "First at or after" is computed as "last so far" in reverse order: a
+    # growing frame is incremental, while a frame running to the partition end
+    # is re-aggregated for every row (quadratic in the partition size).
+    after = (Window.partitionBy(key, "_lvl").orderBy(F.desc("i"), F.desc("_role"))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     anchor = F.when(F.col("_role") == 1, F.struct(F.col("i").alias("i"), F.col("tag").alias("tag"),
                                                   F.col("beg").alias("beg")))
     closer = F.when(F.col("_role") == 2, F.col("beg"))
     ev = (ev.withColumn("_scope", F.last(anchor, ignorenulls=True).over(before))
-          .withColumn("scope_end", F.first(closer, ignorenulls=True).over(after)))
+          .withColumn("scope_end", F.last(closer, ignorenulls=True).over(after)))
     out = ev.filter(F.col("_role") == 0)
     top = F.col("_lvl") <= 0
     return (out.withColumn("scope_i", F.when(~top, F.col("_scope.i")))

@@ -25,13 +25,16 @@ def tokenize(df: DataFrame, key: str | list[str], text: str, rx: str,
     keep = keep or []
     src = df if prepartitioned else df.repartition(*keys)
     exploded = src.select(*keys, *keep, F.posexplode(
-        F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("i", "tok"))
+        F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
+    # ``i`` is final (BIGINT) before the first window, so every later window
+    # ordered by (key, i) finds the rows already sorted and adds no sort.
+    exploded = exploded.withColumn("i", F.col("_pos").cast("bigint")).drop("_pos")
     w = (Window.partitionBy(*keys).orderBy("i")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     size = F.octet_length("tok")
     return (exploded.withColumn("end", F.sum(size).over(w).cast("bigint"))
             .withColumn("beg", F.col("end") - size)
-            .select(*keys, *keep, F.col("i").cast("bigint").alias("i"), "tok", "beg", "end"))
+            .select(*keys, *keep, "i", "tok", "beg", "end"))
 
 
 IDENT_RX = r"^[\p{L}_]"

@@ -32,12 +32,30 @@ RX = rules.HTML_TOKEN_RX
 CONTAINERS = rules.CONTAINER_TAGS
 
 # ------------------------------------------------------------- Spark helpers
-TAG = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-IS_OPEN = F.col("tok").rlike("^<[A-Za-z]") & TAG.isin(CONTAINERS) & ~F.col("tok").rlike("/>$")
-IS_CLOSE = F.col("tok").rlike("^</[A-Za-z]") & TAG.isin(CONTAINERS)
-IS_DECL = F.col("tok").rlike("^[A-Z]")
-IS_REF = F.col("tok").rlike(r"^\p{Ll}")
-DECL_KIND = F.when(F.col("tok").rlike("^[A-Z][A-Z0-9_]+$"), F.lit("CONST")).otherwise(F.lit("TYPE"))
+def TAG():
+    return F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+
+
+def IS_OPEN():
+    return F.col("tok").rlike("^<[A-Za-z]") & TAG().isin(CONTAINERS) & ~F.col("tok").rlike("/>$")
+
+
+def IS_CLOSE():
+    return F.col("tok").rlike("^</[A-Za-z]") & TAG().isin(CONTAINERS)
+
+
+def IS_DECL():
+    return F.col("tok").rlike("^[A-Z]")
+
+
+def IS_REF():
+    return F.col("tok").rlike(r"^\p{Ll}")
+
+
+def DECL_KIND():
+    return F.when(F.col("tok").rlike("^[A-Z][A-Z0-9_]+$"), F.lit("CONST")).otherwise(F.lit("TYPE"))
+
+
 
 
 def page_tokens(spark, sf_dir) -> DataFrame:
@@ -46,23 +64,23 @@ def page_tokens(spark, sf_dir) -> DataFrame:
 
 
 def annotated(spark, sf_dir) -> DataFrame:
-    return annotate_scopes(page_tokens(spark, sf_dir), "page_id", IS_OPEN, IS_CLOSE, TAG)
+    return annotate_scopes(page_tokens(spark, sf_dir), "page_id", IS_OPEN(), IS_CLOSE(), TAG())
 
 
 def page_items(spark, sf_dir) -> DataFrame:
     """Declarations and references of every page (one row per word token)."""
-    a = annotated(spark, sf_dir).filter(IS_DECL | IS_REF)
-    name = F.when(IS_DECL, F.lower("tok")).otherwise(F.col("tok"))
+    a = annotated(spark, sf_dir).filter(IS_DECL() | IS_REF())
+    name = F.when(IS_DECL(), F.lower("tok")).otherwise(F.col("tok"))
     return a.select("page_id", "i", "tok", name.alias("name"), "beg", "end", "depth",
-                    "scope_i", IS_DECL.alias("is_decl"), IS_REF.alias("is_ref"),
-                    (IS_DECL & (F.col("depth") > 0)).alias("local"),
+                    "scope_i", IS_DECL().alias("is_decl"), IS_REF().alias("is_ref"),
+                    (IS_DECL() & (F.col("depth") > 0)).alias("local"),
                     F.col("scope_end").alias("vis_end"),
-                    F.when(IS_DECL, DECL_KIND).alias("kind"))
+                    F.when(IS_DECL(), DECL_KIND()).alias("kind"))
 
 
 def page_builtins(spark, sf_dir) -> DataFrame:
     """The 30 most frequent reference words (a top-k: bounded by construction)."""
-    p = page_tokens(spark, sf_dir).filter(IS_REF)
+    p = page_tokens(spark, sf_dir).filter(IS_REF())
     top = (p.groupBy(F.col("tok").alias("name")).agg(F.count(F.lit(1)).alias("_n"))
            .orderBy(F.desc("_n"), "name").limit(rules.PAGE_BUILTIN_TOP))
     return top.select("name", F.lit("TYPE").alias("kind"))
