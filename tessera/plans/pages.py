@@ -63,13 +63,21 @@ def page_tokens(spark, sf_dir) -> DataFrame:
     return tokenize(table(spark, sf_dir, "pages"), "page_id", "html", RX)
 
 
+def annotate_html(tokens: DataFrame, key: str = "page_id") -> DataFrame:
+    return annotate_scopes(tokens, key, IS_OPEN(), IS_CLOSE(), TAG())
+
+
 def annotated(spark, sf_dir) -> DataFrame:
-    return annotate_scopes(page_tokens(spark, sf_dir), "page_id", IS_OPEN(), IS_CLOSE(), TAG())
+    return annotate_html(page_tokens(spark, sf_dir))
 
 
 def page_items(spark, sf_dir) -> DataFrame:
+    return html_items(annotated(spark, sf_dir))
+
+
+def html_items(annotated_tokens: DataFrame) -> DataFrame:
     """Declarations and references of every page (one row per word token)."""
-    a = annotated(spark, sf_dir).filter(IS_DECL() | IS_REF())
+    a = annotated_tokens.filter(IS_DECL() | IS_REF())
     name = F.when(IS_DECL(), F.lower("tok")).otherwise(F.col("tok"))
     return a.select("page_id", "i", "tok", name.alias("name"), "beg", "end", "depth",
                     "scope_i", IS_DECL().alias("is_decl"), IS_REF().alias("is_ref"),
