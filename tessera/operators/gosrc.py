@@ -125,9 +125,7 @@ def go_builtins(spark) -> DataFrame:
 
 def go_resolve(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     items = go_items(a, key)
-    r = resolve_refs(items, key, go_builtins(spark))
-    extra = items.filter("is_ref").select(key, "i", "end", "type_pos")
-    return r.join(extra, [key, "i"])
+    return resolve_refs(items, key, go_builtins(spark), carry=["end", "type_pos"])
 
 
 def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:

@@ -18,11 +18,28 @@ from ..functions import text as T
 
 
 def tokenize(df: DataFrame, key: str | list[str], text: str, rx: str,
-             keep: list[str] | None = None, prepartitioned: bool = False) -> DataFrame:
+             keep: list[str] | None = None, prepartitioned: bool = False,
+             offsets: bool = True) -> DataFrame:
     """X1 + W1: ``(key, *keep, i, tok, beg, end)``; tokens tile the text when the
-    pattern can match every character; offsets are UTF-8 bytes, half open."""
+    pattern can match every character; offsets are UTF-8 bytes, half open.
+
+    ``offsets=False`` skips the byte offsets (``beg``/``end`` are null): no
+    shuffle and no window, for consumers that only count or group tokens.  The
+    raw rows are then only rebalanced (hash by key) when the scan yields fewer
+    partitions than there are cores."""
     keys = [key] if isinstance(key, str) else list(key)
     keep = keep or []
+    if not offsets:
+        src = df
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            # by key, not round robin: round robin sorts whole rows first
+            src = df.repartition(par, *keys)
+        t = src.select(*keys, *keep, F.posexplode(
+            F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
+        return t.select(*keys, *keep, F.col("_pos").cast("bigint").alias("i"), "tok",
+                        F.lit(None).cast("bigint").alias("beg"),
+                        F.lit(None).cast("bigint").alias("end"))
     src = df if prepartitioned else df.repartition(*keys)
     exploded = src.select(*keys, *keep, F.posexplode(
         F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))

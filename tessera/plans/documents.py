@@ -28,13 +28,13 @@ RX = rules.TEXT_TOKEN_RX
 KEEP = ["source", "lang"]
 
 
-def doc_tokens(spark, sf_dir) -> DataFrame:
+def doc_tokens(spark, sf_dir, offsets: bool = True) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return tokenize(docs, "doc_id", "text", RX, keep=KEEP)
+    return tokenize(docs, "doc_id", "text", RX, keep=KEEP, offsets=offsets)
 
 
-def idents(spark, sf_dir) -> DataFrame:
-    return doc_tokens(spark, sf_dir).filter(is_ident(F.col("tok"))).withColumnRenamed(
+def idents(spark, sf_dir, offsets: bool = True) -> DataFrame:
+    return doc_tokens(spark, sf_dir, offsets).filter(is_ident(F.col("tok"))).withColumnRenamed(
         "tok", "name")
 
 
@@ -102,7 +102,7 @@ FROM tk GROUP BY ALL
 """)
 def class_histogram(spark, sf_dir):
     """X2 + F10: tokens and bytes per highlight class and literal type."""
-    t = classify(doc_tokens(spark, sf_dir))
+    t = classify(doc_tokens(spark, sf_dir, offsets=False))
     return t.groupBy("cls", "lit_type").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum(F.octet_length("tok")).alias("n_bytes"))
 
@@ -130,7 +130,7 @@ FROM tk WHERE regexp_matches(tok, '^[A-Z]') GROUP BY tok
 """)
 def exported_names(spark, sf_dir):
     """Distinct exported names with occurrence and document counts."""
-    occ = idents(spark, sf_dir).filter(T.is_exported(F.col("name")))
+    occ = idents(spark, sf_dir, offsets=False).filter(T.is_exported(F.col("name")))
     return occ.groupBy("name").agg(F.count(F.lit(1)).alias("n"),
                                    F.countDistinct("doc_id").alias("n_docs"))
 
@@ -192,7 +192,7 @@ FROM r GROUP BY name, kind
 def usages(spark, sf_dir):
     """A2 + L2: usage rows (def = first occurrence of the name in its source,
     ref = the others) counted per name and kind."""
-    occ = idents(spark, sf_dir).withColumn("fname", fname_col())
+    occ = idents(spark, sf_dir, offsets=False).withColumn("fname", fname_col())
     marked = IX.mark_definitions(occ, ["source", "name"], ["doc_id", "i"])
     return marked.groupBy("name", F.col("role").alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("fname").alias("n_files"),
@@ -210,7 +210,7 @@ FROM f
 """)
 def intern_names(spark, sf_dir):
     """Every identifier gets a dense number from 1 in first-seen order."""
-    occ = idents(spark, sf_dir)
+    occ = idents(spark, sf_dir, offsets=False)
     return IX.intern(occ, "name", ["doc_id", "i"], col="name_no").select(
         "name", "name_no", "first_doc_id", "first_i")
 
@@ -222,7 +222,7 @@ SELECT name, CAST({byte_fold_sql("name", rules.NAME_BUCKETS)} AS BIGINT) AS buck
 """)
 def name_bucket(spark, sf_dir):
     """I4: bucket of every distinct identifier in the 65,536-slot name table."""
-    names = idents(spark, sf_dir).select("name").distinct()
+    names = idents(spark, sf_dir, offsets=False).select("name").distinct()
     return names.select("name", IX.name_bucket(F.col("name")).alias("bucket"))
 
 

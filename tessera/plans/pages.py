@@ -363,9 +363,7 @@ def resolve_refs_q(spark, sf_dir):
 
 def _type_diagnostics(spark, sf_dir) -> DataFrame:
     it = page_items(spark, sf_dir)
-    r = resolve_refs(it, "page_id", page_builtins(spark, sf_dir))
-    ends = it.filter("is_ref").select("page_id", "i", "end")
-    r = r.join(ends, ["page_id", "i"])
+    r = resolve_refs(it, "page_id", page_builtins(spark, sf_dir), carry=["end"])
     undefined = (~F.col("declared")) & F.col("tier").isNull()
     not_type = F.col("tier").isin(0, 2) & (F.col("decl_kind") == "CONST")
     msg = (F.when(undefined, F.format_string(rules.MSG_TYPE_UNDEFINED, F.col("name")))
