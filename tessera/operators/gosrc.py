@@ -163,3 +163,19 @@ def go_fontify(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
            .when((base == rules.CLS_VAR), ref_cls)
            .otherwise(base))
     return j.select(key, "i", "tok", "beg", "end", cls.alias("cls")).filter(F.col("cls").isNotNull())
+
+
+KIND_PASS = ["TYPE", "CONST", "VAR", "FUNC"]
+
+
+def go_file_env(a: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A5 + L3: top-level declarations in pass order (types, constants,
+    variables, functions; packages first), the first one of each name kept."""
+    items = go_items(a, key).filter(F.col("is_decl") & ~F.col("local"))
+    rank = F.when(F.col("kind") == "PACKAGE", 0)
+    for k, kind in enumerate(KIND_PASS, start=1):
+        rank = rank.when(F.col("kind") == kind, k)
+    w = Window.partitionBy(key, "name").orderBy("beg")
+    first = items.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return first.select(key, "name", "kind", "beg", rank.alias("pass_rank")).orderBy(
+        key, "pass_rank", "beg")

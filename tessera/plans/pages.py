@@ -24,8 +24,10 @@ from ..operators import index as IX
 from ..operators.resolve import resolve_refs, visible_at
 from ..operators.scopes import annotate_scopes, inside_count, scopes
 from ..sources.catalog import dir_tree, url_parts
+from ..sources.sinks import errors_lines
 from ..sources.tables import table
 from .registry import query, sql_str
+from .documents import _ESC_SQL
 from .sqlparts import byte_fold_sql, tokens_cte
 
 RX = rules.HTML_TOKEN_RX
@@ -493,3 +495,47 @@ def diagnostics_by_doc(spark, sf_dir):
         F.count(F.lit(1)).alias("n_diag"), cnt("u").alias("n_undefined"),
         cnt("n").alias("n_not_type"), cnt("b").alias("n_unbalanced"),
         F.sum("beg").cast("bigint").alias("sum_beg"))
+
+
+RENDER_ERRORS_SQL = f"""
+WITH {ITEMS_CTE},
+tdiag AS (
+  SELECT page_id, beg, "end",
+         CASE WHEN NOT declared AND tier IS NULL THEN 'type `' || name || ''' undefined'
+              ELSE 'type ident required' END AS msg FROM res
+  WHERE (NOT declared AND tier IS NULL) OR (tier IN (0, 2) AND decl_kind = 'CONST')),
+unb AS (
+  SELECT t.page_id, t.beg, t."end", 'invalid expression node' AS msg FROM tagev t
+  LEFT JOIN partner mo ON mo.page_id = t.page_id AND mo.i = t.i
+  LEFT JOIN partner mc ON mc.page_id = t.page_id AND mc.end_i = t.i
+  WHERE mo.i IS NULL AND mc.i IS NULL),
+alld AS (SELECT * FROM tdiag UNION ALL SELECT * FROM unb),
+rows_ AS (
+  SELECT page_id, beg, "end", '  ERROR ' || CAST(beg AS VARCHAR) || ' ' || CAST("end" AS VARCHAR) || ' "'
+           || array_to_string(list_transform(regexp_extract_all(msg, '(?s).'), lambda c: {_ESC_SQL}), '')
+           || '"' AS line FROM alld),
+num AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY beg, "end", line) AS BIGINT)
+               AS line_no, line FROM rows_),
+cnt AS (SELECT page_id, count(*) AS n FROM rows_ GROUP BY page_id),
+hdr AS (SELECT c.page_id, c.n, {URL_SQL} AS path FROM cnt c JOIN pages p ON p.page_id = c.page_id),
+q AS (SELECT page_id, n, '"' || array_to_string(list_transform(regexp_extract_all(path, '(?s).'),
+                                    lambda c: {_ESC_SQL}), '') || '"' AS qp FROM hdr)
+SELECT page_id, line_no, line FROM num
+UNION ALL SELECT page_id, CAST(0 AS BIGINT), 'ERRORS ' || qp || ' 0' FROM q
+UNION ALL SELECT page_id, CAST(n + 1 AS BIGINT), 'ERRORS-END' FROM q
+UNION ALL SELECT page_id, CAST(n + 2 AS BIGINT), '' FROM q
+"""
+
+
+@query("render_errors", sql=RENDER_ERRORS_SQL)
+def render_errors(spark, sf_dir):
+    """S5a + X5 + F5: one ERRORS block per page with diagnostics, rows sorted
+    by span, messages quoted to ASCII."""
+    td = _type_diagnostics(spark, sf_dir).select("page_id", "beg", "end", "msg")
+    a = annotated(spark, sf_dir)
+    unb = a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
+        "page_id", "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
+    d = td.unionByName(unb).withColumn("lvl", F.lit(rules.LVL_ERROR))
+    paths = table(spark, sf_dir, "pages").select("page_id", url_path(F.col("url")).alias("path"))
+    d = d.join(paths, "page_id")
+    return errors_lines(d, "page_id", fname="path")

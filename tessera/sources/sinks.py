@@ -11,7 +11,8 @@ from ..operators.numbering import dense_number
 
 
 def block_lines(rows: DataFrame, group: str, item: str, block: str,
-                header: list[Column], render: Callable[[Column], Column]) -> DataFrame:
+                header: list[Column], render: Callable[[Column], Column],
+                order: list[str] | None = None) -> DataFrame:
     """``(group, line_no, line)`` for one block per group:
 
         BLOCK header...        (line 0)
@@ -21,8 +22,11 @@ def block_lines(rows: DataFrame, group: str, item: str, block: str,
 
     Line numbers come from one range-partitioned numbering of all rows minus
     the first number of each group, so a group holding most rows is still
-    numbered by many tasks; nothing is collected per group."""
-    numbered = dense_number(rows.select(group, item), [F.col(group), F.col(item)], "_no")
+    numbered by many tasks; nothing is collected per group.  ``item`` is the
+    rendered column; ``order`` (default: ``item``) sorts the rows."""
+    order = order or [item]
+    cols = list(dict.fromkeys([group, item, *order]))
+    numbered = dense_number(rows.select(*cols), [F.col(group)] + [F.col(c) for c in order], "_no")
     per = numbered.groupBy(group).agg(F.min("_no").alias("_first"),
                                       F.count(F.lit(1)).alias("_n"))
     body = numbered.join(per, group).select(
@@ -48,3 +52,66 @@ def tee_batch(batch: DataFrame, in_path: str, out_path: str,
     """Append the input batch and its result to two logs."""
     batch.select(F.col("line").alias("value")).write.mode("append").text(in_path)
     result(batch).write.mode("append").text(out_path)
+
+
+# --- the other result blocks: header columns and one row renderer each -------
+
+def _q(c: Column) -> Column:
+    from ..functions.text import quote_ascii
+    return quote_ascii(c)
+
+
+def errors_lines(diags: DataFrame, group: str, no: Column | None = None,
+                 fname: str | None = None) -> DataFrame:
+    """``ERRORS "file" no`` then ``  LVL beg end "msg"`` per diagnostic,
+    one block per ``group`` (the file name column unless ``fname`` is given)."""
+    no = no if no is not None else F.lit(0)
+    fname = fname or group
+    row = F.concat_ws(" ", F.lit(" "), F.col("lvl"), F.col("beg").cast("string"),
+                      F.col("end").cast("string"), _q(F.col("msg")))
+    d = diags.withColumn("_row", row)
+    lines = block_lines(d, group, "_row", "ERRORS", [F.lit("")],
+                        lambda c: c, order=["beg", "end", "_row"])
+    hdr = F.concat_ws(" ", F.lit("ERRORS"), _q(F.col(fname)), no.cast("string"))
+    if fname != group:
+        lines = lines.join(d.select(group, fname).distinct(), group)
+    return (lines.withColumn("line", F.when(F.col("line_no") == 0, hdr).otherwise(F.col("line")))
+            .select(group, "line_no", "line"))
+
+
+def fontify_lines(spans: DataFrame, fname: str, size: Column, no: Column | None = None) -> DataFrame:
+    """``FONTIFY "file" "file" no 0 size`` then ``  Class beg end``."""
+    no = no if no is not None else F.lit(0)
+    row = F.concat_ws(" ", F.lit(" "), F.col("cls"), F.col("beg").cast("string"),
+                      F.col("end").cast("string"))
+    d = spans.withColumn("_row", row)
+    header = [_q(F.col(fname)), _q(F.col(fname)), no.cast("string"), F.lit("0"), size.cast("string")]
+    return block_lines(d, fname, "_row", "FONTIFY", header, lambda c: c,
+                       order=["beg", "end", "_row"])
+
+
+def complete_lines(choices: DataFrame, cursor: str, name: Column, beg: Column, end: Column,
+                   pref: Column) -> DataFrame:
+    """``COMPLETE "name" beg end "pref"`` then ``  KIND "n" "n" beg end``."""
+    from ..functions.text import kind_label
+    row = F.concat_ws(" ", F.lit(" "), kind_label(F.col("kind")), _q(F.col("choice")),
+                      _q(F.col("choice")), F.col("cbeg").cast("string"), F.col("cend").cast("string"))
+    d = choices.withColumn("_row", row)
+    header = [_q(name), beg.cast("string"), end.cast("string"), _q(pref)]
+    return block_lines(d, cursor, "_row", "COMPLETE", header, lambda c: c, order=["_row"])
+
+
+def usages_lines(usages: DataFrame, group: str, kind: str, pfx: str, system: bool) -> DataFrame:
+    """S5e: ``USAGES kind "pfx" system`` then one row per usage, by name."""
+    from ..functions import rules
+    row = F.concat_ws(" ", F.col("role"), _q(F.col("fname")), F.lit("0"), F.lit("0"), F.lit("0"),
+                      _q(F.lit("")), F.lit("0"), F.lit("0"), _q(F.col("name")), F.lit("0"),
+                      F.lit("0"), F.lit(rules.USAGE_NOREC))
+    d = usages.withColumn("_row", row)
+    header = [F.lit(kind), _q(F.lit(pfx)), F.lit("system" if system else "non-system")]
+    return block_lines(d, group, "_row", "USAGES", header, lambda c: c, order=["name", "_row"])
+
+
+def message_text(msg: Column) -> Column:
+    """S5f: a MESSAGE block as one string."""
+    return F.concat(F.lit("MESSAGE "), _q(msg), F.lit("\nMESSAGE-END\n\n"))
