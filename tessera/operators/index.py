@@ -91,3 +91,34 @@ def path_bucket(parts: Column, buckets: int = rules.PATH_BUCKETS) -> Column:
     """I4: a path hashes to the sum of its element hashes; bucket mod 1024."""
     hs = F.transform(parts, lambda p: _byte_fold(p, buckets))
     return F.aggregate(hs, F.lit(0).cast("bigint"), lambda a, h: (a + h) % F.lit(buckets))
+
+
+def usage_counts(occ: DataFrame, group: list[str], name: str, fname: str,
+                 order: list[str], distinct_files: bool = False) -> DataFrame:
+    """A2: per (name, role) with role def (first occurrence of a group) / ref:
+    occurrences, files and first file.
+
+    Occurrences are pre-aggregated to one row per (group, file) before any
+    join, so the shuffle carries files, not every occurrence; the group's
+    first position is then one mergeable min over those rows."""
+    per_file = occ.groupBy(*group, fname).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    w_first = per_file.groupBy(*group).agg(F.min("_first").alias("_gfirst"))
+    j = per_file.join(w_first, group)
+    is_def_file = F.col("_first") == F.col("_gfirst")
+    n_ref = F.col("_n") - F.when(is_def_file, 1).otherwise(0)
+    rows = j.select(F.col(name).alias("name"), F.col(fname).alias("fname"),
+                    is_def_file.alias("_def"), n_ref.alias("_nref"))
+    # (name, file) rows are unique here when the file determines the group's
+    # other keys (a file lies in one source), so files are counted, not
+    # distinct-counted; ``distinct_files=True`` keeps the general form.
+    nf = (lambda: F.countDistinct("fname")) if distinct_files else (lambda: F.count(F.lit(1)))
+    defs = rows.filter("_def").groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), nf().alias("n_files"),
+        F.min("fname").alias("first_file")).withColumn("kind", F.lit("def"))
+    refs = rows.filter(F.col("_nref") > 0).groupBy("name").agg(
+        F.sum("_nref").alias("n"), nf().alias("n_files"),
+        F.min("fname").alias("first_file")).withColumn("kind", F.lit("ref"))
+    return defs.unionByName(refs).select(
+        "name", "kind", F.col("n").cast("bigint").alias("n"),
+        F.col("n_files").cast("bigint").alias("n_files"), "first_file")

@@ -193,10 +193,7 @@ def usages(spark, sf_dir):
     """A2 + L2: usage rows (def = first occurrence of the name in its source,
     ref = the others) counted per name and kind."""
     occ = idents(spark, sf_dir, offsets=False).withColumn("fname", fname_col())
-    marked = IX.mark_definitions(occ, ["source", "name"], ["doc_id", "i"])
-    return marked.groupBy("name", F.col("role").alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("fname").alias("n_files"),
-        F.min("fname").alias("first_file"))
+    return IX.usage_counts(occ, ["source", "name"], "name", "fname", ["doc_id", "i"])
 
 
 # -------------------------------------------------------------- intern_names
