@@ -66,21 +66,28 @@ def is_space(tok: Column) -> Column:
 
 
 def text_class(tok: Column) -> Column:
-    """X2 for generic text: highlight class of a token (null = no marker)."""
-    return (F.when(is_space(tok), F.lit(None).cast("string"))
+    """X2 for generic text: highlight class of a token (null = no marker).
+
+    Tokens come from the tiling pattern, so the first character decides the
+    class; only that character is tested (one short regex for letters)."""
+    c = F.substring(tok, 1, 1)
+    return (F.when(c.isin(" ", "\t", "\r", "\n", "\f"), F.lit(None).cast("string"))
             .when(tok.isin(rules.GO_KEYWORDS), F.lit(rules.CLS_KEYWORD))
-            .when(is_ident(tok), F.lit(rules.CLS_VAR))
-            .when(tok.rlike(r"^[0-9]"), F.lit(rules.CLS_NUMBER))
-            .when(tok.startswith('"'), F.lit(rules.CLS_STRING))
-            .when(tok.rlike(r"^[.,;:]$"), F.lit(rules.CLS_SEPARATOR))
-            .when(tok.rlike(r"^[-+*/%&|^<>=!~]$"), F.lit(rules.CLS_OPERATOR))
+            .when((c >= "0") & (c <= "9"), F.lit(rules.CLS_NUMBER))
+            .when(c == '"', F.lit(rules.CLS_STRING))
+            .when(c.isin(".", ",", ";", ":"), F.lit(rules.CLS_SEPARATOR))
+            .when(c.isin(*list("-+*/%&|^<>=!~")), F.lit(rules.CLS_OPERATOR))
+            .when(c.rlike(r"^[\p{L}_]"), F.lit(rules.CLS_VAR))
             .otherwise(F.lit(rules.CLS_TOKEN)))
 
 
 def classify(tokens: DataFrame, rule=text_class) -> DataFrame:
-    """Adds ``cls`` (rule over the token text) and ``lit_type``."""
+    """Adds ``cls`` (rule over the token text) and ``lit_type`` (F10, only
+    evaluated on tokens that can be literals)."""
+    c = F.substring("tok", 1, 1)
+    maybe_lit = c.isin('"', "'", "`", ".") | ((c >= "0") & (c <= "9"))
     return tokens.withColumn("cls", rule(F.col("tok"))).withColumn(
-        "lit_type", T.literal_type(F.col("tok")))
+        "lit_type", F.when(maybe_lit, T.literal_type(F.col("tok"))))
 
 
 def spans(tokens: DataFrame, key: str, size: Column | None = None) -> DataFrame:
