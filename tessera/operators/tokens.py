@@ -31,10 +31,14 @@ def tokenize(df: DataFrame, key: str | list[str], text: str, rx: str,
     keep = keep or []
     if not offsets:
         src = df
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
+        try:
+            par = df.sparkSession.sparkContext.defaultParallelism
+            few = df.rdd.getNumPartitions() < par
+        except Exception:  # noqa: BLE001 - no RDD access (e.g. a Connect session)
+            par, few = None, True
+        if few:
             # by key, not round robin: round robin sorts whole rows first
-            src = df.repartition(par, *keys)
+            src = df.repartition(par, *keys) if par else df.repartition(*keys)
         t = src.select(*keys, *keep, F.posexplode(
             F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
         return t.select(*keys, *keep, F.col("_pos").cast("bigint").alias("i"), "tok",

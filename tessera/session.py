@@ -38,7 +38,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster must name a shared folder there.  Only a local-mode session
     without one (tests, the bench) gets a fresh scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: the server names the folder
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
