@@ -8,12 +8,28 @@ user calls with ``TABLE(...) PARTITION BY``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import udtf
 
+# Python workers must not need this package on their path: the processors
+# below travel to them by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def longest_token(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Longest token of one document by UTF-8 size (first one on ties)."""
+    pdf = pdf.sort_values("i", kind="stable")
+    sizes = pdf["tok"].map(lambda s: len(s.encode("utf-8")))
+    k = int(sizes.to_numpy().argmax())
+    row = pdf.iloc[k]
+    return pd.DataFrame({"doc_id": [int(row["doc_id"])], "i": [int(row["i"])],
+                         "tok": [row["tok"]], "n_bytes": [int(sizes.iloc[k])]})
+
 
 def process_spans(spans: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
                   schema: str) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..operators import index as IX
 from ..operators.numbering import dense_number
-from ..operators.spans import process_spans
+from ..operators.spans import longest_token, process_spans
 from ..operators.tokens import classify, is_ident, tokenize
 from ..sources.catalog import file_table, lookup_source, packages
 from ..sources.sinks import block_lines
@@ -351,16 +350,6 @@ def render_blocks(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ span_udtf
-def _longest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Longest token of one document (first one on ties)."""
-    pdf = pdf.sort_values("i", kind="stable")
-    sizes = pdf["tok"].map(lambda s: len(s.encode("utf-8")))
-    k = int(sizes.to_numpy().argmax())
-    row = pdf.iloc[k]
-    return pd.DataFrame({"doc_id": [int(row["doc_id"])], "i": [int(row["i"])],
-                         "tok": [row["tok"]], "n_bytes": [int(sizes.iloc[k])]})
-
-
 @query("span_udtf", sql=f"""
 WITH {TOK},
 r AS (SELECT doc_id, i, tok, CAST(strlen(tok) AS BIGINT) AS n_bytes,
@@ -371,5 +360,5 @@ def span_udtf(spark, sf_dir):
     """V1: a user span processor (pandas, one document per call) -- the
     longest token of each document."""
     t = doc_tokens(spark, sf_dir).select("doc_id", "i", "tok")
-    return process_spans(t, "doc_id", _longest,
+    return process_spans(t, "doc_id", longest_token,
                          "doc_id bigint, i bigint, tok string, n_bytes bigint")
