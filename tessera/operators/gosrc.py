@@ -14,8 +14,11 @@ document) and at the enclosing brace scope (``annotate_scopes``).  Rules:
 * references: the other identifiers, except selector members (after ``.``).
 * type positions: the token after a declared var/const/param name, after
   ``[]``, after ``*`` that follows a name or ``]``, after ``map[..]``/``chan``.
-* grouped declarations ``var ( ... )`` and parameters in ``a, b int`` lists
-  are not declared (documented limitation of token rules).
+* grouped declarations: a name starting a line inside ``var (``, ``const (``
+  or ``type (`` (the keyword before the innermost open paren, found by the
+  same scope operator run over parentheses).
+* parameters in ``a, b int`` lists are not declared (a limitation of token
+  rules).
 """
 
 from __future__ import annotations
@@ -61,7 +64,16 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sig = ~(F.col("tok").rlike(r"^[ \t\r\n\f]+$") | F.col("tok").startswith("//")
             | F.col("tok").startswith("/*"))
     t = t.withColumn("sig", sig)
-    a = annotate_scopes(t, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"))
+    # Paren groups first: each token learns the keyword before its innermost
+    # open '(' (``var (``, ``const (``, ``type (``, ``import (``).
+    ws = Window.partitionBy(key, "sig").orderBy("i")
+    t = t.withColumn("_kw", F.lag("tok", 1).over(ws))
+    wa = Window.partitionBy(key).orderBy("i")
+    t = t.withColumn("raw_prev", F.lag("tok", 1).over(wa))
+    pa = annotate_scopes(t, key, F.col("sig") & (F.col("tok") == "("),
+                         F.col("sig") & (F.col("tok") == ")"), F.col("_kw"))
+    pa = pa.select(*t.columns, F.col("scope_tag").alias("group_kw")).drop("_kw")
+    a = annotate_scopes(pa, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"))
     w = Window.partitionBy(key, "sig").orderBy("i")
     a = (a.withColumn("p1", F.lag("tok", 1).over(w)).withColumn("p2", F.lag("tok", 2).over(w))
          .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w)))
@@ -86,10 +98,17 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     """Declarations and references (one row per identifier token)."""
     tok, p1, p2, n1 = F.col("tok"), F.col("p1"), F.col("p2"), F.col("n1")
     ident = F.col("sig") & _is_ident(tok)
+    # the previous significant token is a name declared in a var/const group
+    gdecl = ident & (F.col("raw_prev").contains("\n") | (p1 == "(") | (p1 == ";")) \
+        & F.col("group_kw").isin("var", "const")
+    a = a.withColumn("_prev_gdecl", F.coalesce(
+        F.lag(gdecl, 1).over(Window.partitionBy(key, "sig").orderBy("i")), F.lit(False)))
     define = ident & ((n1 == ":=") | ((n1 == ",") & (F.col("_next_stop") > F.col("i")))) \
         & ~(p1 == ".")
     typeish = _is_ident(n1) | n1.isin("*", "[", "...") | n1.isin(TYPE_WORDS)
-    in_params = (p1.isin("(", ",")) & typeish & ~define
+    line_start = F.col("raw_prev").contains("\n") | (p1 == "(") | (p1 == ";")
+    in_group = ident & line_start & F.col("group_kw").isin("var", "const", "type")
+    in_params = (p1.isin("(", ",")) & typeish & ~define & ~in_group
     kind = (F.when(~ident | (tok == "_"), F.lit(None))
             .when(p1 == "package", F.lit("PACKAGE"))
             .when(p1 == "func", F.lit("FUNC"))
@@ -98,6 +117,9 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
             .when(p1 == "const", F.lit("CONST"))
             .when((p1 == "import") & n1.startswith('"'), F.lit("PACKAGE"))
             .when(define, F.lit("VAR"))
+            .when(in_group & (F.col("group_kw") == "var"), F.lit("VAR"))
+            .when(in_group & (F.col("group_kw") == "const"), F.lit("CONST"))
+            .when(in_group & (F.col("group_kw") == "type"), F.lit("TYPE"))
             .when(in_params & (F.col("depth") == 0), F.lit("VAR")))
     is_param = in_params & (F.col("depth") == 0) & (kind == "VAR") & ~p1.isin("var", "const") \
         & ~define
@@ -111,8 +133,10 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     local = is_decl & ((F.col("depth") > 0) | is_param)
     vis_end = F.when(is_param, F.col("_body_end")).otherwise(F.col("scope_end"))
     # type position: after a declared value name, after '[]', after '*' in a type
+    prev_is_group_name = F.col("_prev_gdecl")
     type_pos = ident & ((p1 == "]") | (p1 == "chan") | ((p1 == "*") & p2.isin("(", ",", "]"))) | (
-        ident & _is_ident(p1) & ~p1.isin(rules.GO_KEYWORDS) & (p2.isin("var", "const", "(", ",")))
+        ident & _is_ident(p1) & ~p1.isin(rules.GO_KEYWORDS) & (p2.isin("var", "const", "(", ","))) | (
+        ident & F.coalesce(prev_is_group_name, F.lit(False)))
     return a.filter(is_decl | is_ref).select(
         key, "i", "tok", name.alias("name"), "beg", "end", "depth",
         is_decl.alias("is_decl"), is_ref.alias("is_ref"), local.alias("local"),

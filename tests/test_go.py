@@ -102,3 +102,40 @@ def test_fontify_and_multibyte(ann, spark):
     # offsets are bytes: 't' comes after the two-byte e-acute
     assert f[("t", _occ("t"))] == "VarDef"
     assert _occ("t") == SRC.encode().index(b"\tt := s") + 1
+
+
+GROUPED = '''package g
+
+var (
+	alpha = 1
+	beta  Gamma
+)
+
+const (
+	One = iota
+	Two
+)
+
+type (
+	Gamma int
+	Delta struct{ x int }
+)
+
+func use() {
+	_ = alpha + One + Two
+	var z Delta
+	_ = z
+}
+'''
+
+
+def test_grouped_declarations(spark):
+    df = spark.createDataFrame([(2, GROUPED)], "doc_id long, text string")
+    a = go_tokens(df)
+    d = {r.name: r.kind for r in go_items(a).filter("is_decl").collect()}
+    assert d["alpha"] == "VAR" and d["beta"] == "VAR"
+    assert d["One"] == "CONST" and d["Two"] == "CONST"
+    assert d["Gamma"] == "TYPE" and d["Delta"] == "TYPE"
+    assert go_diagnostics(a, spark).count() == 0     # beta's type Gamma resolves
+    r = {x.name: x.tier for x in go_resolve(a, spark).collect()}
+    assert r["alpha"] == 2 and r["One"] == 2 and r["Two"] == 2 and r["Delta"] == 2
