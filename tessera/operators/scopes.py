@@ -26,7 +26,7 @@ OPEN, CLOSE = "open", "close"
 
 
 def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Column,
-                    tag: Column) -> DataFrame:
+                    tag: Column, keep: Column | None = None) -> DataFrame:
     """Adds to every token:
 
     ``kind`` open/close/null, ``tag``, ``matched`` (tags: has a partner), ``level`` (scope level of a tag, current
@@ -34,6 +34,10 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     ``partner_i/partner_tag/partner_beg/partner_end`` (opens: the matching close),
     ``scope_i/scope_tag/scope_beg`` (innermost enclosing open, null at top level),
     ``scope_end`` (begin of the close of that scope; null if never closed).
+
+    ``keep``: tokens the caller needs afterwards.  The depth sum sees every
+    token; all later windows see only the tags and the kept tokens, so the
+    sorts do not carry tokens nobody reads.
     """
     wd = (Window.partitionBy(key).orderBy("i")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -45,6 +49,8 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     t = t.withColumn("level", level.cast("bigint")).withColumn(
         "depth", F.when(F.col("kind").isNotNull(), F.col("level") - 1)
         .otherwise(F.col("level")).cast("bigint")).drop("_d")
+    if keep is not None:
+        t = t.filter(F.col("kind").isNotNull() | keep)
 
     # Partner: the next tag event at the same level.
     wp = Window.partitionBy(key, "level", F.col("kind").isNotNull()).orderBy("i")

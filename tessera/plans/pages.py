@@ -60,19 +60,30 @@ def DECL_KIND():
 
 
 
-def page_tokens(spark, sf_dir) -> DataFrame:
+def page_tokens(spark, sf_dir, offsets: bool = True) -> DataFrame:
     from ..operators.tokens import tokenize
-    return tokenize(table(spark, sf_dir, "pages"), "page_id", "html", RX)
+    return tokenize(table(spark, sf_dir, "pages"), "page_id", "html", RX, offsets=offsets)
 
 
 def annotate_html(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    return annotate_scopes(tokens, key, IS_OPEN(), IS_CLOSE(), TAG())
+    """Scopes of container tags; only tags and words are kept after the depth
+    sum (the page jobs read nothing else)."""
+    return annotate_scopes(tokens, key, IS_OPEN(), IS_CLOSE(), TAG(),
+                           keep=F.col("tok").rlike(r"^[\p{L}_]"))
 
 
 def annotated(spark, sf_dir) -> DataFrame:
     return annotate_html(page_tokens(spark, sf_dir))
 
 
+def unbalanced_tags(spark, sf_dir) -> DataFrame:
+    """Container tags without a partner (only tags pass the depth sum)."""
+    a = annotate_scopes(page_tokens(spark, sf_dir), "page_id", IS_OPEN(), IS_CLOSE(), TAG(),
+                        keep=F.lit(False))
+    return a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
+        "page_id", "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
+
+
 def page_items(spark, sf_dir) -> DataFrame:
     return html_items(annotated(spark, sf_dir))
 
@@ -90,7 +101,7 @@ def html_items(annotated_tokens: DataFrame) -> DataFrame:
 
 def page_builtins(spark, sf_dir) -> DataFrame:
     """The 30 most frequent reference words (a top-k: bounded by construction)."""
-    p = page_tokens(spark, sf_dir).filter(IS_REF())
+    p = page_tokens(spark, sf_dir, offsets=False).filter(IS_REF())
     top = (p.groupBy(F.col("tok").alias("name")).agg(F.count(F.lit(1)).alias("_n"))
            .orderBy(F.desc("_n"), "name").limit(rules.PAGE_BUILTIN_TOP))
     return top.select("name", F.lit("TYPE").alias("kind"))
@@ -486,9 +497,7 @@ def diagnostics_by_doc(spark, sf_dir):
     td = _type_diagnostics(spark, sf_dir).select(
         "page_id", "beg", F.when(F.col("msg") == rules.MSG_TYPE_IDENT_REQUIRED, F.lit("n"))
         .otherwise(F.lit("u")).alias("k"))
-    a = annotated(spark, sf_dir)
-    unb = a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
-        "page_id", "beg", F.lit("b").alias("k"))
+    unb = unbalanced_tags(spark, sf_dir).select("page_id", "beg", F.lit("b").alias("k"))
     d = td.unionByName(unb)
     cnt = lambda k: F.sum(F.when(F.col("k") == k, 1).otherwise(0)).cast("bigint")
     return d.groupBy("page_id").agg(
@@ -532,9 +541,7 @@ def render_errors(spark, sf_dir):
     """S5a + X5 + F5: one ERRORS block per page with diagnostics, rows sorted
     by span, messages quoted to ASCII."""
     td = _type_diagnostics(spark, sf_dir).select("page_id", "beg", "end", "msg")
-    a = annotated(spark, sf_dir)
-    unb = a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
-        "page_id", "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
+    unb = unbalanced_tags(spark, sf_dir)
     d = td.unionByName(unb).withColumn("lvl", F.lit(rules.LVL_ERROR))
     paths = table(spark, sf_dir, "pages").select("page_id", url_path(F.col("url")).alias("path"))
     d = d.join(paths, "page_id")
