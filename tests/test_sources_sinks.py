@@ -89,3 +89,24 @@ def test_udtf_span_processor(spark):
     got = {tuple(r) for r in spark.sql(
         "SELECT * FROM longest_span(TABLE(SELECT doc_id, i, tok FROM toks) PARTITION BY doc_id)").collect()}
     assert got == {(1, 2, "abcd", 4), (2, 0, "xyz", 3)}
+
+
+def test_fontify_complete_usages_blocks(spark):
+    from tessera.sources.sinks import complete_lines, fontify_lines, usages_lines
+    spans = spark.createDataFrame([("f.go", "Keyword", 0, 7), ("f.go", "Var", 8, 9)],
+                                  "fname string, cls string, beg long, end long")
+    f = [r.line for r in fontify_lines(spans, "fname", F.lit(12)).orderBy("line_no").collect()]
+    assert f == ['FONTIFY "f.go" "f.go" 0 0 12', "  Keyword 0 7", "  Var 8 9", "FONTIFY-END", ""]
+    ch = spark.createDataFrame([(1, "VAR", "count", 5, 10), (1, "TYPE", "Count", 5, 10), (1, "XX", "c", 5, 6)],
+                               "cur long, kind string, choice string, cbeg long, cend long")
+    c = [r.line for r in complete_lines(ch, "cur", F.lit("co"), F.lit(5), F.lit(7), F.lit("co"))
+         .orderBy("line_no").collect()]
+    assert c[0] == 'COMPLETE "co" 5 7 "co"'
+    assert sorted(c[1:4]) == ['  ??? "c" "c" 5 6', '  TYPE "Count" "Count" 5 10', '  VAR "count" "count" 5 10']
+    assert c[4:] == ["COMPLETE-END", ""]
+    us = spark.createDataFrame([("g", "def", "a/b.go", "zeta"), ("g", "ref", "a/c.go", "alpha")],
+                               "grp string, role string, fname string, name string")
+    u = [r.line for r in usages_lines(us, "grp", "ref", "al", False).orderBy("line_no").collect()]
+    assert u[0] == 'USAGES ref "al" non-system'
+    assert u[1] == 'ref "a/c.go" 0 0 0 "" 0 0 "alpha" 0 0 norecursive'
+    assert u[2].startswith('def "a/b.go"') and u[2].endswith('"zeta" 0 0 norecursive')
