@@ -37,8 +37,10 @@ def tokenize(df: DataFrame, key: str | list[str], text: str, rx: str,
         except Exception:  # noqa: BLE001 - no RDD access (e.g. a Connect session)
             par, few = None, True
         if few:
-            # by key, not round robin: round robin sorts whole rows first
-            src = df.repartition(par, *keys) if par else df.repartition(*keys)
+            # by key, not round robin (which sorts whole rows first), and with
+            # the session's partition count: the same exchange as the offset
+            # path, so a plan that needs both reuses one shuffle.
+            src = df.repartition(*keys)
         t = src.select(*keys, *keep, F.posexplode(
             F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
         return t.select(*keys, *keep, F.col("_pos").cast("bigint").alias("i"), "tok",
