@@ -107,18 +107,15 @@ def usage_counts(occ: DataFrame, group: list[str], name: str, fname: str,
     j = per_file.join(w_first, group)
     is_def_file = F.col("_first") == F.col("_gfirst")
     n_ref = F.col("_n") - F.when(is_def_file, 1).otherwise(0)
-    rows = j.select(F.col(name).alias("name"), F.col(fname).alias("fname"),
-                    is_def_file.alias("_def"), n_ref.alias("_nref"))
-    # (name, file) rows are unique here when the file determines the group's
-    # other keys (a file lies in one source), so files are counted, not
-    # distinct-counted; ``distinct_files=True`` keeps the general form.
-    nf = (lambda: F.countDistinct("fname")) if distinct_files else (lambda: F.count(F.lit(1)))
-    defs = rows.filter("_def").groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), nf().alias("n_files"),
-        F.min("fname").alias("first_file")).withColumn("kind", F.lit("def"))
-    refs = rows.filter(F.col("_nref") > 0).groupBy("name").agg(
-        F.sum("_nref").alias("n"), nf().alias("n_files"),
-        F.min("fname").alias("first_file")).withColumn("kind", F.lit("ref"))
-    return defs.unionByName(refs).select(
-        "name", "kind", F.col("n").cast("bigint").alias("n"),
-        F.col("n_files").cast("bigint").alias("n_files"), "first_file")
+    role = lambda k, n: F.struct(F.lit(k).alias("kind"), n.cast("bigint").alias("n"))
+    rows = j.select(F.col(name).alias("name"), F.col(fname).alias("fname"), F.explode(F.array(
+        F.when(is_def_file, role("def", F.lit(1))),
+        F.when(n_ref > 0, role("ref", n_ref)))).alias("_r")).filter(F.col("_r").isNotNull())
+    # (name, file) rows are unique per role when the file determines the
+    # group's other keys (a file lies in one source), so files are counted,
+    # not distinct-counted; ``distinct_files=True`` keeps the general form.
+    nf = F.countDistinct("fname") if distinct_files else F.count(F.lit(1))
+    out = rows.groupBy("name", F.col("_r.kind").alias("kind")).agg(
+        F.sum("_r.n").alias("n"), nf.alias("n_files"), F.min("fname").alias("first_file"))
+    return out.select("name", "kind", F.col("n").cast("bigint").alias("n"),
+                      F.col("n_files").cast("bigint").alias("n_files"), "first_file")

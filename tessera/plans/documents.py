@@ -6,8 +6,6 @@ Binding: a document is a file with dir = ``source/lang`` and name = ``doc_id``
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -300,13 +298,13 @@ def lookup_source_q(spark, sf_dir):
     resolved by two left joins to the package and file tables."""
     files = file_table(table(spark, sf_dir, "documents"))
     f = files.select("doc_id", "path")
-    req = reduce(DataFrame.unionByName, [
-        f.select(F.lit(1).alias("kind"), "doc_id", "path"),
-        f.select(F.lit(2).alias("kind"), "doc_id",
-                 F.concat(T.path_dir(F.col("path")), F.lit("/"),
-                          (F.col("doc_id") + 1000000000).cast("string")).alias("path")),
-        f.select(F.lit(3).alias("kind"), "doc_id", F.concat(F.lit("x"), F.col("path")).alias("path")),
-    ])
+    r = lambda k, p: F.struct(F.lit(k).alias("kind"), p.alias("path"))
+    req = f.select("doc_id", F.explode(F.array(
+        r(1, F.col("path")),
+        r(2, F.concat(T.path_dir(F.col("path")), F.lit("/"),
+                      (F.col("doc_id") + 1000000000).cast("string"))),
+        r(3, F.concat(F.lit("x"), F.col("path"))))).alias("_r")).select(
+        F.col("_r.kind").alias("kind"), "doc_id", F.col("_r.path").alias("path"))
     out = lookup_source(req, files)
     return out.select("kind", "doc_id", "path", "status", "msg")
 

@@ -32,13 +32,13 @@ def block_lines(rows: DataFrame, group: str, item: str, block: str,
     body = numbered.join(per, group).select(
         group, (F.col("_no") - F.col("_first") + 1).alias("line_no"),
         render(F.col(item)).alias("line"))
-    head = per.select(group, F.lit(0).cast("bigint").alias("line_no"),
-                      F.concat_ws(" ", F.lit(block), *header).alias("line"))
-    end = per.select(group, (F.col("_n") + 1).cast("bigint").alias("line_no"),
-                     F.lit(f"{block}-END").alias("line"))
-    blank = per.select(group, (F.col("_n") + 2).cast("bigint").alias("line_no"),
-                       F.lit("").alias("line"))
-    return body.unionByName(head).unionByName(end).unionByName(blank)
+    ln = lambda no, text: F.struct(no.cast("bigint").alias("line_no"), text.alias("line"))
+    frame = per.select(group, F.explode(F.array(
+        ln(F.lit(0), F.concat_ws(" ", F.lit(block), *header)),
+        ln(F.col("_n") + 1, F.lit(f"{block}-END")),
+        ln(F.col("_n") + 2, F.lit("")))).alias("_l")).select(
+        group, F.col("_l.line_no").alias("line_no"), F.col("_l.line").alias("line"))
+    return body.unionByName(frame)
 
 
 def write_blocks(lines: DataFrame, group: str, path: str) -> None:
