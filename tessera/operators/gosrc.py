@@ -68,15 +68,21 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     # open '(' (``var (``, ``const (``, ``type (``, ``import (``).
     ws = Window.partitionBy(key, "sig").orderBy("i")
     t = t.withColumn("_kw", F.lag("tok", 1).over(ws))
+    # what opens a brace: "T struct", ") {" of a body, ... (two tokens before)
+    t = t.withColumn("_opener", F.when(F.col("tok") == "{", F.concat_ws(
+        " ", F.lag("tok", 2).over(ws), F.col("_kw"))))
     wa = Window.partitionBy(key).orderBy("i")
     t = t.withColumn("raw_prev", F.lag("tok", 1).over(wa))
     pa = annotate_scopes(t, key, F.col("sig") & (F.col("tok") == "("),
                          F.col("sig") & (F.col("tok") == ")"), F.col("_kw"))
     pa = pa.select(*t.columns, F.col("scope_tag").alias("group_kw")).drop("_kw")
-    a = annotate_scopes(pa, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"))
+    a = annotate_scopes(pa, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"),
+                        extra="_opener").drop("_opener")
     w = Window.partitionBy(key, "sig").orderBy("i")
     a = (a.withColumn("p1", F.lag("tok", 1).over(w)).withColumn("p2", F.lag("tok", 2).over(w))
-         .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w)))
+         .withColumn("p2i", F.lag("i", 2).over(w))
+         .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w))
+         .withColumn("n3", F.lead("tok", 3).over(w)))
     # ``:=`` at the end of a name list: walk back over ``name ,`` pairs with a
     # running "still in the list" flag computed in reverse order.
     wr = (Window.partitionBy(key, "sig").orderBy(F.desc("i"))
@@ -129,7 +135,7 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     kind = F.when(is_import, F.lit("PACKAGE")).otherwise(kind)
     name = F.when(is_import, imp_path).otherwise(tok)
     is_decl = kind.isNotNull()
-    is_ref = ident & ~is_decl & ~(p1 == ".") & (tok != "_")
+    is_ref = ident & ~is_decl & ~(p1 == ".") & (tok != "_") & ~is_field(a)
     local = is_decl & ((F.col("depth") > 0) | is_param)
     vis_end = F.when(is_param, F.col("_body_end")).otherwise(F.col("scope_end"))
     # type position: after a declared value name, after '[]', after '*' in a type
@@ -137,10 +143,28 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     type_pos = ident & ((p1 == "]") | (p1 == "chan") | ((p1 == "*") & p2.isin("(", ",", "]"))) | (
         ident & _is_ident(p1) & ~p1.isin(rules.GO_KEYWORDS) & (p2.isin("var", "const", "(", ","))) | (
         ident & F.coalesce(prev_is_group_name, F.lit(False)))
+    dtype = F.when(((kind == "VAR") & ~define) | (kind == "TYPE"), type_after())
     return a.filter(is_decl | is_ref).select(
         key, "i", "tok", name.alias("name"), "beg", "end", "depth",
         is_decl.alias("is_decl"), is_ref.alias("is_ref"), local.alias("local"),
-        vis_end.alias("vis_end"), kind.alias("kind"), type_pos.alias("type_pos"))
+        vis_end.alias("vis_end"), kind.alias("kind"), type_pos.alias("type_pos"),
+        dtype.alias("dtype"))
+
+
+def type_after():
+    """Type descriptor written after a declared name: ``T``, ``*T``, ``[]T``
+    (null when the next token does not start a type)."""
+    n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
+    return (F.when(n1 == "*", F.concat(F.lit("*"), n2))
+            .when((n1 == "[") & (n2 == "]"), F.concat(F.lit("[]"), n3))
+            .when(_is_ident(n1) | (n1 == "struct"), n1))
+
+
+def is_field(a: DataFrame):
+    """A name starting a line inside ``struct { ... }`` braces."""
+    line_start = F.col("raw_prev").contains("\n") | F.col("p1").isin("{", ";")
+    return (F.col("sig") & _is_ident(F.col("tok")) & line_start
+            & F.coalesce(F.col("scope_extra").endswith(" struct"), F.lit(False)))
 
 
 def go_builtins(spark) -> DataFrame:
@@ -165,7 +189,9 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
         key, "beg", "end", F.lit(rules.MSG_TYPE_ARG_REQUIRED).alias("msg"))
     unb = a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
         key, "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
-    d = d1.unionByName(make).unionByName(unb)
+    mem = go_members(a, spark, key).filter(F.col("msg").isNotNull()).select(
+        key, F.col("x_beg").alias("beg"), F.col("x_end").alias("end"), "msg")
+    d = d1.unionByName(make).unionByName(unb).unionByName(mem)
     return d.select(key, F.lit(rules.LVL_ERROR).alias("lvl"), "beg", "end", "msg")
 
 
@@ -203,3 +229,43 @@ def go_file_env(a: DataFrame, key: str = "doc_id") -> DataFrame:
     first = items.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     return first.select(key, "name", "kind", "beg", rank.alias("pass_rank")).orderBy(
         key, "pass_rank", "beg")
+
+
+def go_fields(a: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Struct members: (owner type, field, field type) per document."""
+    owner = F.regexp_extract("scope_extra", r"^(\S+) struct$", 1)
+    return a.filter(is_field(a)).select(key, owner.alias("owner"), F.col("tok").alias("field"),
+                                        type_after().alias("ftype"))
+
+
+def go_members(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+    """J5 for Go: ``x.sel`` -- declared type of ``x``, one pointer stripped,
+    the named type's declaration, then ``sel`` among its struct fields (left
+    joins on the document key).  Status found / no_member / struct_required /
+    unknown (no declared type: ``:=``, packages, other files -- the open scope
+    of the reference, a miss there is silent)."""
+    items = go_items(a, key)
+    res = go_resolve(a, spark, key).select(key, F.col("i").alias("x_i"), "decl_i",
+                                           F.col("beg").alias("x_beg"), F.col("end").alias("x_end"))
+    decls = items.filter("is_decl").select(key, F.col("i").alias("decl_i"), "dtype")
+    types = items.filter("is_decl AND kind = 'TYPE'").groupBy(key, F.col("name").alias("_t")).agg(
+        F.min(F.struct("i", "dtype")).dtype.alias("base"))
+    fields = go_fields(a, key).select(key, F.col("owner").alias("_t"), F.col("field").alias("member"),
+                                      F.lit(True).alias("_found")).distinct()
+    sel = a.filter(F.col("sig") & _is_ident(F.col("tok")) & (F.col("p1") == ".")).select(
+        key, F.col("i").alias("sel_i"), F.col("tok").alias("member"), F.col("p2i").alias("x_i"))
+    j = (sel.join(res, [key, "x_i"]).join(decls, [key, "decl_i"], "left")
+         .withColumn("_t", T.type_strip_pointer(F.col("dtype")))
+         .join(types, [key, "_t"], "left").join(fields, [key, "_t", "member"], "left"))
+    builtin_types = [n for k, n, _ in rules.BUILTINS if k == "TYPE"]
+    head = (F.when(F.col("_t").isin(builtin_types) | F.col("_t").startswith("[]"), F.col("_t"))
+            .otherwise(F.col("base")))
+    status = (F.when(F.col("dtype").isNull(), F.lit("unknown"))
+              .when(F.col("_t").isin(builtin_types) | F.col("_t").startswith("[]"), F.lit("struct_required"))
+              .when(F.col("base").isNull(), F.lit("unknown"))
+              .when(F.col("base") != "struct", F.lit("struct_required"))
+              .when(F.col("_found"), F.lit("found"))
+              .otherwise(F.lit("no_member")))
+    msg = F.when(status == "struct_required", F.format_string(rules.MSG_STRUCT_REQUIRED, head))
+    return j.select(key, "sel_i", "member", F.col("_t").alias("owner"), status.alias("status"),
+                    msg.alias("msg"), "x_beg", "x_end")

@@ -26,7 +26,8 @@ OPEN, CLOSE = "open", "close"
 
 
 def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Column,
-                    tag: Column, keep: Column | None = None) -> DataFrame:
+                    tag: Column, keep: Column | None = None,
+                    extra: str | None = None) -> DataFrame:
     """Adds to every token:
 
     ``kind`` open/close/null, ``tag``, ``matched`` (tags: has a partner), ``level`` (scope level of a tag, current
@@ -37,7 +38,8 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
 
     ``keep``: tokens the caller needs afterwards.  The depth sum sees every
     token; all later windows see only the tags and the kept tokens, so the
-    sorts do not carry tokens nobody reads.
+    sorts do not carry tokens nobody reads.  ``extra``: a column of the open
+    tokens that every token receives from its innermost scope as ``scope_extra``.
     """
     wd = (Window.partitionBy(key).orderBy("i")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -79,8 +81,9 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     # is re-aggregated for every row (quadratic in the partition size).
     after = (Window.partitionBy(key, "_lvl").orderBy(F.desc("i"), F.desc("_role"))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    anchor = F.when(F.col("_role") == 1, F.struct(F.col("i").alias("i"), F.col("tag").alias("tag"),
-                                                  F.col("beg").alias("beg")))
+    anchor = F.when(F.col("_role") == 1, F.struct(
+        F.col("i").alias("i"), F.col("tag").alias("tag"), F.col("beg").alias("beg"),
+        (F.col(extra).cast("string") if extra else F.lit(None).cast("string")).alias("x")))
     closer = F.when(F.col("_role") == 2, F.col("beg"))
     ev = (ev.withColumn("_scope", F.last(anchor, ignorenulls=True).over(before))
           .withColumn("scope_end", F.last(closer, ignorenulls=True).over(after)))
@@ -90,6 +93,7 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
             .withColumn("scope_tag", F.when(~top, F.col("_scope.tag")))
             .withColumn("scope_beg", F.when(~top, F.col("_scope.beg")))
             .withColumn("scope_end", F.when(~top, F.col("scope_end")))
+            .withColumn("scope_extra", F.when(~top, F.col("_scope.x")))
             .drop("_scope", "_role", "_lvl"))
 
 

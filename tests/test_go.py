@@ -139,3 +139,40 @@ def test_grouped_declarations(spark):
     assert go_diagnostics(a, spark).count() == 0     # beta's type Gamma resolves
     r = {x.name: x.tier for x in go_resolve(a, spark).collect()}
     assert r["alpha"] == 2 and r["One"] == 2 and r["Two"] == 2 and r["Delta"] == 2
+
+
+MEMBERS = '''package m
+
+type Point struct {
+	X int
+	Y *Point
+}
+
+type Celsius float64
+
+func f(p Point, q *Point, c Celsius, n int) {
+	_ = p.X
+	_ = q.Y
+	_ = p.Z
+	_ = c.V
+	_ = n.W
+	v := p
+	_ = v.X
+}
+'''
+
+
+def test_member_resolution(spark):
+    from tessera.operators.gosrc import go_members
+    df = spark.createDataFrame([(3, MEMBERS)], "doc_id long, text string")
+    a = go_tokens(df)
+    got = {r.member: (r.owner, r.status, r.msg) for r in go_members(a, spark).collect()}
+    assert got["X"][1] in ("found", "unknown")          # p.X found, v.X unknown
+    assert got["Y"] == ("Point", "found", None)
+    assert got["Z"] == ("Point", "no_member", None)
+    assert got["V"] == ("Celsius", "struct_required", "struct type required instead of 'float64'")
+    assert got["W"] == ("int", "struct_required", "struct type required instead of 'int'")
+    statuses = sorted((r.member, r.status) for r in go_members(a, spark).collect())
+    assert ("X", "found") in statuses and ("X", "unknown") in statuses
+    d = {r.msg for r in go_diagnostics(a, spark).collect()}
+    assert d == {"struct type required instead of 'float64'", "struct type required instead of 'int'"}
