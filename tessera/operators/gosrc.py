@@ -75,14 +75,26 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     t = t.withColumn("raw_prev", F.lag("tok", 1).over(wa))
     pa = annotate_scopes(t, key, F.col("sig") & (F.col("tok") == "("),
                          F.col("sig") & (F.col("tok") == ")"), F.col("_kw"))
-    pa = pa.select(*t.columns, F.col("scope_tag").alias("group_kw")).drop("_kw")
+    pa = pa.select(*t.columns, F.col("scope_tag").alias("group_kw"),
+                   F.col("scope_i").alias("pgroup")).drop("_kw")
     a = annotate_scopes(pa, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"),
                         extra="_opener").drop("_opener")
     w = Window.partitionBy(key, "sig").orderBy("i")
     a = (a.withColumn("p1", F.lag("tok", 1).over(w)).withColumn("p2", F.lag("tok", 2).over(w))
          .withColumn("p2i", F.lag("i", 2).over(w))
          .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w))
-         .withColumn("n3", F.lead("tok", 3).over(w)))
+         .withColumn("n3", F.lead("tok", 3).over(w)).withColumn("n1i", F.lead("i", 1).over(w)))
+    # A paren group holds named parameters when some name is directly followed
+    # by a type; then every name before ',' in it is a parameter too.
+    typeish = (_is_ident(F.col("n1")) | F.col("n1").isin("*", "[", "...")
+               | F.col("n1").isin(TYPE_WORDS))
+    pair = F.col("sig") & _is_ident(F.col("tok")) & F.col("p1").isin("(", ",") & typeish
+    a = a.withColumn("named_group", F.when(F.col("pgroup").isNotNull(), F.max(pair.cast("int")).over(
+        Window.partitionBy(key, "pgroup")) > 0).otherwise(F.lit(False)))
+    # ``a, b int``: a name before ',' takes the type of the next typed name.
+    wrt = (Window.partitionBy(key, "pgroup").orderBy(F.desc("i"))
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a = a.withColumn("run_type", F.last(F.when(pair, type_after()), ignorenulls=True).over(wrt))
     # ``:=`` at the end of a name list: walk back over ``name ,`` pairs with a
     # running "still in the list" flag computed in reverse order.
     wr = (Window.partitionBy(key, "sig").orderBy(F.desc("i"))
@@ -114,7 +126,8 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     typeish = _is_ident(n1) | n1.isin("*", "[", "...") | n1.isin(TYPE_WORDS)
     line_start = F.col("raw_prev").contains("\n") | (p1 == "(") | (p1 == ";")
     in_group = ident & line_start & F.col("group_kw").isin("var", "const", "type")
-    in_params = (p1.isin("(", ",")) & typeish & ~define & ~in_group
+    in_params = (p1.isin("(", ",")) & (typeish | ((n1 == ",") & F.col("named_group"))) \
+        & ~define & ~in_group
     kind = (F.when(~ident | (tok == "_"), F.lit(None))
             .when(p1 == "package", F.lit("PACKAGE"))
             .when(p1 == "func", F.lit("FUNC"))
@@ -143,7 +156,8 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     type_pos = ident & ((p1 == "]") | (p1 == "chan") | ((p1 == "*") & p2.isin("(", ",", "]"))) | (
         ident & _is_ident(p1) & ~p1.isin(rules.GO_KEYWORDS) & (p2.isin("var", "const", "(", ","))) | (
         ident & F.coalesce(prev_is_group_name, F.lit(False)))
-    dtype = F.when(((kind == "VAR") & ~define) | (kind == "TYPE"), type_after())
+    dtype = F.when(((kind == "VAR") & ~define) | (kind == "TYPE"), F.coalesce(
+        type_after(), F.when((n1 == ",") & F.col("named_group"), F.col("run_type"))))
     return a.filter(is_decl | is_ref).select(
         key, "i", "tok", name.alias("name"), "beg", "end", "depth",
         is_decl.alias("is_decl"), is_ref.alias("is_ref"), local.alias("local"),
@@ -191,7 +205,8 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
         key, "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
     mem = go_members(a, spark, key).filter(F.col("msg").isNotNull()).select(
         key, F.col("x_beg").alias("beg"), F.col("x_end").alias("end"), "msg")
-    d = d1.unionByName(make).unionByName(unb).unionByName(mem)
+    d = d1.unionByName(make).unionByName(unb).unionByName(mem).unionByName(
+        go_pointer_checks(a, spark, key))
     return d.select(key, F.lit(rules.LVL_ERROR).alias("lvl"), "beg", "end", "msg")
 
 
@@ -269,3 +284,24 @@ def go_members(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     msg = F.when(status == "struct_required", F.format_string(rules.MSG_STRUCT_REQUIRED, head))
     return j.select(key, "sel_i", "member", F.col("_t").alias("owner"), status.alias("status"),
                     msg.alias("msg"), "x_beg", "x_end")
+
+
+UNARY_AFTER = ["(", "[", "{", ",", ";", "=", ":=", "return", "+", "-", "*", "/", "==", "!=",
+               "<", ">", "<=", ">=", "&&", "||", "!", ":", "<-"]
+
+
+def go_pointer_checks(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+    """``*x`` as an expression needs ``x`` of pointer type: a variable whose
+    declared type is known and not a pointer gets "pointer type required"
+    (unknown types stay silent, as Any does)."""
+    star = a.filter(F.col("sig") & (F.col("tok") == "*") & _is_ident(F.col("n1"))
+                    & (F.col("p1").isNull() | F.col("p1").isin(UNARY_AFTER))).select(
+        key, F.col("beg").alias("s_beg"), F.col("n1i").alias("x_i"))
+    items = go_items(a, key)
+    res = go_resolve(a, spark, key).select(key, F.col("i").alias("x_i"), "decl_i", "decl_kind",
+                                           F.col("end").alias("x_end"))
+    decls = items.filter("is_decl").select(key, F.col("i").alias("decl_i"), "dtype")
+    j = star.join(res, [key, "x_i"]).join(decls, [key, "decl_i"], "left")
+    bad = (F.col("decl_kind") == "VAR") & F.col("dtype").isNotNull() & ~F.col("dtype").startswith("*")
+    return j.filter(bad).select(key, F.col("s_beg").alias("beg"), F.col("x_end").alias("end"),
+                                F.lit(rules.MSG_POINTER_REQUIRED).alias("msg"))

@@ -176,3 +176,27 @@ def test_member_resolution(spark):
     assert ("X", "found") in statuses and ("X", "unknown") in statuses
     d = {r.msg for r in go_diagnostics(a, spark).collect()}
     assert d == {"struct type required instead of 'float64'", "struct type required instead of 'int'"}
+
+
+POINTERS = '''package k
+
+func g(a, b int, p *int) int {
+	x := *p
+	y := *a
+	return x + y + b
+}
+
+func h(int, string) {}
+'''
+
+
+def test_param_lists_and_pointer_check(spark):
+    df = spark.createDataFrame([(4, POINTERS)], "doc_id long, text string")
+    a = go_tokens(df)
+    d = {r.name: r.kind for r in go_items(a).filter("is_decl").collect()}
+    assert d["a"] == "VAR" and d["b"] == "VAR" and d["p"] == "VAR"
+    assert "int" not in d and "string" not in d          # unnamed parameters declare nothing
+    r = {x.name: x.tier for x in go_resolve(a, spark).collect()}
+    assert r["b"] == 0                                   # b from 'a, b int' resolves locally
+    msgs = [(x.msg, POINTERS.encode()[x.beg:x.end].decode()) for x in go_diagnostics(a, spark).collect()]
+    assert msgs == [("pointer type required", "*a")]
