@@ -58,9 +58,14 @@ def go_base_class(tok):
             .otherwise(F.lit(rules.CLS_OPERATOR)))
 
 
-def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens with brace scopes and neighbouring significant tokens."""
-    t = tokenize(files, key, text, rules.GO_TOKEN_RX)
+def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
+              package: str | None = None) -> DataFrame:
+    """Tokens with brace scopes and neighbouring significant tokens.
+    ``package``: column naming the package (directory) of each file; its
+    top-level names then become visible in the sibling files (package tier)."""
+    if package:
+        files = files.withColumn("pkg", F.col(package))
+    t = tokenize(files, key, text, rules.GO_TOKEN_RX, keep=["pkg"] if package else None)
     sig = ~(F.col("tok").rlike(r"^[ \t\r\n\f]+$") | F.col("tok").startswith("//")
             | F.col("tok").startswith("/*"))
     t = t.withColumn("sig", sig)
@@ -158,8 +163,9 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
         ident & F.coalesce(prev_is_group_name, F.lit(False)))
     dtype = F.when(((kind == "VAR") & ~define) | (kind == "TYPE"), F.coalesce(
         type_after(), F.when((n1 == ",") & F.col("named_group"), F.col("run_type"))))
+    extra = ["pkg"] if "pkg" in a.columns else []
     return a.filter(is_decl | is_ref).select(
-        key, "i", "tok", name.alias("name"), "beg", "end", "depth",
+        key, *extra, "i", "tok", name.alias("name"), "beg", "end", "depth",
         is_decl.alias("is_decl"), is_ref.alias("is_ref"), local.alias("local"),
         vis_end.alias("vis_end"), kind.alias("kind"), type_pos.alias("type_pos"),
         dtype.alias("dtype"))
@@ -186,8 +192,31 @@ def go_builtins(spark) -> DataFrame:
 
 
 def go_resolve(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+    """J2 for Go: local sweep, file tier, package tier (top-level names of the
+    sibling files, when the files carry a package), builtin tier.
+    ``decl_doc`` names the file of the declaration."""
     items = go_items(a, key)
-    return resolve_refs(items, key, go_builtins(spark), carry=["end", "type_pos"])
+    has_pkg = "pkg" in items.columns
+    r = resolve_refs(items, key, go_builtins(spark),
+                     carry=["end", "type_pos"] + (["pkg"] if has_pkg else []))
+    r = r.withColumn("decl_doc", F.when(F.col("tier").isin(0, 2), F.col(key)))
+    if not has_pkg:
+        return r
+    # One row per (package, name): the first top-level declaration.  An equi
+    # join on the package; only references the file could not resolve (or
+    # resolved to a builtin, which a package name shadows) take it.
+    top = items.filter("is_decl AND NOT local").groupBy("pkg", "name").agg(
+        F.min(F.struct(F.col(key).alias("doc"), F.col("i").alias("i"),
+                       F.col("kind").alias("kind"))).alias("_pd"))
+    r = r.join(top, ["pkg", "name"], "left")
+    r = r.withColumn("_use", (F.col("tier").isNull() | (F.col("tier") == 3))
+                     & F.col("_pd").isNotNull())
+    use = F.col("_use")
+    return (r.withColumn("tier", F.when(use, F.lit(2)).otherwise(F.col("tier")))
+            .withColumn("decl_i", F.when(use, F.col("_pd.i")).otherwise(F.col("decl_i")))
+            .withColumn("decl_kind", F.when(use, F.col("_pd.kind")).otherwise(F.col("decl_kind")))
+            .withColumn("decl_doc", F.when(use, F.col("_pd.doc")).otherwise(F.col("decl_doc")))
+            .drop("_pd", "_use"))
 
 
 def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
@@ -260,8 +289,10 @@ def go_members(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     unknown (no declared type: ``:=``, packages, other files -- the open scope
     of the reference, a miss there is silent)."""
     items = go_items(a, key)
-    res = go_resolve(a, spark, key).select(key, F.col("i").alias("x_i"), "decl_i",
-                                           F.col("beg").alias("x_beg"), F.col("end").alias("x_end"))
+    res = go_resolve(a, spark, key).select(
+        key, F.col("i").alias("x_i"),
+        F.when(F.col("decl_doc") == F.col(key), F.col("decl_i")).alias("decl_i"),
+        F.col("beg").alias("x_beg"), F.col("end").alias("x_end"))
     decls = items.filter("is_decl").select(key, F.col("i").alias("decl_i"), "dtype")
     types = items.filter("is_decl AND kind = 'TYPE'").groupBy(key, F.col("name").alias("_t")).agg(
         F.min(F.struct("i", "dtype")).dtype.alias("base"))
@@ -298,8 +329,10 @@ def go_pointer_checks(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
                     & (F.col("p1").isNull() | F.col("p1").isin(UNARY_AFTER))).select(
         key, F.col("beg").alias("s_beg"), F.col("n1i").alias("x_i"))
     items = go_items(a, key)
-    res = go_resolve(a, spark, key).select(key, F.col("i").alias("x_i"), "decl_i", "decl_kind",
-                                           F.col("end").alias("x_end"))
+    res = go_resolve(a, spark, key).select(
+        key, F.col("i").alias("x_i"),
+        F.when(F.col("decl_doc") == F.col(key), F.col("decl_i")).alias("decl_i"), "decl_kind",
+        F.col("end").alias("x_end"))
     decls = items.filter("is_decl").select(key, F.col("i").alias("decl_i"), "dtype")
     j = star.join(res, [key, "x_i"]).join(decls, [key, "decl_i"], "left")
     bad = (F.col("decl_kind") == "VAR") & F.col("dtype").isNotNull() & ~F.col("dtype").startswith("*")

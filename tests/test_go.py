@@ -200,3 +200,19 @@ def test_param_lists_and_pointer_check(spark):
     assert r["b"] == 0                                   # b from 'a, b int' resolves locally
     msgs = [(x.msg, POINTERS.encode()[x.beg:x.end].decode()) for x in go_diagnostics(a, spark).collect()]
     assert msgs == [("pointer type required", "*a")]
+
+
+def test_package_tier(spark):
+    a_go = "package q\n\ntype Shared struct{}\n\nfunc Helper() int { return 1 }\n"
+    b_go = "package q\n\nvar s Shared\n\nfunc use() int { return Helper() + len(\"x\") }\n"
+    c_go = "package other\n\nvar t Shared\n"
+    files = spark.createDataFrame([("q/a.go", "q", a_go), ("q/b.go", "q", b_go), ("o/c.go", "o", c_go)],
+                                  "doc_id string, dir string, text string")
+    a = go_tokens(files, package="dir")
+    r = {(x.doc_id, x.name): (x.tier, x.decl_doc) for x in go_resolve(a, spark).collect()}
+    assert r[("q/b.go", "Shared")] == (2, "q/a.go")
+    assert r[("q/b.go", "Helper")] == (2, "q/a.go")
+    assert r[("q/b.go", "len")] == (3, None)
+    assert r[("o/c.go", "Shared")] == (None, None)      # other package: not visible
+    d = {(x.doc_id, x.msg) for x in go_diagnostics(a, spark).collect()}
+    assert d == {("o/c.go", "type `Shared' undefined")}
