@@ -54,8 +54,8 @@ def parse_command(line: Column) -> Column:
     """struct(no, name, args); ``-n N`` is taken only with more than 2 args."""
     words = split_words(line)
     rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    take_n = (F.size(rest) > 2) & (F.element_at(rest, 1) == "-n")
-    no = F.when(take_n, atoi(F.element_at(rest, 2))).otherwise(F.lit(0).cast("bigint"))
+    take_n = (F.size(rest) > 2) & (F.try_element_at(rest, F.lit(1)) == "-n")
+    no = F.when(take_n, atoi(F.try_element_at(rest, F.lit(2)))).otherwise(F.lit(0).cast("bigint"))
     args = F.when(take_n, F.slice(rest, 3, F.size(rest) - 2)).otherwise(rest)
     return F.struct(no.alias("no"), F.element_at(words, 1).alias("name"),
                     args.alias("args"))

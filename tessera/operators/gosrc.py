@@ -222,6 +222,7 @@ def go_resolve(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
 def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     """X5 for Go: undefined types, values used as types, ``make()`` without a
     type argument, unbalanced braces.  ``(key, lvl, beg, end, msg)``."""
+    items = go_items(a, key)
     r = go_resolve(a, spark, key)
     undefined = F.col("type_pos") & F.col("tier").isNull()
     not_type = F.col("type_pos") & F.col("tier").isNotNull() & ~F.col("decl_kind").isin("TYPE", "PACKAGE")
@@ -232,10 +233,10 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
         key, "beg", "end", F.lit(rules.MSG_TYPE_ARG_REQUIRED).alias("msg"))
     unb = a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
         key, "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
-    mem = go_members(a, spark, key).filter(F.col("msg").isNotNull()).select(
+    mem = go_members(a, spark, key, items, r).filter(F.col("msg").isNotNull()).select(
         key, F.col("x_beg").alias("beg"), F.col("x_end").alias("end"), "msg")
     d = d1.unionByName(make).unionByName(unb).unionByName(mem).unionByName(
-        go_pointer_checks(a, spark, key))
+        go_pointer_checks(a, spark, key, items, r))
     return d.select(key, F.lit(rules.LVL_ERROR).alias("lvl"), "beg", "end", "msg")
 
 
@@ -282,14 +283,16 @@ def go_fields(a: DataFrame, key: str = "doc_id") -> DataFrame:
                                         type_after().alias("ftype"))
 
 
-def go_members(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+def go_members(a: DataFrame, spark, key: str = "doc_id", items: DataFrame | None = None,
+               resolved: DataFrame | None = None) -> DataFrame:
     """J5 for Go: ``x.sel`` -- declared type of ``x``, one pointer stripped,
     the named type's declaration, then ``sel`` among its struct fields (left
     joins on the document key).  Status found / no_member / struct_required /
     unknown (no declared type: ``:=``, packages, other files -- the open scope
     of the reference, a miss there is silent)."""
-    items = go_items(a, key)
-    res = go_resolve(a, spark, key).select(
+    items = items if items is not None else go_items(a, key)
+    resolved = resolved if resolved is not None else go_resolve(a, spark, key)
+    res = resolved.select(
         key, F.col("i").alias("x_i"),
         F.when(F.col("decl_doc") == F.col(key), F.col("decl_i")).alias("decl_i"),
         F.col("beg").alias("x_beg"), F.col("end").alias("x_end"))
@@ -321,15 +324,17 @@ UNARY_AFTER = ["(", "[", "{", ",", ";", "=", ":=", "return", "+", "-", "*", "/",
                "<", ">", "<=", ">=", "&&", "||", "!", ":", "<-"]
 
 
-def go_pointer_checks(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+def go_pointer_checks(a: DataFrame, spark, key: str = "doc_id", items: DataFrame | None = None,
+                      resolved: DataFrame | None = None) -> DataFrame:
     """``*x`` as an expression needs ``x`` of pointer type: a variable whose
     declared type is known and not a pointer gets "pointer type required"
     (unknown types stay silent, as Any does)."""
     star = a.filter(F.col("sig") & (F.col("tok") == "*") & _is_ident(F.col("n1"))
                     & (F.col("p1").isNull() | F.col("p1").isin(UNARY_AFTER))).select(
         key, F.col("beg").alias("s_beg"), F.col("n1i").alias("x_i"))
-    items = go_items(a, key)
-    res = go_resolve(a, spark, key).select(
+    items = items if items is not None else go_items(a, key)
+    resolved = resolved if resolved is not None else go_resolve(a, spark, key)
+    res = resolved.select(
         key, F.col("i").alias("x_i"),
         F.when(F.col("decl_doc") == F.col(key), F.col("decl_i")).alias("decl_i"), "decl_kind",
         F.col("end").alias("x_end"))
