@@ -183,3 +183,40 @@ def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
                        F.col("iend").cast("string"), _q(F.col("pref")))
     return [body, _lines(fr, (F.lit(0), head), (F.col("_n") + 1, F.lit("COMPLETE-END")),
                          (F.col("_n") + 2, F.lit("")))]
+
+
+SETTING_CMDS = ["go-root", "go-path"]
+
+
+def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
+                         state_path: str) -> None:
+    """``foreachBatch`` step: the settings in force before the batch (a small
+    last-write-wins table, one row per setting command) are replayed ahead of
+    it with negative sequence numbers, the batch is processed, its output lines
+    are appended, and the settings table is rewritten."""
+    spark = batch.sparkSession
+    ensure_checkpoint_dir(spark)
+    try:
+        prior = spark.read.parquet(state_path)
+    except Exception:  # noqa: BLE001 - first batch: no settings yet
+        prior = spark.createDataFrame([], "name string, seq long, line string")
+    replay = prior.select((F.col("seq") - F.lit(1 << 62)).alias("seq"), "line")
+    cmds = replay.unionByName(batch.select("seq", "line")).checkpoint()
+    lines = process_commands(cmds, corpus).filter(F.col("seq") >= 0)
+    lines.write.mode("append").parquet(out_path)
+    parsed = parse_commands(cmds.filter(keep_command_line(F.col("line"))))
+    last = (parsed.filter(F.col("name").isin(SETTING_CMDS))
+            .groupBy("name").agg(F.max(F.struct("seq", "line")).alias("_w"))
+            .select("name", F.col("_w.seq").alias("seq"), F.col("_w.line").alias("line")))
+    last.checkpoint().write.mode("overwrite").parquet(state_path)
+
+
+def command_stream(cmds: DataFrame, corpus: DataFrame, out_path: str, state_path: str,
+                   checkpoint: str, trigger: dict | None = None):
+    """Structured Streaming form of :func:`process_commands`; ``cmds`` is a
+    stream of ``(seq, line)``."""
+    w = (cmds.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, _id: command_stream_batch(b, corpus, out_path, state_path)))
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start()

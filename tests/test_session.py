@@ -56,3 +56,26 @@ def test_process_commands(spark, scratch):
     zz = os.path.join(scratch, "src", "zz")
     assert by[10] == [f'MESSAGE "Package [{zz}] not found\\n"', "MESSAGE-END", ""]
     assert 12 not in by                                             # after quit
+
+
+def test_command_stream_carries_settings(spark, scratch):
+    import json
+    from tessera.streaming.session import command_stream
+    src = os.path.join(scratch, "src", "p")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.go"), "w") as f:
+        f.write(A)
+    corpus = scan_corpus(spark, scratch)
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "1.json"), "w") as f:
+        f.write(json.dumps({"seq": 1, "line": f'go-path "{scratch}"'}) + "\n")
+    with open(os.path.join(inbox, "2.json"), "w") as f:
+        f.write(json.dumps({"seq": 2, "line": "analyze $GOPATH/src/p/a.go"}) + "\n")
+    stream = spark.readStream.schema("seq long, line string").option("maxFilesPerTrigger", 1).json(inbox)
+    out, state = os.path.join(scratch, "out"), os.path.join(scratch, "state")
+    command_stream(stream, corpus, out, state, os.path.join(scratch, "ck"),
+                   {"availableNow": True}).awaitTermination()
+    lines = [r.line for r in spark.read.parquet(out).orderBy("seq", "line_no").collect()]
+    apath = os.path.join(scratch, "src", "p", "a.go")
+    assert lines[:4] == ["ERRORS-CLEAR ", "ERRORS-CLEAR-END", "", f'ERRORS "{apath}" 0']
