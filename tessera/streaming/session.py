@@ -79,8 +79,8 @@ def process_commands(cmds: DataFrame, corpus: DataFrame) -> DataFrame:
     v = validate_commands(c, command_rules(spark))
     out = [_message(v.filter(F.col("status") != "ok"), F.col("msg"))]
     ok = _with_settings(v.filter(F.col("status") == "ok").drop("min_args", "status", "msg"))
-    env = F.create_map(F.lit("GOROOT"), F.coalesce("GOROOT", F.lit("")),
-                       F.lit("GOPATH"), F.coalesce("GOPATH", F.lit("")))
+    env = F.create_map(F.lit("GOROOT"), T.setting_default(F.col("GOROOT"), F.lit("")),
+                       F.lit("GOPATH"), T.setting_default(F.col("GOPATH"), F.lit("")))
     # The command table is small and read by every branch below: materialise
     # it once in the checkpoint folder so the branches share it (and the plan
     # stays a plan, not a copy of the lineage per branch).
