@@ -41,8 +41,12 @@ def symbol_index(occ: DataFrame, path: Column, fname: Column, pos: Column,
     o = occ.select(path.alias("path"), fname.alias("_f"), pos.alias("_p"),
                    *[F.col(c) for c in order], F.col(doc).alias("_doc"))
     first = F.min(F.struct(*[F.col(c) for c in order], F.col("_f"), F.col("_p")))
-    agg = o.groupBy("path").agg(first.alias("first"), F.count(F.lit(1)).alias("n"),
-                                F.countDistinct("_doc").alias("n_docs"))
+    # Two levels instead of a distinct count: per (document, path) first --
+    # free of shuffles when the occurrences are partitioned by document, as
+    # tokenize leaves them -- then per path over those pre-aggregated rows.
+    per_doc = o.groupBy("_doc", "path").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    agg = per_doc.groupBy("path").agg(F.min("first").alias("first"), F.sum("n").alias("n"),
+                                      F.count(F.lit(1)).alias("n_docs"))
     return agg.select("path", T.loc_repr(F.col("first._f"), F.col("first._p")).alias("def_loc"),
                       (F.col("n") - 1).alias("n_refs"), F.col("n_docs").cast("bigint"))
 
