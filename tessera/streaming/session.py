@@ -161,14 +161,20 @@ def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
     hit = hit.withColumn("_r", F.row_number().over(
         Window.partitionBy("seq").orderBy(F.desc("ibeg")))).filter("_r = 1").drop("_r")
     hit = hit.withColumn("pref", F.substring("ident", 1, F.col("pos") - F.col("ibeg")))
-    decls = go_items(a).filter("is_decl").select(
+    # Prefix matching as an equality: every candidate name is exploded into
+    # its prefixes (names are short), so only matching candidates pair up.
+    def prefixes(df: DataFrame) -> DataFrame:
+        return df.withColumn("pref", F.explode(F.transform(
+            F.sequence(F.lit(0), F.length("choice")), lambda k: F.substring("choice", 1, k))))
+    decls = prefixes(go_items(a).filter("is_decl").select(
         F.col("doc_id").alias("path"), F.col("name").alias("choice"), "kind",
-        F.col("beg").alias("dbeg"), "local", "vis_end")
+        F.col("beg").alias("dbeg"), "local", "vis_end"))
     vis = (F.col("dbeg") < F.col("pos")) & (F.col("vis_end").isNull() | (F.col("pos") < F.col("vis_end")))
-    loc = hit.join(decls, "path").filter((~F.col("local") | vis) & F.col("choice").startswith(F.col("pref")))
+    loc = hit.join(decls, ["path", "pref"]).filter(~F.col("local") | vis)
     loc = loc.withColumn("_tier", F.when(F.col("local"), 0).otherwise(2))
-    b = go_builtins(spark).select(F.col("name").alias("choice"), "kind")
-    bl = hit.join(F.broadcast(b), F.col("choice").startswith(F.col("pref"))).withColumn(
+    b = prefixes(go_builtins(spark).select(F.col("name").alias("choice"), "kind"))
+    # the builtin table is fixed (30 names, a few hundred prefixes): broadcast
+    bl = hit.join(F.broadcast(b), "pref").withColumn(
         "_tier", F.lit(3)).withColumn("dbeg", F.lit(None).cast("bigint"))
     cols = ["seq", "choice", "kind", "_tier", "dbeg", "ibeg"]
     ch = loc.select(*cols).unionByName(bl.select(*cols))
