@@ -160,7 +160,10 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     prev_is_group_name = F.col("_prev_gdecl")
     type_pos = ident & ((p1 == "]") | (p1 == "chan") | ((p1 == "*") & p2.isin("(", ",", "]"))) | (
         ident & _is_ident(p1) & ~p1.isin(rules.GO_KEYWORDS) & (p2.isin("var", "const", "(", ","))) | (
-        ident & F.coalesce(prev_is_group_name, F.lit(False)))
+        ident & F.coalesce(prev_is_group_name, F.lit(False))) | (
+        # Inside a type switch the case labels are types
+        ident & (F.col("scope_extra") == "type )") & p1.isin("case", ",") & n1.isin(",", ":")) | (
+        ident & (p1 == "(") & (p2 == "make"))
     dtype = F.when(((kind == "VAR") & ~define) | (kind == "TYPE"), F.coalesce(
         type_after(), F.when((n1 == ",") & F.col("named_group"), F.col("run_type"))))
     extra = ["pkg"] if "pkg" in a.columns else []
@@ -244,9 +247,17 @@ def go_fontify(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     """U2 for Go: base classes, declaration classes, and reference classes by
     the kind of the resolved declaration (unresolved values get no marker)."""
     items = go_items(a, key)
-    r = go_resolve(a, spark, key).select(key, "i", "decl_kind")
+    resolved = go_resolve(a, spark, key)
+    r = resolved.select(key, "i", "decl_kind")
     dk = items.filter("is_decl").select(key, "i", F.col("kind").alias("_dkind"))
-    j = a.join(dk, [key, "i"], "left").join(r, [key, "i"], "left")
+    # members: a field found, or looked up in an open/unknown scope, is a Var;
+    # a miss in a known struct gets no marker (as an unresolved value)
+    mem = go_members(a, spark, key, items, resolved).select(
+        key, F.col("sel_i").alias("i"), F.when(F.col("status") != "no_member", F.lit("VAR"))
+        .alias("_mkind"))
+    j = (a.join(dk, [key, "i"], "left").join(r, [key, "i"], "left")
+         .join(mem, [key, "i"], "left")
+         .withColumn("decl_kind", F.coalesce(F.col("decl_kind"), F.col("_mkind"))))
     def_cls = F.lit(None).cast("string")
     for k, c in KIND_DEF_CLASS.items():
         def_cls = F.when(F.col("_dkind") == k, F.lit(c)).otherwise(def_cls)

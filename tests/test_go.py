@@ -216,3 +216,31 @@ def test_package_tier(spark):
     assert r[("o/c.go", "Shared")] == (None, None)      # other package: not visible
     d = {(x.doc_id, x.msg) for x in go_diagnostics(a, spark).collect()}
     assert d == {("o/c.go", "type `Shared' undefined")}
+
+
+SWITCH = '''package w
+
+type Known struct{ V int }
+
+func f(x interface{}) {
+	switch y := x.(type) {
+	case Known, Nope:
+		_ = y
+	}
+	m := make(Missing)
+	k := Known{}
+	_ = k.V
+	_ = m
+}
+'''
+
+
+def test_type_switch_make_and_member_classes(spark):
+    df = spark.createDataFrame([(5, SWITCH)], "doc_id long, text string")
+    a = go_tokens(df)
+    d = {x.msg for x in go_diagnostics(a, spark).collect()}
+    assert d == {"type `Nope' undefined", "type `Missing' undefined"}
+    f = {(x.tok, x.beg): x.cls for x in go_fontify(a, spark).collect()}
+    v = SWITCH.encode().index(b"k.V") + 2
+    assert f[("V", v)] == "Var"                    # k's type unknown (:=): open scope, Var
+    assert f[("Known", SWITCH.encode().index(b"case Known") + 5)] == "Type"
