@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators.asof import asof_latest
-from ..operators.gosrc import go_builtins, go_diagnostics, go_items, go_tokens
+from ..operators.gosrc import go_builtins, go_diagnostics, go_fontify, go_items, go_tokens
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import lookup_source
 from ..sources.commands import keep_command_line, parse_commands
@@ -67,7 +67,8 @@ def _with_settings(c: DataFrame) -> DataFrame:
     return out
 
 
-def process_commands(cmds: DataFrame, corpus: DataFrame) -> DataFrame:
+def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = False) -> DataFrame:
+    """``codeblocks``: also emit a FONTIFY block after each ERRORS block."""
     spark = cmds.sparkSession
     c = parse_commands(cmds.filter(keep_command_line(F.col("line"))))
     # quit: nothing after the first one runs (a one-row table, broadcast).
@@ -144,10 +145,32 @@ def process_commands(cmds: DataFrame, corpus: DataFrame) -> DataFrame:
                                              F.col("no").cast("string"))),
                       (F.col("_n") + 4, F.lit("ERRORS-END")), (F.col("_n") + 5, F.lit(""))))
 
+    if codeblocks:
+        out += _fontify(spark, an, fr.select("seq", "_n"), a, files)
     out += _complete(spark, good.filter(F.col("name") == "complete"), a)
     return reduce(DataFrame.unionByName, out)
 
 
+def _fontify(spark, an: DataFrame, errs: DataFrame, a: DataFrame, files: DataFrame) -> list[DataFrame]:
+    """``FONTIFY "file" "file" no 0 size`` then ``  Class beg end`` rows,
+    placed after the ERRORS block of the same command."""
+    spans = go_fontify(a, spark).withColumnRenamed("doc_id", "path")
+    rows = an.join(spans, "path").withColumn("row", F.concat_ws(
+        " ", F.lit(" "), F.col("cls"), F.col("beg").cast("string"), F.col("end").cast("string")))
+    base = an.join(errs, "seq").withColumn("_b", F.col("_n") + 6)      # after ERRORS-END + blank
+    body = _numbered(rows, [F.col("beg"), F.col("end"), F.col("row")], 1)
+    body = body.join(base.select("seq", "_b"), "seq").select(
+        "seq", (F.col("line_no") + F.col("_b")).alias("line_no"), "line")
+    cnt = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("_m"))
+    size = files.select("path", F.octet_length("text").alias("_size"))
+    fr = base.join(cnt, "seq", "left").join(size, "path").withColumn(
+        "_m", F.coalesce("_m", F.lit(0)))
+    head = F.concat_ws(" ", F.lit("FONTIFY"), _q(F.col("path")), _q(F.col("path")),
+                       F.col("no").cast("string"), F.lit("0"), F.col("_size").cast("string"))
+    return [body, _lines(fr, (F.col("_b"), head), (F.col("_b") + F.col("_m") + 1, F.lit("FONTIFY-END")),
+                         (F.col("_b") + F.col("_m") + 2, F.lit("")))]
+
+
 def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
     """J10 for one cursor per command: the identifier containing the cursor
     (both ends inclusive), its prefix up to the cursor, and every visible

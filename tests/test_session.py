@@ -79,3 +79,20 @@ def test_command_stream_carries_settings(spark, scratch):
     lines = [r.line for r in spark.read.parquet(out).orderBy("seq", "line_no").collect()]
     apath = os.path.join(scratch, "src", "p", "a.go")
     assert lines[:4] == ["ERRORS-CLEAR ", "ERRORS-CLEAR-END", "", f'ERRORS "{apath}" 0']
+
+
+def test_codeblocks_fontify(spark, scratch):
+    src = os.path.join(scratch, "src", "p")
+    os.makedirs(src)
+    text = "package p\n\nvar v int\n"
+    with open(os.path.join(src, "a.go"), "w") as f:
+        f.write(text)
+    corpus = scan_corpus(spark, scratch)
+    path = os.path.join(src, "a.go")
+    cmds = spark.createDataFrame([(0, f"analyze -n 2 {path}")], "seq long, line string")
+    lines = [r.line for r in process_commands(cmds, corpus, codeblocks=True)
+             .orderBy("seq", "line_no").collect()]
+    assert lines[:6] == ["ERRORS-CLEAR ", "ERRORS-CLEAR-END", "", f'ERRORS "{path}" 2', "ERRORS-END", ""]
+    assert lines[6] == f'FONTIFY "{path}" "{path}" 2 0 {len(text)}'
+    assert lines[7:11] == ["  Keyword 0 7", "  TypeDef 8 9", "  Keyword 11 14", "  VarDef 15 16"]
+    assert lines[11] == "  Type 17 20" and lines[-2:] == ["FONTIFY-END", ""]
