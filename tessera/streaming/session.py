@@ -28,6 +28,7 @@ from ..operators.gosrc import go_builtins, go_diagnostics, go_fontify, go_items,
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import lookup_source
 from ..sources.commands import keep_command_line, parse_commands
+from .edits import fold_edits
 from .routes import command_rules, validate_commands
 
 LINES = "seq long, line_no long, line string"
@@ -120,20 +121,46 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
     out += [body, _lines(fr, (F.lit(0), hdr), (F.col("_n") + 1, F.lit("FILES-END")),
                          (F.col("_n") + 2, F.lit("")))]
 
-    # analyze / complete: look the file up (J1), analyse only requested files.
-    req = ok.filter(F.col("name").isin("analyze", "complete")).select(
-        "seq", "no", "name", F.col("file").alias("path"), "args")
+    # analyze / complete (expanded path) and changed / reload (raw path): look
+    # the file up (J1); a missing one is a MESSAGE.
+    req = ok.filter(F.col("name").isin("analyze", "complete", "changed", "reload")).select(
+        "seq", "no", "name", F.when(F.col("name").isin("analyze", "complete"), F.col("file"))
+        .otherwise(F.try_element_at("args", F.lit(1))).alias("path"), "args")
     found = lookup_source(req, files)
     out.append(_message(found.filter(F.col("status") != "ok"), F.col("msg")))
     good = found.filter(F.col("status") == "ok").select("seq", "no", "name", "path", "args")
-    wanted = files.join(good.select("path").distinct(), "path", "left_semi")
-    # Tokens of the requested files only, materialised once for the
+    # Text versions: ``reload`` starts a new epoch (unsaved edits dropped),
+    # every ``changed`` is one more splice inside it; a request sees the
+    # version (path, epoch, edits so far).  Running counts per path.
+    wp = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    good = good.withColumn("_epoch", F.sum((F.col("name") == "reload").cast("int")).over(wp))
+    wk = Window.partitionBy("path", "_epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    good = good.withColumn("_k", F.sum((F.col("name") == "changed").cast("int")).over(wk))
+    good = good.withColumn("vkey", F.concat_ws("#", "path", F.col("_epoch").cast("string"),
+                                               F.col("_k").cast("string"))).checkpoint()
+    edits = good.filter(F.col("name") == "changed").select(
+        "path", "_epoch", F.col("_k").alias("_rank"), "seq",
+        T.atoi(F.try_element_at("args", F.lit(3))).alias("beg"),
+        T.atoi(F.try_element_at("args", F.lit(4))).alias("end"),
+        F.try_element_at("args", F.lit(2)).alias("new_text"))
+    versions = good.filter(F.col("name").isin("analyze", "complete")).select(
+        "vkey", "path", "_epoch", "_k").distinct()
+    disk = files.select("path", F.encode("text", "UTF-8").alias("bin"))
+    base = versions.join(disk, "path").select("vkey", "bin")
+    # only the requested versions are folded: a version's edits are the first
+    # k of its epoch (T1 over a bounded, per-version edit list)
+    ve = versions.join(edits, ["path", "_epoch"]).filter(F.col("_rank") <= F.col("_k"))
+    folded = fold_edits(ve.select("vkey", "seq", "beg", "end", "new_text"), "vkey", base)
+    current = (base.join(folded.select("vkey", F.col("bin").alias("_new")), "vkey", "left")
+               .select("vkey", T.as_text(F.coalesce("_new", "bin")).alias("text")))
+    # Tokens of the requested versions only, materialised once for the
     # diagnostics and completion branches.
-    a = go_tokens(wanted.withColumnRenamed("path", "doc_id"), "doc_id", "text").checkpoint()
+    a = go_tokens(current.withColumnRenamed("vkey", "doc_id"), "doc_id", "text").checkpoint()
+    good = good.filter(F.col("name").isin("analyze", "complete"))
 
     an = good.filter(F.col("name") == "analyze")
-    d = go_diagnostics(a, spark).withColumnRenamed("doc_id", "path")
-    rows = an.join(d, "path").withColumn("row", F.concat_ws(
+    d = go_diagnostics(a, spark).withColumnRenamed("doc_id", "vkey")
+    rows = an.join(d, "vkey").withColumn("row", F.concat_ws(
         " ", F.lit(" "), F.col("lvl"), F.col("beg").cast("string"), F.col("end").cast("string"),
         _q(F.col("msg"))))
     out.append(_numbered(rows, [F.col("beg"), F.col("end"), F.col("row")], 4))
@@ -146,7 +173,7 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
                       (F.col("_n") + 4, F.lit("ERRORS-END")), (F.col("_n") + 5, F.lit(""))))
 
     if codeblocks:
-        out += _fontify(spark, an, fr.select("seq", "_n"), a, files)
+        out += _fontify(spark, an, fr.select("seq", "_n"), a, current)
     out += _complete(spark, good.filter(F.col("name") == "complete"), a)
     return reduce(DataFrame.unionByName, out)
 
@@ -154,16 +181,16 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
 def _fontify(spark, an: DataFrame, errs: DataFrame, a: DataFrame, files: DataFrame) -> list[DataFrame]:
     """``FONTIFY "file" "file" no 0 size`` then ``  Class beg end`` rows,
     placed after the ERRORS block of the same command."""
-    spans = go_fontify(a, spark).withColumnRenamed("doc_id", "path")
-    rows = an.join(spans, "path").withColumn("row", F.concat_ws(
+    spans = go_fontify(a, spark).withColumnRenamed("doc_id", "vkey")
+    rows = an.join(spans, "vkey").withColumn("row", F.concat_ws(
         " ", F.lit(" "), F.col("cls"), F.col("beg").cast("string"), F.col("end").cast("string")))
     base = an.join(errs, "seq").withColumn("_b", F.col("_n") + 6)      # after ERRORS-END + blank
     body = _numbered(rows, [F.col("beg"), F.col("end"), F.col("row")], 1)
     body = body.join(base.select("seq", "_b"), "seq").select(
         "seq", (F.col("line_no") + F.col("_b")).alias("line_no"), "line")
     cnt = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("_m"))
-    size = files.select("path", F.octet_length("text").alias("_size"))
-    fr = base.join(cnt, "seq", "left").join(size, "path").withColumn(
+    size = files.select("vkey", F.octet_length("text").alias("_size"))
+    fr = base.join(cnt, "seq", "left").join(size, "vkey").withColumn(
         "_m", F.coalesce("_m", F.lit(0)))
     head = F.concat_ws(" ", F.lit("FONTIFY"), _q(F.col("path")), _q(F.col("path")),
                        F.col("no").cast("string"), F.lit("0"), F.col("_size").cast("string"))
@@ -175,12 +202,12 @@ def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
     """J10 for one cursor per command: the identifier containing the cursor
     (both ends inclusive), its prefix up to the cursor, and every visible
     declaration (local, file, builtin) starting with it -- newest local first."""
-    cur = cm.select("seq", "path", T.atoi(F.try_element_at("args", F.lit(2))).alias("pos"))
+    cur = cm.select("seq", "vkey", T.atoi(F.try_element_at("args", F.lit(2))).alias("pos"))
     ids = a.filter(F.col("sig") & F.col("tok").rlike(r"^[\p{L}_][\p{L}\p{N}_]*$")
                    & ~F.col("tok").isin(rules.GO_KEYWORDS)).select(
-        F.col("doc_id").alias("path"), F.col("beg").alias("ibeg"), F.col("end").alias("iend"),
+        F.col("doc_id").alias("vkey"), F.col("beg").alias("ibeg"), F.col("end").alias("iend"),
         F.col("tok").alias("ident"))
-    hit = cur.join(ids, "path").filter((F.col("ibeg") <= F.col("pos")) & (F.col("pos") <= F.col("iend")))
+    hit = cur.join(ids, "vkey").filter((F.col("ibeg") <= F.col("pos")) & (F.col("pos") <= F.col("iend")))
     hit = hit.withColumn("_r", F.row_number().over(
         Window.partitionBy("seq").orderBy(F.desc("ibeg")))).filter("_r = 1").drop("_r")
     hit = hit.withColumn("pref", F.substring("ident", 1, F.col("pos") - F.col("ibeg")))
@@ -190,10 +217,10 @@ def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
         return df.withColumn("pref", F.explode(F.transform(
             F.sequence(F.lit(0), F.length("choice")), lambda k: F.substring("choice", 1, k))))
     decls = prefixes(go_items(a).filter("is_decl").select(
-        F.col("doc_id").alias("path"), F.col("name").alias("choice"), "kind",
+        F.col("doc_id").alias("vkey"), F.col("name").alias("choice"), "kind",
         F.col("beg").alias("dbeg"), "local", "vis_end"))
     vis = (F.col("dbeg") < F.col("pos")) & (F.col("vis_end").isNull() | (F.col("pos") < F.col("vis_end")))
-    loc = hit.join(decls, ["path", "pref"]).filter(~F.col("local") | vis)
+    loc = hit.join(decls, ["vkey", "pref"]).filter(~F.col("local") | vis)
     loc = loc.withColumn("_tier", F.when(F.col("local"), 0).otherwise(2))
     b = prefixes(go_builtins(spark).select(F.col("name").alias("choice"), "kind"))
     # the builtin table is fixed (30 names, a few hundred prefixes): broadcast

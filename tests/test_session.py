@@ -96,3 +96,28 @@ def test_codeblocks_fontify(spark, scratch):
     assert lines[6] == f'FONTIFY "{path}" "{path}" 2 0 {len(text)}'
     assert lines[7:11] == ["  Keyword 0 7", "  TypeDef 8 9", "  Keyword 11 14", "  VarDef 15 16"]
     assert lines[11] == "  Type 17 20" and lines[-2:] == ["FONTIFY-END", ""]
+
+
+def test_changed_and_reload_versions(spark, scratch):
+    src = os.path.join(scratch, "src", "p")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.go"), "w") as f:
+        f.write(A)
+    corpus = scan_corpus(spark, scratch)
+    path = os.path.join(src, "a.go")
+    u = A.encode().index(b"Unknown")
+    cmds = [f"analyze {path}",
+            f'changed {path} "Bogus" {u} {u + 7}',
+            f"analyze {path}",
+            f"reload {path}",
+            f"analyze {path}",
+            f'changed {path}x "a" 0 0']
+    df = spark.createDataFrame(list(enumerate(cmds)), "seq long, line string")
+    by = {}
+    for r in process_commands(df, corpus).orderBy("seq", "line_no").collect():
+        by.setdefault(r.seq, []).append(r.line)
+    assert by[0][4] == f'  ERROR {u} {u + 7} "type `Unknown\' undefined"'
+    assert by[2][4] == f'  ERROR {u} {u + 5} "type `Bogus\' undefined"'     # edited text
+    assert by[4][4] == f'  ERROR {u} {u + 7} "type `Unknown\' undefined"'   # reload drops edits
+    assert 1 not in by and 3 not in by
+    assert by[5][0] == f'MESSAGE "Src [a.gox] not found in {src}\\n"'
