@@ -246,10 +246,11 @@ SETTING_CMDS = ["go-root", "go-path"]
 
 def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
                          state_path: str) -> None:
-    """``foreachBatch`` step: the settings in force before the batch (a small
-    last-write-wins table, one row per setting command) are replayed ahead of
-    it with negative sequence numbers, the batch is processed, its output lines
-    are appended, and the settings table is rewritten."""
+    """``foreachBatch`` step: the state before the batch -- the settings in
+    force (one row per setting command) and the unsaved ``changed`` edits of
+    each file -- is replayed ahead of it with negative sequence numbers, the
+    batch is processed, its output lines are appended, and the state table is
+    rewritten."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
     try:
@@ -264,7 +265,15 @@ def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
     last = (parsed.filter(F.col("name").isin(SETTING_CMDS))
             .groupBy("name").agg(F.max(F.struct("seq", "line")).alias("_w"))
             .select("name", F.col("_w.seq").alias("seq"), F.col("_w.line").alias("line")))
-    last.checkpoint().write.mode("overwrite").parquet(state_path)
+    # unsaved edits: per file, the ``changed`` commands after its last reload
+    files = parsed.filter(F.col("name").isin("changed", "reload")).withColumn(
+        "_path", F.try_element_at("args", F.lit(1)))
+    reloads = files.filter(F.col("name") == "reload").groupBy("_path").agg(
+        F.max("seq").alias("_r"))
+    pending = (files.filter(F.col("name") == "changed").join(reloads, "_path", "left")
+               .filter(F.col("_r").isNull() | (F.col("seq") > F.col("_r")))
+               .select("name", "seq", "line"))
+    last.unionByName(pending).checkpoint().write.mode("overwrite").parquet(state_path)
 
 
 def command_stream(cmds: DataFrame, corpus: DataFrame, out_path: str, state_path: str,

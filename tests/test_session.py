@@ -70,6 +70,10 @@ def test_command_stream_carries_settings(spark, scratch):
     os.makedirs(inbox)
     with open(os.path.join(inbox, "1.json"), "w") as f:
         f.write(json.dumps({"seq": 1, "line": f'go-path "{scratch}"'}) + "\n")
+    apath = os.path.join(scratch, "src", "p", "a.go")
+    u = A.encode().index(b"Unknown")
+    with open(os.path.join(inbox, "1b.json"), "w") as f:
+        f.write(json.dumps({"seq": 1, "line": f'changed {apath} "Bogus" {u} {u + 7}'}) + "\n")
     with open(os.path.join(inbox, "2.json"), "w") as f:
         f.write(json.dumps({"seq": 2, "line": "analyze $GOPATH/src/p/a.go"}) + "\n")
     stream = spark.readStream.schema("seq long, line string").option("maxFilesPerTrigger", 1).json(inbox)
@@ -77,8 +81,9 @@ def test_command_stream_carries_settings(spark, scratch):
     command_stream(stream, corpus, out, state, os.path.join(scratch, "ck"),
                    {"availableNow": True}).awaitTermination()
     lines = [r.line for r in spark.read.parquet(out).orderBy("seq", "line_no").collect()]
-    apath = os.path.join(scratch, "src", "p", "a.go")
     assert lines[:4] == ["ERRORS-CLEAR ", "ERRORS-CLEAR-END", "", f'ERRORS "{apath}" 0']
+    # the edit of an earlier micro-batch is still applied
+    assert lines[4] == f'  ERROR {u} {u + 5} "type `Bogus\' undefined"'
 
 
 def test_codeblocks_fontify(spark, scratch):
