@@ -83,7 +83,7 @@ USAGE_NOREC = "norecursive"
 # Minimum argument counts of the editor commands.
 COMMAND_MIN_ARGS = [
     ("go-path", 1), ("go-root", 1), ("load-project", 0), ("reload", 1),
-    ("changed", 4), ("analyze", 1), ("complete", 2), ("find-files", 3),
+    ("changed", 4), ("analyze", 1), ("complete", 2), ("tooltip-info", 1), ("find-files", 3),
     ("file-in-project", 1), ("quit", 0),
 ]
 

@@ -8,8 +8,8 @@ Commands: ``go-root`` / ``go-path`` (settings, last write before a command
 wins), ``load-project`` (dirs found), ``analyze [-n N] file`` (ERRORS-CLEAR and
 an ERRORS block), ``complete file pos`` (COMPLETE block), ``find-files pfx
 system|x max`` (FILES block), ``file-in-project path`` (SET-/DROP-FILE-MODE),
-``quit`` (later commands are ignored); unknown commands and missing arguments
-give a MESSAGE.  ``$GOROOT``/``$GOPATH`` in file arguments expand from the
+``quit`` (later commands are ignored), ``tooltip-info`` (accepted, no
+output); unknown commands and missing arguments give a MESSAGE.  ``$GOROOT``/``$GOPATH`` in file arguments expand from the
 settings.  Everything is joins, windows and aggregates over the two tables; only
 the requested files are analysed (left-semi on the request paths).
 """

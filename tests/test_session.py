@@ -27,6 +27,7 @@ def test_process_commands(spark, scratch):
         f"complete $GOPATH/src/p/a.go {pos}",
         'find-files "" system 1',
         "file-in-project x.go",
+        "tooltip-info a.go 3",
         "bogus 1",
         "analyze",
         "analyze $GOPATH/src/zz/a.go",
@@ -51,11 +52,12 @@ def test_process_commands(spark, scratch):
     assert by[5][-2:] == ["COMPLETE-END", ""]
     assert by[6][0] == 'FILES "system"' and len(by[6]) == 4        # capped at max = 1
     assert by[7] == ['SET-FILE-MODE "x.go"', "SET-FILE-MODE-END", ""]
-    assert by[8] == ['MESSAGE "<UnknownCommand: bogus 1>"', "MESSAGE-END", ""]
-    assert by[9] == ['MESSAGE "min 1 args required in cmd \\"analyze \\""', "MESSAGE-END", ""]
+    assert 8 not in by                                              # tooltip-info: no output
+    assert by[9] == ['MESSAGE "<UnknownCommand: bogus 1>"', "MESSAGE-END", ""]
+    assert by[10] == ['MESSAGE "min 1 args required in cmd \\"analyze \\""', "MESSAGE-END", ""]
     zz = os.path.join(scratch, "src", "zz")
-    assert by[10] == [f'MESSAGE "Package [{zz}] not found\\n"', "MESSAGE-END", ""]
-    assert 12 not in by                                             # after quit
+    assert by[11] == [f'MESSAGE "Package [{zz}] not found\\n"', "MESSAGE-END", ""]
+    assert 13 not in by                                             # after quit
 
 
 def test_command_stream_carries_settings(spark, scratch):
