@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators.asof import asof_latest
+from ..operators.numbering import dense_number
 from ..operators.gosrc import go_builtins, go_diagnostics, go_fontify, go_items, go_tokens
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import lookup_source
@@ -111,8 +112,13 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
     pre = files.select("path", F.explode(F.transform(
         F.sequence(F.lit(0), F.length("name")), lambda k: F.substring("name", 1, k))).alias("pfx"))
     hits = ff.join(pre, "pfx").withColumn("row", F.concat(F.lit("  "), _q(F.col("path"))))
-    w = Window.partitionBy("seq").orderBy("path")
-    kept = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("max"))
+    # Rank inside a command without a window per command (``find-files ""``
+    # matches every file): one range-partitioned numbering of all hits, minus
+    # the first number of the command (a mergeable min).
+    numbered = dense_number(hits.select("seq", "path", "row", "max"), [F.col("seq"), F.col("path")], "_g")
+    firsts = numbered.groupBy("seq").agg(F.min("_g").alias("_g0"))
+    kept = (numbered.join(firsts, "seq").withColumn("_r", F.col("_g") - F.col("_g0") + 1)
+            .filter(F.col("_r") <= F.col("max")))
     body = kept.select("seq", (F.col("_r")).cast("bigint").alias("line_no"), F.col("row").alias("line"))
     cnt = kept.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"))
     fr = ff.join(cnt, "seq", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
