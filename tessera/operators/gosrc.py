@@ -144,16 +144,17 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
             .when(in_group & (F.col("group_kw") == "var"), F.lit("VAR"))
             .when(in_group & (F.col("group_kw") == "const"), F.lit("CONST"))
             .when(in_group & (F.col("group_kw") == "type"), F.lit("TYPE"))
-            .when(in_params & (F.col("depth") == 0), F.lit("VAR")))
-    is_param = in_params & (F.col("depth") == 0) & (kind == "VAR") & ~p1.isin("var", "const") \
-        & ~define
+            .when(in_params & ((F.col("depth") == 0) | (F.col("group_kw") == "func")), F.lit("VAR")))
+    # parameters: of top-level functions, and of function literals anywhere
+    is_param = in_params & ((F.col("depth") == 0) | (F.col("group_kw") == "func")) \
+        & (kind == "VAR") & ~p1.isin("var", "const") & ~define
     imp_path = F.when(tok.startswith('"'), T.path_base(T.unquote(tok)))
     is_import = tok.startswith('"') & (F.col("depth") == 0) & (
         (p1 == "import") | ((p1 == "(") & (p2 == "import")) | p1.startswith('"'))
     kind = F.when(is_import, F.lit("PACKAGE")).otherwise(kind)
     name = F.when(is_import, imp_path).otherwise(tok)
     is_decl = kind.isNotNull()
-    is_ref = ident & ~is_decl & ~(p1 == ".") & (tok != "_") & ~is_field(a)
+    is_ref = ident & ~is_decl & ~(p1 == ".") & (tok != "_") & ~is_field(a) & ~is_label()
     local = is_decl & ((F.col("depth") > 0) | is_param)
     vis_end = F.when(is_param, F.col("_body_end")).otherwise(F.col("scope_end"))
     # type position: after a declared value name, after '[]', after '*' in a type
@@ -183,6 +184,15 @@ def type_after():
             .when(_is_ident(n1) | (n1 == "struct"), n1))
 
 
+def is_label():
+    """Labels: ``L:`` starting a line, and the target of break/continue/goto.
+    They live outside the scopes (no resolution, no diagnostics)."""
+    line_start = F.col("raw_prev").contains("\n") | F.col("p1").isin("{", ";")
+    return (F.col("sig") & _is_ident(F.col("tok"))
+            & ((line_start & (F.col("n1") == ":") & ~F.col("p1").isin("case"))
+               | F.col("p1").isin("break", "continue", "goto")))
+
+
 def is_field(a: DataFrame):
     """A name starting a line inside ``struct { ... }`` braces."""
     line_start = F.col("raw_prev").contains("\n") | F.col("p1").isin("{", ";")
@@ -265,7 +275,8 @@ def go_fontify(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     for k, c in KIND_REF_CLASS.items():
         ref_cls = F.when(F.col("decl_kind") == k, F.lit(c)).otherwise(ref_cls)
     base = go_base_class(F.col("tok"))
-    cls = (F.when(F.col("_dkind").isNotNull(), def_cls)
+    cls = (F.when(is_label(), F.lit(rules.CLS_TYPE))
+           .when(F.col("_dkind").isNotNull(), def_cls)
            .when((base == rules.CLS_VAR), ref_cls)
            .otherwise(base))
     return j.select(key, "i", "tok", "beg", "end", cls.alias("cls")).filter(F.col("cls").isNotNull())

@@ -244,3 +244,35 @@ def test_type_switch_make_and_member_classes(spark):
     v = SWITCH.encode().index(b"k.V") + 2
     assert f[("V", v)] == "Var"                    # k's type unknown (:=): open scope, Var
     assert f[("Known", SWITCH.encode().index(b"case Known") + 5)] == "Type"
+
+
+LITERALS = '''package l
+
+func outer() {
+	add := func(x int, y *int) int {
+		return x + *y
+	}
+Loop:
+	for i := 0; i < 3; i++ {
+		if i > 1 {
+			break Loop
+		}
+	}
+	_ = add
+	_ = x
+}
+'''
+
+
+def test_function_literal_params_and_labels(spark):
+    df = spark.createDataFrame([(6, LITERALS)], "doc_id long, text string")
+    a = go_tokens(df)
+    d = {(x.name, x.kind) for x in go_items(a).filter("is_decl").collect()}
+    assert ("x", "VAR") in d and ("y", "VAR") in d
+    r = {x.beg: x.tier for x in go_resolve(a, spark).collect()}
+    b = LITERALS.encode()
+    assert r[b.index(b"x + *y")] == 0                     # literal parameter, local
+    assert r[b.index(b"_ = x") + 4] is None               # not visible after the literal's body
+    assert go_diagnostics(a, spark).count() == 0          # *y is a pointer; labels not checked
+    f = {(x.tok, x.beg): x.cls for x in go_fontify(a, spark).collect()}
+    assert f[("Loop", b.index(b"Loop:"))] == "Type" and f[("Loop", b.index(b"break Loop") + 6)] == "Type"
