@@ -128,3 +128,18 @@ def test_changed_and_reload_versions(spark, scratch):
     assert by[4][4] == f'  ERROR {u} {u + 7} "type `Unknown\' undefined"'   # reload drops edits
     assert 1 not in by and 3 not in by
     assert by[5][0] == f'MESSAGE "Src [a.gox] not found in {src}\\n"'
+
+
+def test_cli_runs_a_script(spark, scratch, capsys):
+    from tessera import cli
+    src = os.path.join(scratch, "src", "p")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.go"), "w") as f:
+        f.write(A)
+    script = os.path.join(scratch, "script.cmds")
+    with open(script, "w") as f:
+        f.write(f'go-path "{scratch}"\n# comment\n\nload-project\nfile-in-project "unclosed.go\n')
+    assert cli.main(["--roots", scratch, "--commands", script], spark=spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out == ['MESSAGE "1 dirs found"', "MESSAGE-END", "",
+                   'SET-FILE-MODE "unclosed.go"', "SET-FILE-MODE-END", ""]
