@@ -34,7 +34,8 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     depth otherwise), ``depth`` (depth of the scope that contains the token),
     ``partner_i/partner_tag/partner_beg/partner_end`` (opens: the matching close),
     ``scope_i/scope_tag/scope_beg`` (innermost enclosing open, null at top level),
-    ``scope_end`` (begin of the close of that scope; null if never closed).
+    ``scope_end`` (begin of the partner close of that scope; null if it has
+    none: the scope runs to the end of the file).
 
     ``keep``: tokens the caller needs afterwards.  The depth sum sees every
     token; all later windows see only the tags and the kept tokens, so the
@@ -76,23 +77,20 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     ev = ev.withColumn("_role", F.col("_ev.role")).withColumn("_lvl", F.col("_ev.lvl")).drop("_ev")
     before = (Window.partitionBy(key, "_lvl").orderBy("i", "_role")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # "First at or after" is computed as "last so far" in reverse order: a
-    # growing frame is incremental, while a frame running to the partition end
-    # is re-aggregated for every row (quadratic in the partition size).
-    after = (Window.partitionBy(key, "_lvl").orderBy(F.desc("i"), F.desc("_role"))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The open anchor carries its partner's begin, so the end of a token's
+    # innermost scope comes out of the same growing-frame window (no second,
+    # reverse-ordered sort).  A scope without a partner runs to the file end.
     anchor = F.when(F.col("_role") == 1, F.struct(
         F.col("i").alias("i"), F.col("tag").alias("tag"), F.col("beg").alias("beg"),
-        (F.col(extra).cast("string") if extra else F.lit(None).cast("string")).alias("x")))
-    closer = F.when(F.col("_role") == 2, F.col("beg"))
-    ev = (ev.withColumn("_scope", F.last(anchor, ignorenulls=True).over(before))
-          .withColumn("scope_end", F.last(closer, ignorenulls=True).over(after)))
+        (F.col(extra).cast("string") if extra else F.lit(None).cast("string")).alias("x"),
+        F.col("partner_beg").alias("pb")))
+    ev = ev.withColumn("_scope", F.last(anchor, ignorenulls=True).over(before))
     out = ev.filter(F.col("_role") == 0)
     top = F.col("_lvl") <= 0
     return (out.withColumn("scope_i", F.when(~top, F.col("_scope.i")))
             .withColumn("scope_tag", F.when(~top, F.col("_scope.tag")))
             .withColumn("scope_beg", F.when(~top, F.col("_scope.beg")))
-            .withColumn("scope_end", F.when(~top, F.col("scope_end")))
+            .withColumn("scope_end", F.when(~top, F.col("_scope.pb")))
             .withColumn("scope_extra", F.when(~top, F.col("_scope.x")))
             .drop("_scope", "_role", "_lvl"))
 

@@ -142,18 +142,17 @@ nxt AS (  -- first tag event after each open at the same level
   SELECT o.page_id, o.i, min(e.i) AS ni FROM opens o JOIN tagev e
     ON e.page_id = o.page_id AND e.level = o.level AND e.i > o.i GROUP BY ALL),
 partner AS (
-  SELECT n.page_id, n.i, c.i AS end_i, c."end" AS end_end FROM nxt n JOIN opens o USING (page_id, i)
+  SELECT n.page_id, n.i, c.i AS end_i, c.beg AS end_beg, c."end" AS end_end
+  FROM nxt n JOIN opens o USING (page_id, i)
   JOIN closes c ON c.page_id = n.page_id AND c.i = n.ni AND c.tag = o.tag),
 -- innermost enclosing open of any token: last open at level = token depth
 encl AS (
   SELECT t.page_id, t.i, max(o.i) AS scope_i FROM ann t JOIN opens o
     ON o.page_id = t.page_id AND o.level = t.depth AND o.i < t.i WHERE t.depth > 0 GROUP BY ALL),
-enclend AS (
-  SELECT t.page_id, t.i, min(c.beg) AS scope_end FROM ann t JOIN closes c
-    ON c.page_id = t.page_id AND c.level = t.depth AND c.i > t.i WHERE t.depth > 0 GROUP BY ALL),
-full_ann AS (
-  SELECT a.*, e.scope_i, ee.scope_end FROM ann a
-  LEFT JOIN encl e USING (page_id, i) LEFT JOIN enclend ee USING (page_id, i))"""
+full_ann AS (  -- a scope ends at its partner close (none: end of file)
+  SELECT a.*, e.scope_i, p.end_beg AS scope_end FROM ann a
+  LEFT JOIN encl e USING (page_id, i)
+  LEFT JOIN partner p ON p.page_id = a.page_id AND p.i = e.scope_i)"""
 
 ITEMS_CTE = f"""{ANN_CTE},
 items AS (
