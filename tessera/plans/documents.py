@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import index as IX
-from ..operators.numbering import dense_number
 from ..operators.spans import longest_token, process_spans
 from ..operators.tokens import classify, is_ident, tokenize
 from ..sources.catalog import file_table, lookup_source, packages
