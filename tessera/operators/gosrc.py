@@ -307,27 +307,41 @@ def go_fields(a: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def go_members(a: DataFrame, spark, key: str = "doc_id", items: DataFrame | None = None,
                resolved: DataFrame | None = None) -> DataFrame:
-    """J5 for Go: ``x.sel`` -- declared type of ``x``, one pointer stripped,
-    the named type's declaration, then ``sel`` among its struct fields (left
-    joins on the document key).  Status found / no_member / struct_required /
-    unknown (no declared type: ``:=``, packages, other files -- the open scope
-    of the reference, a miss there is silent)."""
+    """J5 for Go: ``x.sel`` -- declared type of ``x`` (in whichever file of the
+    package declares ``x``), one pointer stripped, the named type's declaration
+    (that file first, then the package), then ``sel`` among that struct's
+    fields.  All left equi-joins.  Status found / no_member / struct_required /
+    unknown (no declared type: ``:=``, package names, other packages -- the
+    open scope of the reference, a miss there is silent)."""
     items = items if items is not None else go_items(a, key)
     resolved = resolved if resolved is not None else go_resolve(a, spark, key)
-    res = resolved.select(
-        key, F.col("i").alias("x_i"),
-        F.when(F.col("decl_doc") == F.col(key), F.col("decl_i")).alias("decl_i"),
-        F.col("beg").alias("x_beg"), F.col("end").alias("x_end"))
-    decls = items.filter("is_decl").select(key, F.col("i").alias("decl_i"), "dtype")
-    types = items.filter("is_decl AND kind = 'TYPE'").groupBy(key, F.col("name").alias("_t")).agg(
-        F.min(F.struct("i", "dtype")).dtype.alias("base"))
-    fields = go_fields(a, key).select(key, F.col("owner").alias("_t"), F.col("field").alias("member"),
+    has_pkg = "pkg" in items.columns
+    res = resolved.select(key, F.col("i").alias("x_i"), "decl_i", "decl_doc",
+                          F.col("beg").alias("x_beg"), F.col("end").alias("x_end"))
+    decls = items.filter("is_decl").select(F.col(key).alias("decl_doc"), F.col("i").alias("decl_i"),
+                                           "dtype")
+    first_type = F.min(F.struct(F.col("i"), F.col("dtype"), F.col(key).alias("doc")))
+    tfile = items.filter("is_decl AND kind = 'TYPE'").groupBy(
+        F.col(key).alias("decl_doc"), F.col("name").alias("_t")).agg(first_type.alias("_tf"))
+    fields = go_fields(a, key).select(F.col(key).alias("_tdoc"), F.col("owner").alias("_t"),
+                                      F.col("field").alias("member"),
                                       F.lit(True).alias("_found")).distinct()
-    sel = a.filter(F.col("sig") & _is_ident(F.col("tok")) & (F.col("p1") == ".")).select(
-        key, F.col("i").alias("sel_i"), F.col("tok").alias("member"), F.col("p2i").alias("x_i"))
-    j = (sel.join(res, [key, "x_i"]).join(decls, [key, "decl_i"], "left")
+    sel_cols = [key, F.col("i").alias("sel_i"), F.col("tok").alias("member"), F.col("p2i").alias("x_i")]
+    if has_pkg:
+        sel_cols.append("pkg")
+    sel = a.filter(F.col("sig") & _is_ident(F.col("tok")) & (F.col("p1") == ".")).select(*sel_cols)
+    j = (sel.join(res, [key, "x_i"]).join(decls, ["decl_doc", "decl_i"], "left")
          .withColumn("_t", T.type_strip_pointer(F.col("dtype")))
-         .join(types, [key, "_t"], "left").join(fields, [key, "_t", "member"], "left"))
+         .join(tfile, ["decl_doc", "_t"], "left"))
+    if has_pkg:
+        tpkg = items.filter("is_decl AND kind = 'TYPE' AND NOT local").groupBy(
+            "pkg", F.col("name").alias("_t")).agg(first_type.alias("_tp"))
+        j = j.join(tpkg, ["pkg", "_t"], "left")
+        tdecl = F.coalesce(F.col("_tf"), F.col("_tp"))
+    else:
+        tdecl = F.col("_tf")
+    j = (j.withColumn("base", tdecl.dtype).withColumn("_tdoc", tdecl.doc)
+         .join(fields, ["_tdoc", "_t", "member"], "left"))
     builtin_types = [n for k, n, _ in rules.BUILTINS if k == "TYPE"]
     head = (F.when(F.col("_t").isin(builtin_types) | F.col("_t").startswith("[]"), F.col("_t"))
             .otherwise(F.col("base")))

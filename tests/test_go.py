@@ -276,3 +276,15 @@ def test_function_literal_params_and_labels(spark):
     assert go_diagnostics(a, spark).count() == 0          # *y is a pointer; labels not checked
     f = {(x.tok, x.beg): x.cls for x in go_fontify(a, spark).collect()}
     assert f[("Loop", b.index(b"Loop:"))] == "Type" and f[("Loop", b.index(b"break Loop") + 6)] == "Type"
+
+
+def test_members_across_package_files(spark):
+    from tessera.operators.gosrc import go_members
+    t_go = "package z\n\ntype Rec struct {\n\tName string\n}\n\nvar Global Rec\n"
+    u_go = "package z\n\nfunc g(r *Rec) {\n\t_ = r.Name\n\t_ = r.Age\n\t_ = Global.Name\n}\n"
+    files = spark.createDataFrame([("z/t.go", "z", t_go), ("z/u.go", "z", u_go)],
+                                  "doc_id string, dir string, text string")
+    a = go_tokens(files, package="dir")
+    got = sorted((x.doc_id, x.member, x.status) for x in go_members(a, spark).collect())
+    assert got == [("z/u.go", "Age", "no_member"), ("z/u.go", "Name", "found"),
+                   ("z/u.go", "Name", "found")]
