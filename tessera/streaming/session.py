@@ -29,6 +29,7 @@ from ..operators.gosrc import go_builtins, go_diagnostics, go_fontify, go_items,
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import lookup_source
 from ..sources.commands import keep_command_line, parse_commands
+from ..sources.sinks import tee_batch
 from .edits import fold_edits
 from .routes import command_rules, validate_commands
 
@@ -251,7 +252,8 @@ SETTING_CMDS = ["go-root", "go-path"]
 
 
 def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
-                         state_path: str) -> None:
+                         state_path: str, log_in: str | None = None,
+                         log_out: str | None = None) -> None:
     """``foreachBatch`` step: the state before the batch -- the settings in
     force (one row per setting command) and the unsaved ``changed`` edits of
     each file -- is replayed ahead of it with negative sequence numbers, the
@@ -265,8 +267,11 @@ def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
         prior = spark.createDataFrame([], "name string, seq long, line string")
     replay = prior.select((F.col("seq") - F.lit(1 << 62)).alias("seq"), "line")
     cmds = replay.unionByName(batch.select("seq", "line")).checkpoint()
-    lines = process_commands(cmds, corpus).filter(F.col("seq") >= 0)
+    lines = process_commands(cmds, corpus).filter(F.col("seq") >= 0).checkpoint()
     lines.write.mode("append").parquet(out_path)
+    if log_in and log_out:   # S6: raw input lines and rendered output as text logs
+        tee_batch(batch, log_in, log_out,
+                  lambda b: lines.orderBy("seq", "line_no").select(F.col("line").alias("value")))
     parsed = parse_commands(cmds.filter(keep_command_line(F.col("line"))))
     last = (parsed.filter(F.col("name").isin(SETTING_CMDS))
             .groupBy("name").agg(F.max(F.struct("seq", "line")).alias("_w"))
@@ -283,11 +288,14 @@ def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
 
 
 def command_stream(cmds: DataFrame, corpus: DataFrame, out_path: str, state_path: str,
-                   checkpoint: str, trigger: dict | None = None):
+                   checkpoint: str, trigger: dict | None = None, log_in: str | None = None,
+                   log_out: str | None = None):
     """Structured Streaming form of :func:`process_commands`; ``cmds`` is a
-    stream of ``(seq, line)``."""
+    stream of ``(seq, line)``.  ``log_in``/``log_out``: text logs of the
+    input lines and of the output (S6)."""
     w = (cmds.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, _id: command_stream_batch(b, corpus, out_path, state_path)))
+         .foreachBatch(lambda b, _id: command_stream_batch(b, corpus, out_path, state_path,
+                                                           log_in, log_out)))
     if trigger:
         w = w.trigger(**trigger)
     return w.start()

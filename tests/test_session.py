@@ -80,8 +80,11 @@ def test_command_stream_carries_settings(spark, scratch):
         f.write(json.dumps({"seq": 2, "line": "analyze $GOPATH/src/p/a.go"}) + "\n")
     stream = spark.readStream.schema("seq long, line string").option("maxFilesPerTrigger", 1).json(inbox)
     out, state = os.path.join(scratch, "out"), os.path.join(scratch, "state")
+    log_in, log_out = os.path.join(scratch, "log_in"), os.path.join(scratch, "log_out")
     command_stream(stream, corpus, out, state, os.path.join(scratch, "ck"),
-                   {"availableNow": True}).awaitTermination()
+                   {"availableNow": True}, log_in, log_out).awaitTermination()
+    assert spark.read.text(log_in).count() == 3                  # every input line, once
+    assert "ERRORS-CLEAR-END" in {r.value for r in spark.read.text(log_out).collect()}
     lines = [r.line for r in spark.read.parquet(out).orderBy("seq", "line_no").collect()]
     assert lines[:4] == ["ERRORS-CLEAR ", "ERRORS-CLEAR-END", "", f'ERRORS "{apath}" 0']
     # the edit of an earlier micro-batch is still applied
