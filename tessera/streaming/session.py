@@ -152,6 +152,8 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
         F.try_element_at("args", F.lit(2)).alias("new_text"))
     versions = good.filter(F.col("name").isin("analyze", "complete")).select(
         "vkey", "path", "_epoch", "_k").distinct()
+    if versions.isEmpty():      # a tiny job on the checkpointed command rows
+        return reduce(DataFrame.unionByName, out)
     disk = files.select("path", F.encode("text", "UTF-8").alias("bin"))
     base = versions.join(disk, "path").select("vkey", "bin")
     # only the requested versions are folded: a version's edits are the first
