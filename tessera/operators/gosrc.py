@@ -233,8 +233,9 @@ def go_resolve(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
 
 
 def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
-    """X5 for Go: undefined types, values used as types, ``make()`` without a
-    type argument, unbalanced braces.  ``(key, lvl, beg, end, msg)``."""
+    """X5 for Go: undefined types, values used as types, struct and pointer
+    requirements, ``make()`` without a type argument, non-names left of
+    ``:=``, bad import literals, unbalanced braces.  ``(key, lvl, beg, end, msg)``."""
     items = go_items(a, key)
     r = go_resolve(a, spark, key)
     undefined = F.col("type_pos") & F.col("tier").isNull()
@@ -246,10 +247,21 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
         key, "beg", "end", F.lit(rules.MSG_TYPE_ARG_REQUIRED).alias("msg"))
     unb = a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
         key, "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
+    # ':=' needs plain names on its left: a selector, index, call or deref
+    # right before it is reported on the token before ':='
+    bad_lhs = (F.col("sig") & (F.col("n1") == ":=")
+               & (~_is_ident(F.col("tok")) | F.col("p1").isin(".", "*", "&")))
+    lhs = a.filter(bad_lhs).select(key, "beg", "end", F.lit(rules.MSG_IDENT_REQUIRED).alias("msg"))
+    # import literals that do not unquote
+    imp = a.filter(F.col("sig") & F.col("tok").startswith('"') & (F.col("depth") == 0)
+                   & ((F.col("p1") == "import") | ((F.col("p1") == "(") & (F.col("p2") == "import"))
+                      | (F.col("p2") == "import") | F.col("p1").startswith('"'))
+                   & T.unquote(F.col("tok")).isNull()).select(
+        key, "beg", "end", F.lit(rules.MSG_INVALID_PATH).alias("msg"))
     mem = go_members(a, spark, key, items, r).filter(F.col("msg").isNotNull()).select(
         key, F.col("x_beg").alias("beg"), F.col("x_end").alias("end"), "msg")
     d = d1.unionByName(make).unionByName(unb).unionByName(mem).unionByName(
-        go_pointer_checks(a, spark, key, items, r))
+        go_pointer_checks(a, spark, key, items, r)).unionByName(lhs).unionByName(imp)
     return d.select(key, F.lit(rules.LVL_ERROR).alias("lvl"), "beg", "end", "msg")
 
 

@@ -288,3 +288,29 @@ def test_members_across_package_files(spark):
     got = sorted((x.doc_id, x.member, x.status) for x in go_members(a, spark).collect())
     assert got == [("z/u.go", "Age", "no_member"), ("z/u.go", "Name", "found"),
                    ("z/u.go", "Name", "found")]
+
+
+BAD = '''package b
+
+import "ok/path"
+import "bad
+path"
+
+type S struct{ f int }
+
+func h() {
+	var s S
+	s.f := 1
+	x := 2
+	_ = x
+}
+'''
+
+
+def test_ident_required_and_invalid_path(spark):
+    df = spark.createDataFrame([(7, BAD)], "doc_id long, text string")
+    a = go_tokens(df)
+    got = {(x.msg, BAD.encode()[x.beg:x.end].decode()) for x in go_diagnostics(a, spark).collect()}
+    assert ("ident node required", "f") in got
+    assert not any(m == "ident node required" and t == "x" for m, t in got)
+    assert ("invalid path syntax", '"') in got          # the unterminated literal's quote
