@@ -32,3 +32,19 @@ def test_counting_query_has_no_offset_window(spark):
     plan = _plan(spark, D.class_histogram(spark, SF001))
     assert "Window" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_bucketed_corpus_needs_no_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import rules
+    from tessera.operators.tokens import tokenize
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    (docs.write.mode("overwrite").bucketBy(4, "doc_id").sortBy("doc_id")
+     .saveAsTable("docs_bucketed"))
+    bucketed = spark.table("docs_bucketed")
+    t = tokenize(bucketed, "doc_id", "text", rules.TEXT_TOKEN_RX, prepartitioned=True)
+    plan = _plan(spark, t)
+    assert "Exchange" not in plan, plan
+    agg = lambda df: df.agg(F.count(F.lit(1)), F.sum("beg"), F.sum("end")).first()
+    assert agg(t) == agg(tokenize(docs, "doc_id", "text", rules.TEXT_TOKEN_RX))
