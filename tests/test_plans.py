@@ -48,3 +48,16 @@ def test_bucketed_corpus_needs_no_shuffle(spark):
     assert "Exchange" not in plan, plan
     agg = lambda df: df.agg(F.count(F.lit(1)), F.sum("beg"), F.sum("end")).first()
     assert agg(t) == agg(tokenize(docs, "doc_id", "text", rules.TEXT_TOKEN_RX))
+
+
+def test_bucketed_pages_resolution_chain_has_no_shuffle(spark):
+    from tessera.functions import rules
+    from tessera.operators.tokens import tokenize
+    pages = spark.read.parquet(f"{SF001}/pages.parquet").select("page_id", "html")
+    pages.write.mode("overwrite").bucketBy(4, "page_id").saveAsTable("pages_bucketed")
+    t = tokenize(spark.table("pages_bucketed"), "page_id", "html", rules.HTML_TOKEN_RX,
+                 prepartitioned=True)
+    r = resolve_refs(P.html_items(P.annotate_html(t)), "page_id")
+    plan = _plan(spark, r)
+    assert "Exchange" not in plan, plan          # tokens, scopes and the sweep share the buckets
+    assert r.count() == resolve_refs(P.page_items(spark, SF001), "page_id").count()
