@@ -54,9 +54,9 @@ def test_bucketed_pages_resolution_chain_has_no_shuffle(spark):
     from tessera.functions import rules
     from tessera.operators.tokens import tokenize
     pages = spark.read.parquet(f"{SF001}/pages.parquet").select("page_id", "html")
-    pages.write.mode("overwrite").bucketBy(4, "page_id").saveAsTable("pages_bucketed")
-    t = tokenize(spark.table("pages_bucketed"), "page_id", "html", rules.HTML_TOKEN_RX,
-                 prepartitioned=True)
+    from tessera.sources.tables import write_corpus_bucketed
+    stored = write_corpus_bucketed(pages, "pages_bucketed", "page_id", 4)
+    t = tokenize(stored, "page_id", "html", rules.HTML_TOKEN_RX, prepartitioned=True)
     r = resolve_refs(P.html_items(P.annotate_html(t)), "page_id")
     plan = _plan(spark, r)
     assert "Exchange" not in plan, plan          # tokens, scopes and the sweep share the buckets
