@@ -1,24 +1,29 @@
-"""Go source rules over the generic span jobs.
+"""Go source rules over the generic span jobs.
 
 The Go grammar is not rebuilt.  Tokens come from the Go token pattern; every
 rule looks at neighbouring significant tokens (``lag``/``lead`` over the
-document) and at the enclosing brace scope (``annotate_scopes``).  Rules:
-
-* declarations: ``package N``, ``import "p"`` / ``import a "p"`` (PACKAGE,
-  name = alias or last path element), ``func N`` (FUNC; methods with a
-  receiver are not plain names), ``type N`` (TYPE), ``var N`` (VAR),
-  ``const N`` (CONST), every name of ``a, b :=`` (VAR, visible from its own
-  begin, so ``x := x`` reads the new ``x``), parameter names directly
-  followed by a type (VAR, visible in the function body); ``_`` is never
-  declared.
-* references: the other identifiers, except selector members (after ``.``).
-* type positions: the token after a declared var/const/param name, after
-  ``[]``, after ``*`` that follows a name or ``]``, after ``map[..]``/``chan``.
-* grouped declarations: a name starting a line inside ``var (``, ``const (``
-  or ``type (`` (the keyword before the innermost open paren, found by the
-  same scope operator run over parentheses).
-* parameters in ``a, b int`` lists are not declared (a limitation of token
-  rules).
+document) and at the enclosing brace and paren scopes (``annotate_scopes``,
+run once over parentheses and once over braces).  Rules:
+
+* declarations: ``package N``; ``import "p"`` / ``import a "p"`` and import
+  groups (PACKAGE, name = alias or last path element); ``func N`` (FUNC;
+  methods with a receiver are not plain names); ``type N`` (TYPE); ``var N``
+  (VAR); ``const N`` (CONST); a name starting a line inside ``var (``,
+  ``const (`` or ``type (``; every name of ``a, b :=`` (VAR, visible from its
+  own begin, so ``x := x`` reads the new ``x``); parameter names of functions
+  and function literals, also in ``a, b int`` lists (VAR, visible in the
+  body).  ``_`` is never declared.
+* references: the other identifiers, except selector members (after ``.``),
+  struct fields and labels.
+* type positions: after a declared var/const/param name, after ``[]``,
+  after ``*`` in a parameter or element type, after ``chan``, the first
+  argument of ``make``, and the case labels of a type switch (W3).
+* resolution: local sweep, file tier, package tier (sibling files, when the
+  files carry a package), builtin tier; members through declared types and
+  struct fields, across the files of a package.
+* diagnostics: undefined type, type ident required, struct type required,
+  pointer type required, ``make()`` without a type, ident node required,
+  invalid path syntax, unbalanced braces.
 """
 
 from __future__ import annotations
