@@ -15,6 +15,8 @@ adds an exchange.
   interval join is needed.  Each token emits its query event and, if it is a
   tag, an anchor event through ``explode`` (which keeps the partitioning; a
   union would not).
+* end of that scope: the open anchor carries its partner's begin, so the same
+  window yields it (a scope without a partner runs to the end of the file).
 """
 
 from __future__ import annotations
