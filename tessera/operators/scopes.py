@@ -63,7 +63,10 @@ def annotate_scopes(tokens: DataFrame, key: str, is_open: Column, is_close: Colu
     partner_ok = (F.col("kind") == OPEN) & (nxt("kind") == CLOSE) & (nxt("tag") == F.col("tag"))
     prv = lambda c: F.lag(c).over(wp)
     closes_ok = (F.col("kind") == CLOSE) & (prv("kind") == OPEN) & (prv("tag") == F.col("tag"))
-    t = (t.withColumn("matched", F.when(F.col("kind").isNotNull(), partner_ok | closes_ok))
+    # lead/lag are null at the ends of a level: an unmatched edge tag must read
+    # false, not null (a null would vanish from ``~matched`` filters)
+    both = F.coalesce(partner_ok, F.lit(False)) | F.coalesce(closes_ok, F.lit(False))
+    t = (t.withColumn("matched", F.when(F.col("kind").isNotNull(), both))
          .withColumn("partner_i", F.when(partner_ok, nxt("i")))
          .withColumn("partner_tag", F.when(partner_ok, nxt("tag")))
          .withColumn("partner_beg", F.when(partner_ok, nxt("beg")))

@@ -88,15 +88,20 @@ def page_items(spark, sf_dir) -> DataFrame:
     return html_items(annotated(spark, sf_dir))
 
 
-def html_items(annotated_tokens: DataFrame) -> DataFrame:
-    """Declarations and references of every page (one row per word token)."""
-    a = annotated_tokens.filter(IS_DECL() | IS_REF())
-    name = F.when(IS_DECL(), F.lower("tok")).otherwise(F.col("tok"))
+def html_items(annotated_tokens: DataFrame, with_unbalanced: bool = False) -> DataFrame:
+    """Declarations and references of every page (one row per word token).
+    ``with_unbalanced``: container tags without a partner come along as
+    pass-through rows (``is_pass``) for the balance diagnostics."""
+    unb = F.col("kind").isNotNull() & ~F.col("matched")
+    keep = IS_DECL() | IS_REF() | unb if with_unbalanced else IS_DECL() | IS_REF()
+    a = annotated_tokens.filter(keep)
+    name = F.when(IS_DECL(), F.lower("tok")).when(IS_REF(), F.col("tok"))
+    extra = [unb.alias("is_pass")] if with_unbalanced else []
     return a.select("page_id", "i", "tok", name.alias("name"), "beg", "end", "depth",
                     "scope_i", IS_DECL().alias("is_decl"), IS_REF().alias("is_ref"),
                     (IS_DECL() & (F.col("depth") > 0)).alias("local"),
                     F.col("scope_end").alias("vis_end"),
-                    F.when(IS_DECL(), DECL_KIND()).alias("kind"))
+                    F.when(IS_DECL(), DECL_KIND()).alias("kind"), *extra)
 
 
 def page_builtins(spark, sf_dir) -> DataFrame:
@@ -373,12 +378,16 @@ def resolve_refs_q(spark, sf_dir):
     return r.select("page_id", "i", "name", "tier", "decl_i")
 
 
-def _type_diagnostics(spark, sf_dir) -> DataFrame:
-    it = page_items(spark, sf_dir)
+def _type_diagnostics(spark, sf_dir, with_unbalanced: bool = False) -> DataFrame:
+    """Type rules over the resolved references; with ``with_unbalanced`` the
+    unmatched container tags of the same single pass are reported too."""
+    it = html_items(annotated(spark, sf_dir), with_unbalanced)
     r = resolve_refs(it, "page_id", page_builtins(spark, sf_dir), carry=["end"])
-    undefined = (~F.col("declared")) & F.col("tier").isNull()
+    passed = F.col("passed") if with_unbalanced else F.lit(False)
+    undefined = ~passed & (~F.col("declared")) & F.col("tier").isNull()
     not_type = F.col("tier").isin(0, 2) & (F.col("decl_kind") == "CONST")
-    msg = (F.when(undefined, F.format_string(rules.MSG_TYPE_UNDEFINED, F.col("name")))
+    msg = (F.when(passed, F.lit(rules.MSG_UNBALANCED))
+           .when(undefined, F.format_string(rules.MSG_TYPE_UNDEFINED, F.col("name")))
            .when(not_type, F.lit(rules.MSG_TYPE_IDENT_REQUIRED)))
     return r.withColumn("msg", msg).filter(F.col("msg").isNotNull()).select(
         "page_id", "i", "name", "beg", "end", "msg")
@@ -493,11 +502,11 @@ FROM alld GROUP BY page_id
 def diagnostics_by_doc(spark, sf_dir):
     """A3 + X5: per page, all diagnostics counted by rule (undefined type,
     constant used as type, container tag without partner)."""
-    td = _type_diagnostics(spark, sf_dir).select(
+    # one pass: resolution and tag balance come out of the same sweep
+    d = _type_diagnostics(spark, sf_dir, with_unbalanced=True).select(
         "page_id", "beg", F.when(F.col("msg") == rules.MSG_TYPE_IDENT_REQUIRED, F.lit("n"))
+        .when(F.col("msg") == rules.MSG_UNBALANCED, F.lit("b"))
         .otherwise(F.lit("u")).alias("k"))
-    unb = unbalanced_tags(spark, sf_dir).select("page_id", "beg", F.lit("b").alias("k"))
-    d = td.unionByName(unb)
     cnt = lambda k: F.sum(F.when(F.col("k") == k, 1).otherwise(0)).cast("bigint")
     return d.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_diag"), cnt("u").alias("n_undefined"),
@@ -539,9 +548,8 @@ UNION ALL SELECT page_id, CAST(n + 2 AS BIGINT), '' FROM q
 def render_errors(spark, sf_dir):
     """S5a + X5 + F5: one ERRORS block per page with diagnostics, rows sorted
     by span, messages quoted to ASCII."""
-    td = _type_diagnostics(spark, sf_dir).select("page_id", "beg", "end", "msg")
-    unb = unbalanced_tags(spark, sf_dir)
-    d = td.unionByName(unb).withColumn("lvl", F.lit(rules.LVL_ERROR))
+    d = _type_diagnostics(spark, sf_dir, with_unbalanced=True).select(
+        "page_id", "beg", "end", "msg").withColumn("lvl", F.lit(rules.LVL_ERROR))
     paths = table(spark, sf_dir, "pages").select("page_id", url_path(F.col("url")).alias("path"))
     d = d.join(paths, "page_id")
     return errors_lines(d, "page_id", fname="path")
