@@ -80,7 +80,7 @@ def text_class(tok: Column) -> Column:
     return (F.when(c.isin(" ", "\t", "\r", "\n", "\f"), F.lit(None).cast("string"))
             .when(tok.isin(rules.GO_KEYWORDS), F.lit(rules.CLS_KEYWORD))
             .when((c >= "0") & (c <= "9"), F.lit(rules.CLS_NUMBER))
-            .when(c == '"', F.lit(rules.CLS_STRING))
+            .when((c == '"') & (F.length(tok) > 1), F.lit(rules.CLS_STRING))
             .when(c.isin(".", ",", ";", ":"), F.lit(rules.CLS_SEPARATOR))
             .when(c.isin(*list("-+*/%&|^<>=!~")), F.lit(rules.CLS_OPERATOR))
             .when(c.rlike(r"^[\p{L}_]"), F.lit(rules.CLS_VAR))

@@ -45,11 +45,11 @@ CLS_SQL = rf"""CASE WHEN regexp_full_match(tok, '[ \t\r\n\f]+') THEN NULL
      WHEN tok IN ({KW_SQL}) THEN 'Keyword'
      WHEN regexp_matches(tok, '^[\p{{L}}_]') THEN 'Var'
      WHEN regexp_matches(tok, '^[0-9]') THEN 'Number'
-     WHEN starts_with(tok, '"') THEN 'String'
+     WHEN starts_with(tok, '"') AND strlen(tok) > 1 THEN 'String'
      WHEN regexp_full_match(tok, '[.,;:]') THEN 'Separator'
      WHEN regexp_full_match(tok, '[-+*/%&|^<>=!~]') THEN 'Operator'
      ELSE 'Token' END"""
-LIT_SQL = r"""CASE WHEN starts_with(tok, '"') THEN 'string'
+LIT_SQL = r"""CASE WHEN starts_with(tok, '"') AND strlen(tok) > 1 THEN 'string'
      WHEN regexp_full_match(tok, '[0-9]+') THEN 'int'
      WHEN regexp_full_match(tok, '[0-9]+\.[0-9]+') THEN 'float64' END"""
 FNAME_SQL = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR)"

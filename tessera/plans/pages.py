@@ -199,17 +199,32 @@ PARTS_SQL = f"list_filter(string_split({URL_SQL}, '/'), lambda s: s <> '')"
 
 
 # ================================================================= paths
+FOLD_SQL = ("list_reduce({segs}, lambda acc, s: CASE WHEN s = '..' THEN (CASE WHEN len(acc) > 0 "
+            "AND acc[-1] <> '..' THEN acc[1:-2] ELSE list_append(acc, s) END) "
+            "ELSE list_append(acc, s) END, []::VARCHAR[])")
+
+
+def _clean_sql(p: str) -> str:
+    """Lexical path cleaning in SQL: drop empty and '.' segments, fold '..',
+    drop leading '..' of a rooted path, '.' for nothing."""
+    segs = f"list_filter(string_split({p}, '/'), lambda s: s <> '' AND s <> '.')"
+    folded = FOLD_SQL.format(segs=segs)
+    rooted = f"starts_with({p}, '/')"
+    body = (f"array_to_string(CASE WHEN {rooted} THEN list_filter({folded}, lambda s: s <> '..') "
+            f"ELSE {folded} END, '/')")
+    out = f"(CASE WHEN {rooted} THEN '/' ELSE '' END) || {body}"
+    return f"(CASE WHEN {out} = '' THEN '.' ELSE {out} END)"
+
+
 @query("path_parts", sql=f"""
 WITH p AS (SELECT page_id, {URL_SQL} AS path FROM pages),
 q AS (SELECT *, regexp_replace(path, '/+$', '') AS t,
-             list_filter(string_split(regexp_extract(path, '^(.*/)?[^/]*$', 1), '/'), lambda s: s <> '' AND s <> '.') AS dparts,
+             regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dpart,
              list_filter(string_split(path, '/'), lambda s: s <> '' AND s <> '.') AS cparts FROM p)
-SELECT page_id, path,
-       CASE WHEN len(dparts) = 0 THEN CASE WHEN starts_with(path, '/') THEN '/' ELSE '.' END
-            ELSE (CASE WHEN starts_with(path, '/') THEN '/' ELSE '' END) || array_to_string(dparts, '/') END AS dir,
+SELECT page_id, path, {_clean_sql("dpart")} AS dir,
        CASE WHEN path = '' THEN '.' WHEN t = '' THEN '/' ELSE regexp_extract(t, '([^/]*)$', 1) END AS base,
-       CASE WHEN len(cparts) = 0 THEN '.' ELSE array_to_string(cparts, '/') END AS clean,
-       CAST(len(cparts) AS INTEGER) AS n_parts
+       {_clean_sql("path")} AS clean,
+       CAST(len(list_filter(string_split(path, '/'), lambda s: s <> '')) AS INTEGER) AS n_parts
 FROM q
 """)
 def path_parts(spark, sf_dir):

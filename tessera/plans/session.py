@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import table
 from ..streaming.session import process_commands
+from .documents import _ESC_SQL
 from .pages import URL_SQL, url_path
 from .registry import query
 
 FIND_MAX = 3
+# F5 quoting of a SQL expression (the oracle's own form of quote_ascii)
+Q = ("'\"' || array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), "
+     "lambda c: " + "{esc}" + "), '') || '\"'")
 
 
 def page_corpus(pages):
@@ -36,6 +40,9 @@ def page_commands(pages):
         cmd(2, F.lit("load-project")))).alias("_c")).select("_c.seq", "_c.line")
 
 
+Q = Q.replace("{esc}", _ESC_SQL.replace("{", "{{").replace("}", "}}"))
+
+
 @query("command_session", sql=f"""
 WITH f AS (
   SELECT page_id, {URL_SQL} AS path FROM pages),
@@ -54,11 +61,11 @@ hits AS (
   FROM ff JOIN files fl ON starts_with(fl.name, ff.pfx)),
 kept AS (SELECT * FROM hits WHERE r <= {FIND_MAX}),
 cnt AS (SELECT ff.seq, count(k.path) AS n FROM ff LEFT JOIN kept k ON k.seq = ff.seq GROUP BY ff.seq)
-SELECT CAST(seq AS BIGINT) AS seq, CAST(0 AS BIGINT) AS line_no, m || ' "' || path || '"' AS line FROM mode
+SELECT CAST(seq AS BIGINT) AS seq, CAST(0 AS BIGINT) AS line_no, m || ' ' || {Q.format(x="path")} AS line FROM mode
 UNION ALL SELECT CAST(seq AS BIGINT), CAST(1 AS BIGINT), m || '-END' FROM mode
 UNION ALL SELECT CAST(seq AS BIGINT), CAST(2 AS BIGINT), '' FROM mode
 UNION ALL SELECT CAST(seq AS BIGINT), CAST(0 AS BIGINT), 'FILES "system"' FROM cnt
-UNION ALL SELECT CAST(seq AS BIGINT), CAST(r AS BIGINT), '  "' || path || '"' FROM kept
+UNION ALL SELECT CAST(seq AS BIGINT), CAST(r AS BIGINT), '  ' || {Q.format(x="path")} FROM kept
 UNION ALL SELECT CAST(seq AS BIGINT), CAST(n + 1 AS BIGINT), 'FILES-END' FROM cnt
 UNION ALL SELECT CAST(seq AS BIGINT), CAST(n + 2 AS BIGINT), '' FROM cnt
 UNION ALL SELECT CAST(page_id * 3 + 2 AS BIGINT), CAST(0 AS BIGINT), 'MESSAGE "' || CAST(nd.n AS VARCHAR) || ' dirs found"' FROM files, nd
