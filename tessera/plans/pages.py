@@ -76,14 +76,6 @@ def annotated(spark, sf_dir) -> DataFrame:
     return annotate_html(page_tokens(spark, sf_dir))
 
 
-def unbalanced_tags(spark, sf_dir) -> DataFrame:
-    """Container tags without a partner (only tags pass the depth sum)."""
-    a = annotate_scopes(page_tokens(spark, sf_dir), "page_id", IS_OPEN(), IS_CLOSE(), TAG(),
-                        keep=F.lit(False))
-    return a.filter(F.col("kind").isNotNull() & ~F.col("matched")).select(
-        "page_id", "beg", "end", F.lit(rules.MSG_UNBALANCED).alias("msg"))
-
-
 def page_items(spark, sf_dir) -> DataFrame:
     return html_items(annotated(spark, sf_dir))
 
