@@ -1,0 +1,11 @@
+"""Fixtures of the operator tests: small crafted tables (one session from the parent conftest)."""
+
+import pytest
+
+
+@pytest.fixture()
+def frame(spark):
+    """Rows with an extra column named like others' internals, spread over partitions."""
+    def make(rows, schema, parts=3):
+        return spark.createDataFrame(rows, schema).repartition(parts)
+    return make
