@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import table
 
-from . import simhash, warc
+from . import decontam, mixing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,56 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"))
 
 
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(spark, table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(spark, table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that leaks a benchmark item, and item."""
+    return decontam.find_leaks(spark, table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_mixing", sql=r"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('mix' || coalesce(':' || doc_id::VARCHAR, '')) AS h FROM documents),
+     s AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
+     w AS (SELECT *, ([3.0, 1.0, 2.0][(row_number() OVER (ORDER BY k = '', k) - 1) % 3 + 1])::DOUBLE AS w,
+                  2.0::DOUBLE * source_size AS cap FROM s),
+     l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (
+                  ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                  AS level FROM w),
+     t AS (SELECT k, source_size, CASE WHEN cap <= level * w THEN cap ELSE w * (
+                  SELECT x.level FROM l x WHERE x.cap > x.level * x.w ORDER BY x.cap / x.w, x.k LIMIT 1)
+                  END AS target FROM l),
+     p AS (SELECT *, (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::BIGINT
+                  AS whole FROM t)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size,
+           round(target)::BIGINT - whole * source_size - coalesce(sum(size) OVER (PARTITION BY k
+           ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT
+       AS taken
+FROM d JOIN p USING (k)
+""")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(spark, table(spark, sf_dir, "documents"), weights=(3, 1, 2),
+                             budget=1.5, max_epochs=2)
