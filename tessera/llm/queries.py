@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import table
 
-from . import decontam, mixing, quality, secrets, sharding, simhash, warc
+from . import brown, decontam, gbdt, langid, mixing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+@query("op4_classifier")
+def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gbdt.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_langid")
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page; the labelled documents teach the text model."""
+    return langid.identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(spark, table(spark, sf_dir, "documents"), shards=40)
@@ -70,6 +81,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     table(spark, sf_dir, "labels"))
 
 
+@query("op8_brown")
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that leaks a benchmark item, and item."""

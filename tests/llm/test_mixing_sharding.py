@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from llm_fixtures import frame  # noqa: F401
 from tessera.llm import mixing as M
 from tessera.llm import sharding as H
 
@@ -29,7 +30,7 @@ def rows():
     for i in range(300):
         src = ["a", "b", "B", "é", None][min(4, i % 9)]
         out.append((i, " ".join(["w"] * (i % 37)) + "\n", src, i))
-    return out + [(900, None, "a", 0), (901, "", None, 0), (5, "x y z", "a", 3), (5, "x y z", "a", 3),
+    return out + [(900, None, "a", 0), (901, "", None, 0), (9, "x y z", "a", 3), (9, "x y z", "a", 3),
                   (None, "n u l l", "b", 4), (902, "", "empty", 0)]
 
 

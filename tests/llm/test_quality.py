@@ -4,6 +4,7 @@ from math import comb
 
 import pytest
 
+from llm_fixtures import frame  # noqa: F401
 from tessera.llm import quality as Q
 
 
@@ -77,7 +78,7 @@ def test_verdicts(frame, spark):
 
 def test_false_rejection_is_within_risk(spark):
     """On the labelled fixture no stratum loses more than the risk of its good documents."""
-    from conftest import SF01
+    from llm_fixtures import SF01
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
     rows = Q.quality_verdicts(spark, docs, labels).join(labels, "doc_id").join(

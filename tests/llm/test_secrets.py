@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from llm_fixtures import frame  # noqa: F401
 from tessera.llm import secrets as S
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from llm_fixtures import frame  # noqa: F401
 from tessera.llm import simhash as S
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from llm_fixtures import frame  # noqa: F401
 from tessera.llm import warc as W
 
 TRAP = ("x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\n"
