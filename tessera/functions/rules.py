@@ -80,7 +80,7 @@ SOURCE_SUFFIX = ".go"
 USAGE_KINDS = ["def", "decl", "ref"]
 USAGE_NOREC = "norecursive"
 
-# Minimum argument counts of the editor commands.
+# FIXED VALUES: minimum argument counts of the editor commands.
 COMMAND_MIN_ARGS = [
     ("go-path", 1), ("go-root", 1), ("load-project", 0), ("reload", 1),
     ("changed", 4), ("analyze", 1), ("complete", 2), ("tooltip-info", 1), ("find-files", 3),
@@ -105,10 +105,11 @@ HTML_TOKEN_RX = (r'<!--(?:[^-]|-[^-])*-->|</?[A-Za-z][^<>]*>'
 # identifiers, whitespace, multi-character operators, single characters.
 GO_TOKEN_RX = (r'//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|`[^`]*`|"(?:\\.|[^"\\\n])*"'
                r"|'(?:\\.|[^'\\\n])*'"
-               r'|[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?i?|\.[0-9]+(?:[eE][+-]?[0-9]+)?i?'
+               r'|0[xX][0-9A-Fa-f_]*(?:\.[0-9A-Fa-f_]*)?(?:[pP][+-]?[0-9_]+)?i?|0[bBoO][0-9_]+i?'
+               r'|[0-9][0-9_]*(?:\.[0-9_]*)?(?:[eE][+-]?[0-9_]+)?i?|\.[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?i?'
                r'|[\p{L}_][\p{L}\p{N}_]*|[ \t\r\n\f]+'
                r'|<<=|>>=|&\^=|\.\.\.|:=|<-|\+\+|--|==|!=|<=|>=|&&|\|\||<<|>>|&\^'
-               r'|[-+*/%&|^]=|.')
+               r'|[-+*/%&|^]=|(?s:.)')
 
 # HTML container tags that open a scope (they balance in the corpus).
 CONTAINER_TAGS = ["head", "nav", "ul", "li", "a", "div", "article", "h1", "footer"]

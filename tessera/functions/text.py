@@ -81,7 +81,7 @@ def expand_vars(s: Column, mapping: Column) -> Column:
     """replace variables by their value in ``mapping`` (missing -> '')."""
     def one(p: Column) -> Column:
         braced = F.regexp_extract(p, r'^\$\{([^}]*)\}$', 1)
-        plain = F.substring(p, 2, 1 << 20)
+        plain = F.substring(p, F.lit(2), F.length(p))
         return (F.when(p == "$", p)
                 .when(p == "${", F.lit(""))
                 .when(p.startswith("${"),
@@ -144,25 +144,42 @@ def error_width(msg: Column) -> Column:
 # string literal -> value (null when it is not a valid literal)
 # --------------------------------------------------------------------------
 
-QUOTED_RX = r'^"(?:[^"\\\n]|\\["\\abfnrtv])*"$'
+#: A valid escape: a letter, two hex digits, three octal ones, or a code point.
+ESCAPE_RX = (r'\\(?:["\\abfnrtv]|x[0-9A-Fa-f]{2}|[0-3][0-7]{2}|u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}'
+             r'|U(?:0000(?![dD][89a-fA-F])|000[1-9A-Fa-f]|0010)[0-9A-Fa-f]{4})')
+QUOTED_RX = r'^"(?:[^"\\\n]|' + ESCAPE_RX + r')*"$'
 RAW_RX = r'^`[^`]*`$'
 
 
+def _code_point(cp: Column) -> Column:
+    """UTF-8 bytes of a code point as hex digits."""
+    def byte(lead: int, shift: int) -> Column:
+        bits = F.shiftright(cp, shift)
+        return F.hex(F.lit(lead) + (bits if lead >= 0xC0 else bits.bitwiseAND(F.lit(63))))
+    return (F.when(cp < 0x80, F.lpad(F.hex(cp), 2, "0"))
+            .when(cp < 0x800, F.concat(byte(0xC0, 6), byte(0x80, 0)))
+            .when(cp < 0x10000, F.concat(byte(0xE0, 12), byte(0x80, 6), byte(0x80, 0)))
+            .otherwise(F.concat(byte(0xF0, 18), byte(0x80, 12), byte(0x80, 6), byte(0x80, 0))))
+
+
 def unquote(lit: Column) -> Column:
-    body = F.substring(lit, 2, F.length(lit) - 2)
-    unesc = F.array_join(F.transform(
-        F.regexp_extract_all(body, F.lit(r'(?s)\\.|.'), 0),
-        lambda u: F.when(F.length(u) == 2,
-                         F.when(F.substring(u, 2, 1) == "a", F.lit("\u0007"))
-                         .when(F.substring(u, 2, 1) == "b", F.lit("\b"))
-                         .when(F.substring(u, 2, 1) == "f", F.lit("\f"))
-                         .when(F.substring(u, 2, 1) == "n", F.lit("\n"))
-                         .when(F.substring(u, 2, 1) == "r", F.lit("\r"))
-                         .when(F.substring(u, 2, 1) == "t", F.lit("\t"))
-                         .when(F.substring(u, 2, 1) == "v", F.lit("\u000b"))
-                         .otherwise(F.substring(u, 2, 1))).otherwise(u)), "")
-    return (F.when(lit.rlike(RAW_RX), body)
-            .when(lit.rlike(QUOTED_RX), unesc))
+    """F7.  \\x and octal escapes are bytes, \\u and \\U code points; bytes that are no
+    UTF-8 come out as replacement characters."""
+    body = F.substring(lit, F.lit(2), F.length(lit) - 2)
+
+    def one(u: Column) -> Column:
+        kind, digits = F.substring(u, 2, 1), F.substring(u, F.lit(3), F.length(u))
+        letters = {"a": "07", "b": "08", "f": "0C", "n": "0A", "r": "0D", "t": "09", "v": "0B"}
+        out = F.when(~u.startswith("\\"), F.hex(F.encode(u, "UTF-8")))
+        for c, h in letters.items():
+            out = out.when(kind == c, F.lit(h))
+        return (out.when(kind == "x", F.upper(digits))
+                .when(kind.isin("u", "U"), _code_point(F.conv(digits, 16, 10).cast("bigint")))
+                .when(kind.rlike("[0-7]"), F.lpad(F.conv(F.substring(u, F.lit(2), F.length(u)), 8, 16), 2, "0"))
+                .otherwise(F.hex(F.encode(kind, "UTF-8"))))
+    parts = F.regexp_extract_all(body, F.lit(r"(?s)" + ESCAPE_RX + r"|[^\\]+"), 0)
+    text = as_text(F.unhex(F.array_join(F.transform(parts, one), "")))
+    return F.when(lit.rlike(RAW_RX), body).when(lit.rlike(QUOTED_RX), text)
 
 
 # --------------------------------------------------------------------------
@@ -225,14 +242,22 @@ def path_from_str(s: Column, sep: str = ".") -> Column:
 # F10 / F13 / F14 / F15 / F16 / F17 / F18
 # --------------------------------------------------------------------------
 
+#: Digits may be split by single underscores; a base prefix may precede one.
+_DIGITS = r"[0-9](?:_?[0-9])*"
+INT_RX = rf"0[xX](?:_?[0-9A-Fa-f])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|{_DIGITS}"
+FLOAT_RX = (rf"{_DIGITS}\.(?:{_DIGITS})?(?:[eE][+-]?{_DIGITS})?|\.{_DIGITS}(?:[eE][+-]?{_DIGITS})?"
+            rf"|{_DIGITS}[eE][+-]?{_DIGITS}"
+            rf"|0[xX](?:(?:_?[0-9A-Fa-f])+\.?(?:[0-9A-Fa-f](?:_?[0-9A-Fa-f])*)?|\.[0-9A-Fa-f](?:_?[0-9A-Fa-f])*)"
+            rf"[pP][+-]?{_DIGITS}")
+
+
 def literal_class(tok: Column) -> Column:
     """Class of a literal token: STRING, CHAR, INT, FLOAT, IMAG, or null."""
-    return (F.when(tok.rlike(r'^(".*"|`[^`]*`)$'), F.lit("STRING"))
+    return (F.when(tok.rlike(r'(?s)^(".*"|`[^`]*`)$'), F.lit("STRING"))
             .when(tok.rlike(r"^'.*'$"), F.lit("CHAR"))
-            .when(tok.rlike(r'^[0-9.][0-9.eE+-]*i$'), F.lit("IMAG"))
-            .when(tok.rlike(r'^[0-9]+$'), F.lit("INT"))
-            .when(tok.rlike(r'^([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[0-9]+[eE][+-]?[0-9]+$'),
-                  F.lit("FLOAT")))
+            .when(tok.rlike(rf"^(?:{FLOAT_RX}|{INT_RX})i$"), F.lit("IMAG"))
+            .when(tok.rlike(rf"^(?:{FLOAT_RX})$"), F.lit("FLOAT"))
+            .when(tok.rlike(rf"^(?:{INT_RX})$"), F.lit("INT")))
 
 
 def literal_type(tok: Column) -> Column:
@@ -260,7 +285,7 @@ _BUILTIN_TYPES = [n for k, n, _ in rules.BUILTINS if k == "TYPE"]
 def type_repr(desc: Column) -> Column:
     """text of a type descriptor ('*T', '[]T', named, builtin)."""
     prefix = F.regexp_extract(desc, r'^((?:\*|\[\])*)', 1)
-    base = F.substring(desc, F.length(prefix) + 1, 1 << 20)
+    base = F.substring(desc, F.length(prefix) + 1, F.length(desc))
     named = (F.when(base.isin(_BUILTIN_TYPES) | (base == "struct"), base)
              .otherwise(F.concat(F.lit("type "), base)))
     return F.concat(prefix, named)
@@ -277,7 +302,7 @@ def type_head(desc: Column) -> Column:
 
 def type_strip_pointer(desc: Column) -> Column:
     """F16: remove one leading pointer."""
-    return F.when(desc.startswith("*"), F.substring(desc, 2, 1 << 20)).otherwise(desc)
+    return F.when(desc.startswith("*"), F.substring(desc, F.lit(2), F.length(desc))).otherwise(desc)
 
 
 def is_any(desc: Column) -> Column:
@@ -329,8 +354,8 @@ def clamp_span(beg: Column, end: Column, size: Column) -> Column:
 
 def splice(old_bin: Column, beg: Column, end: Column, new_bin: Column) -> Column:
     """``old[:beg] + new + old[end:]`` on bytes (BINARY in, BINARY out)."""
-    return F.concat(F.substring(old_bin, 1, beg), new_bin,
-                    F.substring(old_bin, end + 1, 1 << 30))
+    return F.concat(F.substring(old_bin, F.lit(1), beg), new_bin,
+                    F.substring(old_bin, end + 1, F.octet_length(old_bin)))
 
 
 def as_text(bin_col: Column) -> Column:

@@ -50,7 +50,8 @@ files AS (
   SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
          CASE WHEN regexp_matches(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS d
   FROM f),
-nd AS (SELECT count(DISTINCT CASE WHEN d = '' THEN '/' ELSE d END) AS n FROM files),
+dp AS (SELECT DISTINCT list_filter(string_split(d, '/'), lambda x: x <> '') AS parts FROM files),
+nd AS (SELECT count(DISTINCT array_to_string(parts[1:k], '/')) AS n FROM dp, range(1, len(parts) + 1) r(k)),
 mode AS (
   SELECT page_id * 3 AS seq,
          CASE WHEN ends_with(path, '.go') THEN 'SET-FILE-MODE' ELSE 'DROP-FILE-MODE' END AS m, path

@@ -69,31 +69,59 @@ def conversation_edits(conv: DataFrame) -> DataFrame:
                     end.cast("bigint").alias("end"), F.col("text").alias("new_text"))
 
 
-def edit_stream_batch(batch: DataFrame, state_path: str, key: str, buckets: int) -> None:
-    """Streaming T1/T2 step for ``foreachBatch``: the state is a parquet table
-    partitioned by ``bucket = pmod(hash(key), buckets)``; only the buckets the
-    batch touches are read, recomputed and overwritten (dynamic partition
-    overwrite).  The new buckets are checkpointed before the overwrite so the
-    write never reads the files it replaces."""
+def state_schema(spark, state_path: str, key: str, kind: str) -> DataFrame:
+    """Every version of every document in the state table (the path must exist)."""
+    return spark.read.schema(f"`{key}` {kind}, bin binary, n_buckets int, batch long, bucket int") \
+        .parquet(state_path)
+
+
+def current_state(versions: DataFrame, key: str) -> DataFrame:
+    """(key, bin) of the newest version of each document."""
+    newest = F.max(F.struct("batch", "bin")).alias("_v")
+    return versions.groupBy(key).agg(newest).select(key, F.col("_v.bin").alias("bin"))
+
+
+def edit_stream_batch(batch: DataFrame, batch_id: int, state_path: str, key: str,
+                      buckets: int) -> None:
+    """Streaming T1/T2 step for ``foreachBatch``: recompute the touched documents only.
+
+    The state is a log of versions, ``n_buckets=/batch=/bucket=pmod(hash(key), buckets)``.
+    A step reads versions of earlier batches in the buckets it touches and writes the new
+    texts of the touched documents to its own ``batch=`` folder.  A batch that is run again
+    reads the same versions and replaces its own folder, so it changes nothing else; a state
+    that cannot be read fails the step.  Only batch 0 starts without a state."""
     spark = batch.sparkSession
     b = F.pmod(F.hash(F.col(key)), F.lit(buckets))
-    touched = [r[0] for r in batch.select(b.alias("bucket")).distinct().collect()]
-    if not touched:
-        return
-    try:
-        state = spark.read.parquet(state_path).filter(F.col("bucket").isin(touched)).drop("bucket")
-    except Exception:  # noqa: BLE001 - first batch: no state yet
-        state = None
-    new = apply_edits(state, batch, key).withColumn("bucket", b).checkpoint(eager=True)
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(state_path))
-
-
-def edit_stream(edits: DataFrame, state_path: str, checkpoint: str, key: str = "doc_id",
-                buckets: int = 64, trigger: dict | None = None):
-    """Structured Streaming form of T1/T2."""
+    kind = batch.schema[key].dataType.simpleString()
+    state = None
+    if batch_id > 0:
+        versions = state_schema(spark, state_path, key, kind).filter(F.col("batch") < batch_id)
+        # partition columns only: no data file is opened
+        if not versions.filter(F.col("n_buckets") != buckets).select("n_buckets").isEmpty():
+            raise ValueError(f"the state at {state_path} has another number of buckets")
+        touched = [r[0] for r in batch.select(b.alias("bucket")).distinct().collect()]
+        state = current_state(versions.filter(F.col("bucket").isin(touched)).join(
+            batch.select(key).distinct(), key, "left_semi"), key)
+    fold_edits(batch, key, state).select(key, "bin", b.alias("bucket")).write.mode(
+        "overwrite").partitionBy("bucket").parquet(
+        f"{state_path.rstrip('/')}/n_buckets={buckets}/batch={batch_id}")
+
+
+def edit_stream(edits: DataFrame, state_path: str, checkpoint: str, key: str, buckets: int,
+                trigger: dict | None = None):
+    """Structured Streaming form of T1/T2.  ``buckets``: read granularity of the state, about
+    its expected size over 1 GB; it cannot change later.  The current texts are
+    ``current_state(spark.read.parquet(state_path), key)``."""
     w = (edits.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda batch, _id: edit_stream_batch(batch, state_path, key, buckets)))
+         .foreachBatch(lambda batch, i: edit_stream_batch(batch, i, state_path, key, buckets)))
     if trigger:
         w = w.trigger(**trigger)
     return w.start()
+
+
+def compact_state(spark, state_path: str, into_path: str, key: str, buckets: int) -> None:
+    """Write the newest version of every document as batch 0 of a new state table."""
+    versions = spark.read.parquet(state_path)
+    b = F.pmod(F.hash(F.col(key)), F.lit(buckets)).alias("bucket")
+    current_state(versions, key).select(key, "bin", b).write.partitionBy("bucket").parquet(
+        f"{into_path.rstrip('/')}/n_buckets={buckets}/batch=0")

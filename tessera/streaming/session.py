@@ -27,7 +27,7 @@ from ..operators.asof import asof_latest
 from ..operators.numbering import dense_number
 from ..operators.gosrc import go_builtins, go_diagnostics, go_fontify, go_items, go_tokens
 from ..session import ensure_checkpoint_dir
-from ..sources.catalog import lookup_source
+from ..sources.catalog import all_dirs, lookup_source
 from ..sources.commands import keep_command_line, parse_commands
 from ..sources.sinks import tee_batch
 from .edits import fold_edits
@@ -70,16 +70,20 @@ def _with_settings(c: DataFrame) -> DataFrame:
     return out
 
 
+def before_quit(c: DataFrame, with_quit: bool = False) -> DataFrame:
+    """Nothing after the first quit runs (its number is a one-row table, broadcast)."""
+    q = c.filter(F.col("name") == "quit").groupBy(F.lit(1).alias("_k")).agg(
+        F.min("seq").alias("_quit"))
+    runs = F.col("seq") <= F.col("_quit") if with_quit else F.col("seq") < F.col("_quit")
+    return (c.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k", "left")
+            .filter(F.col("_quit").isNull() | runs).drop("_k", "_quit"))
+
+
 def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = False) -> DataFrame:
     """``codeblocks``: also emit a FONTIFY block after each ERRORS block."""
     spark = cmds.sparkSession
     c = parse_commands(cmds.filter(keep_command_line(F.col("line"))))
-    # quit: nothing after the first one runs (a one-row table, broadcast).
-    q = c.filter(F.col("name") == "quit").groupBy(F.lit(1).alias("_k")).agg(
-        F.min("seq").alias("_quit"))
-    c = (c.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k", "left")
-         .filter(F.col("_quit").isNull() | (F.col("seq") < F.col("_quit")))
-         .drop("_k", "_quit"))
+    c = before_quit(c)
     v = validate_commands(c, command_rules(spark))
     out = [_message(v.filter(F.col("status") != "ok"), F.col("msg"))]
     ok = _with_settings(v.filter(F.col("status") == "ok").drop("min_args", "status", "msg"))
@@ -92,9 +96,8 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
     ok = ok.withColumn("file", T.expand_vars(F.try_element_at("args", F.lit(1)), env)).checkpoint()
     files = corpus.select("path", "dir", "name", "text")
 
-    # load-project: number of directories holding files.
-    n_dirs = files.select("dir").distinct().groupBy(F.lit(1).alias("_k")).agg(
-        F.count(F.lit(1)).alias("_n"))
+    # load-project: every directory of the tree, those without files of their own included.
+    n_dirs = all_dirs(corpus).groupBy(F.lit(1).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     lp = ok.filter(F.col("name") == "load-project").withColumn("_k", F.lit(1)).join(
         F.broadcast(n_dirs), "_k", "left")
     out.append(_message(lp, F.format_string(rules.MSG_DIRS_FOUND, F.coalesce("_n", F.lit(0)))))
@@ -110,17 +113,18 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
     ff = ok.filter(F.col("name") == "find-files").select(
         "seq", F.try_element_at("args", F.lit(1)).alias("pfx"), (F.try_element_at("args", F.lit(2)) == "system")
         .alias("system"), T.atoi(F.try_element_at("args", F.lit(3))).alias("max"))
-    pre = files.select("path", F.explode(F.transform(
-        F.sequence(F.lit(0), F.length("name")), lambda k: F.substring("name", 1, k))).alias("pfx"))
-    hits = ff.join(pre, "pfx").withColumn("row", F.concat(F.lit("  "), _q(F.col("path"))))
-    # Rank inside a command without a window per command (``find-files ""``
-    # matches every file): one range-partitioned numbering of all hits, minus
-    # the first number of the command (a mergeable min).
-    numbered = dense_number(hits.select("seq", "path", "row", "max"), [F.col("seq"), F.col("path")], "_g")
-    firsts = numbered.groupBy("seq").agg(F.min("_g").alias("_g0"))
-    kept = (numbered.join(firsts, "seq").withColumn("_r", F.col("_g") - F.col("_g0") + 1)
-            .filter(F.col("_r") <= F.col("max")))
-    body = kept.select("seq", (F.col("_r")).cast("bigint").alias("line_no"), F.col("row").alias("line"))
+    # Only prefixes that some command asks for, each answered once: its first ``max`` paths
+    # (a rank that is cut at the largest request), then one join back to the commands.
+    asked = ff.groupBy("pfx").agg(F.max("max").alias("_most"))
+    lens = asked.select(F.length("pfx").alias("_len")).distinct()
+    pre = files.select("path", "name").join(F.broadcast(lens), F.col("_len") <= F.length("name")) \
+        .select("path", F.expr("substring(name, 1, _len)").alias("pfx"))
+    wf = Window.partitionBy("pfx").orderBy("path")
+    hits = (pre.join(asked, "pfx").withColumn("_r", F.row_number().over(wf))
+            .filter(F.col("_r") <= F.col("_most")))
+    kept = ff.join(hits, "pfx").filter(F.col("_r") <= F.col("max"))
+    body = kept.select("seq", F.col("_r").cast("bigint").alias("line_no"),
+                       F.concat(F.lit("  "), _q(F.col("path"))).alias("line"))
     cnt = kept.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"))
     fr = ff.join(cnt, "seq", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     hdr = F.concat(F.lit("FILES "), F.when(F.col("system"), _q(F.lit("system")))
@@ -253,31 +257,32 @@ def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
 SETTING_CMDS = ["go-root", "go-path"]
 
 
-def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
+def command_stream_batch(batch: DataFrame, batch_id: int, corpus: DataFrame, out_path: str,
                          state_path: str, log_in: str | None = None,
                          log_out: str | None = None) -> None:
-    """``foreachBatch`` step: the state before the batch -- the settings in
-    force (one row per setting command) and the unsaved ``changed`` edits of
-    each file -- is replayed ahead of it with negative sequence numbers, the
-    batch is processed, its output lines are appended, and the state table is
-    rewritten."""
+    """``foreachBatch`` step.  The state before the batch -- the setting commands in force,
+    the unsaved ``changed`` edits of each file and the first ``quit``, as numbered lines --
+    is replayed ahead of it with negative sequence numbers.  Output, logs and the new state
+    go to folders of this batch id, so a batch that is run again replaces its own result.
+    Only batch 0 starts without a state; one that cannot be read fails the step."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
-    try:
-        prior = spark.read.parquet(state_path)
-    except Exception:  # noqa: BLE001 - first batch: no settings yet
-        prior = spark.createDataFrame([], "name string, seq long, line string")
-    replay = prior.select((F.col("seq") - F.lit(1 << 62)).alias("seq"), "line")
-    cmds = replay.unionByName(batch.select("seq", "line")).checkpoint()
+    mine = f"batch={batch_id}"
+    prior = spark.createDataFrame([], "no long, line string") if batch_id == 0 else (
+        spark.read.schema("no long, line string").parquet(f"{state_path}/batch={batch_id - 1}"))
+    n = prior.count()
+    cmds = prior.select((F.col("no") - F.lit(n)).alias("seq"), "line").unionByName(
+        batch.select("seq", "line")).checkpoint()
     lines = process_commands(cmds, corpus).filter(F.col("seq") >= 0).checkpoint()
-    lines.write.mode("append").parquet(out_path)
+    lines.write.mode("overwrite").parquet(f"{out_path}/{mine}")
     if log_in and log_out:   # S6: raw input lines and rendered output as text logs
-        tee_batch(batch, log_in, log_out,
+        tee_batch(batch, f"{log_in}/{mine}", f"{log_out}/{mine}",
                   lambda b: lines.orderBy("seq", "line_no").select(F.col("line").alias("value")))
-    parsed = parse_commands(cmds.filter(keep_command_line(F.col("line"))))
+    parsed = validate_commands(before_quit(parse_commands(cmds.filter(keep_command_line(
+        F.col("line")))), with_quit=True), command_rules(spark)).filter(F.col("status") == "ok")
     last = (parsed.filter(F.col("name").isin(SETTING_CMDS))
             .groupBy("name").agg(F.max(F.struct("seq", "line")).alias("_w"))
-            .select("name", F.col("_w.seq").alias("seq"), F.col("_w.line").alias("line")))
+            .select(F.col("_w.seq").alias("seq"), F.col("_w.line").alias("line")))
     # unsaved edits: per file, the ``changed`` commands after its last reload
     files = parsed.filter(F.col("name").isin("changed", "reload")).withColumn(
         "_path", F.try_element_at("args", F.lit(1)))
@@ -285,8 +290,11 @@ def command_stream_batch(batch: DataFrame, corpus: DataFrame, out_path: str,
         F.max("seq").alias("_r"))
     pending = (files.filter(F.col("name") == "changed").join(reloads, "_path", "left")
                .filter(F.col("_r").isNull() | (F.col("seq") > F.col("_r")))
-               .select("name", "seq", "line"))
-    last.unionByName(pending).checkpoint().write.mode("overwrite").parquet(state_path)
+               .select("seq", "line"))
+    ended = parsed.filter(F.col("name") == "quit").select("seq", "line")
+    kept = dense_number(last.unionByName(pending).unionByName(ended), [F.col("seq"), F.col("line")],
+                        "no", 0)
+    kept.select("no", "line").write.mode("overwrite").parquet(f"{state_path}/{mine}")
 
 
 def command_stream(cmds: DataFrame, corpus: DataFrame, out_path: str, state_path: str,
@@ -296,8 +304,8 @@ def command_stream(cmds: DataFrame, corpus: DataFrame, out_path: str, state_path
     stream of ``(seq, line)``.  ``log_in``/``log_out``: text logs of the
     input lines and of the output (S6)."""
     w = (cmds.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, _id: command_stream_batch(b, corpus, out_path, state_path,
-                                                           log_in, log_out)))
+         .foreachBatch(lambda b, i: command_stream_batch(b, i, corpus, out_path, state_path,
+                                                         log_in, log_out)))
     if trigger:
         w = w.trigger(**trigger)
     return w.start()

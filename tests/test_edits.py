@@ -6,7 +6,10 @@ import os
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.streaming.edits import apply_edits, dirty_recompute, edit_stream, fold_edits
+import pytest
+
+from tessera.streaming.edits import (apply_edits, compact_state, current_state, dirty_recompute,
+                                     edit_stream, edit_stream_batch, fold_edits)
 from tessera.streaming.settings import settings_state, settings_stream
 
 EDIT_SCHEMA = "doc_id long, seq long, beg long, end long, new_text string"
@@ -52,13 +55,37 @@ def test_edit_stream_equals_batch(spark, scratch):
     _write_json(src, [r for r in rows if r["seq"] >= 2 and r["doc_id"] % 2 == 0], "b.json")
     _write_json(src, [r for r in rows if r["seq"] >= 2 and r["doc_id"] % 2 == 1], "c.json")
     edit_stream(reader(), state, ck, "doc_id", buckets=4, trigger={"availableNow": True}).awaitTermination()
-    got = {r.doc_id: bytes(r.bin) for r in spark.read.parquet(state).collect()}
+    got = {r.doc_id: bytes(r.bin) for r in current_state(spark.read.parquet(state), "doc_id").collect()}
     batch = apply_edits(None, spark.createDataFrame(
         [tuple(r.values()) for r in rows], EDIT_SCHEMA), "doc_id")
     want = {r.doc_id: bytes(r.bin) for r in batch.collect()}
     assert got == want
 
 
+def test_replayed_edit_batch_changes_nothing(spark, scratch):
+    state = os.path.join(scratch, "state")
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), EDIT_SCHEMA)
+
+    def now(path=state):
+        return {r.doc_id: bytes(r.bin) for r in current_state(spark.read.parquet(path), "doc_id").collect()}
+    edit_stream_batch(batch((1, 0, 0, 0, "ab"), (2, 0, 0, 0, "x")), 0, state, "doc_id", 4)
+    second = batch((1, 1, 2, 2, "cd"))
+    edit_stream_batch(second, 1, state, "doc_id", 4)
+    edit_stream_batch(second, 1, state, "doc_id", 4)
+    assert now() == {1: b"abcd", 2: b"x"}
+    edit_stream_batch(batch((2, 2, 1, 1, "y"), (3, 2, 0, 0, "z")), 2, state, "doc_id", 4)
+    assert now() == {1: b"abcd", 2: b"xy", 3: b"z"}
+    with pytest.raises(ValueError):
+        edit_stream_batch(second, 3, state, "doc_id", 8)
+    with pytest.raises(Exception):  # a state that is not there is no empty state
+        edit_stream_batch(second, 1, os.path.join(scratch, "nothing"), "doc_id", 4)
+    small = os.path.join(scratch, "small")
+    compact_state(spark, state, small, "doc_id", 2)
+    assert now(small) == now()
+
+
 def test_settings_stream_equals_batch(spark, scratch):
     rows = [dict(key=k % 3, seq=k, value=None if k % 4 == 0 else f"v{k}") for k in range(20)]
     src = os.path.join(scratch, "settings")

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from tessera.sources.catalog import scan_corpus
 from tessera.streaming.session import process_commands
 
@@ -41,7 +43,7 @@ def test_process_commands(spark, scratch):
         by.setdefault(r.seq, []).append(r.line)
     apath = os.path.join(scratch, "src", "p", "a.go")
     assert 0 not in by and 1 not in by                       # settings print nothing
-    assert by[2] == ['MESSAGE "1 dirs found"', "MESSAGE-END", ""]
+    assert by[2] == ['MESSAGE "3 dirs found"', "MESSAGE-END", ""]
     u = A.encode().index(b"Unknown")
     assert by[4] == ["ERRORS-CLEAR ", "ERRORS-CLEAR-END", "", f'ERRORS "{apath}" 9',
                      f'  ERROR {u} {u + 7} "type `Unknown\' undefined"', "ERRORS-END", ""]
@@ -91,6 +93,39 @@ def test_command_stream_carries_settings(spark, scratch):
     assert lines[4] == f'  ERROR {u} {u + 5} "type `Bogus\' undefined"'
 
 
+def test_six_micro_batches_after_one_setting(spark, scratch):
+    """Settings and edits survive any number of batches; a batch run again replaces its own
+    result; invalid settings and what follows a quit do not enter the state."""
+    from tessera.streaming.session import command_stream_batch
+    src = os.path.join(scratch, "src", "p")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.go"), "w") as f:
+        f.write(A)
+    corpus = scan_corpus(spark, scratch)
+    path = os.path.join(src, "a.go")
+    u = A.encode().index(b"Unknown")
+    out, state = os.path.join(scratch, "out"), os.path.join(scratch, "state")
+    batches = [[f'go-path "{scratch}"', f'changed {path} "Bogus" {u} {u + 7}'], ["load-project"], ["go-path"],
+               ["load-project"], ["load-project"], ["analyze $GOPATH/src/p/a.go"],
+               ["quit", f"reload {path}"], ["analyze $GOPATH/src/p/a.go"]]
+    seq = 0
+    for i, lines in enumerate(batches):
+        df = spark.createDataFrame([(seq + k, x) for k, x in enumerate(lines)], "seq long, line string")
+        seq += len(lines)
+        for _ in range(2 if i in (0, 3) else 1):
+            command_stream_batch(df, i, corpus, out, state)
+
+    def lines_of(i):
+        return [r.line for r in spark.read.parquet(f"{out}/batch={i}").orderBy("seq", "line_no").collect()]
+    assert lines_of(4) == ['MESSAGE "3 dirs found"', "MESSAGE-END", ""]
+    assert lines_of(2)[0].startswith('MESSAGE "min 1 args')
+    assert lines_of(5)[4] == f'  ERROR {u} {u + 5} "type `Bogus\' undefined"'
+    assert lines_of(7) == []
+    assert spark.read.parquet(f"{state}/batch=6").count() == 3  # path, edit, quit
+    with pytest.raises(Exception):
+        command_stream_batch(df, 1, corpus, out, os.path.join(scratch, "nothing"))
+
+
 def test_codeblocks_fontify(spark, scratch):
     src = os.path.join(scratch, "src", "p")
     os.makedirs(src)
@@ -144,5 +179,5 @@ def test_cli_runs_a_script(spark, scratch, capsys):
         f.write(f'go-path "{scratch}"\n# comment\n\nload-project\nfile-in-project "unclosed.go\n')
     assert cli.main(["--roots", scratch, "--commands", script], spark=spark) == 0
     out = capsys.readouterr().out.splitlines()
-    assert out == ['MESSAGE "1 dirs found"', "MESSAGE-END", "",
+    assert out == ['MESSAGE "3 dirs found"', "MESSAGE-END", "",
                    'SET-FILE-MODE "unclosed.go"', "SET-FILE-MODE-END", ""]
