@@ -23,30 +23,18 @@ def tokenize(df: DataFrame, key: str | list[str], text: str, rx: str,
     """X1 + W1: ``(key, *keep, i, tok, beg, end)``; tokens tile the text when the
     pattern can match every character; offsets are UTF-8 bytes, half open.
 
-    ``offsets=False`` skips the byte offsets (``beg``/``end`` are null): no
-    shuffle and no window, for consumers that only count or group tokens.  The
-    raw rows are then only rebalanced (hash by key) when the scan yields fewer
-    partitions than there are cores."""
+    ``offsets=False`` skips the byte offsets (``beg``/``end`` are null) and
+    their window, for consumers that only count or group tokens;
+    ``prepartitioned=True`` skips the shuffle by key."""
     keys = [key] if isinstance(key, str) else list(key)
     keep = keep or []
+    src = df if prepartitioned else df.repartition(*keys)
     if not offsets:
-        src = df
-        try:
-            par = df.sparkSession.sparkContext.defaultParallelism
-            few = df.rdd.getNumPartitions() < par
-        except Exception:  # noqa: BLE001 - no RDD access (e.g. a Connect session)
-            par, few = None, True
-        if few:
-            # by key, not round robin (which sorts whole rows first), and with
-            # the session's partition count: the same exchange as the offset
-            # path, so a plan that needs both reuses one shuffle.
-            src = df.repartition(*keys)
         t = src.select(*keys, *keep, F.posexplode(
             F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
         return t.select(*keys, *keep, F.col("_pos").cast("bigint").alias("i"), "tok",
                         F.lit(None).cast("bigint").alias("beg"),
                         F.lit(None).cast("bigint").alias("end"))
-    src = df if prepartitioned else df.repartition(*keys)
     exploded = src.select(*keys, *keep, F.posexplode(
         F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
     # ``i`` is final (BIGINT) before the first window, so every later window

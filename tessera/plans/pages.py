@@ -9,8 +9,9 @@ Bindings:
   kind CONST when the word is all capitals, TYPE otherwise; a word starting
   with a lower-case letter is a reference.  The builtin tier is the 30 most
   frequent reference words of the whole table (ties by word).
-* cursors (completion, visible declarations): every reference word longer
-  than 3 characters, placed after its third character.
+* cursors (completion, visible declarations): one in every reference word, after
+  its first ``i modulo 5`` characters (``i``: the word's token number), at most at
+  its end; the prefix to complete is what stands before the cursor.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import index as IX
-from ..operators.resolve import resolve_refs, visible_at
+from ..operators.resolve import keyed_by_prefix, resolve_refs, visible_at
 from ..operators.scopes import annotate_scopes, inside_count, scopes
 from ..sources.catalog import dir_tree, url_parts
 from ..sources.sinks import errors_lines
@@ -136,16 +137,21 @@ tagev AS (SELECT * FROM ann WHERE kind IS NOT NULL),
 opens AS (SELECT * FROM tagev WHERE kind = 'open'),
 closes AS (SELECT * FROM tagev WHERE kind = 'close'),
 nxt AS (  -- first tag event after each open at the same level
-  SELECT o.page_id, o.i, min(e.i) AS ni FROM opens o JOIN tagev e
-    ON e.page_id = o.page_id AND e.level = o.level AND e.i > o.i GROUP BY ALL),
+  SELECT page_id, i, ni FROM (SELECT page_id, i, kind, lead(i) OVER (
+      PARTITION BY page_id, level ORDER BY i) AS ni FROM tagev)
+  WHERE kind = 'open' AND ni IS NOT NULL),
 partner AS (
   SELECT n.page_id, n.i, c.i AS end_i, c.beg AS end_beg, c."end" AS end_end
   FROM nxt n JOIN opens o USING (page_id, i)
   JOIN closes c ON c.page_id = n.page_id AND c.i = n.ni AND c.tag = o.tag),
 -- innermost enclosing open of any token: last open at level = token depth
 encl AS (
-  SELECT t.page_id, t.i, max(o.i) AS scope_i FROM ann t JOIN opens o
-    ON o.page_id = t.page_id AND o.level = t.depth AND o.i < t.i WHERE t.depth > 0 GROUP BY ALL),
+  SELECT page_id, i, scope_i FROM (
+    SELECT page_id, i, lvl, asks, max(CASE WHEN NOT asks THEN i END) OVER (
+      PARTITION BY page_id, lvl ORDER BY i, asks DESC ROWS UNBOUNDED PRECEDING) AS scope_i
+    FROM (SELECT page_id, i, depth AS lvl, true AS asks FROM ann
+          UNION ALL SELECT page_id, i, level, false FROM opens))
+  WHERE asks AND lvl > 0 AND scope_i IS NOT NULL),
 full_ann AS (  -- a scope ends at its partner close (none: end of file)
   SELECT a.*, e.scope_i, p.end_beg AS scope_end FROM ann a
   LEFT JOIN encl e USING (page_id, i)
@@ -416,8 +422,13 @@ def undefined_types(spark, sf_dir):
 
 
 CURSOR_SQL = """
-cur AS (SELECT page_id, i, tok, beg + strlen(substr(tok, 1, 3)) AS pos, substr(tok, 1, 3) AS pref
-        FROM refs WHERE length(tok) > 3)"""
+cur AS (SELECT page_id, i, tok, beg + strlen(substr(tok, 1, i % 5)) AS pos, substr(tok, 1, i % 5) AS pref
+        FROM refs)"""
+
+
+def cursor_prefix():
+    """The part of a reference word before its cursor (may be empty)."""
+    return F.substring(F.col("tok"), F.lit(1), (F.col("i") % 5).cast("int"))
 
 
 @query("visible_decls", sql=f"""
@@ -436,10 +447,8 @@ def visible_decls(spark, sf_dir):
     """At each cursor, the number of visible local declarations, of file
     level ones, and the newest visible local one (a sweep per page)."""
     it = page_items(spark, sf_dir)
-    cur = F.col("is_ref") & (F.length("tok") > 3)
-    pos = F.col("beg") + F.octet_length(F.substring("tok", 1, 3))
-    items = (it.filter(F.col("is_decl") | cur)
-             .withColumn("is_cursor", F.col("is_ref")).withColumn("pos", pos))
+    items = (it.withColumn("is_cursor", F.col("is_ref"))
+             .withColumn("pos", F.col("beg") + F.octet_length(cursor_prefix())))
     v = visible_at(items, "page_id")
     return v.select("page_id", "i", F.col("pos").cast("bigint").alias("pos"),
                     F.col("n_visible").alias("n_local"), "n_file",
@@ -466,19 +475,19 @@ FROM cur c JOIN lm USING (page_id, i) JOIN fm USING (page_id, i) JOIN bm USING (
 """)
 def complete(spark, sf_dir):
     """Completion choices at each cursor -- visible declarations whose
-    name starts with the 3-character prefix, counted per tier.  The sweep is
-    keyed by (page, prefix), so matching stays an equality."""
+    name starts with the text before the cursor (any length), counted per tier.
+    The sweep is keyed by (page, prefix), so matching stays an equality: a
+    declaration joins the sweeps of those of its prefixes whose length some
+    cursor of the page has."""
     it = page_items(spark, sf_dir)
-    cur = F.col("is_ref") & (F.length("tok") > 3)
-    pref = F.substring("tok", 1, 3)
-    items = (it.filter((F.col("is_decl") & (F.length("name") >= 3)) | cur)
-             .withColumn("is_cursor", F.col("is_ref"))
-             .withColumn("pos", F.col("beg") + F.octet_length(pref))
-             .withColumn("pkey", F.when(F.col("is_ref"), pref)
-                         .otherwise(F.substring("name", 1, 3))))
+    items = keyed_by_prefix(
+        it.withColumn("is_cursor", F.col("is_ref"))
+        .withColumn("pref", F.when(F.col("is_ref"), cursor_prefix()))
+        .withColumn("pos", F.col("beg") + F.octet_length("pref")), "page_id")
     v = visible_at(items, "page_id", ["pkey"])
-    b = page_builtins(spark, sf_dir).filter(F.length("name") >= 3).groupBy(
-        F.substring("name", 1, 3).alias("pkey")).agg(F.count(F.lit(1)).alias("n_builtin"))
+    b = page_builtins(spark, sf_dir).select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k)))
+        .alias("pkey")).groupBy("pkey").agg(F.count(F.lit(1)).alias("n_builtin"))
     v = v.join(F.broadcast(b), "pkey", "left")
     nb = F.coalesce(F.col("n_builtin"), F.lit(0)).cast("bigint")
     return v.select("page_id", "i", F.col("tok").alias("word"), F.col("pkey").alias("pref"),
@@ -541,7 +550,8 @@ rows_ AS (
 num AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY beg, "end", line) AS BIGINT)
                AS line_no, line FROM rows_),
 cnt AS (SELECT page_id, count(*) AS n FROM rows_ GROUP BY page_id),
-hdr AS (SELECT c.page_id, c.n, {URL_SQL} AS path FROM cnt c JOIN pages p ON p.page_id = c.page_id),
+hdr AS (SELECT p.page_id, coalesce(c.n, 0) AS n, {URL_SQL} AS path
+        FROM pages p LEFT JOIN cnt c ON p.page_id = c.page_id),
 q AS (SELECT page_id, n, '"' || array_to_string(list_transform(regexp_extract_all(path, '(?s).'),
                                     lambda c: {_ESC_SQL}), '') || '"' AS qp FROM hdr)
 SELECT page_id, line_no, line FROM num
@@ -553,10 +563,9 @@ UNION ALL SELECT page_id, CAST(n + 2 AS BIGINT), '' FROM q
 
 @query("render_errors", sql=RENDER_ERRORS_SQL)
 def render_errors(spark, sf_dir):
-    """S5a + X5 + F5: one ERRORS block per page with diagnostics, rows sorted
-    by span, messages quoted to ASCII."""
+    """S5a + X5 + F5: one ERRORS block per page (header and end alone for a page
+    without diagnostics), rows sorted by span, messages quoted to ASCII."""
     d = _type_diagnostics(spark, sf_dir, with_unbalanced=True).select(
         "page_id", "beg", "end", "msg").withColumn("lvl", F.lit(rules.LVL_ERROR))
     paths = table(spark, sf_dir, "pages").select("page_id", url_path(F.col("url")).alias("path"))
-    d = d.join(paths, "page_id")
-    return errors_lines(d, "page_id", fname="path")
+    return errors_lines(d, "page_id", fname="path", groups=paths)

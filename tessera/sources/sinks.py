@@ -12,7 +12,7 @@ from ..operators.numbering import dense_number
 
 def block_lines(rows: DataFrame, group: str, item: str, block: str,
                 header: list[Column], render: Callable[[Column], Column],
-                order: list[str] | None = None) -> DataFrame:
+                order: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """``(group, line_no, line)`` for one block per group:
 
         BLOCK header...        (line 0)
@@ -20,6 +20,10 @@ def block_lines(rows: DataFrame, group: str, item: str, block: str,
         BLOCK-END              (line n+1)
                                (line n+2, empty)
 
+    ``groups`` (one row per group, with the columns of ``header``) names the groups; one
+    without rows gets its header and end.  Without it the groups are those of the rows,
+    and ``header`` may use the group column only.
+
     Line numbers come from one range-partitioned numbering of all rows minus
     the first number of each group, so a group holding most rows is still
     numbered by many tasks; nothing is collected per group.  ``item`` is the
@@ -32,6 +36,8 @@ def block_lines(rows: DataFrame, group: str, item: str, block: str,
     body = numbered.join(per, group).select(
         group, (F.col("_no") - F.col("_first") + 1).alias("line_no"),
         render(F.col(item)).alias("line"))
+    if groups is not None:
+        per = groups.join(per, group, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     ln = lambda no, text: F.struct(no.cast("bigint").alias("line_no"), text.alias("line"))
     frame = per.select(group, F.explode(F.array(
         ln(F.lit(0), F.concat_ws(" ", F.lit(block), *header)),
@@ -42,8 +48,11 @@ def block_lines(rows: DataFrame, group: str, item: str, block: str,
 
 
 def write_blocks(lines: DataFrame, group: str, path: str) -> None:
-    """Write blocks as text, one folder per group, lines in order."""
-    (lines.repartition(group).sortWithinPartitions(group, "line_no")
+    """Write blocks as text, one folder per group; its files in name order, and the lines in
+    each, are in block order.  Ranges of (group, line) are dealt out, so a block that holds
+    most lines is written by many tasks."""
+    (lines.repartitionByRange(F.col(group), F.col("line_no"))
+     .sortWithinPartitions(group, "line_no")
      .select(group, "line").write.mode("overwrite").partitionBy(group).text(path))
 
 
@@ -62,21 +71,16 @@ def _q(c: Column) -> Column:
 
 
 def errors_lines(diags: DataFrame, group: str, no: Column | None = None,
-                 fname: str | None = None) -> DataFrame:
+                 fname: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """``ERRORS "file" no`` then ``  LVL beg end "msg"`` per diagnostic,
-    one block per ``group`` (the file name column unless ``fname`` is given)."""
+    one block per ``group`` (the file name column unless ``fname``, a column of
+    ``groups``, is given)."""
     no = no if no is not None else F.lit(0)
-    fname = fname or group
     row = F.concat_ws(" ", F.lit(" "), F.col("lvl"), F.col("beg").cast("string"),
                       F.col("end").cast("string"), _q(F.col("msg")))
-    d = diags.withColumn("_row", row)
-    lines = block_lines(d, group, "_row", "ERRORS", [F.lit("")],
-                        lambda c: c, order=["beg", "end", "_row"])
-    hdr = F.concat_ws(" ", F.lit("ERRORS"), _q(F.col(fname)), no.cast("string"))
-    if fname != group:
-        lines = lines.join(d.select(group, fname).distinct(), group)
-    return (lines.withColumn("line", F.when(F.col("line_no") == 0, hdr).otherwise(F.col("line")))
-            .select(group, "line_no", "line"))
+    return block_lines(diags.withColumn("_row", row), group, "_row", "ERRORS",
+                       [_q(F.col(fname or group)), no.cast("string")], lambda c: c,
+                       order=["beg", "end", "_row"], groups=groups)
 
 
 def fontify_lines(spans: DataFrame, fname: str, size: Column, no: Column | None = None) -> DataFrame:

@@ -52,18 +52,19 @@ def _write(d):
 def test_all_queries_match_oracles_on_edge_cases(spark, scratch):
     import duckdb
 
-    import __spark_entry__ as E
     from check import norm
+    from tessera.plans import ORACLES, QUERIES, load_all
+    load_all()
     _write(scratch)
     con = duckdb.connect()
     for t in ["documents", "pages", "events", "conversations", "part"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{scratch}/{t}.parquet')")
     bad = []
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         sdf = fn(spark, scratch)
         cols = sdf.columns
         got = collections.Counter(tuple(norm(x) for x in r) for r in sdf.collect())
-        r = con.sql(E.oracle_sql()[name])
+        r = con.sql(ORACLES[name])
         oc = r.columns
         want = collections.Counter(tuple(norm(row[oc.index(c)]) for c in cols) for row in r.fetchall())
         if got != want:
