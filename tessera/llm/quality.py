@@ -165,10 +165,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: s
               text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05,
               delta: float = 0.05) -> DataFrame:
     """``docs`` (all columns) without the rows that the verdict rejects."""
-    marked = docs.join(labels.select(F.col(id_col).alias("_l")).distinct(),
-                       F.col(id_col) == F.col("_l"), "left_semi")
-    cutoffs = calibrate(spark, measure(marked, [id_col, stratum_col], text_col), labels, id_col,
-                        stratum_col, risk, delta)
+    # Counts of all rows meet the labels: small rows are shuffled, no texts.
+    slim = docs.select(F.col(id_col), F.col(text_col).alias("_t"), F.col(stratum_col).alias("_s"))
+    cutoffs = calibrate(spark, measure(slim, [id_col, "_s"], "_t"), labels, id_col, "_s", risk, delta)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # theirs may clash with the counts
     hidden = docs.select([F.col(f"`{c}`").alias(h) for c, h in names.items()])
     judged = judge(measure(hidden, list(names.values()), names[text_col]), cutoffs, names[stratum_col])

@@ -177,9 +177,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
 
     Rows that repeat that id leave one of them (the first by text).  A component whose
     ids are all null leaves one row."""
-    keep = near_duplicates(spark, docs, id_col, text_col, shingle, radius) \
-        .filter(F.col(id_col).eqNullSafe(F.col("component_id"))) \
-        .select(F.col(id_col).alias("_keep")).distinct()
-    keep = materialize(spark, keep, "keep")
-    left = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return left.dropDuplicates([id_col])
+    def key(df: DataFrame) -> DataFrame:  # never null: the join and the last step share one shuffle
+        return df.withColumn("_keep", F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")),
+                                                 F.lit("")))
+    keep = near_duplicates(spark, docs, id_col, text_col, shingle, radius).filter(
+        F.col(id_col).eqNullSafe(F.col("component_id")))
+    keep = materialize(spark, key(keep).select("_keep").distinct(), "keep")
+    return key(docs).join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
