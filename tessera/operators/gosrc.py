@@ -6,8 +6,8 @@ document) and at the enclosing brace and paren scopes (``annotate_scopes``,
 run once over parentheses and once over braces).  Rules:
 
 * declarations: ``package N``; ``import "p"`` / ``import a "p"`` and import
-  groups (PACKAGE, name = alias or last path element); ``func N`` (FUNC;
-  methods with a receiver are not plain names); ``type N`` (TYPE); ``var N``
+  groups (PACKAGE, name = alias or last path element); ``func N`` and
+  ``func (r T) N`` (FUNC); ``type N`` (TYPE); ``var N``
   (VAR); ``const N`` (CONST); a name starting a line inside ``var (``,
   ``const (`` or ``type (``; every name of ``a, b :=`` (VAR, visible from its
   own begin, so ``x := x`` reads the new ``x``); parameter names of functions
@@ -15,9 +15,14 @@ run once over parentheses and once over braces).  Rules:
   body).  ``_`` is never declared.
 * references: the other identifiers, except selector members (after ``.``),
   struct fields and labels.
-* type positions: after a declared var/const/param name, after ``[]``,
-  after ``*`` in a parameter or element type, after ``chan``, the first
-  argument of ``make``, and the case labels of a type switch (W3).
+  A name declared in the header of ``for``, ``if``, ``switch`` or ``select``
+  ends with the statement's last block; a parameter of a signature without a
+  body ends with itself.
+* type positions: after a declared name, in signature lists (parameters,
+  receivers, results, variadics) and single results, elements and keys of
+  arrays, maps and channels, struct fields and embedded types, the right side
+  of ``type A B``, ``x.(T)``, ``make(T`` and ``new(T``, literals ``T{``, and
+  the case labels of a type switch (W3).
 * resolution: local sweep, file tier, package tier (sibling files, when the
   files carry a package), builtin tier; members through declared types and
   struct fields, across the files of a package.
@@ -58,8 +63,9 @@ def go_base_class(tok):
             .when(tok.rlike(r"^\.?[0-9]"), F.lit(rules.CLS_NUMBER))
             .when(tok.isin(rules.GO_KEYWORDS), F.lit(rules.CLS_KEYWORD))
             .when(_is_ident(tok), F.lit(rules.CLS_VAR))
-            .when(tok.isin(":=", "=", ",", ";", ":"), F.lit(rules.CLS_SEPARATOR))
-            .when(tok.isin("{", "}", "(", ")", "[", "]"), F.lit(rules.CLS_TOKEN))
+            .when(tok.isin(".", ","), F.lit(None).cast("string"))
+            .when(tok.isin(":=", ";", ":", "<-"), F.lit(rules.CLS_SEPARATOR))
+            .when(tok.isin("{", "}", "(", ")", "[", "]", "..."), F.lit(rules.CLS_TOKEN))
             .otherwise(F.lit(rules.CLS_OPERATOR)))
 
 
@@ -75,25 +81,46 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
             | F.col("tok").startswith("/*"))
     t = t.withColumn("sig", sig)
     # Paren groups first: each token learns the keyword before its innermost
-    # open '(' (``var (``, ``const (``, ``type (``, ``import (``).
+    # open '(' (``var (``, ``const (``, ``type (``, ``import (``), or that the
+    # group is a list of a function signature.
     ws = Window.partitionBy(key, "sig").orderBy("i")
     t = t.withColumn("_kw", F.lag("tok", 1).over(ws))
     # what opens a brace: "T struct", ") {" of a body, ... (two tokens before)
     t = t.withColumn("_opener", F.when(F.col("tok") == "{", F.concat_ws(
         " ", F.lag("tok", 2).over(ws), F.col("_kw"))))
     wa = Window.partitionBy(key).orderBy("i")
-    t = t.withColumn("raw_prev", F.lag("tok", 1).over(wa))
+    t = (t.withColumn("raw_prev", F.lag("tok", 1).over(wa)).withColumn("raw_next", F.lead("tok", 1).over(wa))
+         .withColumn("_kw2", F.lag("tok", 2).over(ws))
+         .withColumn("_kw_nl", F.lag("raw_prev", 1).over(ws).contains("\n")))
+    # Lists of a signature: after ``func``, ``func name``, a method's ``) name`` on one
+    # line, a result list ``) (`` (a call of a call has no space there).
+    signature = ((F.col("_kw") == "func") | (_is_ident(F.col("_kw")) & (F.col("_kw2") == "func"))
+                 | (_is_ident(F.col("_kw")) & (F.col("_kw2") == ")") & ~F.col("_kw_nl"))
+                 | ((F.col("_kw") == ")") & (F.col("raw_prev") == " ")))
     pa = annotate_scopes(t, key, F.col("sig") & (F.col("tok") == "("),
-                         F.col("sig") & (F.col("tok") == ")"), F.col("_kw"))
-    pa = pa.select(*t.columns, F.col("scope_tag").alias("group_kw"),
-                   F.col("scope_i").alias("pgroup")).drop("_kw")
+                         F.col("sig") & (F.col("tok") == ")"),
+                         F.when(signature, F.lit(SIGNATURE)).otherwise(F.coalesce("_kw", F.lit(""))))
+    # A ')' learns the tag of the '(' it closes: the tag event before it on its level.
+    wl = Window.partitionBy(key, "level", F.col("kind").isNotNull()).orderBy("i")
+    pa = pa.withColumn("closes", F.when(F.col("kind") == "close", F.lag("tag", 1).over(wl)))
+    pa = pa.select(*t.columns, "closes", F.col("scope_tag").alias("group_kw"),
+                   F.col("scope_i").alias("pgroup")).drop("_kw", "_kw2", "_kw_nl")
     a = annotate_scopes(pa, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"),
                         extra="_opener").drop("_opener")
     w = Window.partitionBy(key, "sig").orderBy("i")
     a = (a.withColumn("p1", F.lag("tok", 1).over(w)).withColumn("p2", F.lag("tok", 2).over(w))
+         .withColumn("p3", F.lag("tok", 3).over(w)).withColumn("p4", F.lag("tok", 4).over(w))
+         .withColumn("p5", F.lag("tok", 5).over(w))
          .withColumn("p2i", F.lag("i", 2).over(w))
          .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w))
          .withColumn("n3", F.lead("tok", 3).over(w)).withColumn("n1i", F.lead("i", 1).over(w)))
+    # The last token before that is no ``*`` or ``...``, and the one before it.
+    star = F.col("tok").isin("*", "...")
+    wn = Window.partitionBy(key, "sig", star).orderBy("i")
+    back = F.when(~star, F.struct(F.col("tok").alias("t"), F.lag("tok", 1).over(wn).alias("prev"),
+                                  F.col("closes").alias("closes"), F.col("i").alias("i")))
+    a = a.withColumn("_back", back).withColumn("q", F.last("_back", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, -1))).drop("_back")
     # A paren group holds named parameters when some name is directly followed
     # by a type; then every name before ',' in it is a parameter too.
     typeish = (_is_ident(F.col("n1")) | F.col("n1").isin("*", "[", "...")
@@ -112,35 +139,52 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
     brk = F.when(F.col("tok") == ":=", F.col("i")).when(
         ~(_is_ident(F.col("tok")) | (F.col("tok") == ",")), F.lit(-1))
     a = a.withColumn("_next_stop", F.last(brk, ignorenulls=True).over(wr))
-    # Body of a function: the next '{' at the same depth after a parameter.
+    # Inside a header: a block keyword came after the last brace.
+    head = F.when(F.col("tok").isin("for", "if", "switch", "select"), F.lit(True)).when(
+        F.col("tok").isin("{", "}") & block_brace(), F.lit(False))
+    a = a.withColumn("in_header", F.coalesce(F.last(head, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False)))
+    wl = Window.partitionBy(key, "level", F.col("kind").isNotNull()).orderBy("i")
+    a = a.withColumn("_ends_block", F.when(F.col("kind") == "close", F.lag(block_brace(), 1).over(wl)))
+    # Reverse sweeps at one depth.  Body of a function: the block brace that comes before the
+    # line ends outside its lists.  End of a header's scope: the first '}' of a block that no
+    # ``else`` follows.
     wb = (Window.partitionBy(key, "depth").orderBy(F.desc("i"))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    a = a.withColumn("_body_end", F.last(F.when(F.col("kind") == "open", F.col("partner_beg")),
-                                         ignorenulls=True).over(wb))
-    a = a.withColumn("_body_i", F.last(F.when(F.col("kind") == "open", F.col("i")),
-                                       ignorenulls=True).over(wb))
-    return a
+    none = F.lit(None).cast("bigint")
+    body = F.when((F.col("kind") == "open") & block_brace(),
+                  F.struct(F.lit(True).alias("has"), F.col("partner_beg").alias("end"))) \
+        .when(F.col("sig") & F.col("raw_prev").contains("\n") & F.col("pgroup").isNull(),
+              F.struct(F.lit(False).alias("has"), none.alias("end")))
+    chain = F.when(F.col("_ends_block") & (F.col("n1").isNull() | (F.col("n1") != "else")), F.col("beg"))
+    return a.withColumn("_body", F.last(body, ignorenulls=True).over(wb)).withColumn(
+        "_header_end", F.last(chain, ignorenulls=True).over(wb)).drop("_ends_block")
+
+
+#: Tag of the paren groups of a function signature.
+SIGNATURE = "func ("
+
+
+def block_brace():
+    """A ``{`` that opens a block or a type: white space before it (a literal's has none)."""
+    return F.col("raw_prev").rlike(r"^[ \t\r\n\f]+$") | (F.col("tok") == "}")
 
 
 def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     """Declarations and references (one row per identifier token)."""
     tok, p1, p2, n1 = F.col("tok"), F.col("p1"), F.col("p2"), F.col("n1")
     ident = F.col("sig") & _is_ident(tok)
-    # the previous significant token is a name declared in a var/const group
-    gdecl = ident & (F.col("raw_prev").contains("\n") | (p1 == "(") | (p1 == ";")) \
-        & F.col("group_kw").isin("var", "const")
-    a = a.withColumn("_prev_gdecl", F.coalesce(
-        F.lag(gdecl, 1).over(Window.partitionBy(key, "sig").orderBy("i")), F.lit(False)))
+    in_signature = F.coalesce(F.col("group_kw") == SIGNATURE, F.lit(False))
     define = ident & ((n1 == ":=") | ((n1 == ",") & (F.col("_next_stop") > F.col("i")))) \
         & ~(p1 == ".")
     typeish = _is_ident(n1) | n1.isin("*", "[", "...") | n1.isin(TYPE_WORDS)
     line_start = F.col("raw_prev").contains("\n") | (p1 == "(") | (p1 == ";")
     in_group = ident & line_start & F.col("group_kw").isin("var", "const", "type")
-    in_params = (p1.isin("(", ",")) & (typeish | ((n1 == ",") & F.col("named_group"))) \
-        & ~define & ~in_group
+    is_param = in_signature & p1.isin("(", ",") & (typeish | ((n1 == ",") & F.col("named_group"))) \
+        & ident & (tok != "_")
     kind = (F.when(~ident | (tok == "_"), F.lit(None))
             .when(p1 == "package", F.lit("PACKAGE"))
-            .when(p1 == "func", F.lit("FUNC"))
+            .when((p1 == "func") | (in_method_name() & (F.col("depth") == 0)), F.lit("FUNC"))
             .when(p1 == "type", F.lit("TYPE"))
             .when(p1 == "var", F.lit("VAR"))
             .when(p1 == "const", F.lit("CONST"))
@@ -149,35 +193,83 @@ def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
             .when(in_group & (F.col("group_kw") == "var"), F.lit("VAR"))
             .when(in_group & (F.col("group_kw") == "const"), F.lit("CONST"))
             .when(in_group & (F.col("group_kw") == "type"), F.lit("TYPE"))
-            .when(in_params & ((F.col("depth") == 0) | (F.col("group_kw") == "func")), F.lit("VAR")))
-    # parameters: of top-level functions, and of function literals anywhere
-    is_param = in_params & ((F.col("depth") == 0) | (F.col("group_kw") == "func")) \
-        & (kind == "VAR") & ~p1.isin("var", "const") & ~define
+            .when(is_param, F.lit("VAR")))
     imp_path = F.when(tok.startswith('"'), T.path_base(T.unquote(tok)))
     is_import = tok.startswith('"') & (F.col("depth") == 0) & (
         (p1 == "import") | ((p1 == "(") & (p2 == "import")) | p1.startswith('"'))
     kind = F.when(is_import, F.lit("PACKAGE")).otherwise(kind)
+    a = a.withColumn("_kind", kind).withColumn("_typed", F.coalesce(
+        F.col("_kind").isin("VAR", "CONST", "TYPE") & ~define, F.lit(False)))
+    # The name that the last token before (stars aside) declares, if it does.
+    w = Window.partitionBy(key, "sig").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    declared = F.last(F.when(~tok.isin("*", "..."), F.col("_typed")), ignorenulls=True).over(w)
+    a = a.withColumn("_after_name", F.coalesce(declared, F.lit(False)))
+    kind = F.col("_kind")
     name = F.when(is_import, imp_path).otherwise(tok)
     is_decl = kind.isNotNull()
-    is_ref = ident & ~is_decl & ~(p1 == ".") & (tok != "_") & ~is_field(a) & ~is_label()
+    field = is_field(a)
+    is_ref = ident & ~is_decl & ~(p1 == ".") & (tok != "_") & (~field | is_embedded(a)) & ~is_label()
     local = is_decl & ((F.col("depth") > 0) | is_param)
-    vis_end = F.when(is_param, F.col("_body_end")).otherwise(F.col("scope_end"))
-    # type position: after a declared value name, after '[]', after '*' in a type
-    prev_is_group_name = F.col("_prev_gdecl")
-    type_pos = ident & ((p1 == "]") | (p1 == "chan") | ((p1 == "*") & p2.isin("(", ",", "]"))) | (
-        ident & _is_ident(p1) & ~p1.isin(rules.GO_KEYWORDS) & (p2.isin("var", "const", "(", ","))) | (
-        ident & F.coalesce(prev_is_group_name, F.lit(False))) | (
-        # Inside a type switch the case labels are types
-        ident & (F.col("scope_extra") == "type )") & p1.isin("case", ",") & n1.isin(",", ":")) | (
-        ident & (p1 == "(") & (p2 == "make"))
+    header = define & F.col("in_header")
+    # a parameter of a signature without body is visible nowhere after itself
+    vis_end = (F.when(is_param, F.when(F.col("_body.has"), F.col("_body.end")).otherwise(F.col("end")))
+               .when(header, F.col("_header_end")).otherwise(F.col("scope_end")))
     dtype = F.when(((kind == "VAR") & ~define) | (kind == "TYPE"), F.coalesce(
         type_after(), F.when((n1 == ",") & F.col("named_group"), F.col("run_type"))))
     extra = ["pkg"] if "pkg" in a.columns else []
     return a.filter(is_decl | is_ref).select(
         key, *extra, "i", "tok", name.alias("name"), "beg", "end", "depth",
         is_decl.alias("is_decl"), is_ref.alias("is_ref"), local.alias("local"),
-        vis_end.alias("vis_end"), kind.alias("kind"), type_pos.alias("type_pos"),
-        dtype.alias("dtype"))
+        vis_end.alias("vis_end"), kind.alias("kind"),
+        F.coalesce(ident & is_type_position(a), F.lit(False)).alias("type_pos"), dtype.alias("dtype"))
+
+
+def in_method_name():
+    """The name between a receiver list and the parameters of a method."""
+    return (F.col("p1") == ")") & (F.col("n1") == "(") & (F.col("q.closes") == SIGNATURE) \
+        & ~F.col("raw_prev").contains("\n")
+
+
+def is_embedded(a: DataFrame):
+    """An embedded struct field: a type name alone on its line."""
+    ends = F.col("raw_next").contains("\n") | F.col("n1").isin(";", "}")
+    return is_field(a) & F.coalesce(ends, F.lit(False))
+
+
+def is_type_position(a: DataFrame):
+    """Places where an identifier is a type, by the tokens around it (``q``: the last token
+    before it that is no ``*`` or ``...``)."""
+    p1, p2, n1 = F.col("p1"), F.col("p2"), F.col("n1")
+    star = p1.isin("*", "...")
+    same_line = ~F.coalesce(F.col("raw_prev").contains("\n"), F.lit(False))
+    in_signature = F.coalesce(F.col("group_kw") == SIGNATURE, F.lit(False))
+    in_struct = F.coalesce(F.col("scope_extra").rlike(r"(^| )struct$"), F.lit(False))
+    return (
+        # var a T, a *T, a, b T; named parameters, receivers and results; type A B
+        (F.col("_after_name") & same_line)
+        | ((p1 == "=") & (F.col("p3") == "type"))
+        # unnamed parameters and results, variadics
+        | (in_signature & ~F.col("named_group") & F.col("q.t").isin("(", ","))
+        | (in_signature & (p1 == "..."))
+        # a single result
+        | ((F.col("q.t") == ")") & (F.col("q.closes") == SIGNATURE) & same_line & ~in_method_name())
+        # elements: []T, [N]T, []*T, map[K]V, map[K]*V, keys, channels
+        | ((p1 == "]") & same_line & (F.col("raw_prev") == "]"))
+        | (star & (p2 == "]") & ((F.col("p3") == "[") | ((F.col("p4") == "[") & (F.col("p5") == "map"))))
+        | ((F.col("q.t") == "[") & (F.col("q.prev") == "map"))
+        | (F.col("q.t") == "chan") | ((F.col("q.t") == "<-") & (F.col("q.prev") == "chan"))
+        # struct fields: after the name, or embedded
+        | (in_struct & F.coalesce(F.col("pgroup").isNull(), F.lit(True)) & same_line
+           & _is_ident(F.col("q.t")) & ~F.col("q.prev").isin("."))
+        | is_embedded(a)
+        # x.(T), make(T, new(T
+        | ((F.col("q.t") == "(") & (F.col("q.prev") == "."))
+        | ((F.col("q.t") == "(") & F.col("q.prev").isin("make", "new") & ~star)
+        # a literal's type: no space before its brace
+        | ((F.col("raw_next") == "{") & ~(p1 == "."))
+        # The case labels of a type switch
+        | (F.col("scope_extra").isin("type )") & F.col("q.t").isin("case", ",") & n1.isin(",", ":", ".")
+           & F.col("pgroup").isNull()))
 
 
 def type_after():
@@ -201,8 +293,10 @@ def is_label():
 def is_field(a: DataFrame):
     """A name starting a line inside ``struct { ... }`` braces."""
     line_start = F.col("raw_prev").contains("\n") | F.col("p1").isin("{", ";")
-    return (F.col("sig") & _is_ident(F.col("tok")) & line_start
-            & F.coalesce(F.col("scope_extra").endswith(" struct"), F.lit(False)))
+    in_struct = F.coalesce(F.col("scope_extra").rlike("(^| )struct$"), F.lit(False))
+    # the second name of ``a, b int`` too
+    listed = (F.col("p1") == ",") & F.col("pgroup").isNull() & ~line_start
+    return F.col("sig") & _is_ident(F.col("tok")) & (line_start | listed) & in_struct
 
 
 def go_builtins(spark) -> DataFrame:
@@ -293,7 +387,8 @@ def go_fontify(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
         ref_cls = F.when(F.col("decl_kind") == k, F.lit(c)).otherwise(ref_cls)
     base = go_base_class(F.col("tok"))
     cls = (F.when(is_label(), F.lit(rules.CLS_TYPE))
-           .when(F.col("_dkind").isNotNull(), def_cls)
+           .when(is_field(a) & ~is_embedded(a), F.lit(rules.CLS_VAR_DEF))
+           .when(F.col("_dkind").isNotNull() & ~F.col("tok").startswith('"'), def_cls)
            .when((base == rules.CLS_VAR), ref_cls)
            .otherwise(base))
     return j.select(key, "i", "tok", "beg", "end", cls.alias("cls")).filter(F.col("cls").isNotNull())
