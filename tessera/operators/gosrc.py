@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..session import ensure_checkpoint_dir
 from .resolve import resolve_refs
 from .scopes import annotate_scopes
 from .tokens import tokenize
@@ -303,11 +304,11 @@ def go_builtins(spark) -> DataFrame:
     return spark.createDataFrame([(n, k) for k, n, _ in rules.BUILTINS], "name string, kind string")
 
 
-def go_resolve(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+def go_resolve(a: DataFrame, spark, key: str = "doc_id", items: DataFrame | None = None) -> DataFrame:
     """J2 for Go: local sweep, file tier, package tier (top-level names of the
     sibling files, when the files carry a package), builtin tier.
     ``decl_doc`` names the file of the declaration."""
-    items = go_items(a, key)
+    items = items if items is not None else go_items(a, key)
     has_pkg = "pkg" in items.columns
     r = resolve_refs(items, key, go_builtins(spark),
                      carry=["end", "type_pos"] + (["pkg"] if has_pkg else []))
@@ -331,12 +332,19 @@ def go_resolve(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
             .drop("_pd", "_use"))
 
 
+def resolved_once(a: DataFrame, spark, key: str) -> tuple[DataFrame, DataFrame]:
+    """Items and resolved references, checkpointed: the rules that read them in several
+    branches share one pass over the tokens (``a`` should be materialised likewise)."""
+    ensure_checkpoint_dir(spark)
+    items = go_items(a, key).checkpoint()
+    return items, go_resolve(a, spark, key, items).checkpoint()
+
+
 def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     """X5 for Go: undefined types, values used as types, struct and pointer
     requirements, ``make()`` without a type argument, non-names left of
     ``:=``, bad import literals, unbalanced braces.  ``(key, lvl, beg, end, msg)``."""
-    items = go_items(a, key)
-    r = go_resolve(a, spark, key)
+    items, r = resolved_once(a, spark, key)
     undefined = F.col("type_pos") & F.col("tier").isNull()
     not_type = F.col("type_pos") & F.col("tier").isNotNull() & ~F.col("decl_kind").isin("TYPE", "PACKAGE")
     msg = (F.when(undefined, F.format_string(rules.MSG_TYPE_UNDEFINED, F.col("name")))
@@ -367,8 +375,7 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
 def go_fontify(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     """U2 for Go: base classes, declaration classes, and reference classes by
     the kind of the resolved declaration (unresolved values get no marker)."""
-    items = go_items(a, key)
-    resolved = go_resolve(a, spark, key)
+    items, resolved = resolved_once(a, spark, key)
     r = resolved.select(key, "i", "decl_kind")
     dk = items.filter("is_decl").select(key, "i", F.col("kind").alias("_dkind"))
     # members: a field found, or looked up in an open/unknown scope, is a Var;
