@@ -123,12 +123,17 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = 3, cap: int = 512)
     within ``radius`` bits, directly or through others of its bucket (a spanning star
     per bucket and component instead of all pairs)."""
     levels = mask_levels(radius, 3)
-    rows = fps.select(F.lit(0).alias("t"), "fp")
+    rows = fps.select("fp")
     found = None
     for depth, masks in enumerate(levels):
-        table = spark.createDataFrame(masks, "t int, nt int, mask long")
-        keyed = rows.join(F.broadcast(table), "t").select(
-            F.col("nt").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if depth == 0:  # one parent: every value meets all tables
+            dealt = rows.withColumn("m", F.explode(F.array(*[
+                F.struct(F.lit(nt).alias("nt"), F.lit(mask).alias("mask")) for _, nt, mask in masks]))) \
+                .select("fp", "m.nt", "m.mask")
+        else:  # a fixed table, at most 3375 rows
+            dealt = rows.join(F.broadcast(spark.createDataFrame(masks, "t int, nt int, mask long")), "t")
+        keyed = dealt.select(F.col("nt").alias("t"),
+                             F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = materialize(spark, keyed.groupBy("t", "key").agg(
             F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
             .filter("n > 1"), "buckets")
