@@ -72,7 +72,7 @@ def go_base_class(tok):
 
 def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
               package: str | None = None) -> DataFrame:
-    """Tokens with brace scopes and neighbouring significant tokens.
+    """Tokens but white space, with brace scopes and neighbouring significant tokens.
     ``package``: column naming the package (directory) of each file; its
     top-level names then become visible in the sibling files (package tier)."""
     if package:
@@ -80,12 +80,13 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
     t = tokenize(files, key, text, rules.GO_TOKEN_RX, keep=["pkg"] if package else None)
     sig = ~(F.col("tok").rlike(r"^[ \t\r\n\f]+$") | F.col("tok").startswith("//")
             | F.col("tok").startswith("/*"))
-    t = t.withColumn("sig", sig)
+    # Evaluated once, before the first window; neighbours get it by lag and lead.
+    t = t.withColumn("sig", sig).withColumn("ident", _is_ident(F.col("tok")))
     # Paren groups first: each token learns the keyword before its innermost
     # open '(' (``var (``, ``const (``, ``type (``, ``import (``), or that the
     # group is a list of a function signature.
     ws = Window.partitionBy(key, "sig").orderBy("i")
-    t = t.withColumn("_kw", F.lag("tok", 1).over(ws))
+    t = t.withColumn("_kw", F.lag("tok", 1).over(ws)).withColumn("_kw_id", F.lag("ident", 1).over(ws))
     # what opens a brace: "T struct", ") {" of a body, ... (two tokens before)
     t = t.withColumn("_opener", F.when(F.col("tok") == "{", F.concat_ws(
         " ", F.lag("tok", 2).over(ws), F.col("_kw"))))
@@ -93,10 +94,12 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
     t = (t.withColumn("raw_prev", F.lag("tok", 1).over(wa)).withColumn("raw_next", F.lead("tok", 1).over(wa))
          .withColumn("_kw2", F.lag("tok", 2).over(ws))
          .withColumn("_kw_nl", F.lag("raw_prev", 1).over(ws).contains("\n")))
+    # White space has told its neighbours what it is; no later window carries it.
+    t = t.filter(~F.col("tok").rlike(r"^[ \t\r\n\f]+$"))
     # Lists of a signature: after ``func``, ``func name``, a method's ``) name`` on one
     # line, a result list ``) (`` (a call of a call has no space there).
-    signature = ((F.col("_kw") == "func") | (_is_ident(F.col("_kw")) & (F.col("_kw2") == "func"))
-                 | (_is_ident(F.col("_kw")) & (F.col("_kw2") == ")") & ~F.col("_kw_nl"))
+    signature = ((F.col("_kw") == "func") | (F.col("_kw_id") & (F.col("_kw2") == "func"))
+                 | (F.col("_kw_id") & (F.col("_kw2") == ")") & ~F.col("_kw_nl"))
                  | ((F.col("_kw") == ")") & (F.col("raw_prev") == " ")))
     pa = annotate_scopes(t, key, F.col("sig") & (F.col("tok") == "("),
                          F.col("sig") & (F.col("tok") == ")"),
@@ -105,28 +108,28 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
     wl = Window.partitionBy(key, "level", F.col("kind").isNotNull()).orderBy("i")
     pa = pa.withColumn("closes", F.when(F.col("kind") == "close", F.lag("tag", 1).over(wl)))
     pa = pa.select(*t.columns, "closes", F.col("scope_tag").alias("group_kw"),
-                   F.col("scope_i").alias("pgroup")).drop("_kw", "_kw2", "_kw_nl")
+                   F.col("scope_i").alias("pgroup")).drop("_kw", "_kw2", "_kw_nl", "_kw_id")
     a = annotate_scopes(pa, key, F.col("tok") == "{", F.col("tok") == "}", F.lit("{"),
                         extra="_opener").drop("_opener")
     w = Window.partitionBy(key, "sig").orderBy("i")
     a = (a.withColumn("p1", F.lag("tok", 1).over(w)).withColumn("p2", F.lag("tok", 2).over(w))
          .withColumn("p3", F.lag("tok", 3).over(w)).withColumn("p4", F.lag("tok", 4).over(w))
          .withColumn("p5", F.lag("tok", 5).over(w))
-         .withColumn("p2i", F.lag("i", 2).over(w))
+         .withColumn("p2i", F.lag("i", 2).over(w)).withColumn("n1_id", F.lead("ident", 1).over(w))
          .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w))
          .withColumn("n3", F.lead("tok", 3).over(w)).withColumn("n1i", F.lead("i", 1).over(w)))
     # The last token before that is no ``*`` or ``...``, and the one before it.
     star = F.col("tok").isin("*", "...")
     wn = Window.partitionBy(key, "sig", star).orderBy("i")
-    back = F.when(~star, F.struct(F.col("tok").alias("t"), F.lag("tok", 1).over(wn).alias("prev"),
+    back = F.when(~star, F.struct(F.col("tok").alias("t"), F.col("ident").alias("id"), F.lag("tok", 1).over(wn).alias("prev"),
                                   F.col("closes").alias("closes"), F.col("i").alias("i")))
     a = a.withColumn("_back", back).withColumn("q", F.last("_back", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1))).drop("_back")
     # A paren group holds named parameters when some name is directly followed
     # by a type; then every name before ',' in it is a parameter too.
-    typeish = (_is_ident(F.col("n1")) | F.col("n1").isin("*", "[", "...")
+    typeish = (F.col("n1_id") | F.col("n1").isin("*", "[", "...")
                | F.col("n1").isin(TYPE_WORDS))
-    pair = F.col("sig") & _is_ident(F.col("tok")) & F.col("p1").isin("(", ",") & typeish
+    pair = F.col("sig") & F.col("ident") & F.col("p1").isin("(", ",") & typeish
     a = a.withColumn("named_group", F.when(F.col("pgroup").isNotNull(), F.max(pair.cast("int")).over(
         Window.partitionBy(key, "pgroup")) > 0).otherwise(F.lit(False)))
     # ``a, b int``: a name before ',' takes the type of the next typed name.
@@ -138,7 +141,7 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
     wr = (Window.partitionBy(key, "sig").orderBy(F.desc("i"))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     brk = F.when(F.col("tok") == ":=", F.col("i")).when(
-        ~(_is_ident(F.col("tok")) | (F.col("tok") == ",")), F.lit(-1))
+        ~(F.col("ident") | (F.col("tok") == ",")), F.lit(-1))
     a = a.withColumn("_next_stop", F.last(brk, ignorenulls=True).over(wr))
     # Inside a header: a block keyword came after the last brace.
     head = F.when(F.col("tok").isin("for", "if", "switch", "select"), F.lit(True)).when(
@@ -174,11 +177,11 @@ def block_brace():
 def go_items(a: DataFrame, key: str = "doc_id") -> DataFrame:
     """Declarations and references (one row per identifier token)."""
     tok, p1, p2, n1 = F.col("tok"), F.col("p1"), F.col("p2"), F.col("n1")
-    ident = F.col("sig") & _is_ident(tok)
+    ident = F.col("sig") & F.col("ident")
     in_signature = F.coalesce(F.col("group_kw") == SIGNATURE, F.lit(False))
     define = ident & ((n1 == ":=") | ((n1 == ",") & (F.col("_next_stop") > F.col("i")))) \
         & ~(p1 == ".")
-    typeish = _is_ident(n1) | n1.isin("*", "[", "...") | n1.isin(TYPE_WORDS)
+    typeish = F.col("n1_id") | n1.isin("*", "[", "...") | n1.isin(TYPE_WORDS)
     line_start = F.col("raw_prev").contains("\n") | (p1 == "(") | (p1 == ";")
     in_group = ident & line_start & F.col("group_kw").isin("var", "const", "type")
     is_param = in_signature & p1.isin("(", ",") & (typeish | ((n1 == ",") & F.col("named_group"))) \
@@ -261,7 +264,7 @@ def is_type_position(a: DataFrame):
         | (F.col("q.t") == "chan") | ((F.col("q.t") == "<-") & (F.col("q.prev") == "chan"))
         # struct fields: after the name, or embedded
         | (in_struct & F.coalesce(F.col("pgroup").isNull(), F.lit(True)) & same_line
-           & _is_ident(F.col("q.t")) & ~F.col("q.prev").isin("."))
+           & F.col("q.id") & ~F.col("q.prev").isin("."))
         | is_embedded(a)
         # x.(T), make(T, new(T
         | ((F.col("q.t") == "(") & (F.col("q.prev") == "."))
@@ -279,14 +282,14 @@ def type_after():
     n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
     return (F.when(n1 == "*", F.concat(F.lit("*"), n2))
             .when((n1 == "[") & (n2 == "]"), F.concat(F.lit("[]"), n3))
-            .when(_is_ident(n1) | (n1 == "struct"), n1))
+            .when(F.col("n1_id") | (n1 == "struct"), n1))
 
 
 def is_label():
     """Labels: ``L:`` starting a line, and the target of break/continue/goto.
     They live outside the scopes (no resolution, no diagnostics)."""
     line_start = F.col("raw_prev").contains("\n") | F.col("p1").isin("{", ";")
-    return (F.col("sig") & _is_ident(F.col("tok"))
+    return (F.col("sig") & F.col("ident")
             & ((line_start & (F.col("n1") == ":") & ~F.col("p1").isin("case"))
                | F.col("p1").isin("break", "continue", "goto")))
 
@@ -297,7 +300,7 @@ def is_field(a: DataFrame):
     in_struct = F.coalesce(F.col("scope_extra").rlike("(^| )struct$"), F.lit(False))
     # the second name of ``a, b int`` too
     listed = (F.col("p1") == ",") & F.col("pgroup").isNull() & ~line_start
-    return F.col("sig") & _is_ident(F.col("tok")) & (line_start | listed) & in_struct
+    return F.col("sig") & F.col("ident") & (line_start | listed) & in_struct
 
 
 def go_builtins(spark) -> DataFrame:
@@ -357,7 +360,7 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     # ':=' needs plain names on its left: a selector, index, call or deref
     # right before it is reported on the token before ':='
     bad_lhs = (F.col("sig") & (F.col("n1") == ":=")
-               & (~_is_ident(F.col("tok")) | F.col("p1").isin(".", "*", "&")))
+               & (~F.col("ident") | F.col("p1").isin(".", "*", "&")))
     lhs = a.filter(bad_lhs).select(key, "beg", "end", F.lit(rules.MSG_IDENT_REQUIRED).alias("msg"))
     # import literals that do not unquote
     imp = a.filter(F.col("sig") & F.col("tok").startswith('"') & (F.col("depth") == 0)
@@ -448,7 +451,7 @@ def go_members(a: DataFrame, spark, key: str = "doc_id", items: DataFrame | None
     sel_cols = [key, F.col("i").alias("sel_i"), F.col("tok").alias("member"), F.col("p2i").alias("x_i")]
     if has_pkg:
         sel_cols.append("pkg")
-    sel = a.filter(F.col("sig") & _is_ident(F.col("tok")) & (F.col("p1") == ".")).select(*sel_cols)
+    sel = a.filter(F.col("sig") & F.col("ident") & (F.col("p1") == ".")).select(*sel_cols)
     j = (sel.join(res, [key, "x_i"]).join(decls, ["decl_doc", "decl_i"], "left")
          .withColumn("_t", T.type_strip_pointer(F.col("dtype")))
          .join(tfile, ["decl_doc", "_t"], "left"))
@@ -484,7 +487,7 @@ def go_pointer_checks(a: DataFrame, spark, key: str = "doc_id", items: DataFrame
     """``*x`` as an expression needs ``x`` of pointer type: a variable whose
     declared type is known and not a pointer gets "pointer type required"
     (unknown types stay silent, as Any does)."""
-    star = a.filter(F.col("sig") & (F.col("tok") == "*") & _is_ident(F.col("n1"))
+    star = a.filter(F.col("sig") & (F.col("tok") == "*") & F.col("n1_id")
                     & (F.col("p1").isNull() | F.col("p1").isin(UNARY_AFTER))).select(
         key, F.col("beg").alias("s_beg"), F.col("n1i").alias("x_i"))
     items = items if items is not None else go_items(a, key)

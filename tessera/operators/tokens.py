@@ -28,7 +28,10 @@ def tokenize(df: DataFrame, key: str | list[str], text: str, rx: str,
     ``prepartitioned=True`` skips the shuffle by key."""
     keys = [key] if isinstance(key, str) else list(key)
     keep = keep or []
-    src = df if prepartitioned else df.repartition(*keys)
+    # A stated number of partitions: texts grow some sixtyfold as tokens, so they must not
+    # be coalesced by the size they have before.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = df if prepartitioned else df.repartition(n, *keys)
     if not offsets:
         t = src.select(*keys, *keep, F.posexplode(
             F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("_pos", "tok"))
