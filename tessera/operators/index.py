@@ -23,13 +23,25 @@ def first_occurrence(occ: DataFrame, group: list[str], order: list[str],
     return occ.groupBy(*group).agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
 
 
+#: Partitions that the rows of one group are dealt over in a join with its summary.
+SALTS = 8
+
+
+def spread_join(rows: DataFrame, per_group: DataFrame, group: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with the one row per group of ``per_group``; a group that holds most rows is
+    dealt over SALTS partitions by the hash of ``by``, and its summary repeated for them."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*group, "_salt"]).drop("_salt")
+
+
 def mark_definitions(occ: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """A1 role: the first occurrence of a group is the definition ('def'),
-    every other one a reference ('ref').  A join with the per-group first
+    every other one a reference ('ref').  A spread join with the per-group first
     position (one row per group) instead of a window over the group, so a hot
     group is never one task."""
     firsts = occ.groupBy(*group).agg(F.min(F.struct(*order)).alias("_first"))
-    j = occ.join(firsts, group)
+    j = spread_join(occ, firsts, group, order)
     is_def = F.struct(*order) == F.col("_first")
     return j.withColumn("role", F.when(is_def, F.lit("def")).otherwise(F.lit("ref"))).drop("_first")
 
@@ -108,7 +120,7 @@ def usage_counts(occ: DataFrame, group: list[str], name: str, fname: str,
     per_file = occ.groupBy(*group, fname).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
     w_first = per_file.groupBy(*group).agg(F.min("_first").alias("_gfirst"))
-    j = per_file.join(w_first, group)
+    j = spread_join(per_file, w_first, group, [fname])
     is_def_file = F.col("_first") == F.col("_gfirst")
     n_ref = F.col("_n") - F.when(is_def_file, 1).otherwise(0)
     role = lambda k, n: F.struct(F.lit(k).alias("kind"), n.cast("bigint").alias("n"))

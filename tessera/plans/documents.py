@@ -77,14 +77,13 @@ GROUP BY t.doc_id
 """)
 def tokens_q(spark, sf_dir):
     """X1 + W1: per document, token count, word count, offsets and tiling check."""
-    docs = table(spark, sf_dir, "documents")
-    t = doc_tokens(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").withColumn("_size", F.octet_length("text"))
+    t = tokenize(docs, "doc_id", "text", RX, keep=["_size"])
     per = t.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum(is_ident(F.col("tok")).cast("bigint")).alias("n_words"),
-        F.sum("beg").alias("sum_beg"), F.max("end").alias("n_bytes"))
-    sizes = docs.select("doc_id", F.octet_length("text").alias("_size"))
-    return per.join(sizes, "doc_id").select(
+        F.sum("beg").alias("sum_beg"), F.max("end").alias("n_bytes"), F.max("_size").alias("_size"))
+    return per.select(
         "doc_id", "n_tokens", "n_words", "sum_beg", "n_bytes",
         (F.col("n_bytes") == F.col("_size")).alias("tiled"))
 
@@ -175,6 +174,36 @@ def symbol_index(spark, sf_dir):
     return IX.symbol_index(occ, path, fname_col(), F.col("beg"), ["doc_id", "i"], "doc_id")
 
 
+# ---------------------------------------------------------- symbol_locations
+@query("symbol_locations", sql=f"""
+WITH {TOK},
+o AS (SELECT source || '.' || tok AS path, {FNAME_SQL} AS fname, doc_id, i, beg
+      FROM tk WHERE {IDENT_SQL} AND regexp_matches(tok, '^[A-Z]'))
+SELECT path, fname, beg AS pos,
+       CASE WHEN row_number() OVER (PARTITION BY path ORDER BY doc_id, i) = 1 THEN 'def' ELSE 'ref' END AS role
+FROM o
+""")
+def symbol_locations(spark, sf_dir):
+    """A1 / A2: every location of every exported symbol, the first one its definition."""
+    occ = idents(spark, sf_dir).filter(T.is_exported(F.col("name"))).withColumn(
+        "path", F.concat_ws(".", "source", "name")).withColumn("fname", fname_col())
+    return IX.mark_definitions(occ, ["path"], ["doc_id", "i"]).select(
+        "path", "fname", F.col("beg").alias("pos"), "role")
+
+
+# ------------------------------------------------------------- package_files
+@query("package_files", sql="""
+SELECT source || '/' || lang AS dir, lang AS package, CAST(doc_id AS VARCHAR) AS name,
+       CAST(strlen(text) AS BIGINT) AS n_bytes
+FROM documents
+""")
+def package_files(spark, sf_dir):
+    """S3: the files of every package, one row each."""
+    f = file_table(table(spark, sf_dir, "documents"))
+    return f.select("dir", T.path_file(F.col("dir")).alias("package"), "name",
+                    F.col("size").cast("bigint").alias("n_bytes"))
+
+
 # -------------------------------------------------------------------- usages
 @query("usages", sql=f"""
 WITH {TOK},
