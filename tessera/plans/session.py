@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..sources.tables import table
 from ..streaming.session import process_commands
 from .documents import _ESC_SQL
-from .pages import URL_SQL, url_path
+from .pages import URL_SQL, _clean_sql, url_path
 from .registry import query
 
 FIND_MAX = 3
@@ -48,7 +48,7 @@ WITH f AS (
   SELECT page_id, {URL_SQL} AS path FROM pages),
 files AS (
   SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
-         CASE WHEN regexp_matches(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS d
+         {_clean_sql("regexp_extract(path, '^(.*/)?[^/]*$', 1)")} AS d
   FROM f),
 dp AS (SELECT DISTINCT list_filter(string_split(d, '/'), lambda x: x <> '') AS parts FROM files),
 nd AS (SELECT count(DISTINCT array_to_string(parts[1:k], '/')) AS n FROM dp, range(1, len(parts) + 1) r(k)),
