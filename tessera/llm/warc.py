@@ -3,16 +3,17 @@
 A record ends with CRLF CRLF and starts with the magic ``WARC/1.``.  Spark's text source
 writes records byte for byte with the one as line separator, and with the other reads
 archives in splits whose rows are the pieces between two magics, on any file system.  A
-magic may also stand inside a payload.  Every piece therefore only is a *candidate*: it
-proposes the offset of its successor from its own header (header + Content-Length + CRLF
-CRLF).
+magic may also stand inside a payload or a header.  Every piece therefore only is a
+*candidate*: it proposes the offset of its successor from its own header (header +
+Content-Length + CRLF CRLF), which reaches over the pieces after it up to the first CRLF
+CRLF.
 
 Verification keeps what is reachable from offset 0 of each file.  Pieces whose successor
 is the very next piece form runs; a run has one way out, the successor of its last piece.
 Pointer jumping over the runs (reach doubles each round: reach |= J(reach), J = J o J)
 finds the reachable ones in log2(runs) joins, and in each the offset where the chain
 enters.  A file without traps has one run per split.  Unreachable pieces belong to the
-payload of the record that jumps over them, and are glued back to it.
+header or block of the record that jumps over them, and are glued back to it.
 """
 
 from __future__ import annotations
@@ -142,24 +143,30 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
     facts = _facts(pieces(spark, path))
     slim = materialize(spark, facts.select(
         "file", "split", "row", "header", "block_bytes", "head", "skip", "http_bytes",
+        (~F.contains("value", F.lit(END))).alias("open"),
         F.octet_length("value").cast("long").alias("size"),
         F.octet_length(F.expr(PAYLOAD)).cast("long").alias("got"),
         base32_sha1(F.expr(PAYLOAD)).alias("digest")), "pieces")
     # A piece and the magic after it fill the split; prefix sums give absolute offsets.
-    filled = slim.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
-    bases = filled.select("file", "split", F.coalesce(F.sum("bytes").over(
-        Window.partitionBy("file").orderBy("split").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    closed = F.when(F.col("open"), 0).otherwise(1)
+    filled = slim.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"),
+                                               F.sum(closed).alias("closed"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = filled.select("file", "split", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b)
+                                             for c, b in (("bytes", "base"), ("closed", "ends"))])
     # A piece starts after its magic; what stands before a file's first magic is no candidate.
+    # Pieces up to and with the next one that holds a header's end have the same ``ends``.
     steady = (F.col("head") + F.col("block_bytes") + len(END)).eqNullSafe(F.col("size"))
     offset = F.col("base") + F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0)) \
         - len(MAGIC)
     run = F.coalesce(F.sum(F.when(F.col("steady"), 0).otherwise(1)).over(before), F.lit(0))
+    ends = F.col("ends") + F.coalesce(F.sum(closed).over(before), F.lit(0))
     cand = slim.withColumn("steady", steady).join(bases, ["file", "split"]).withColumn(
-        "offset", offset).withColumn("run", run).filter("offset >= 0").withColumn(
+        "offset", offset).withColumn("run", run).withColumn("ends", ends).filter(
+        "offset >= 0").withColumn(
         "length", F.col("head") + F.col("block_bytes") + len(MAGIC) + len(END)).withColumn(
         "succ", F.col("offset") + F.col("length")).drop("base", "size")
-    cand = materialize(spark, cand, "candidates")
+    cand = _long_headers(spark, materialize(spark, cand, "candidates"))
     runs = cand.groupBy("file", "split", "run").agg(
         F.min("offset").alias("start"), F.max(F.struct("offset", "succ"))["succ"].alias("out"))
     landing = cand.select("file", F.col("offset").alias("out"),
@@ -170,8 +177,8 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
         "file", "entry", F.col("node.split").alias("split"), F.col("node.run").alias("run"))
     kept = cand.join(entries, ["file", "split", "run"]).filter(
         "offset >= entry and block_bytes is not null").drop("entry")
-    torn = F.col("got") < F.col("head") + F.col("block_bytes") - F.col("skip")
-    whole = kept.filter(~torn)
+    torn = F.col("open") | (F.col("got") < F.col("head") + F.col("block_bytes") - F.col("skip"))
+    whole = kept.filter(~torn).select(*RECORD)
     glued = _glued(spark, path, cand, materialize(spark, kept.filter(torn), "torn"))
     return whole.unionByName(glued).select(
         "file", "offset", "length", "got", "http_bytes", "digest",
@@ -181,6 +188,31 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
             ("WARC-Payload-Digest", "declared_digest"))])
 
 
+#: What a verified record keeps of its pieces.
+RECORD = ["file", "offset", "length", "header", "got", "http_bytes", "digest"]
+
+
+def _long_headers(spark: SparkSession, cand: DataFrame) -> DataFrame:
+    """``cand`` with head, block_bytes, length and succ of headers that hold magics.
+
+    No magic overlaps a CRLF CRLF or a Content-Length line, so both lie whole in one piece:
+    an open piece takes the first length at or after it up to the header's end.  A record
+    ends with CRLF CRLF, so the pieces of one such group are no more than one record."""
+    groups = cand.filter("open").select("file", "ends").distinct()
+    if groups.isEmpty():
+        return cand
+    rest = Window.partitionBy("file", "ends").orderBy("offset").rowsBetween(
+        Window.currentRow, Window.unboundedFollowing)
+    last = F.struct("offset", "head")
+    mended = cand.join(groups, ["file", "ends"], "left_semi").withColumn(
+        "block_bytes", F.first("block_bytes", True).over(rest)).withColumn(
+        "head", F.max(last).over(rest)["offset"] - F.col("offset") + F.max(last).over(rest)["head"]
+    ).withColumn("length", F.col("head") + F.col("block_bytes") + len(MAGIC) + len(END)).withColumn(
+        "succ", F.col("offset") + F.col("length"))
+    return materialize(spark, cand.join(groups, ["file", "ends"], "left_anti").unionByName(mended),
+                       "mended")
+
+
 def _reachable(spark: SparkSession, runs: DataFrame) -> DataFrame:
     """(file, node, entry): runs that the chain from offset 0 passes, and where it enters.
 
@@ -202,12 +234,12 @@ def _reachable(spark: SparkSession, runs: DataFrame) -> DataFrame:
 
 
 def _glued(spark: SparkSession, path: str, cand: DataFrame, torn: DataFrame) -> DataFrame:
-    """``torn`` (records whose payload holds magics) with got and digest of the whole payload.
+    """RECORD of ``torn`` (records whose header or block holds magics), from all their bytes.
 
     Only pieces that such a record jumps over are read a second time.  Verified records do
     not overlap, so the owner of a piece is the last torn record at or before it."""
     if torn.isEmpty():
-        return torn
+        return torn.select(*RECORD)
     ends = torn.select("file", "offset", F.struct(F.col("offset").alias("at"), "succ").alias("own"))
     near = cand.join(torn.select("file").distinct(), "file", "left_semi").join(
         ends, ["file", "offset"], "left")
@@ -219,9 +251,9 @@ def _glued(spark: SparkSession, path: str, cand: DataFrame, torn: DataFrame) ->
     value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))),
                                      lambda x: x["value"]), MAGIC)
     whole = parts.groupBy("file", F.col("at").alias("offset")).agg(value.alias("value"))
-    return torn.join(whole, ["file", "offset"]).withColumn(
+    return torn.select("file", "offset", "length").join(_facts(whole), ["file", "offset"]).withColumn(
         "got", F.octet_length(F.expr(PAYLOAD)).cast("long")).withColumn(
-        "digest", base32_sha1(F.expr(PAYLOAD))).select(torn.columns)
+        "digest", base32_sha1(F.expr(PAYLOAD))).select(*RECORD)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -98,3 +98,47 @@ def test_small_payloads_and_empty_table(spark, frame, scratch):
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
     W.write_warc(spark, df.filter("false"), f"{scratch}/e")
     assert W.read_warc(spark, f"{scratch}/e").count() == 0
+
+
+URLS = ["http://h/WARC/1.0-notes.html", "WARC/1.", "http://h/WARC/1.WARC/1.1?WARC/1.", "http://h/a\r\n\r\nWARC/1.0",
+        "http://h/WARC/1.0\r\nContent-Length: 3"]
+
+
+@pytest.mark.parametrize("split", [None, 331])
+def test_magic_in_a_url(spark, frame, scratch, split):
+    """A magic in a header cuts neither its record nor those after it from the chain."""
+    pages = [p for i, u in enumerate(URLS) for p in (
+        (20 + 3 * i, u, f"<p>{i}</p>"), (21 + 3 * i, f"{u}#2", TRAP + str(i)), (22 + 3 * i, "http://z/", f"z{i}"))]
+    pages += [(50, URLS[0], "<p>0</p>"), (51, "http://y/", "last")]
+    df = frame(pages, "page_id long, url string, html string", 2)
+    W.write_warc(spark, df, f"{scratch}/w")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert got(spark, f"{scratch}/w") == expected(pages)
+        uris = {r.record_id: r.target_uri for r in W.read_warc(spark, f"{scratch}/w").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert uris == {f"<urn:page:{i}>": u.replace("\r", "%0D").replace("\n", "%0A") for i, u, _ in pages}
+
+
+def test_foreign_headers_with_magics(spark, scratch):
+    """Magics before and after Content-Length and in the HTTP header; a header cut by the file's end."""
+    def record(i, block, head=b"", tail=b""):
+        return (b"WARC/1.0\r\nWARC-Type: response\r\n%sWARC-Record-ID: <urn:page:%d>\r\nContent-Type: "
+                b"application/http\r\nContent-Length: %d\r\n%s\r\n%s\r\n\r\n" % (head, i, len(block), tail, block))
+    http = b"HTTP/1.1 200 OK\r\nServer: WARC/1.0 WARC/1.1\r\nContent-Length: 9\r\n\r\nokWARC/1."
+    plain = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nok"
+    import os
+    os.makedirs(f"{scratch}/w")
+    note = b"X-Note: WARC/1.0 WARC/1.\r\n"
+    raw = record(1, plain, note) + record(2, plain, b"", note) + record(3, http) + record(4, http, note, note) \
+        + record(5, plain)
+    open(f"{scratch}/w/a.warc", "wb").write(raw + b"WARC/1.0\r\nX: WARC/1.0\r\n")
+    rows = W.warc_index(spark, f"{scratch}/w").collect()
+    assert sum(r.length for r in rows) == len(raw)
+    assert {(r.record_id, r.got, r.http_bytes, r.digest) for r in rows} == {
+        (f"<urn:page:{i}>", len(p), len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
+        for i, p in ((1, b"ok"), (2, b"ok"), (3, b"okWARC/1."), (4, b"okWARC/1."), (5, b"ok"))}
