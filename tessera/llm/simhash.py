@@ -180,12 +180,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
                          text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one row of each component left: the row with its least id.
 
-    Rows that repeat that id leave one of them (the first by text).  A component whose
-    ids are all null leaves one row."""
+    Null ids come last.  Of rows that repeat that id in the component, the least by a 128-bit
+    hash of the row (its columns but for maps) stays.  Rows of other components that repeat
+    the id, null included, are left to theirs."""
     def key(df: DataFrame) -> DataFrame:  # never null: the join and the last step share one shuffle
-        return df.withColumn("_keep", F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")),
-                                                 F.lit("")))
-    keep = near_duplicates(spark, docs, id_col, text_col, shingle, radius).filter(
-        F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = materialize(spark, key(keep).select("_keep").distinct(), "keep")
-    return key(docs).join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
+        parts = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        return df.withColumns({f"_k{i}": F.xxhash64(F.lit(i), *parts) for i in (0, 1)})
+    row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_k0", "_k1")
+    fp = map_texts(key(docs).select(F.col(id_col).alias("_id"), "_k0", "_k1", F.col(text_col).alias("_t")),
+                   ["_id", "_k0", "_k1"], "_t", lambda t: (simhash(t, shingle),), "fp long", [pa.int64()])
+    # One mergeable minimum per fingerprint, then one per component.
+    values = materialize(spark, fp.groupBy("fp").agg(F.min(row).alias("first")), "values")
+    comp = connected_components(spark, links(spark, values, radius))
+    keep = values.join(comp, values["fp"] == comp["node"], "left").groupBy(
+        F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keep = materialize(spark, keep.select("first._k0", "first._k1"), "keep")
+    return key(docs).join(keep, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).drop("_k0", "_k1")

@@ -119,3 +119,20 @@ def test_repeated_null_and_empty(frame, spark):
     assert sorted(left, key=str) == sorted([1, None, 7], key=str)
     none = S.near_duplicates(spark, df.filter("false"))
     assert none.count() == 0 and none.columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_drop_keeps_a_row_of_every_component(frame, spark):
+    """Null and repeated ids: rows of different components do not stand for each other."""
+    rows = [(1, "a b c d", "x"), (5, "a b c d", "near copy"), (5, "only here q r s", "y"),
+            (5, "only here q r s", "z"), (None, "a b c d", "near copy"), (None, "first of none f g h", "x"),
+            (None, "second of none k l m", "x"), (None, "second of none k l m", "y"), (7, "p o i u", "x"),
+            (7, "t r e w", "x"), (2, "t r e w", "x"), (9, None, "x"), (None, "", "x")]
+    want = [(1, "a b c d"), (2, "t r e w"), (5, "only here q r s"), (7, "p o i u"), (9, None),
+            (None, "first of none f g h"), (None, "second of none k l m")]
+    runs = []
+    for parts in (1, 4):
+        df = frame(rows, "doc_id long, text string, source string", parts)
+        left = [tuple(r) for r in S.drop_near_duplicates(spark, df).collect()]
+        assert sorted((r[:2] for r in left), key=str) == sorted(want, key=str)
+        runs.append(sorted(left, key=str))
+    assert runs[0] == runs[1]
