@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import table
 
-from . import brown, decontam, gbdt, langid, mixing, quality, secrets, sharding, simhash, warc
+from . import brown, decontam, fim, gbdt, langid, mixing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,28 @@ FROM d JOIN p USING (k)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(spark, table(spark, sf_dir, "documents"), weights=(3, 1, 2),
                              budget=1.5, max_epochs=2)
+
+
+@query("op13_fill_in_middle", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
+     u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units,
+                  ('0x' || substr(hx, 1, 8))::BIGINT AS h1, ('0x' || substr(hx, 9, 8))::BIGINT AS h2,
+                  ('0x' || substr(hx, 17, 8))::BIGINT AS h3, ('0x' || substr(hx, 25, 8))::BIGINT AS h4
+           FROM d),
+     c AS (SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS lo,
+                  greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS hi FROM u),
+     p AS (SELECT *, array_to_string(units[1:lo], '') AS head, array_to_string(units[lo + 1:hi], '') AS mid,
+                  array_to_string(units[hi + 1:n], '') AS tail,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                            OR h3 % 100 >= 90 THEN 'plain'
+                       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid
+              ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
