@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import table
 
-from . import brown, decontam, fim, gbdt, langid, mixing, quality, secrets, sharding, simhash, warc
+from . import audit, brown, decontam, fim, gbdt, langid, mixing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,6 +120,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                              budget=1.5, max_epochs=2)
 
 
+@query("op11_filter_audit", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     h AS (SELECT t, min(doc_id) AS head FROM d GROUP BY t),
+     f AS (SELECT doc_id, part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END)
+                | (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+                | (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END)
+                | (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+                | (CASE WHEN head < doc_id THEN 16 ELSE 0 END) AS fails
+           FROM d JOIN h USING (t)),
+     l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+           FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+     g AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+           FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+     c AS (SELECT i, substr('ABCDE', i + 1, 1) AS c FROM range(5) x(i)),
+     o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS ix
+           FROM c a, c b, c c, c d, c e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+     s AS (SELECT filter_order, step::INT AS step, (1 << ix[step])::INT AS own,
+                  coalesce(list_sum(list_transform(ix[1:step - 1], lambda i: 1 << i)), 0)::INT AS before
+           FROM o, range(1, 6) y(step)),
+     e AS (SELECT part, filter_order, step, own, n, good, toxic, fails = own AS alone,
+                  fails & own <> 0 AS failing, fails & before <> 0 AS earlier FROM g, s),
+     r AS (SELECT part, own, sum(n) AS shapley FROM e WHERE failing AND NOT earlier GROUP BY part, own)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT failing AND NOT earlier), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (failing AND NOT earlier), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (failing AND earlier), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (failing AND NOT earlier), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (failing AND NOT earlier), 0)::BIGINT AS toxic_lost,
+       coalesce(max(shapley), 0)::BIGINT AS shapley
+FROM e LEFT JOIN r USING (part, own) GROUP BY part, filter_order, step
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, per language."""
+    return audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op13_fill_in_middle", sql=r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
