@@ -5,10 +5,10 @@ order.  Two of them are sums over a row of the document-term matrix: A (too few
 row's sum, B (too few distinct words) its number of nonzero entries against its sum.
 
 The matrix is built in shards.  A task counts words of whole texts into CSR shards of bounded
-size (row pointers, term numbers, counts) with term numbers of the shard's own word list.
-The lists, each word once a shard, are what is shuffled: distinct words are numbered densely
-over the whole corpus, and every shard gets its own list of global numbers back by equi-joins,
-so no token and no nonzero entry of the matrix ever meets a hot word's partition.
+size (row pointers, term numbers, counts) with term numbers of the shard's own word list; the
+arrays travel packed.  The lists, each word once a shard, are what is shuffled: words are
+dealt to buckets by hash, numbered by rank in their bucket, and every shard gets its own list
+of global numbers back, so no token and no entry of the matrix ever meets a hot word's task.
 
 C and D are counted in the same pass over a text, E from the least id per digest of the text.
 What the audit needs of a document is then one of 32 sets of failed filters; documents are
@@ -18,6 +18,7 @@ counted per part, set and label, and all 120 orders are read off those few count
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import permutations
@@ -26,16 +27,16 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.numbering import dense_number
-
 from .common import materialize, salted_join
 
 FILTERS = "ABCDE"
 #: A shard is closed at this many nonzero entries or rows; one row is never cut.
-SHARD_ENTRIES, SHARD_ROWS = 1 << 18, 1 << 13
+SHARD_ENTRIES, SHARD_ROWS = 1 << 21, 1 << 15
+#: Buckets of the dictionary; a word's number is its rank in its bucket times this, plus the bucket.
+BUCKETS = 4096
 _UPPER = bytes(range(65, 91))
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -49,14 +50,38 @@ class Limits(NamedTuple):
     symbols: str = "#$%&*|"
 
 
-#: The arrays of a shard besides the columns its rows keep; ``words`` is its own word list.
-SHARD = ("shard long, indptr array<int>, indices array<int>, counts array<int>, words array<binary>, "
-         "digest array<binary>, capitals array<boolean>, symbols array<boolean>")
-_TYPES = (pa.int64(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.binary()), pa.list_(pa.binary()),
-          *[pa.list_(pa.bool_())] * 2)
+#: A shard besides the arrays of the columns its rows keep; ``words`` is its own word list, a
+#: word a line (words hold no white space).  ``matrix`` is packed by ``pack``.
+SHARD = ("shard long, matrix binary, words string, digest array<binary>, capitals array<boolean>, "
+         "symbols array<boolean>")
+_TYPES = (pa.int64(), pa.binary(), pa.string(), pa.list_(pa.binary()), *[pa.list_(pa.bool_())] * 2)
 _NAMES = [c.strip().split(" ")[0] for c in SHARD.split(", ")]
 
 
+def pack(indptr: np.ndarray, indices: np.ndarray, counts: np.ndarray) -> bytes:
+    """The three int32 arrays of a CSR shard as compressed bytes.  Indices ascend within a row
+    and are kept as differences, whose upper bytes are mostly zero."""
+    row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+    order = np.lexsort((indices, row))
+    steps = np.diff(indices[order], prepend=0).astype("<i4")
+    planes = [np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T) for a in (
+        indptr, steps, counts[order])]
+    raw = b"".join([np.array([len(indptr), len(indices)], "<i8").tobytes(), *(p.tobytes() for p in planes)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indptr, indices, counts) of ``pack``, the indices ascending within rows."""
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    rows, entries = np.frombuffer(raw, "<i8", 2).tolist()
+    out, at = [], 16
+    for n in (rows, entries, entries):
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view("<i4").ravel())
+        at += 4 * n
+    return out[0], np.cumsum(out[1], dtype=np.int32), out[2]
+
+
 def text_facts(data: bytes, limits: Limits, symbols: bytes) -> tuple[bytes, bool, bool]:
     """Digest of the text, whether it has too many capitals, whether it holds a symbol."""
     n = len(data) if data.isascii() else len(data.translate(None, _CONTINUATION))
@@ -75,20 +100,21 @@ def local_shards(docs: DataFrame, keep: list[str], text_col: str, limits: Limits
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         terms: dict[bytes, int] = {}
-        indptr, indices, counts, facts = [0], [], [], []
+        indptr, indices, counts, facts = array("i", [0]), array("i"), array("i"), []
         kept: list[list] = [[] for _ in keep]
         kinds: list[pa.DataType] = []
 
         def close() -> pa.RecordBatch:
             nonlocal at
-            arrays = [at, indptr, indices, counts, list(terms), *map(list, zip(*facts)), *kept]
+            matrix = pack(*(np.array(x, np.int32) for x in (indptr, indices, counts)))
+            arrays = [at, matrix, b"\n".join(terms).decode(), *map(list, zip(*facts)), *kept]
             out = pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(arrays, [*_TYPES, *map(pa.list_, kinds)])],
                 names=[*_NAMES, *keep])
             at += len(facts)
             terms.clear()
             for x in (indptr, indices, counts, facts, *kept):
-                x.clear()
+                del x[:]
             indptr.append(0)
             return out
         for b in batches:
@@ -99,8 +125,8 @@ def local_shards(docs: DataFrame, keep: list[str], text_col: str, limits: Limits
                 for c, column in enumerate(kept):
                     column.append(b.column(c)[i].as_py())
                 n = Counter(data.split())
-                indices += [terms.setdefault(w, len(terms)) for w in n]
-                counts += n.values()
+                indices.extend([terms.setdefault(w, len(terms)) for w in n])
+                counts.extend(n.values())
                 indptr.append(len(indices))
                 if len(indices) >= SHARD_ENTRIES or len(facts) >= SHARD_ROWS:
                     yield close()
@@ -113,8 +139,8 @@ def local_shards(docs: DataFrame, keep: list[str], text_col: str, limits: Limits
 
 
 class Matrix(NamedTuple):
-    """``dictionary`` (word, term): 0.. by word.  ``shards``: as ``local_shards`` gives them, with
-    ``terms``, the global number of each local one, instead of words (null: a shard without)."""
+    """``dictionary`` (word, term).  ``shards``: as ``local_shards`` gives them, with ``numbers``, the
+    (local, term) pairs of the shard's list, instead of words (null: a shard without)."""
     dictionary: DataFrame
     shards: DataFrame
     keep: list[str]
@@ -124,13 +150,14 @@ def document_term_matrix(spark: SparkSession, docs: DataFrame, keep: list[str],
                          limits: Limits = Limits()) -> Matrix:
     """The document-term matrix of ``docs`` in CSR shards over one dictionary of all words."""
     local = materialize(spark, local_shards(docs, keep, text_col, limits), "shards")
-    words = local.select("shard", F.posexplode("words").alias("local", "word"))
-    dictionary = materialize(spark, dense_number(words.select("word").distinct(), ["word"], "term", 0),
-                             "dictionary")
-    numbers = words.join(dictionary, "word").groupBy("shard").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("local", "term"))), lambda x: x["term"])
-        .alias("terms"))  # a shard's own word list, bounded with the shard
-    return Matrix(dictionary, local.drop("words").join(numbers, "shard", "left"), keep)
+    words = local.filter("words <> ''").select("shard", F.posexplode(F.split("words", "\n")).alias("local", "word"))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long") - 1
+    numbered = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")).select(
+        "shard", "local", "word", (rank * BUCKETS + F.col("bucket")).alias("term"))
+    numbers = numbered.groupBy("shard").agg(  # a shard's own word list, bounded with the shard
+        F.collect_list(F.struct("local", "term")).alias("numbers"))
+    return Matrix(numbered.select("word", "term").distinct(),
+                  local.drop("words").join(numbers, "shard", "left"), keep)
 
 
 def row_sums(matrix: Matrix) -> DataFrame:
@@ -141,18 +168,21 @@ def row_sums(matrix: Matrix) -> DataFrame:
     tail = ["row_id", "n_words", "n_distinct", "digest", "capitals", "symbols"]
     schema = ", ".join([*kept, "row_id long, n_words long, n_distinct long, digest binary, "
                         "capitals boolean, symbols boolean"])
-    arrays = ["shard", "indptr", "indices", "counts", "terms", "digest", "capitals", "symbols"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                shard, *lists = (b.column(len(keep) + c)[i] for c in range(len(arrays)))
-                indptr, indices, counts, terms, digest, capitals, symbols = (x.values for x in lists)
-                ends, rows = indptr.to_numpy(), len(indptr) - 1
-                sums = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
+                shard, packed, numbers, *facts = (b.column(len(keep) + c)[i] for c in range(6))
+                ends, column, counts = unpack(packed.as_py())
+                rows = len(ends) - 1
+                if len(column):
+                    pairs = numbers.values
+                    terms = np.empty(len(pairs), np.int64)
+                    terms[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+                    column = terms[column]
+                sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 row = np.repeat(np.arange(rows), np.diff(ends))
-                column = np.zeros(0, np.int64) if terms is None else terms.to_numpy()[indices.to_numpy()]
-                order = np.lexsort((column, row))  # canonical CSR: a row's columns ascend
+                order = np.lexsort((column, row))  # columns ascend again, by global number
                 row, column = row[order], column[order]
                 new = np.append(True, (np.diff(row) != 0) | (np.diff(column) != 0))[:len(row)]
                 yield pa.RecordBatch.from_arrays(
@@ -160,8 +190,9 @@ def row_sums(matrix: Matrix) -> DataFrame:
                      pa.array(shard.as_py() + np.arange(rows)),
                      pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64()),
                      pa.array(np.bincount(row[new], minlength=rows), pa.int64()),
-                     digest, capitals, symbols], names=[*keep, *tail])
-    return matrix.shards.select(*keep, *arrays).mapInArrow(run, schema)
+                     *[f.values for f in facts]], names=[*keep, *tail])
+    return matrix.shards.select(*keep, "shard", "matrix", "numbers", "digest", "capitals", "symbols") \
+        .mapInArrow(run, schema)
 
 
 def failing_sets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

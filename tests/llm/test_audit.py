@@ -109,20 +109,38 @@ def test_matches_its_sql(frame, spark):
 
 def test_matrix_counts_every_word(frame, spark, monkeypatch):
     monkeypatch.setattr(A, "SHARD_ENTRIES", 100)
+    monkeypatch.setattr(A, "BUCKETS", 7)
     rows, _, docs, _ = tables(frame)
     m = A.document_term_matrix(spark, docs.select("doc_id", "text"), ["doc_id"], "text")
-    words = {r.term: bytes(r.word) for r in m.dictionary.collect()}
-    every = Counter(w.encode() for _, t, _ in rows for w in WORD.findall(t or ""))
-    assert sorted(words) == list(range(len(every))) and set(words.values()) == set(every)
-    assert [words[k] for k in sorted(words)] == sorted(every)
-    got = Counter()
+    words = {r.term: r.word for r in m.dictionary.collect()}
+    every = Counter(w for _, t, _ in rows for w in WORD.findall(t or ""))
+    assert sorted(words.values()) == sorted(every)
+    per_bucket = Counter(k % 7 for k in words)
+    assert all(k // 7 < per_bucket[k % 7] for k in words)  # dense within buckets
+    got, by_row = Counter(), {}
     for r in m.shards.collect():
-        assert len(r.indptr) == len(r.doc_id) + 1 and r.indptr[-1] == len(r.indices)
-        for i, n in zip(r.indices, r.counts):
-            got[words[r.terms[i]]] += n
+        indptr, indices, counts = A.unpack(bytes(r.matrix))
+        assert len(indptr) == len(r.doc_id) + 1 and indptr[-1] == len(indices)
+        terms = dict(map(tuple, r.numbers or []))
+        for i, n in zip(indices.tolist(), counts.tolist()):
+            got[words[terms[i]]] += n
     assert got == every
 
 
+def test_pack_round_trip():
+    rng = np.random.default_rng(3)
+    for entries in (0, 1, 500):
+        cuts = np.sort(rng.integers(0, entries + 1, 9))
+        indptr = np.concatenate([[0], cuts, [entries]]).astype(np.int32)
+        indices = np.concatenate([rng.permutation(10**6)[:n] for n in np.diff(indptr)]).astype(np.int32)
+        counts = rng.integers(1, 2**31 - 1, entries).astype(np.int32)
+        p, i, c = A.unpack(A.pack(indptr, indices, counts))
+        assert (p == indptr).all()
+        for a, b in zip(indptr, indptr[1:]):
+            assert (np.diff(i[a:b]) > 0).all()
+            assert dict(zip(i[a:b], c[a:b])) == dict(zip(indices[a:b], counts[a:b]))
+
+
 def test_orders_are_all():
     class Frame:
         def createDataFrame(self, rows, _):
