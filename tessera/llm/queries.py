@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import table
 
-from . import audit, brown, decontam, fim, gbdt, langid, mixing, quality, secrets, sharding, simhash, warc
+from . import audit, brown, decontam, fim, gbdt, langid, mixing, pii, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,6 +157,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(spark, table(spark, sf_dir, "documents"))
+
+
 @query("op13_fill_in_middle", sql=r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
