@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (also to executors that
+    join later).  Spark's own file distribution carries it; the zip on the driver is only what
+    is handed to it."""
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(home)
+    if any(f.endswith(f"/{name}.zip") for f in sc.listFiles):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-package-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(home)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, home)))
+    sc.addPyFile(path)
