@@ -18,14 +18,13 @@ counted per part, set and label, and all 120 orders are read off those few count
 from __future__ import annotations
 
 import hashlib
-from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import permutations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, salted_join
 
 FILTERS = "ABCDE"
-#: A shard is closed at this many nonzero entries or rows; one row is never cut.
-SHARD_ENTRIES, SHARD_ROWS = 1 << 21, 1 << 15
+#: Text bytes of a shard; one row is never cut.
+SHARD_BYTES = 1 << 24
 #: Buckets of the dictionary; a word's number is its rank in its bucket times this, plus the bucket.
 BUCKETS = 4096
 _UPPER = bytes(range(65, 91))
@@ -61,11 +60,9 @@ _NAMES = [c.strip().split(" ")[0] for c in SHARD.split(", ")]
 def pack(indptr: np.ndarray, indices: np.ndarray, counts: np.ndarray) -> bytes:
     """The three int32 arrays of a CSR shard as compressed bytes.  Indices ascend within a row
     and are kept as differences, whose upper bytes are mostly zero."""
-    row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-    order = np.lexsort((indices, row))
-    steps = np.diff(indices[order], prepend=0).astype("<i4")
+    steps = np.diff(indices, prepend=0)
     planes = [np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T) for a in (
-        indptr, steps, counts[order])]
+        indptr, steps, counts)]
     raw = b"".join([np.array([len(indptr), len(indices)], "<i8").tobytes(), *(p.tobytes() for p in planes)])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -82,6 +79,34 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], np.cumsum(out[1], dtype=np.int32), out[2]
 
 
+def slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``b`` with up to ``SHARD_BYTES`` in the text column, or a single row."""
+    low = held = 0
+    for i, n in enumerate(pc.binary_length(b.column(column)).to_numpy()):
+        if i > low and held + n > SHARD_BYTES:
+            yield b.slice(low, i - low)
+            low, held = i, 0
+        held += int(n)
+    if len(b) > low:
+        yield b.slice(low)
+
+
+def count_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, indptr, indices, counts): the words of ``texts`` as a CSR matrix over
+    their own list.  Arrow cuts at ASCII white space and encodes; one sort of (row, word)
+    brings the equal ones together."""
+    cut = pc.ascii_split_whitespace(texts)
+    real = pc.greater(pc.binary_length(cut.values), 0)
+    row = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    row = row[real.to_numpy(zero_copy_only=False)]
+    coded = cut.values.filter(real).dictionary_encode()
+    key = row << 32 | coded.indices.to_numpy()
+    key.sort()
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(key[new] >> 32, minlength=len(texts)))])
+    return coded.dictionary, indptr, key[new] & 0xFFFFFFFF, np.diff(new, append=len(key))
+
+
 def text_facts(data: bytes, limits: Limits, symbols: bytes) -> tuple[bytes, bool, bool]:
     """Digest of the text, whether it has too many capitals, whether it holds a symbol."""
     n = len(data) if data.isascii() else len(data.translate(None, _CONTINUATION))
@@ -94,46 +119,27 @@ def local_shards(docs: DataFrame, keep: list[str], text_col: str, limits: Limits
     """CSR shards (schema ``SHARD``, and an array per column of ``keep``) whose term numbers
     count through the shard's own ``words``.  ``shard`` numbers its first row.
 
-    A shard is a few megabytes but for a single row that is larger; a task holds one at a time."""
+    A shard holds up to ``SHARD_BYTES`` of text, or one larger row; a task holds one at a time."""
     symbols = limits.symbols.encode()
 
+    def whole(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
-        terms: dict[bytes, int] = {}
-        indptr, indices, counts, facts = array("i", [0]), array("i"), array("i"), []
-        kept: list[list] = [[] for _ in keep]
-        kinds: list[pa.DataType] = []
-
-        def close() -> pa.RecordBatch:
-            nonlocal at
-            matrix = pack(*(np.array(x, np.int32) for x in (indptr, indices, counts)))
-            arrays = [at, matrix, b"\n".join(terms).decode(), *map(list, zip(*facts)), *kept]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(arrays, [*_TYPES, *map(pa.list_, kinds)])],
-                names=[*_NAMES, *keep])
-            at += len(facts)
-            terms.clear()
-            for x in (indptr, indices, counts, facts, *kept):
-                del x[:]
-            indptr.append(0)
-            return out
         for b in batches:
-            kinds = [b.schema.types[i] for i in range(len(keep))]
-            for i, text in enumerate(b.column(len(keep))):
-                data = text.as_py()
-                facts.append(text_facts(data, limits, symbols))
-                for c, column in enumerate(kept):
-                    column.append(b.column(c)[i].as_py())
-                n = Counter(data.split())
-                indices.extend([terms.setdefault(w, len(terms)) for w in n])
-                counts.extend(n.values())
-                indptr.append(len(indices))
-                if len(indices) >= SHARD_ENTRIES or len(facts) >= SHARD_ROWS:
-                    yield close()
-        if facts:
-            yield close()
-    src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-                      .cast("binary").alias("_text"))
+            for part in slices(b, len(keep)):
+                texts = part.column(len(keep))
+                words, indptr, indices, counts = count_words(texts)
+                facts = [text_facts(t.as_py(), limits, symbols) for t in texts.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at]), pa.array([pack(indptr, indices, counts)]),
+                     pc.binary_join(whole(words), "\n"),
+                     *[whole(pa.array(f, t.value_type)) for f, t in zip(zip(*facts), _TYPES[3:])],
+                     *[whole(pa.concat_arrays([part.column(c)])) for c in range(len(keep))]],
+                    names=[*_NAMES, *keep])
+                at += len(part)
+    src = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kept = "".join(f", `{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in keep)
     return src.mapInArrow(run, SHARD + kept)
 
@@ -179,17 +185,16 @@ def row_sums(matrix: Matrix) -> DataFrame:
                     pairs = numbers.values
                     terms = np.empty(len(pairs), np.int64)
                     terms[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
-                    column = terms[column]
+                    # The list's global numbers in order stand for the columns that are not empty.
+                    column = np.unique(terms, return_inverse=True)[1].astype(np.int64)[column]
                 sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                row = np.repeat(np.arange(rows), np.diff(ends))
-                order = np.lexsort((column, row))  # columns ascend again, by global number
-                row, column = row[order], column[order]
-                new = np.append(True, (np.diff(row) != 0) | (np.diff(column) != 0))[:len(row)]
+                entry = np.sort(np.repeat(np.arange(rows), np.diff(ends)) << 32 | column)
+                row = entry[np.diff(entry, prepend=-1) != 0] >> 32
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c)[i].values for c in range(len(keep))],
                      pa.array(shard.as_py() + np.arange(rows)),
                      pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64()),
-                     pa.array(np.bincount(row[new], minlength=rows), pa.int64()),
+                     pa.array(np.bincount(row, minlength=rows), pa.int64()),
                      *[f.values for f in facts]], names=[*keep, *tail])
     return matrix.shards.select(*keep, "shard", "matrix", "numbers", "digest", "capitals", "symbols") \
         .mapInArrow(run, schema)
