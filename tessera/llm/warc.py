@@ -18,7 +18,7 @@ header or block of the record that jumps over them, and are glued back to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import materialize, salted_join
@@ -130,6 +130,25 @@ def _facts(raw: DataFrame) -> DataFrame:
         .alias("http_bytes"))
 
 
+def _inside() -> WindowSpec:
+    """The pieces of a split that come before one."""
+    return Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _earlier() -> WindowSpec:
+    """The splits of a file that come before one."""
+    return Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _offsets(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """((file, split, base), offset of a piece of ``rows`` joined with it).  A piece and the magic
+    after it fill the split; prefix sums give absolute offsets, whatever the splits are."""
+    filled = rows.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    bases = filled.select("file", "split", F.coalesce(F.sum("bytes").over(_earlier()), F.lit(0)).alias("base"))
+    inside = F.sum(F.col("size") + len(MAGIC)).over(_inside())
+    return bases, F.col("base") + F.coalesce(inside, F.lit(0)) - len(MAGIC)
+
+
 def warc_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per verified record: file, offset, length, type, record_id, target_uri,
     refers_to, declared_digest, got (payload bytes in its block), http_bytes, digest.
@@ -138,8 +157,7 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
     without a readable Content-Length, which is not returned; neither is what follows.
     A record that the end of the file cuts short is returned with the bytes there are.
     Archives without records give none."""
-    ordered = Window.partitionBy("file", "split").orderBy("row")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    before = _inside()
     facts = _facts(pieces(spark, path))
     slim = materialize(spark, facts.select(
         "file", "split", "row", "header", "block_bytes", "head", "skip", "http_bytes",
@@ -147,18 +165,14 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("value").cast("long").alias("size"),
         F.octet_length(F.expr(PAYLOAD)).cast("long").alias("got"),
         base32_sha1(F.expr(PAYLOAD)).alias("digest")), "pieces")
-    # A piece and the magic after it fill the split; prefix sums give absolute offsets.
+    bases, offset = _offsets(slim)
     closed = F.when(F.col("open"), 0).otherwise(1)
-    filled = slim.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"),
-                                               F.sum(closed).alias("closed"))
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = filled.select("file", "split", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b)
-                                             for c, b in (("bytes", "base"), ("closed", "ends"))])
+    before_split = slim.groupBy("file", "split").agg(F.sum(closed).alias("closed")).select(
+        "file", "split", F.coalesce(F.sum("closed").over(_earlier()), F.lit(0)).alias("ends"))
+    bases = bases.join(before_split, ["file", "split"])
     # A piece starts after its magic; what stands before a file's first magic is no candidate.
     # Pieces up to and with the next one that holds a header's end have the same ``ends``.
     steady = (F.col("head") + F.col("block_bytes") + len(END)).eqNullSafe(F.col("size"))
-    offset = F.col("base") + F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0)) \
-        - len(MAGIC)
     run = F.coalesce(F.sum(F.when(F.col("steady"), 0).otherwise(1)).over(before), F.lit(0))
     ends = F.col("ends") + F.coalesce(F.sum(closed).over(before), F.lit(0))
     cand = slim.withColumn("steady", steady).join(bases, ["file", "split"]).withColumn(
@@ -171,7 +185,8 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
         F.min("offset").alias("start"), F.max(F.struct("offset", "succ"))["succ"].alias("out"))
     landing = cand.select("file", F.col("offset").alias("out"),
                           F.struct("split", "run").alias("to"))
-    runs = materialize(spark, runs.join(landing, ["file", "out"], "left").select(
+    # Rows of pieces compress so well that their files look small enough to send around.
+    runs = materialize(spark, runs.join(landing.hint("merge"), ["file", "out"], "left").select(
         "file", F.struct("split", "run").alias("node"), "to", "start", "out"), "runs")
     entries = _reachable(spark, runs).select(
         "file", "entry", F.col("node.split").alias("split"), F.col("node.run").alias("run"))
@@ -201,11 +216,12 @@ def _long_headers(spark: SparkSession, cand: DataFrame) -> DataFrame:
     groups = cand.filter("open").select("file", "ends").distinct()
     if groups.isEmpty():
         return cand
-    rest = Window.partitionBy("file", "ends").orderBy("offset").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
+    # Backwards, so that the frame only grows.
+    rest = Window.partitionBy("file", "ends").orderBy(F.desc("offset")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     last = F.struct("offset", "head")
     mended = cand.join(groups, ["file", "ends"], "left_semi").withColumn(
-        "block_bytes", F.first("block_bytes", True).over(rest)).withColumn(
+        "block_bytes", F.last("block_bytes", True).over(rest)).withColumn(
         "head", F.max(last).over(rest)["offset"] - F.col("offset") + F.max(last).over(rest)["head"]
     ).withColumn("length", F.col("head") + F.col("block_bytes") + len(MAGIC) + len(END)).withColumn(
         "succ", F.col("offset") + F.col("length"))
@@ -219,8 +235,8 @@ def _reachable(spark: SparkSession, runs: DataFrame) -> DataFrame:
     Pointer jumping: after round k the first 2^k runs of each file's chain are known."""
     reach = runs.filter("start = 0").select("file", "node")
     jump = runs.filter("to is not null").select("file", "node", "to")
-    longest = runs.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(0, longest - 1).bit_length()):
+    longest = jump.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
         ahead = reach.join(jump, ["file", "node"]).select("file", F.col("to").alias("node"))
         reach = materialize(spark, reach.union(ahead).distinct(), "reach")
         jump = materialize(spark, jump.alias("a").join(
@@ -236,18 +252,27 @@ def _reachable(spark: SparkSession, runs: DataFrame) -> DataFrame:
 def _glued(spark: SparkSession, path: str, cand: DataFrame, torn: DataFrame) -> DataFrame:
     """RECORD of ``torn`` (records whose header or block holds magics), from all their bytes.
 
-    Only pieces that such a record jumps over are read a second time.  Verified records do
-    not overlap, so the owner of a piece is the last torn record at or before it."""
+    Only the files that hold such records are read a second time.  That scan may have other
+    splits than the first, so a piece is known by its offset in the file.  Verified records do
+    not overlap: the owner of a piece is the last torn record at or before it, found split by
+    split, with what earlier splits leave open carried over."""
     if torn.isEmpty():
         return torn.select(*RECORD)
+    files = torn.select("file").distinct()
     ends = torn.select("file", "offset", F.struct(F.col("offset").alias("at"), "succ").alias("own"))
-    near = cand.join(torn.select("file").distinct(), "file", "left_semi").join(
-        ends, ["file", "offset"], "left")
-    owned = near.withColumn("own", F.last("own", True).over(
-        Window.partitionBy("file").orderBy("offset"))).filter("offset < own.succ")
-    owned = materialize(spark, owned.select("file", "split", "row", "offset",
-                                            F.col("own.at").alias("at")), "owned")
-    parts = pieces(spark, path).join(owned, ["file", "split", "row"])
+    near = cand.join(files, "file", "left_semi").join(ends, ["file", "offset"], "left")
+    carried = near.groupBy("file", "split").agg(F.max("own").alias("own")).select(
+        "file", "split", F.last("own", True).over(_earlier()).alias("carried"))
+    here = F.last("own", True).over(Window.partitionBy("file", "split").orderBy("offset"))
+    owned = near.withColumn("own", here).join(carried, ["file", "split"]).withColumn(
+        "own", F.coalesce("own", "carried")).filter("offset < own.succ").select(
+        "file", "offset", F.col("own.at").alias("at"))
+    again = materialize(spark, pieces(spark, path).join(files, "file", "left_semi"), "again")
+    sized = again.select("file", "split", "row", F.octet_length("value").cast("long").alias("size"))
+    bases, offset = _offsets(sized)
+    places = sized.join(bases, ["file", "split"]).select("file", "split", "row", offset.alias("offset"))
+    parts = again.join(places.join(owned.hint("merge"), ["file", "offset"]).hint("merge"),
+                       ["file", "split", "row"])
     value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))),
                                      lambda x: x["value"]), MAGIC)
     whole = parts.groupBy("file", F.col("at").alias("offset")).agg(value.alias("value"))

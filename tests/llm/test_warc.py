@@ -142,3 +142,36 @@ def test_foreign_headers_with_magics(spark, scratch):
     assert {(r.record_id, r.got, r.http_bytes, r.digest) for r in rows} == {
         (f"<urn:page:{i}>", len(p), len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
         for i, p in ((1, b"ok"), (2, b"ok"), (3, b"okWARC/1."), (4, b"okWARC/1."), (5, b"ok"))}
+
+
+def test_many_magics_in_one_payload(spark, frame, scratch):
+    """Magics by the hundred thousand in a payload, and many in a url, are read in linear time."""
+    import time
+    pages = [(1, "http://a/", "WARC/1." * 300_000), (2, "http://b/" + "WARC/1." * 20_000, "two"), (3, "http://c/", "x")]
+    df = frame(pages, "page_id long, url string, html string", 1)
+    W.write_warc(spark, df, f"{scratch}/w")
+    start = time.time()
+    assert got(spark, f"{scratch}/w") == expected(pages)
+    assert time.time() - start < 120
+
+
+def test_scans_with_different_splits_agree(spark, frame, scratch, monkeypatch):
+    """The second scan of torn records has other splits than the first; nothing is lost."""
+    df = frame([(*p, "c") for p in PAGES], "page_id long, url string, html string, value string", 2)
+    W.write_warc(spark, df, f"{scratch}/w")
+    sizes, plain = iter(["97", "311", "53", "1000", "120", "77"]), W.pieces
+
+    def pieces(spark, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return plain(spark, path)
+    monkeypatch.setattr(W, "pieces", pieces)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = W.warc_index(spark, f"{scratch}/w")
+        assert len(rows.collect()) == len(PAGES) and int(next(sizes)) < 1000
+        monkeypatch.setattr(W, "pieces", plain)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "205")
+        assert got(spark, f"{scratch}/w") == expected(PAGES)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
