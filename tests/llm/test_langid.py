@@ -76,6 +76,36 @@ def test_visible_text():
     assert len(L.trigrams(b"")) == 0 and len(L.trigrams(b"ab")) == 2
 
 
+def test_visible_text_and_trigrams_match_a_plain_form():
+    import random
+    import re
+    plain = re.compile(rb"(?is)<(script|style)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>|&#?\w+;")
+    own = random.Random(1)
+    bits = [b"<", b">", b"<script", b"</script >", b"<style>", b"</style", b"<!--", b"-->", b"--", b"&amp;", b"&#9",
+            b";", b"a", b" b", b"\n", "\u00e9".encode(), b"/", b"<p>", b"&"]
+    for _ in range(6000):
+        h = b"".join(own.choice(bits) for _ in range(own.randint(0, 14)))
+        assert L.visible(h) == plain.sub(b" ", h), h
+        t = b" " + b" ".join(h.lower().split()) + b" "
+        want = [((a * 65599 * 65599 + b * 65599 + c) * 2654435761 % 2**32) >> 19 for a, b, c in zip(t, t[1:], t[2:])]
+        assert L.trigrams(h).tolist() == want
+
+
+@pytest.mark.parametrize("bad", [b"<", b"a< b ", b"<!", b"&a", b"<script ", b"</script ", b"<html ", b"--"])
+def test_broken_markup_takes_linear_time(bad):
+    import time
+    start = time.time()
+    L.visible(bad * (10_000_000 // len(bad)))
+    assert time.time() - start < 20
+
+
+def test_broken_markup_in_the_declaration(frame, spark):
+    rows = [(1, None, "<html " * 500_000), (2, None, "<html class=x lang='de'>"), (3, None, "<html <html lang=fr>")]
+    pages = frame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
+    docs = frame(DOCS, "doc_id long, text string, lang string, n_chars long")
+    assert {r.page_id: r.declared for r in L.identify(spark, pages, docs).collect()} == {1: "", 2: "de", 3: "fr"}
+
+
 def test_no_labels_and_empty(frame, spark):
     pages = frame(PAGES, "page_id long, url string, html string, host string")
     docs = frame(DOCS, "doc_id long, text string, lang string, n_chars long")
