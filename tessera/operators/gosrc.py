@@ -117,7 +117,8 @@ def go_tokens(files: DataFrame, key: str = "doc_id", text: str = "text",
          .withColumn("p5", F.lag("tok", 5).over(w))
          .withColumn("p2i", F.lag("i", 2).over(w)).withColumn("n1_id", F.lead("ident", 1).over(w))
          .withColumn("n1", F.lead("tok", 1).over(w)).withColumn("n2", F.lead("tok", 2).over(w))
-         .withColumn("n3", F.lead("tok", 3).over(w)).withColumn("n1i", F.lead("i", 1).over(w)))
+         .withColumn("n3", F.lead("tok", 3).over(w)).withColumn("n4", F.lead("tok", 4).over(w))
+         .withColumn("n5", F.lead("tok", 5).over(w)).withColumn("n1i", F.lead("i", 1).over(w)))
     # The last token before that is no ``*`` or ``...``, and the one before it.
     star = F.col("tok").isin("*", "...")
     wn = Window.partitionBy(key, "sig", star).orderBy("i")
@@ -277,12 +278,16 @@ def is_type_position(a: DataFrame):
 
 
 def type_after():
-    """Type descriptor written after a declared name: ``T``, ``*T``, ``[]T``
+    """Type descriptor written after a declared name: ``T``, ``p.T``, ``*T``, ``[]T``
     (null when the next token does not start a type)."""
-    n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
-    return (F.when(n1 == "*", F.concat(F.lit("*"), n2))
-            .when((n1 == "[") & (n2 == "]"), F.concat(F.lit("[]"), n3))
-            .when(F.col("n1_id") | (n1 == "struct"), n1))
+    n1, n2, n3, n4, n5 = (F.col(f"n{j}") for j in range(1, 6))
+
+    def named(name, dot, member):
+        return F.when(dot == ".", F.concat(name, dot, member)).otherwise(name)
+    return (F.when(n1 == "*", F.concat(F.lit("*"), named(n2, n3, n4)))
+            .when((n1 == "[") & (n2 == "]"), F.concat(F.lit("[]"), named(n3, n4, n5)))
+            .when(F.col("n1_id"), named(n1, n2, n3))
+            .when(n1 == "struct", n1))
 
 
 def is_label():
@@ -368,7 +373,8 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
                       | (F.col("p2") == "import") | F.col("p1").startswith('"'))
                    & T.unquote(F.col("tok")).isNull()).select(
         key, "beg", "end", F.lit(rules.MSG_INVALID_PATH).alias("msg"))
-    mem = go_members(a, spark, key, items, r).filter(F.col("msg").isNotNull()).select(
+    from .chains import go_chains  # it builds on this module
+    mem = go_chains(a, spark, key, items, r).filter(F.col("msg").isNotNull()).select(
         key, F.col("x_beg").alias("beg"), F.col("x_end").alias("end"), "msg")
     d = d1.unionByName(make).unionByName(unb).unionByName(mem).unionByName(
         go_pointer_checks(a, spark, key, items, r)).unionByName(lhs).unionByName(imp)

@@ -6,4 +6,4 @@ from .registry import QUERIES, ORACLES, query  # noqa: F401
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from . import commands, documents, edits, gosource, pages, session, types  # noqa: F401
+    from . import commands, documents, edits, gochains, gosource, pages, session, types  # noqa: F401
