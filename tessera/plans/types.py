@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index as IX
+from ..operators import structural as ST
 from ..sources.tables import table
 from .registry import query
 
@@ -76,3 +77,76 @@ def resolve_members(spark, sf_dir):
     msg = F.when(~is_struct, F.format_string("struct type required instead of '%s'",
                                              T.type_repr(F.col("owner"))))
     return j.select("p_partkey", "owner", "member", status.alias("status"), msg.alias("msg"))
+
+
+#: Types of a part: slot 0 a builtin by its size, slots 1 to 6 built one on the other (which head
+#: and which names: by size and slot), slots 7 and 8 a cyclic list whose cycle has 1 to 3 nodes.
+DEPTH = 6
+
+
+def _structures(spark, sf_dir):
+    """(nodes, edges) of all parts; a node's number is 100 times the key plus the slot."""
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") * 100).alias("k"), F.col("p_size").alias("z"))
+    lit = F.lit
+    none = lit(None).cast("string")
+    slot = p.withColumn("d", F.explode(F.sequence(lit(1), lit(DEPTH))))
+    head = F.element_at(F.array(*map(lit, ["Ref", "Array", "Func", "Struct"])), ((F.col("z") + F.col("d")) % 4 + 1).cast("int"))
+    deep = slot.withColumn("head", head)
+    sized = F.when((F.col("head") == "Array") & (F.col("z") % 2 == 0), lit("4"))
+    base = p.select(F.col("k").alias("node"), lit("Builtin").alias("head"), F.element_at(
+        F.array(*map(lit, ["int", "string", "bool"])), (F.col("z") % 3 + 1).cast("int")).alias("label"))
+    ring = p.withColumn("j", F.explode(F.sequence(lit(0), (F.col("z") % 3).cast("int"))))
+    at = F.col("k") + 10 + 2 * F.col("j")
+    nxt = F.col("k") + 10 + 2 * ((F.col("j") + 1) % (F.col("z") % 3 + 1))
+    name = F.concat(lit("v"), (F.col("z") % 2).cast("string"))
+    nodes = base.unionByName(deep.select((F.col("k") + F.col("d")).alias("node"), "head", sized.alias("label"))) \
+        .unionByName(ring.select(at.alias("node"), lit("Struct").alias("head"), none.alias("label"))) \
+        .unionByName(ring.select((at + 1).alias("node"), lit("Ref").alias("head"), none.alias("label")))
+
+    def edge(rows, node, pos, role, field, child):
+        return rows.select(node.alias("node"), lit(pos).alias("pos"), lit(role).alias("role"),
+                           field.alias("name"), child.alias("child"))
+    me, below = F.col("k") + F.col("d"), F.col("k") + F.col("d") - 1
+    func, struct = deep.filter("head = 'Func'"), deep.filter("head = 'Struct'")
+    edges = edge(deep.filter("head IN ('Ref', 'Array')"), me, 0, "elem", none, below)
+    for part in (edge(func, me, 0, "arg", none, below), edge(func, me, 1, "arg", none, F.col("k")),
+                 edge(func, me, 2, "result", none, below), edge(struct, me, 0, "field", lit("in"), below),
+                 edge(struct, me, 1, "field", name, F.col("k")),
+                 edge(ring, at, 0, "field", name, F.col("k")), edge(ring, at, 1, "field", lit("next"), at + 1),
+                 edge(ring, at + 1, 0, "elem", none, nxt)):
+        edges = edges.unionByName(part)
+    return nodes, edges
+
+
+@query("intern_structures", sql=f"""
+WITH RECURSIVE p AS (SELECT p_partkey * 100 AS k, p_size AS z, ['int', 'string', 'bool'][p_size % 3 + 1] AS b,
+                  'v' || p_size % 2 AS f FROM part),
+t AS (SELECT k, z, f, b, 0 AS d, 'Builtin' AS head, b AS canon, b AS repr FROM p
+      UNION ALL
+      SELECT k, z, f, b, d + 1, ['Ref', 'Array', 'Func', 'Struct'][(z + d + 1) % 4 + 1],
+             CASE (z + d + 1) % 4 WHEN 0 THEN 'R<' || canon || '>'
+                  WHEN 1 THEN 'A' || CASE WHEN z % 2 = 0 THEN '4' ELSE '' END || '<' || canon || '>'
+                  WHEN 2 THEN 'F<' || canon || '|' || b || '|' || canon || '>'
+                  ELSE 'S<' || canon || '|' || f || '|' || b || '>' END,
+             CASE (z + d + 1) % 4 WHEN 0 THEN '*' || repr
+                  WHEN 1 THEN CASE WHEN z % 2 = 0 THEN '[#]' ELSE '[]' END || repr
+                  WHEN 2 THEN 'Func (' || repr || ', ' || b || ') ' || repr
+                  ELSE 'struct {{' || chr(10) || '  in ' || repr || '  ' || f || ' ' || b || '}}' || chr(10) END
+      FROM t WHERE d < {DEPTH}),
+r AS (SELECT k, f, b, unnest(range(z % 3 + 1)) AS j FROM p),
+n AS (SELECT k + d AS node, head, canon, repr FROM t
+      UNION ALL SELECT k + 10 + 2 * j, 'Struct', 'ring<' || f || '|' || b || '>', NULL FROM r
+      UNION ALL SELECT k + 11 + 2 * j, 'Ref', 'R<ring<' || f || '|' || b || '>>', NULL FROM r),
+c AS (SELECT canon, head, min(node) AS first, count(*) AS n_nodes, any_value(repr) AS repr FROM n GROUP BY canon, head)
+SELECT CAST(row_number() OVER (ORDER BY first) AS BIGINT) AS type_no, head, CAST(first AS BIGINT) AS first_node,
+       CAST(n_nodes AS BIGINT) AS n_nodes, repr FROM c
+""")
+def intern_structures(spark, sf_dir):
+    """I3 + F15: Ref, Array, Func and Struct types nested to depth 6, and cyclic ones: one number
+    per structure, with its text (null for parts of a cycle)."""
+    nodes, edges = _structures(spark, sf_dir)
+    numbers = ST.intern_structures(nodes, edges).checkpoint()
+    count = numbers.groupBy("type_no").agg(F.min("first").alias("first_node"), F.count(F.lit(1)).alias("n_nodes"))
+    return ST.structure_texts(nodes, edges, numbers).join(count, "type_no").select(
+        "type_no", "head", "first_node", "n_nodes",
+        F.when(~F.col("repr").contains("#") | F.col("repr").contains("[#]"), F.col("repr")).alias("repr"))
