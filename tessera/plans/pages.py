@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import index as IX
+from ..operators.choices import choices_at
 from ..operators.resolve import keyed_by_prefix, resolve_refs, visible_at
 from ..operators.scopes import annotate_scopes, inside_count, scopes
 from ..sources.catalog import dir_tree, url_parts
 from ..sources.sinks import errors_lines
 from ..sources.tables import table
+from ..session import ensure_checkpoint_dir
 from .registry import query, sql_str
 from .documents import _ESC_SQL
 from .sqlparts import byte_fold_sql, tokens_cte
@@ -569,3 +571,45 @@ def render_errors(spark, sf_dir):
         "page_id", "beg", "end", "msg").withColumn("lvl", F.lit(rules.LVL_ERROR))
     paths = table(spark, sf_dir, "pages").select("page_id", url_path(F.col("url")).alias("path"))
     return errors_lines(d, "page_id", fname="path", groups=paths)
+
+
+CHOICE_SQL = """
+ccur AS (SELECT page_id, i, beg + strlen(substr(tok, 1, 1 + i % 4)) AS pos, substr(tok, 1, 1 + i % 4) AS pref FROM refs),
+cand AS (
+  SELECT c.page_id, c.i, c.pref, d.name, d.kind, CASE WHEN d.depth > 0 THEN 0 ELSE 2 END AS tier, d.i AS decl_i, d.beg, d."end"
+  FROM ccur c JOIN decls d ON d.page_id = c.page_id AND starts_with(d.name, c.pref)
+   AND (d.depth = 0 OR d.beg < c.pos AND (d.vis_end IS NULL OR c.pos < d.vis_end))
+  UNION ALL
+  SELECT c.page_id, c.i, c.pref, b.name, b.kind, 3, NULL, NULL, NULL FROM ccur c JOIN builtins b ON starts_with(b.name, c.pref))"""
+
+
+def _choices(spark, sf_dir, shadowed: bool) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    a = annotated(spark, sf_dir).checkpoint()
+    it = html_items(a)
+    pref = F.substring(F.col("tok"), F.lit(1), (1 + F.col("i") % 4).cast("int"))
+    cursors = it.filter("is_ref").select("page_id", F.col("i").alias("cursor"), pref.alias("pref"),
+                                         (F.col("beg") + F.octet_length(pref)).alias("pos"), "scope_i")
+    scopes_ = a.filter("kind = 'open'").select("page_id", F.col("i").alias("scope_i"), F.col("scope_i").alias("parent_i"))
+    return choices_at(it.filter("is_decl"), cursors, scopes_, "page_id", page_builtins(spark, sf_dir), shadowed).select(
+        "page_id", F.col("cursor").alias("i"), "pref", F.col("name").alias("choice"), "kind", "tier", "decl_i", "beg", "end")
+
+
+@query("choices", sql=f"""
+WITH {ITEMS_CTE}, {CHOICE_SQL}
+SELECT page_id, i, pref, name AS choice, kind, tier, decl_i, beg, "end" FROM cand
+""")
+def choices(spark, sf_dir):
+    """W4 + J10: every choice at every cursor (after 1 to 4 characters of each reference word), with
+    kind, tier and span; shadowed ones too."""
+    return _choices(spark, sf_dir, True)
+
+
+@query("choices_unshadowed", sql=f"""
+WITH {ITEMS_CTE}, {CHOICE_SQL}
+SELECT page_id, i, pref, name AS choice, kind, tier, decl_i, beg, "end" FROM cand
+QUALIFY row_number() OVER (PARTITION BY page_id, i, name ORDER BY tier, beg DESC) = 1
+""")
+def choices_unshadowed(spark, sf_dir):
+    """W4 + J10: the choices without those that a nearer declaration of the name hides."""
+    return _choices(spark, sf_dir, False)

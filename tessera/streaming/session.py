@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators.asof import asof_latest
+from ..operators.choices import range_blocks, ranked
+from ..operators.topk import first_per_key
 from ..operators.numbering import dense_number
 from ..operators.gosrc import go_builtins, go_diagnostics, go_fontify, go_items, go_tokens
 from ..session import ensure_checkpoint_dir
@@ -116,12 +118,10 @@ def process_commands(cmds: DataFrame, corpus: DataFrame, codeblocks: bool = Fals
     # Only prefixes that some command asks for, each answered once: its first ``max`` paths
     # (a rank that is cut at the largest request), then one join back to the commands.
     asked = ff.groupBy("pfx").agg(F.max("max").alias("_most"))
-    lens = asked.select(F.length("pfx").alias("_len")).distinct()
-    pre = files.select("path", "name").join(F.broadcast(lens), F.col("_len") <= F.length("name")) \
-        .select("path", F.expr("substring(name, 1, _len)").alias("pfx"))
-    wf = Window.partitionBy("pfx").orderBy("path")
-    hits = (pre.join(asked, "pfx").withColumn("_r", F.row_number().over(wf))
-            .filter(F.col("_r") <= F.col("_most")))
+    lens = asked.agg(F.collect_set(F.length("pfx")).alias("_lens"))  # lengths, not prefixes
+    pre = files.select("path", "name").withColumn("_lens", lens.scalar()).withColumn("_len", F.explode(
+        F.filter("_lens", lambda k: k <= F.length("name")))).select("path", F.expr("substring(name, 1, _len)").alias("pfx"))
+    hits = first_per_key(pre.join(asked, "pfx"), "pfx", ["path"], F.col("_most"), "_r")
     kept = ff.join(hits, "pfx").filter(F.col("_r") <= F.col("max"))
     body = kept.select("seq", F.col("_r").cast("bigint").alias("line_no"),
                        F.concat(F.lit("  "), _q(F.col("path"))).alias("line"))
@@ -220,22 +220,31 @@ def _complete(spark, cm: DataFrame, a: DataFrame) -> list[DataFrame]:
                    & ~F.col("tok").isin(rules.GO_KEYWORDS)).select(
         F.col("doc_id").alias("vkey"), F.col("beg").alias("ibeg"), F.col("end").alias("iend"),
         F.col("tok").alias("ident"))
-    hit = cur.join(ids, "vkey").filter((F.col("ibeg") <= F.col("pos")) & (F.col("pos") <= F.col("iend")))
-    hit = hit.withColumn("_r", F.row_number().over(
-        Window.partitionBy("seq").orderBy(F.desc("ibeg")))).filter("_r = 1").drop("_r")
+    # The identifier at a cursor is the last one that begins at or before it: one sweep.
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ibeg", "bigint"), ("iend", "bigint"), ("ident", "string"))]
+    ev = ids.select("vkey", F.lit(None).cast(cur.schema["seq"].dataType).alias("seq"), F.lit(None).cast("int").alias("pos"),
+                    "ibeg", "iend", "ident", F.struct(F.col("ibeg").cast("bigint").alias("p"), F.lit(0).alias("t")).alias("_e")) \
+        .unionByName(cur.select("vkey", "seq", "pos", *none, F.struct(
+            F.col("pos").cast("bigint").alias("p"), F.lit(1).alias("t")).alias("_e")))
+    sweep = Window.partitionBy("vkey").orderBy("_e.p", "_e.t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("ident").isNotNull(), F.struct("ibeg", "iend", "ident")), ignorenulls=True).over(sweep)
+    hit = ev.withColumn("_id", last).filter(F.col("seq").isNotNull()).select(
+        "vkey", "seq", "pos", "_id.ibeg", "_id.iend", "_id.ident").filter("pos <= iend")
     hit = hit.withColumn("pref", F.substring("ident", 1, F.col("pos") - F.col("ibeg")))
-    # Prefix matching as an equality: every candidate name is exploded into
-    # its prefixes (names are short), so only matching candidates pair up.
-    def prefixes(df: DataFrame) -> DataFrame:
-        return df.withColumn("pref", F.explode(F.transform(
-            F.sequence(F.lit(0), F.length("choice")), lambda k: F.substring("choice", 1, k))))
-    decls = prefixes(go_items(a).filter("is_decl").select(
-        F.col("doc_id").alias("vkey"), F.col("name").alias("choice"), "kind",
-        F.col("beg").alias("dbeg"), "local", "vis_end"))
+    # The names with a prefix are a range of ranks, and a range is a few blocks of ranks.
+    decls = go_items(a).filter("is_decl").select(
+        F.col("doc_id").alias("vkey"), "name", "kind", F.col("beg").alias("dbeg"), "local", "vis_end")
+    decls, asked = ranked(decls, hit, "vkey")
+    sizes = F.lit(31)
+    decls = decls.withColumn("_size", F.explode(F.sequence(F.lit(0), sizes))).withColumn(
+        "_block", F.expr("shiftright(rank, _size)").cast("bigint")).withColumnRenamed("name", "choice")
+    asked = asked.withColumn("_b", F.explode(range_blocks(F.col("lo"), F.col("hi"), 31))).select(
+        *hit.columns, F.col("_b.size").alias("_size"), F.col("_b.block").alias("_block"))
     vis = (F.col("dbeg") < F.col("pos")) & (F.col("vis_end").isNull() | (F.col("pos") < F.col("vis_end")))
-    loc = hit.join(decls, ["vkey", "pref"]).filter(~F.col("local") | vis)
+    loc = asked.join(decls, ["vkey", "_size", "_block"]).filter(~F.col("local") | vis)
     loc = loc.withColumn("_tier", F.when(F.col("local"), 0).otherwise(2))
-    b = prefixes(go_builtins(spark).select(F.col("name").alias("choice"), "kind"))
+    b = go_builtins(spark).select(F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring(
+        "name", 1, k))).alias("pref"), F.col("name").alias("choice"), "kind")
     # the builtin table is fixed (30 names, a few hundred prefixes): broadcast
     bl = hit.join(F.broadcast(b), "pref").withColumn(
         "_tier", F.lit(3)).withColumn("dbeg", F.lit(None).cast("bigint"))

@@ -1,0 +1,88 @@
+"""Choices at cursors against every declaration of the document, on random nested scopes."""
+
+import random
+
+import pytest
+
+from tessera.operators import choices as C
+
+NAMES = ["a", "ab", "abc", "abd", "b", "ba", "éa", "éab", "z"]
+
+
+def document(own, doc):
+    """Random scopes, declarations and cursors at increasing positions."""
+    scopes, decls, cursors, stack, pos = [], [], [], [], 0
+    for i in range(own.randrange(5, 60)):
+        pos += own.randrange(1, 3)
+        what = own.random()
+        if what < 0.2:
+            scopes.append([doc, i, stack[-1] if stack else None])
+            stack.append(i)
+        elif what < 0.35 and stack:
+            done = stack.pop()
+            for d in decls:
+                if d[7] == done:
+                    d[8] = pos
+        elif what < 0.7:
+            decls.append([doc, i, own.choice(NAMES), "TYPE", bool(stack), pos, pos + 1, stack[-1] if stack else None, None])
+        else:
+            cursors.append([doc, i, pos, own.choice(NAMES)[:own.randrange(0, 3)], stack[-1] if stack else None])
+    return scopes, decls, cursors
+
+
+@pytest.mark.parametrize("shadowed", [True, False])
+def test_choices_match_all_declarations(spark, shadowed):
+    own = random.Random(4)
+    scopes, decls, cursors = ([x for part in parts for x in part] for parts in zip(*(document(own, d) for d in range(25))))
+    builtins = [("abc", "FUNC"), ("zz", "FUNC")]
+    got = C.choices_at(
+        spark.createDataFrame(decls, "doc long, i long, name string, kind string, local boolean, beg long, end long, "
+                                     "scope_i long, vis_end long"),
+        spark.createDataFrame(cursors, "doc long, cursor long, pos long, pref string, scope_i long"),
+        spark.createDataFrame(scopes, "doc long, scope_i long, parent_i long"), "doc",
+        spark.createDataFrame(builtins, "name string, kind string"), shadowed).collect()
+    want = []
+    for doc, cur, pos, pref, _ in cursors:
+        mine = [(doc, cur, d[2], 0 if d[4] else 2, d[1], d[5]) for d in decls
+                if d[0] == doc and d[2].startswith(pref) and (not d[4] or d[5] < pos and (d[8] is None or pos < d[8]))]
+        mine += [(doc, cur, n, 3, None, None) for n, _ in builtins if n.startswith(pref)]
+        if not shadowed:
+            best = {}
+            for m in sorted(mine, key=lambda m: (m[3], -(m[5] or 0))):
+                best.setdefault(m[2], m)
+            mine = list(best.values())
+        want += mine
+    assert sorted((tuple((r.doc, r.cursor, r.name, r.tier, r.decl_i, r.beg)) for r in got), key=str) == sorted(want, key=str)
+    assert len(want) > 300
+
+
+def test_blocks_make_up_the_range(spark):
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([(a, b) for a in range(18) for b in range(18)], "lo long, hi long")
+    for r in rows.withColumn("b", C.range_blocks(F.col("lo"), F.col("hi"), 5)).collect():
+        held = [n for s, k in r.b for n in range(k << s, (k + 1) << s)]
+        assert sorted(held) == list(range(r.lo, r.hi)) and len(r.b) <= 8
+
+
+def test_ancestors_and_empty(spark):
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(20)], "doc long, scope_i long, parent_i long")
+    got = {(r.scope_i, r.anc) for r in C.scope_ancestors(chain, "doc").collect()}
+    assert got == {(i, j) for i in range(20) for j in range(i + 1)}
+    d = spark.createDataFrame([], "doc long, i long, name string, kind string, local boolean, beg long, end long, "
+                                  "scope_i long, vis_end long")
+    c = spark.createDataFrame([(1, 1, 1, "", None)], "doc long, cursor long, pos long, pref string, scope_i long")
+    assert C.choices_at(d, c, chain, "doc").count() == 0
+
+
+def test_first_rows_per_key(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.topk import first_per_key
+    own = random.Random(9)
+    rows = [(own.choice(["", "a", "b"]), i) for i in range(3000)] + [("c", 5)]
+    limits = {"": 40, "a": 3, "b": 5000, "c": 0}
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    limit = F.coalesce(*[F.when(F.col("k") == k, n) for k, n in limits.items()])
+    got = sorted((r.k, r.rank, r.v) for r in first_per_key(df, "k", ["v"], limit, salts=4).collect())
+    want = [(k, i, v) for k in limits for i, v in enumerate(sorted(v for x, v in rows if x == k)[:limits[k]], 1)]
+    assert got == sorted(want)
