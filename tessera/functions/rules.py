@@ -60,6 +60,7 @@ LITERAL_TYPES = {"STRING": "string", "CHAR": "int", "INT": "int",
 # --- FIXED VALUES: diagnostics levels and messages --------------------------
 LVL_INFO, LVL_WARN, LVL_ERROR = "INFO", "WARN", "ERROR"
 MSG_TYPE_UNDEFINED = "type `%s' undefined"
+MSG_VALUE_UNDEFINED = "`%s' undefined"
 MSG_TYPE_IDENT_REQUIRED = "type ident required"
 MSG_STRUCT_REQUIRED = "struct type required instead of '%s'"
 MSG_POINTER_REQUIRED = "pointer type required"
@@ -67,6 +68,9 @@ MSG_TYPE_ARG_REQUIRED = "type argument required"
 MSG_INVALID_PATH = "invalid path syntax"
 MSG_IDENT_REQUIRED = "ident node required"
 MSG_UNBALANCED = "invalid expression node"
+MSG_BRACKET_EXPECTED = "expected '%s', found '%s'"
+MSG_BRACKET_OPEN = "missing '%s'"
+MSG_BRACKET_STRAY = "unexpected '%s'"
 ERROR_WIDTH_PREFIX = "expected '.', found 'IDENT' "
 
 # --- FIXED VALUES: command protocol ----------------------------------------

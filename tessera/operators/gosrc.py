@@ -28,7 +28,8 @@ run once over parentheses and once over braces).  Rules:
   struct fields, across the files of a package.
 * diagnostics: undefined type, type ident required, struct type required,
   pointer type required, ``make()`` without a type, ident node required,
-  invalid path syntax, unbalanced braces.
+  invalid path syntax, unbalanced braces, parentheses and brackets, and on
+  request undefined values.
 """
 
 from __future__ import annotations
@@ -348,15 +349,60 @@ def resolved_once(a: DataFrame, spark, key: str) -> tuple[DataFrame, DataFrame]:
     return items, go_resolve(a, spark, key, items).checkpoint()
 
 
-def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+#: Words that start a statement and cannot stand inside parentheses but in a block.
+STATEMENT_WORDS = ["if", "for", "switch", "select", "go", "defer", "return", "break", "continue", "goto",
+                   "fallthrough", "case", "default", "package", "var", "const", "type"]
+
+
+def go_brackets(a: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, beg, end, msg): parentheses and brackets without their partner.
+
+    Braces bind stronger: brackets match among those directly in one brace scope, and start
+    anew at a word that starts a statement, so an error does not spread further.  A closing
+    bracket that nothing is open for is unexpected and opens no level; one that meets the
+    other kind is reported, and takes its level's open one; what is open at the end is missing
+    its partner.  Levels are running sums, so a scope of any size is one pass."""
+    tok = F.col("tok")
+    starts = F.col("sig") & F.col("raw_prev").contains("\n") & tok.isin(STATEMENT_WORDS)
+    b = a.filter(F.col("sig") & (tok.isin("(", ")", "[", "]") | starts)).select(
+        key, "i", "tok", "beg", "end", F.coalesce("scope_i", F.lit(-1)).alias("_in"),
+        (~tok.isin("(", ")", "[", "]")).alias("_starts"))
+    run = Window.partitionBy(key, "_in").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("_st", F.sum(F.col("_starts").cast("int")).over(run)).filter("NOT _starts")
+    part = [key, "_in", "_st"]
+    w = Window.partitionBy(*part).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = tok.isin("(", "[")
+    b = b.withColumn("_s", F.sum(F.when(opens, 1).otherwise(-1)).over(w))
+    low = F.least(F.lit(0), F.min("_s").over(w))
+    b = b.withColumn("_low", low).withColumn("_was", F.coalesce(F.lag("_low", 1).over(
+        Window.partitionBy(*part).orderBy("i")), F.lit(0)))
+    stray = ~opens & (F.col("_low") < F.col("_was"))
+    b = b.withColumn("_stray", stray).withColumn("_level", F.col("_s") - F.col("_low") + F.when(opens, 0).otherwise(1))
+    beside = Window.partitionBy(*part, "_level", "_stray").orderBy("i")
+    b = b.withColumn("_next", F.lead("tok", 1).over(beside)).withColumn("_prev", F.lag("tok", 1).over(beside))
+    closer = F.when(tok == "(", ")").when(tok == "[", "]")
+    wanted = F.when(F.col("_prev") == "(", ")").otherwise("]")
+    msg = (F.when(F.col("_stray"), F.format_string(rules.MSG_BRACKET_STRAY, tok))
+           .when(opens & F.col("_next").isNull(), F.format_string(rules.MSG_BRACKET_OPEN, closer))
+           .when(~opens & (wanted != tok), F.format_string(rules.MSG_BRACKET_EXPECTED, wanted, tok)))
+    width = T.error_width(msg)
+    return b.withColumn("msg", msg).filter(F.col("msg").isNotNull()).select(
+        key, "beg", (F.col("beg") + width).cast("bigint").alias("end"), "msg")
+
+
+def go_diagnostics(a: DataFrame, spark, key: str = "doc_id", include_values: bool = False) -> DataFrame:
     """X5 for Go: undefined types, values used as types, struct and pointer
     requirements, ``make()`` without a type argument, non-names left of
-    ``:=``, bad import literals, unbalanced braces.  ``(key, lvl, beg, end, msg)``."""
+    ``:=``, bad import literals, unbalanced braces, parentheses and brackets.
+    ``include_values``: undefined values too (J9).  ``(key, lvl, beg, end, msg)``."""
     items, r = resolved_once(a, spark, key)
     undefined = F.col("type_pos") & F.col("tier").isNull()
     not_type = F.col("type_pos") & F.col("tier").isNotNull() & ~F.col("decl_kind").isin("TYPE", "PACKAGE")
     msg = (F.when(undefined, F.format_string(rules.MSG_TYPE_UNDEFINED, F.col("name")))
            .when(not_type, F.lit(rules.MSG_TYPE_IDENT_REQUIRED)))
+    if include_values:
+        msg = F.coalesce(msg, F.when(~F.col("type_pos") & F.col("tier").isNull(),
+                                     F.format_string(rules.MSG_VALUE_UNDEFINED, F.col("name"))))
     d1 = r.select(key, "beg", "end", msg.alias("msg")).filter(F.col("msg").isNotNull())
     make = a.filter((F.col("tok") == "make") & (F.col("n1") == "(") & (F.col("n2") == ")")).select(
         key, "beg", "end", F.lit(rules.MSG_TYPE_ARG_REQUIRED).alias("msg"))
@@ -377,7 +423,7 @@ def go_diagnostics(a: DataFrame, spark, key: str = "doc_id") -> DataFrame:
     mem = go_chains(a, spark, key, items, r).filter(F.col("msg").isNotNull()).select(
         key, F.col("x_beg").alias("beg"), F.col("x_end").alias("end"), "msg")
     d = d1.unionByName(make).unionByName(unb).unionByName(mem).unionByName(
-        go_pointer_checks(a, spark, key, items, r)).unionByName(lhs).unionByName(imp)
+        go_pointer_checks(a, spark, key, items, r)).unionByName(lhs).unionByName(imp).unionByName(go_brackets(a, key))
     return d.select(key, F.lit(rules.LVL_ERROR).alias("lvl"), "beg", "end", "msg")
 
 
