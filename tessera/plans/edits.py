@@ -6,10 +6,14 @@ an assistant turn appends it, a system turn replaces the whole text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
+from ..streaming import derived as D
 from ..streaming.edits import conversation_edits, dirty_recompute, fold_edits
 from .registry import query
 
@@ -98,3 +102,52 @@ def dirty_recompute_q(spark, sf_dir):
     old = state.select("conv_id", F.octet_length("bin").cast("bigint").alias("old_len"))
     return new.join(old, "conv_id").select(
         "conv_id", "old_len", F.octet_length("bin").cast("bigint").alias("new_len"), "dirty")
+
+
+#: Conversations as files of packages (id modulo 40) that grow turn by turn; three batches.
+BATCH_OF = "CASE WHEN turn < 2 THEN 0 WHEN turn < 4 THEN 1 ELSE 2 END"
+WORDS_SQL = f"""
+t AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id::VARCHAR AS key, (conv_id % 40)::VARCHAR AS pkg, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM t),
+f AS (SELECT key, pkg, lower(w) AS name, count(*) FILTER (regexp_matches(w, '^[A-Z]')) AS n_decl,
+             count(*) FILTER (regexp_matches(w, '^[a-z]')) AS n_ref FROM w GROUP BY ALL),
+i AS (SELECT pkg, name, sum(n_decl) AS n_decl, sum(n_ref) AS n_ref, count(*) AS n_files FROM f GROUP BY pkg, name)"""
+
+
+def _word_occurrences(texts):
+    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0)))
+    return texts.select("key", words.alias("w")).select("key", F.lower("w").alias("name"),
+                                                        F.col("w").rlike("^[A-Z]").alias("is_decl"))
+
+
+def _derived(spark, sf_dir):
+    """(folder, batches) of the state after all batches."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived-{uuid.uuid4().hex}"
+    conv = table(spark, sf_dir, "conversations").withColumn("_b", F.expr(BATCH_OF))
+    for b in range(3):
+        grown = conv.filter(F.col("_b") <= b).groupBy("conv_id").agg(
+            F.max("_b").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(  # one conversation
+                F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+        batch = grown.filter(F.col("last") == b).select(F.col("conv_id").cast("string").alias("key"), (
+            F.col("conv_id") % 40).cast("string").alias("pkg"), "text")
+        D.apply_batch(spark, path, b, batch, list(range(b)), _word_occurrences)
+    return path, [0, 1, 2]
+
+
+@query("derived_symbols", sql=f"""
+WITH {WORDS_SQL}
+SELECT pkg, name, n_decl::BIGINT AS n_decl, n_ref::BIGINT AS n_ref, n_files::BIGINT AS n_files FROM i
+""")
+def derived_symbols(spark, sf_dir):
+    """The symbol index after three batches of changed files, kept by signed deltas."""
+    return D.symbol_state(spark, *_derived(spark, sf_dir))
+
+
+@query("derived_diagnostics", sql=f"""
+WITH {WORDS_SQL}
+SELECT f.key, f.name, f.n_ref::BIGINT AS n FROM f JOIN i USING (pkg, name) WHERE f.n_ref > 0 AND i.n_decl = 0
+""")
+def derived_diagnostics(spark, sf_dir):
+    """Undefined names per file after three batches; only files that depend on a change are
+    diagnosed again."""
+    return D.diagnostics_state(spark, *_derived(spark, sf_dir))
