@@ -70,6 +70,15 @@ def measure(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFra
                      [pa.int64()] * len(STATS))
 
 
+#: 128 bits that tell texts apart.
+COPY = ["_copy0", "_copy1"]
+
+
+def _with_copies(slim: DataFrame) -> DataFrame:
+    return slim.withColumns({c: F.xxhash64(F.lit(i), F.coalesce(F.col("_t").cast("string"), F.lit("")))
+                             for i, c in enumerate(COPY)})
+
+
 def rate(rule: str) -> Column:
     part, whole = RATES[rule]
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
@@ -80,13 +89,20 @@ def base_failed() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), summed in exact order from the largest log term's scale."""
-    if k >= n:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
-            + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    """P(Bin(n, p) <= k).  The terms are summed from k away from the mean, each from the one
+    before it, until they no longer count: some multiples of sqrt(n) terms."""
+    if k >= n or k < 0:
+        return float(k >= n)
+    up = k >= (n + 1) * p
+    i = k + 1 if up else k
+    first = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    term = total = 1.0
+    while term > 1e-18 * total and (i < n if up else i > 0):
+        term *= (n - i) * p / ((i + 1) * (1 - p)) if up else i * (1 - p) / ((n - i + 1) * p)
+        i += 1 if up else -1
+        total += term
+    side = min(1.0, math.exp(first) * total)
+    return 1.0 - side if up else side
 
 
 def choose(good: list[int], bad: list[int], n: int, risk: float, level: float) -> float | None:
@@ -102,16 +118,20 @@ def choose(good: list[int], bad: list[int], n: int, risk: float, level: float) -
 
 def calibrate(spark: SparkSession, measured: DataFrame, labels: DataFrame, id_col: str,
               stratum_col: str, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """(stratum, one cut_<rule> column per rule; null: off) from all labelled documents.
+    """(stratum, one cut_<rule> column per rule; null: off) from all labelled texts.
 
     ``labels``: (id, quality 0/1); null labels are left out, an id with both counts as bad.
+    Copies are no independent observations: a text that several labelled rows of a stratum
+    hold (COPY, a hash of it) counts once, as bad if any of them is.
     The counts above each cutoff are one mergeable aggregate per stratum, so a stratum of
     a third of all rows costs one row per task."""
     truth = labels.filter("quality is not null").groupBy(F.col(id_col).alias("_label_id")).agg(
         F.min("quality").alias("_good"))
     rows = measured.filter(~base_failed()).join(
         truth, F.col(id_col) == F.col("_label_id")).select(
-        _stratum(stratum_col).alias("stratum"), "_good", *[rate(r).alias(f"_{r}") for r in RATES])
+        _stratum(stratum_col).alias("stratum"), "_good", *COPY, *[rate(r).alias(f"_{r}") for r in RATES])
+    rows = rows.groupBy("stratum", *COPY).agg(
+        F.min("_good").alias("_good"), *[F.min(f"_{r}").alias(f"_{r}") for r in RATES])
     above = [F.count_if((F.col(f"_{r}") > c) & (F.col("_good") == g)).alias(f"{r}_{g}_{j}")
              for r in RATES for g in (0, 1) for j, c in enumerate(CUTOFFS)]
     counts = materialize(spark, rows.groupBy("stratum").agg(
@@ -153,12 +173,12 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, id
     """Per row: id, the STATS counts, base_failed, kept.
 
     Null and empty texts have no words and fail the base rules.  Repeated rows each return
-    (and each count as a labelled document); null ids have no label; null strata are one
+    (copies count once in the bounds); null ids have no label; null strata are one
     stratum; empty tables give no rows, no labels no cutoffs.  Other columns are ignored."""
     src = docs.select(F.col(id_col), F.col(text_col).alias("_t"), F.col(stratum_col).alias("_s"))
-    measured = materialize(spark, measure(src, [id_col, "_s"], "_t"), "measured")
+    measured = materialize(spark, measure(_with_copies(src), [id_col, "_s", *COPY], "_t"), "measured")
     cutoffs = calibrate(spark, measured, labels, id_col, "_s", risk, delta)
-    return judge(measured, cutoffs, "_s").drop("_s")
+    return judge(measured, cutoffs, "_s").drop("_s", *COPY)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
@@ -167,7 +187,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: s
     """``docs`` (all columns) without the rows that the verdict rejects."""
     # Counts of all rows meet the labels: small rows are shuffled, no texts.
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_t"), F.col(stratum_col).alias("_s"))
-    cutoffs = calibrate(spark, measure(slim, [id_col, "_s"], "_t"), labels, id_col, "_s", risk, delta)
+    cutoffs = calibrate(spark, measure(_with_copies(slim), [id_col, "_s", *COPY], "_t"), labels, id_col, "_s", risk, delta)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # theirs may clash with the counts
     hidden = docs.select([F.col(f"`{c}`").alias(h) for c, h in names.items()])
     judged = judge(measure(hidden, list(names.values()), names[text_col]), cutoffs, names[stratum_col])

@@ -1,3 +1,4 @@
+import random
 import re
 from fractions import Fraction
 from math import comb
@@ -87,3 +88,25 @@ def test_false_rejection_is_within_risk(spark):
         n = r["count(1)"]
         lost = rows.filter((rows.lang == r["lang"]) & ~rows.kept).count()
         assert lost <= 0.05 * n
+
+
+def test_binomial_tail_of_many_documents_is_quick():
+    import time
+    start = time.time()
+    assert Q.binomial_tail(5 * 10**7, 10**8, 0.5) == pytest.approx(0.5, abs=1e-3)
+    assert Q.binomial_tail(4 * 10**6, 10**8, 0.05) < 1e-100 and Q.binomial_tail(6 * 10**6, 10**8, 0.05) == pytest.approx(1)
+    assert time.time() - start < 5
+
+
+def test_copies_are_one_observation(frame, spark):
+    """A text that many labelled rows hold moves no cutoff more than once."""
+    own = random.Random(3)
+    text = lambda shout: " ".join(w.upper() if shout else w for w in (f"w{own.randrange(999)}" for _ in range(40)))
+    rows = [(i, text(i % 4 == 0), "en", i % 4 != 0) for i in range(1600)]
+    one = [(i, t, s) for i, t, s, _ in rows]
+    copies = one + [(9000 + i, rows[1][1], "en") for i in range(300)]
+    labels = [(i, int(g)) for i, _, _, g in rows] + [(9000 + i, 1) for i in range(300)]
+    verdict = lambda docs: {r.doc_id: r.kept for r in Q.quality_verdicts(
+        spark, frame(docs, "doc_id long, text string, lang string"), frame(labels, "doc_id long, quality int")).collect()}
+    a, b = verdict(one), verdict(copies)
+    assert {i: k for i, k in b.items() if i < 9000} == a and not all(a.values())
