@@ -26,6 +26,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where columns of ``df`` have them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def row_hash(df: DataFrame, seed: int, columns: list[str]) -> Column:
+    """64 bits of the columns' values; a null counts by its place."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str,
                 spread: list[str], salts: int = 16) -> DataFrame:
     """Equi-join that deals every key of ``big`` over ``salts`` partitions.

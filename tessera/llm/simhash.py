@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_texts, materialize, salted_join
+from .common import connected_components, fresh, map_texts, materialize, row_hash, salted_join
 
 BITS = 64
 SEED = 42
@@ -183,16 +183,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
     Null ids come last.  Of rows that repeat that id in the component, the least by a 128-bit
     hash of the row (its columns but for maps) stays.  Rows of other components that repeat
     the id, null included, are left to theirs."""
+    k0, k1 = fresh(docs, "_k0", "_k1")
+    parts = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+
     def key(df: DataFrame) -> DataFrame:  # never null: the join and the last step share one shuffle
-        parts = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-        return df.withColumns({f"_k{i}": F.xxhash64(F.lit(i), *parts) for i in (0, 1)})
+        return df.withColumns({k: row_hash(docs, i, parts) for i, k in enumerate((k0, k1))})
     row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_k0", "_k1")
-    fp = map_texts(key(docs).select(F.col(id_col).alias("_id"), "_k0", "_k1", F.col(text_col).alias("_t")),
-                   ["_id", "_k0", "_k1"], "_t", lambda t: (simhash(t, shingle),), "fp long", [pa.int64()])
+    slim = key(docs).select(F.col(id_col).alias("_id"), F.col(k0).alias("_k0"), F.col(k1).alias("_k1"),
+                            F.col(text_col).alias("_t"))
+    fp = map_texts(slim, ["_id", "_k0", "_k1"], "_t", lambda t: (simhash(t, shingle),), "fp long", [pa.int64()])
     # One mergeable minimum per fingerprint, then one per component.
     values = materialize(spark, fp.groupBy("fp").agg(F.min(row).alias("first")), "values")
     comp = connected_components(spark, links(spark, values, radius))
     keep = values.join(comp, values["fp"] == comp["node"], "left").groupBy(
         F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    keep = materialize(spark, keep.select("first._k0", "first._k1"), "keep")
-    return key(docs).join(keep, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).drop("_k0", "_k1")
+    keep = materialize(spark, keep.select(F.col("first._k0").alias(k0), F.col("first._k1").alias(k1)), "keep")
+    return key(docs).join(keep, [k0, k1], "left_semi").dropDuplicates([k0, k1]).drop(k0, k1)

@@ -136,3 +136,13 @@ def test_drop_keeps_a_row_of_every_component(frame, spark):
         assert sorted((r[:2] for r in left), key=str) == sorted(want, key=str)
         runs.append(sorted(left, key=str))
     assert runs[0] == runs[1]
+
+
+def test_rows_that_differ_in_the_place_of_a_null(frame, spark):
+    """Equal values in other columns are other rows; clashing names stay."""
+    rows = [(1, "en", None, "k"), (1, None, "en", "k"), (2, "en", "en", None)]
+    df = frame(rows, "doc_id long, text string, lang string, _k0 string")
+    left = S.drop_near_duplicates(spark, df)
+    assert left.columns == df.columns
+    # 'en' is the text of two rows; a null text has the zero fingerprint and is its own component.
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[1]], key=str)
