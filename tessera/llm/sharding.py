@@ -18,6 +18,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, row_hash
+
+
+#: Shares of a place's rows.
+SALTS = 16
+
 
 def ring(shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
     """(place, shard) of every virtual node, clockwise."""
@@ -86,19 +92,28 @@ def assign_shards(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     The key is the id; ``ties`` are columns that order rows of one id.  Equal rows may
     swap their slots; a null id is a key like any other; fewer rows than shards leave the
     last shards empty; an empty table returns no rows.  Columns named shard or slot are
-    replaced."""
-    keys = docs.select(place_of(F.col(id_col), ring_bits).alias("p"))
-    counts = {r["p"]: r["n"] for r in  # bounded by the ring: 2 ** ring_bits rows
-              keys.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    replaced, all others stay.
+
+    Rows of one place are ranked by salt, then inside it, so an id that many rows share is
+    ranked in as many tasks as its ties tell apart."""
+    place, salt, order, rank, before, lo, hi, to, base = names = fresh(
+        docs, "_place", "_salt", "_hash", "_rank", "_before", "_lo", "_hi", "_shard", "_base")
+    columns = [id_col, *(ties or [])]
+    placed = [place_of(F.col(id_col), ring_bits).alias(place),
+              F.pmod(row_hash(docs, 0, columns), F.lit(SALTS)).cast("int").alias(salt)]
+    held = docs.select(*placed).groupBy(place, salt).agg(F.count("*").alias("n"))
+    counts = {r[0]: r[1] for r in  # bounded by the ring: 2 ** ring_bits rows
+              held.groupBy(place).agg(F.sum("n")).collect()}
     pieces = spark.createDataFrame(walk(counts, shards, vnodes, ring_bits),
-                                   "_place int, _lo long, _hi long, _shard int, _base long")
-    inside = Window.partitionBy("_place").orderBy("_hash", id_col, *(ties or []))
-    ranked = docs.withColumn("_place", place_of(F.col(id_col), ring_bits)).withColumn(
-        "_hash", F.xxhash64(id_col)).withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(F.broadcast(pieces), "_place").filter("_lo <= _rank and _rank < _hi") \
-        .withColumn("shard", F.col("_shard")) \
-        .withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")) \
-        .drop("_place", "_hash", "_rank", "_lo", "_hi", "_shard", "_base")
+                                   f"{place} int, {lo} long, {hi} long, {to} int, {base} long")
+    ahead = Window.partitionBy(place).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = held.select(place, salt, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))  # places x salts
+    inside = Window.partitionBy(place, salt).orderBy(order, *columns)
+    ranked = docs.select("*", *placed, F.xxhash64(id_col).alias(order)).withColumn(
+        rank, F.row_number().over(inside) - 1).join(F.broadcast(earlier), [place, salt]).withColumn(
+        rank, F.col(rank) + F.col(before))
+    return ranked.join(F.broadcast(pieces), place).filter((F.col(lo) <= F.col(rank)) & (F.col(rank) < F.col(hi))) \
+        .withColumn("shard", F.col(to)).withColumn("slot", F.col(base) + F.col(rank) - F.col(lo)).drop(*names)
 
 
 def shard_report(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -150,3 +150,17 @@ def test_first_words(spark):
         df = spark.createDataFrame([(text, n)], "t string, n int")
         assert df.select(M.first_words(F.col("t"), F.col("n"))).first()[0] == want
         assert re.match(r"\s*", want)
+
+
+def test_hot_ids_and_clashing_names_keep_their_columns(frame, spark):
+    rows = [(7 if i % 3 == 0 else i, f"t{i}", i, i, str(i)) for i in range(900)] + [(None, f"n{i}", i, i, "x") for i in range(200)]
+    df = frame(rows, "doc_id long, text string, _hash long, _place long, _salt string")
+    out = H.assign_shards(spark, df, shards=7, ties=["text"])
+    assert out.columns == [*df.columns, "shard", "slot"]
+    got = out.collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(rows, key=str)
+    for s in range(7):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 7) < 1
+    again = {tuple(r) for r in H.assign_shards(spark, df.repartition(5), shards=7, ties=["text"]).collect()}
+    assert again == {tuple(r) for r in got}
