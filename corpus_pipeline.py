@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, mixing, quality, sharding, simhash
-from tessera.llm.common import materialize
+from tessera.llm.common import fresh, materialize
 from tessera.sources.tables import table
 
 #: SimHash, the latent space and the binomial cutoffs cannot be expressed in SQL.
@@ -41,8 +41,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sharding_ring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and slot; the text's hash orders copies of one id."""
-    tied = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
-    return sharding.assign_shards(spark, tied, shards=40, ties=["_crc"]).drop("_crc")
+    crc = fresh(docs, "_crc")[0]
+    tied = docs.withColumn(crc, F.crc32(F.col("text").cast("binary")))
+    return sharding.assign_shards(spark, tied, shards=40, ties=[crc]).drop(crc)
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_duplicates),
