@@ -25,6 +25,7 @@ from ..operators import index as IX
 from ..operators.choices import choices_at
 from ..operators.resolve import keyed_by_prefix, resolve_refs, visible_at
 from ..operators.scopes import annotate_scopes, inside_count, scopes
+from ..operators.spans import Nesting, process_events, visit_events
 from ..sources.catalog import dir_tree, url_parts
 from ..sources.sinks import errors_lines
 from ..sources.tables import table
@@ -613,3 +614,18 @@ QUALIFY row_number() OVER (PARTITION BY page_id, i, name ORDER BY tier, beg DESC
 def choices_unshadowed(spark, sf_dir):
     """W4 + J10: the choices without those that a nearer declaration of the name hides."""
     return _choices(spark, sf_dir, False)
+
+
+@query("visit_nesting", sql=f"""
+WITH {ANN_CTE},
+ev AS (SELECT p.page_id, o.tag AS cls, unnest([{{'at': p.i, 'd': 1}}, {{'at': p.end_i, 'd': -1}}]) AS e
+       FROM partner p JOIN opens o USING (page_id, i)),
+r AS (SELECT page_id, cls, e.d AS d, sum(e.d) OVER (PARTITION BY page_id, cls ORDER BY e."at") AS depth FROM ev)
+SELECT page_id, cls, count(*) FILTER (d = 1)::BIGINT AS n, max(depth)::BIGINT AS deepest FROM r GROUP BY page_id, cls
+""")
+def visit_nesting(spark, sf_dir):
+    """V1: a processor that is called before and after every container of a page, in order, counts
+    the containers of each tag and how deep they lie in one another."""
+    a = annotated(spark, sf_dir).filter("kind = 'open' AND partner_beg IS NOT NULL")
+    spans = a.select("page_id", F.col("tag").alias("cls"), "beg", F.col("partner_end").alias("end"))
+    return process_events(visit_events(spans, "page_id"), "page_id", Nesting, "cls string, n long, deepest long")

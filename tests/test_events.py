@@ -1,0 +1,76 @@
+"""The walk over nested spans against a plain recursion."""
+
+import random
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from tessera.operators.spans import Nesting, process_events, visit_events
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Trace:
+    """Every call in order, as one text."""
+
+    def __init__(self):
+        self.calls = []
+
+    def before(self, cls, at):
+        self.calls.append(f"<{cls}{at}")
+
+    def after(self, cls, at):
+        self.calls.append(f"{cls}{at}>")
+
+    def result(self):
+        return [(" ".join(self.calls),)]
+
+
+def tree(own, beg, depth, out):
+    """Random nested spans from ``beg`` on; returns their calls and the end."""
+    calls, at = [], beg
+    for _ in range(own.randrange(0, 4)):
+        cls = own.choice("abc")
+        start = at
+        inner, at = tree(own, at + own.randrange(0, 2), depth - 1, out) if depth else ([], at + own.randrange(0, 3))
+        at += own.randrange(1, 3)
+        out.append((cls, start, at))
+        calls += [f"<{cls}{start}", *inner, f"{cls}{at}>"]
+    return calls, at
+
+
+def test_order_of_calls(spark):
+    own = random.Random(3)
+    spans, want = [], {}
+    for doc in range(40):
+        out = []
+        calls, _ = tree(own, 0, 3, out)
+        # spans that coincide have no order of their own
+        if len({(b, e) for _, b, e in out}) == len(out) and out:
+            spans += [(doc, c, b, e) for c, b, e in out]
+            want[doc] = " ".join(calls)
+    df = spark.createDataFrame(spans, "doc long, cls string, beg long, end long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc: r.calls for r in process_events(visit_events(df, "doc"), "doc", Trace, "calls string").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(want) > 15
+
+
+def test_empty_spans_and_tables(spark):
+    df = spark.createDataFrame([(1, "a", 0, 4), (1, "b", 4, 4), (1, "c", 4, 6)], "doc long, cls string, beg long, end long")
+    ev = process_events(visit_events(df, "doc"), "doc", Trace, "calls string")
+    assert ev.first().calls == "<a0 a4> <b4 b4> <c4 c6>"
+    assert process_events(visit_events(df.filter("false"), "doc"), "doc", Trace, "calls string").count() == 0
+
+
+def test_a_document_of_many_spans(spark):
+    """Two million events of one document pass through one state."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("d").alias("doc"), F.lit("x").alias("cls"), F.col("id").alias("beg"),
+                               (F.lit(2 * n) - F.col("id")).alias("end"))
+    r = process_events(visit_events(df, "doc"), "doc", Nesting, "cls string, n long, deepest long").collect()
+    assert [(x.cls, x.n, x.deepest) for x in r] == [("x", n, n)]
