@@ -130,7 +130,7 @@ k3 AS (
   SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END)
               OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d
   FROM k2),
-ann AS (
+ann AS MATERIALIZED (
   SELECT page_id, i, tok, beg, "end", kind, CASE WHEN kind IS NOT NULL THEN tg END AS tag,
          CAST(CASE WHEN kind = 'close' THEN d + 1 ELSE d END AS BIGINT) AS level,
          CAST(CASE WHEN kind IS NOT NULL THEN (CASE WHEN kind = 'close' THEN d + 1 ELSE d END) - 1
@@ -155,7 +155,7 @@ encl AS (
     FROM (SELECT page_id, i, depth AS lvl, true AS asks FROM ann
           UNION ALL SELECT page_id, i, level, false FROM opens))
   WHERE asks AND lvl > 0 AND scope_i IS NOT NULL),
-full_ann AS (  -- a scope ends at its partner close (none: end of file)
+full_ann AS MATERIALIZED (  -- a scope ends at its partner close (none: end of file)
   SELECT a.*, e.scope_i, p.end_beg AS scope_end FROM ann a
   LEFT JOIN encl e USING (page_id, i)
   LEFT JOIN partner p ON p.page_id = a.page_id AND p.i = e.scope_i)"""

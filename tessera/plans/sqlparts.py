@@ -13,7 +13,7 @@ def tokens_cte(name: str, table: str, key: str, text: str, rx: str,
     return f"""
 {name}_l AS (SELECT {kc}, regexp_extract_all({text}, {sql_str(rx)}) AS toks FROM {table}),
 {name}_u AS (SELECT {kc}, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM {name}_l),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT {kc}, CAST(i AS BIGINT) AS i, tok,
          CAST(sum(strlen(tok)) OVER (PARTITION BY {key} ORDER BY i
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - strlen(tok) AS BIGINT) AS beg,
