@@ -1,4 +1,6 @@
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -39,6 +41,52 @@ def test_split_is_the_best_of_all():
     assert (f.feature[0, 0], f.threshold[0, 0]) == (1, 4.0)
 
 
+def test_split_equals_exhaustive_search():
+    """The first stump against every feature and cut, on noisy labels."""
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 12, (150, 4)).astype(float)
+        y = (rng.random(150) < 0.2 + 0.6 * (x[:, seed % 4] > 5)).astype(float)
+        f = G.fit(x, y, trees=1, depth=1)
+        p = 1 / (1 + math.exp(-f.start))
+        g, h = y - p, p * (1 - p)
+        side = lambda m: g[m].sum() ** 2 / (h * m.sum() + G.SMOOTH)
+        gain = {(j, c): side(x[:, j] <= c) + side(x[:, j] > c) for j in range(4) for c in range(11)}
+        assert gain[int(f.feature[0, 0]), float(f.threshold[0, 0])] >= max(gain.values()) - 1e-9
+
+
+def plain_features(text):
+    """Every statistic by its name, character by character."""
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    if not words:
+        return [0.0] * len(G.FEATURES)
+    sizes = [len(w.encode()) for w in words]
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    mean = sum(sizes) / len(sizes)
+    count = lambda chars: sum(c in chars for c in text) / len(text)
+    shares = {"upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "lower": count("abcdefghijklmnopqrstuvwxyz"),
+              "digit": count("0123456789"), "stop": count(".!?"), "pause": count(",;:"), "symbol": count("#*$%&|<>"),
+              "quote": count("\"'()[]{}"), "mark": count("!"), "slash": count("/\\@=_~^+")}
+    white = count(" \t\n\x0b\x0c\r")
+    first = ("upper", "lower", "digit", "stop", "pause", "symbol")
+    named = {"log_words": math.log1p(len(words)), "word_chars": mean,
+             "word_spread": math.sqrt(sum((n - mean) ** 2 for n in sizes) / len(sizes)),
+             "distinct": len(set(words)) / len(words), "top_word": max(words.count(w) for w in words) / len(words),
+             "once": sum(words.count(w) == 1 for w in set(words)) / len(words), "log_lines": math.log1p(len(lines)),
+             "line_words": len(words) / len(lines), "dup_lines": 1 - len(set(lines)) / len(lines), "white": white,
+             "other": 1 - white - sum(shares[c] for c in first), **shares}
+    return [named[f] for f in G.FEATURES]
+
+
+def test_features_match_a_plain_form():
+    own = random.Random(5)
+    bits = ["word", "Word", "\u00e9t\u00e9", "12", ".", "!", ", ", "#", "(", "\"", "/", "\n", " ", "\t", "\x0b", "\U0001f600",
+            "\x1c", "line one\n", "line one\n"]
+    texts = ["".join(own.choice(bits) for _ in range(own.randrange(0, 60))) for _ in range(400)]
+    for t in [*texts, "", " \n", "a", "a\n a\n a", "x" * 5000]:
+        assert np.allclose(G.features(t.encode()), plain_features(t), atol=1e-12), t
+
+
 def test_constant_labels_and_no_rows():
     assert G.predict(G.fit(np.zeros((0, 2)), np.zeros(0)), np.ones((3, 2))).tolist() == [0.5] * 3
     assert (G.predict(G.fit(np.ones((8, 2)), np.ones(8)), np.ones((2, 2))) > 0.85).all()
