@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 from ..streaming import derived as D
+from ..streaming import pieces as PC
 from ..streaming.edits import conversation_edits, dirty_recompute, fold_edits
 from .registry import query
 
@@ -151,3 +152,26 @@ def derived_diagnostics(spark, sf_dir):
     """Undefined names per file after three batches; only files that depend on a change are
     diagnosed again."""
     return D.diagnostics_state(spark, *_derived(spark, sf_dir))
+
+
+@query("hot_edits", sql="""
+WITH RECURSIVE e AS (
+  SELECT conv_id % 8 AS doc, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS k,
+         (conv_id * 31 + turn * 7) % 3000 AS b, (conv_id * 31 + turn * 7) % 3000 + turn % 5 * 30 AS e,
+         hex(encode(coalesce(text, ''))) AS h FROM conversations),
+r AS (
+  SELECT doc, 0::BIGINT AS k, '' AS h FROM (SELECT DISTINCT doc FROM e)
+  UNION ALL
+  SELECT r.doc, e.k, substr(r.h, 1, 2 * e.b) || e.h || substr(r.h, 2 * e.e + 1) FROM r JOIN e ON e.doc = r.doc AND e.k = r.k + 1)
+SELECT doc::BIGINT AS doc, (strlen(h) // 2)::BIGINT AS n_bytes, md5(h) AS digest, k::BIGINT AS n_edits
+FROM r QUALIFY row_number() OVER (PARTITION BY doc ORDER BY k DESC) = 1
+""")
+def hot_edits(spark, sf_dir):
+    """All conversations as edits of eight documents, composed in a tree of scripts."""
+    conv = table(spark, sf_dir, "conversations")
+    at = (F.col("conv_id") * 31 + F.col("turn") * 7) % 3000
+    edits = conv.select((F.col("conv_id") % 8).alias("doc"), (F.col("conv_id") * 1000000 + F.col("turn")).alias("seq"),
+                        at.alias("beg"), (at + F.col("turn") % 5 * 30).alias("end"), F.col("text").alias("new_text"))
+    return PC.fold_many(edits, "doc", chunk=256).select(
+        F.col("doc").cast("long").alias("doc"), F.octet_length("bin").cast("long").alias("n_bytes"),
+        F.md5(F.hex("bin")).alias("digest"), "n_edits")
