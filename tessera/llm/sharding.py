@@ -110,7 +110,7 @@ def assign_shards(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     earlier = held.select(place, salt, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))  # places x salts
     inside = Window.partitionBy(place, salt).orderBy(order, *columns)
     ranked = docs.select("*", *placed, F.xxhash64(id_col).alias(order)).withColumn(
-        rank, F.row_number().over(inside) - 1).join(F.broadcast(earlier), [place, salt]).withColumn(
+        rank, F.row_number().over(inside) - 1).join(earlier, [place, salt]).withColumn(
         rank, F.col(rank) + F.col(before))
     return ranked.join(F.broadcast(pieces), place).filter((F.col(lo) <= F.col(rank)) & (F.col(rank) < F.col(hi))) \
         .withColumn("shard", F.col(to)).withColumn("slot", F.col(base) + F.col(rank) - F.col(lo)).drop(*names)
