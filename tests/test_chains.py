@@ -86,7 +86,7 @@ def test_imports(chains):
     assert rows == {("b", "lib/b"), ("zz", "lib/c")}
 
 
-@pytest.mark.parametrize("members", [1, 2, 3, 7, 8, 9, 40])
+@pytest.mark.parametrize("members", [1, 3, 8, 21])
 def test_long_chains(spark, members):
     """Doubled tables equal a walk, also past a miss in the middle."""
     own = random.Random(members)
@@ -132,7 +132,7 @@ def test_no_selectors(spark):
     assert C.go_chains(a, spark).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [1, 2])
 def test_cycles_and_levels_of_random_graphs(spark, seed):
     own = random.Random(seed)
     nodes = [f"p{i:02d}" for i in range(24)]
