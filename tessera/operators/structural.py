@@ -23,6 +23,12 @@ from .numbering import dense_number
 SALTS = 8
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by sorted shuffles.  It grows with the types, while the planner's
+    estimate (of small files, before any explode) would send it whole through the driver."""
+    return df.hint("merge")
+
+
 def _digest(*cols: Column) -> Column:
     return F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]),
                            {"ignoreNullFields": "false"}))
@@ -33,7 +39,7 @@ def _with_child(edges: DataFrame, of_child: DataFrame) -> DataFrame:
     copies = of_child.withColumnRenamed("node", "child").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return edges.withColumn("_salt", F.pmod(F.xxhash64("node", "pos"), F.lit(SALTS)).cast("int")).join(
-        copies, ["child", "_salt"], "left").drop("_salt")
+        _large(copies), ["child", "_salt"], "left").drop("_salt")
 
 
 def refine(nodes: DataFrame, edges: DataFrame, nominal: bool = True) -> DataFrame:
@@ -49,7 +55,7 @@ def refine(nodes: DataFrame, edges: DataFrame, nominal: bool = True) -> DataFram
     colors = nodes.select("node", _digest(F.col("head"), label).alias("color")).checkpoint()
     e = edges.select("node", "pos", "role", "name", "child")
     if nominal:
-        e = e.join(nodes.filter(named).select("node"), "node", "left_anti")
+        e = e.join(_large(nodes.filter(named).select("node")), "node", "left_anti")
     e = e.checkpoint()
     found = colors.select("color").distinct().count()
     while True:
@@ -58,7 +64,7 @@ def refine(nodes: DataFrame, edges: DataFrame, nominal: bool = True) -> DataFram
         half = [F.sum(F.conv(F.substring("piece", at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
         parts = _with_child(e, colors).select("node", piece.alias("piece")).groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), half[0].alias("a"), half[1].alias("b"))
-        colors = colors.join(parts, "node", "left").select(
+        colors = colors.join(_large(parts), "node", "left").select(
             "node", _digest(F.col("color"), F.col("n"), F.col("a"), F.col("b")).alias("color")).checkpoint()
         before, found = found, colors.select("color").distinct().count()
         if found == before:
@@ -71,7 +77,7 @@ def intern_structures(nodes: DataFrame, edges: DataFrame, nominal: bool = True)
     firsts = dense_number(colors.groupBy("color").agg(F.min("node").alias("first")), ["first"], "type_no")
     copies = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return colors.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(
-        copies, ["color", "_salt"]).select("node", "type_no", "first")
+        _large(copies), ["color", "_salt"]).select("node", "type_no", "first")
 
 
 def structure_texts(nodes: DataFrame, edges: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -81,18 +87,18 @@ def structure_texts(nodes: DataFrame, edges: DataFrame, numbers: DataFrame) -> D
     type is ``type`` and its name; parts of a cycle that no declared type cuts are written
     as ``#`` and their number."""
     ensure_checkpoint_dir(nodes.sparkSession)
-    types = numbers.filter("node = first").select("node", "type_no").join(nodes, "node").select(
+    types = numbers.filter("node = first").select("node", "type_no").join(_large(nodes), "node").select(
         "type_no", "node", "head", "label").checkpoint()
     compound = types.filter(~F.col("head").isin("Builtin", "IdType")).select("node", F.col("type_no").alias("owner"))
     of = numbers.select("node", F.col("type_no").alias("part"))
-    e = _with_child(edges.join(compound, "node"), of).select("owner", "pos", "role", "name", "part").checkpoint()
+    e = _with_child(edges.join(_large(compound), "node"), of).select("owner", "pos", "role", "name", "part").checkpoint()
     name = F.coalesce("label", F.lit(""))
     done = types.select("type_no", F.when(F.col("head") == "Builtin", name).when(
         F.col("head") == "IdType", F.concat(F.lit("type "), name)).alias("repr")).checkpoint()
 
     def written(now: DataFrame, closed: bool) -> DataFrame:
         text = F.col("repr") if closed else F.coalesce("repr", F.concat(F.lit("#"), F.col("part").cast("string")))
-        sides = e.join(now.select(F.col("type_no").alias("part"), "repr"), "part", "left").withColumn("text", text)
+        sides = e.join(_large(now.select(F.col("type_no").alias("part"), "repr")), "part", "left").withColumn("text", text)
         field = F.concat(F.lit("  "), F.coalesce("name", F.lit("")), F.lit(" "), F.col("text"))
 
         def listed(role: str, what: Column) -> Column:
@@ -114,13 +120,13 @@ def structure_texts(nodes: DataFrame, edges: DataFrame, numbers: DataFrame) -> D
                 F.coalesce("fields", F.array()), ""), F.lit("}\n"))))
     left = done.filter("repr IS NULL").count()
     while left:
-        todo = types.join(done.filter("repr IS NULL").select("type_no"), "type_no")
-        made = todo.join(written(done, True), "type_no", "left").filter("open IS NULL OR NOT open").select(
+        todo = types.join(_large(done.filter("repr IS NULL").select("type_no")), "type_no")
+        made = todo.join(_large(written(done, True)), "type_no", "left").filter("open IS NULL OR NOT open").select(
             "type_no", text.alias("made"))
-        done = done.join(made, "type_no", "left").select("type_no", F.coalesce("repr", "made").alias("repr")).checkpoint()
+        done = done.join(_large(made), "type_no", "left").select("type_no", F.coalesce("repr", "made").alias("repr")).checkpoint()
         before, left = left, done.filter("repr IS NULL").count()
         if left == before:  # only cycles are left
-            made = todo.join(written(done, False), "type_no", "left").select("type_no", text.alias("made"))
-            done = done.join(made, "type_no", "left").select("type_no", F.coalesce("repr", "made").alias("repr"))
+            made = todo.join(_large(written(done, False)), "type_no", "left").select("type_no", text.alias("made"))
+            done = done.join(_large(made), "type_no", "left").select("type_no", F.coalesce("repr", "made").alias("repr"))
             break
-    return done.join(types.select("type_no", "head"), "type_no").select("type_no", "head", "repr")
+    return done.join(_large(types.select("type_no", "head")), "type_no").select("type_no", "head", "repr")

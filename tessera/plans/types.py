@@ -147,6 +147,6 @@ def intern_structures(spark, sf_dir):
     nodes, edges = _structures(spark, sf_dir)
     numbers = ST.intern_structures(nodes, edges).checkpoint()
     count = numbers.groupBy("type_no").agg(F.min("first").alias("first_node"), F.count(F.lit(1)).alias("n_nodes"))
-    return ST.structure_texts(nodes, edges, numbers).join(count, "type_no").select(
+    return ST.structure_texts(nodes, edges, numbers).join(count.hint("merge"), "type_no").select(
         "type_no", "head", "first_node", "n_nodes",
         F.when(~F.col("repr").contains("#") | F.col("repr").contains("[#]"), F.col("repr")).alias("repr"))

@@ -98,3 +98,11 @@ def test_empty(spark):
     df, ef = spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
     numbers = S.intern_structures(df, ef)
     assert numbers.count() == 0 and S.structure_texts(df, ef, numbers).count() == 0
+
+
+def test_joins_that_grow_with_the_types_are_not_broadcast(spark):
+    node = spark.range(50).withColumnRenamed("id", "node")
+    edges = node.selectExpr("node", "0 AS pos", "'elem' AS role", "CAST(NULL AS STRING) AS name", "node + 1 AS child")
+    joined = S._with_child(edges, node.selectExpr("node", "'c' AS color"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
