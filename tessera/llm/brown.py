@@ -2,7 +2,7 @@
 
 P(word | previous word) = P(class | class of the previous word) * P(word | class).  Every word
 has a class; what a word says about its successor is the class of its unit: itself, if it is
-one of the ``UNITS`` most frequent words of a sample, else its ending (the hash of its last
+one of the ``UNITS`` most frequent words, else its ending (the hash of its last
 two bytes).  Exchange clustering assigns the classes in two steps.
 
 Units are few, so their pair counts over the whole training part fit one matrix, and units
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, materialize
 
-UNITS, GROUPS, FREQUENT, FIT_ROWS = 1024, 128, 1 << 17, 20_000
+UNITS, GROUPS, FREQUENT = 1024, 128, 1 << 17
 #: Sweeps of the driver's exchange at most, and sweeps over all other words.
 SWEEPS, WORD_SWEEPS = 10, 4
 #: Text bytes that a task holds as numbers at once, for counts and for scores.
@@ -117,15 +117,15 @@ def unit_numbers(words: pa.Array, units: dict[str, int]) -> np.ndarray:
     return np.where(own < 0, len(units) + endings(words), own)
 
 
-def frequent_in_sample(sample: DataFrame, n: int) -> list[str]:
-    """The ``n`` most frequent words of the sample, ties by the word."""
+def frequent_words(texts: DataFrame, n: int) -> list[str]:
+    """The ``n`` most frequent words of all texts, ties by the word."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 0):
                 c = code(part.column(0))
                 yield pa.RecordBatch.from_arrays([c.words, pa.array(np.bincount(c.ids, minlength=len(c.words)))],
                                                  names=["word", "n"])
-    rows = sample.mapInArrow(run, "word string, n long").filter(F.col("word") != END).groupBy("word").agg(
+    rows = texts.mapInArrow(run, "word string, n long").filter(F.col("word") != END).groupBy("word").agg(
         F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n).collect()
     return [r["word"] for r in rows]
 
@@ -374,10 +374,8 @@ class Model(NamedTuple):
 
 def fit(spark: SparkSession, texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the training texts (one string column) and (word, n, class) of its words."""
-    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length(texts.columns[0]).cast("long")).alias("b")).first()
-    share = min(1.0, FIT_ROWS / max(1, size["n"]))
-    sample = texts.filter(F.xxhash64(texts.columns[0]) <= int((1 << 63) * (2 * share - 1)) - 1 if share < 1 else F.lit(True))
-    units = {w: i for i, w in enumerate([END, *frequent_in_sample(sample, UNITS - 1)])}
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]).cast("long")).alias("b")).first()
+    units = {w: i for i, w in enumerate([END, *frequent_words(texts, UNITS - 1)])}
     class_of = exchange(unit_pairs(texts, units), class_count(size["b"] or 0))
     seed = Seed(units, class_of, int(class_of.max()) + 1)
     table = materialize(spark, word_histograms(texts, seed), "histograms")

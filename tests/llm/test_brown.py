@@ -199,3 +199,10 @@ def test_empty_tables(spark, frame):
     only_held = next(i for i in range(100) if held(i))
     r = B.score_texts(spark, frame([(only_held, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_units_are_the_most_frequent_words_of_all_texts(spark):
+    texts = spark.range(25000).selectExpr("concat('w', CAST(floor(sqrt(id)) AS INT)) AS text")
+    model, _ = B.fit(spark, texts)
+    times = Counter(f"w{math.isqrt(i)}" for i in range(25000))
+    assert list(model.seed.units) == [B.END, *sorted(times, key=lambda w: (-times[w], w))]
