@@ -314,3 +314,30 @@ def test_ident_required_and_invalid_path(spark):
     assert ("ident node required", "f") in got
     assert not any(m == "ident node required" and t == "x" for m, t in got)
     assert ("invalid path syntax", '"') in got          # the unterminated literal's quote
+
+
+def test_tokens_are_sorted_few_times_and_narrow(spark):
+    files = spark.createDataFrame([(1, "package p\n")], "doc_id long, text string")
+    plan = go_items(go_tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 12  # one for each order of the tokens
+    assert not {"partner_beg", "partner_tag", "level", "scope_tag"} & set(go_tokens(files).columns)
+
+
+def test_member_joins_are_not_broadcast(spark):
+    from tessera.operators.gosrc import go_members
+    files = spark.createDataFrame([(1, "package p\n")], "doc_id long, text string")
+    a = go_tokens(files)
+    plan = go_members(a, spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 1  # the fixed table of builtins
+
+
+def test_queries_run_compiled_methods(spark):
+    import __spark_entry__ as E
+    from conftest import SF001
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        E.queries()["go_decls"](spark, SF001)
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
