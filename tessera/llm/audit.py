@@ -33,7 +33,9 @@ from .common import materialize, salted_join
 
 FILTERS = "ABCDE"
 #: Text bytes of a shard; one row is never cut.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
+#: Text bytes that are cut into words at once.
+CUT_BYTES = 1 << 20
 #: Buckets of the dictionary; a word's number is its rank in its bucket times this, plus the bucket.
 BUCKETS = 4096
 _UPPER = bytes(range(65, 91))
@@ -79,11 +81,13 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], np.cumsum(out[1], dtype=np.int32), out[2]
 
 
-def slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of ``b`` with up to ``SHARD_BYTES`` in the text column, or a single row."""
+def slices(b: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``b`` with up to ``most`` bytes (``SHARD_BYTES``) in the text column, or
+    a single row."""
+    most = SHARD_BYTES if most is None else most
     low = held = 0
     for i, n in enumerate(pc.binary_length(b.column(column)).to_numpy()):
-        if i > low and held + n > SHARD_BYTES:
+        if i > low and held + n > most:
             yield b.slice(low, i - low)
             low, held = i, 0
         held += int(n)
@@ -95,16 +99,23 @@ def count_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.n
     """(distinct words, indptr, indices, counts): the words of ``texts`` as a CSR matrix over
     their own list.  Arrow cuts at ASCII white space and encodes; one sort of (row, word)
     brings the equal ones together."""
-    cut = pc.ascii_split_whitespace(texts)
-    real = pc.greater(pc.binary_length(cut.values), 0)
-    row = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
-    row = row[real.to_numpy(zero_copy_only=False)]
-    coded = cut.values.filter(real).dictionary_encode()
-    key = row << 32 | coded.indices.to_numpy()
+    coded, rows, low = [], [], 0
+    for part in slices(pa.record_batch([texts], ["text"]), 0, CUT_BYTES):
+        cut = pc.ascii_split_whitespace(part.column(0))
+        real = pc.greater(pc.binary_length(cut.values), 0)
+        row = np.repeat(np.arange(low, low + len(part)), np.diff(cut.offsets.to_numpy()))
+        rows.append(row[real.to_numpy(zero_copy_only=False)])
+        coded.append(cut.values.filter(real).dictionary_encode())
+        low += len(part)
+    # One list for all pieces, in the order in which the words come.
+    coded = pa.chunked_array(coded, pa.dictionary(pa.int32(), texts.type)).unify_dictionaries()
+    words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], texts.type)
+    row = np.concatenate([np.zeros(0, np.int64), *rows])
+    key = row << 32 | np.concatenate([np.zeros(0, np.int64), *(c.indices.to_numpy() for c in coded.chunks)])
     key.sort()
     new = np.flatnonzero(np.diff(key, prepend=-1))
     indptr = np.concatenate([[0], np.cumsum(np.bincount(key[new] >> 32, minlength=len(texts)))])
-    return coded.dictionary, indptr, key[new] & 0xFFFFFFFF, np.diff(new, append=len(key))
+    return words, indptr, key[new] & 0xFFFFFFFF, np.diff(new, append=len(key))
 
 
 def text_facts(data: bytes, limits: Limits, symbols: bytes) -> tuple[bytes, bool, bool]:

@@ -7,6 +7,7 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from llm_fixtures import frame  # noqa: F401
 
 from tessera.llm import audit as A
@@ -154,3 +155,17 @@ def test_empty_tables(frame, spark):
     assert A.audit(spark, docs.filter("false"), marks).count() == 0
     got = collect(A.audit(spark, docs.filter("doc_id = 200"), marks.filter("false")))
     assert len(got) == 600 and got["en", "ABCDE", 1] == (0, 1, 0, 1, 0, 0, 120)
+
+
+def test_words_are_cut_in_pieces_with_the_same_counts(monkeypatch):
+    texts = pa.array(["b a b", "", " a  c", "c" * 40, None, "a b"] * 5)
+    whole = A.count_words(texts.fill_null(""))
+    monkeypatch.setattr(A, "CUT_BYTES", 7)
+    cut = []
+    split = A.pc.ascii_split_whitespace
+    monkeypatch.setattr(A.pc, "ascii_split_whitespace", lambda t: cut.append(len(t)) or split(t))
+    pieces = A.count_words(texts.fill_null(""))
+    assert len(cut) > 5
+    assert whole[0].to_pylist() == pieces[0].to_pylist() == ["b", "a", "c", "c" * 40]
+    assert all(np.array_equal(x, y) for x, y in zip(whole[1:], pieces[1:], strict=True))
+    assert A.count_words(pa.array([], pa.string()))[1].tolist() == [0]
