@@ -72,10 +72,10 @@ def code(texts: pa.Array) -> Coded:
 
 
 def slices(b: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of ``b`` with up to ``most`` bytes in the text column, or a single row."""
+    """Consecutive rows of ``b`` with up to ``most`` bytes in the text column (null: none), or a single row."""
     most = most or SLICE_BYTES
     low = held = 0
-    for i, n in enumerate(pc.binary_length(b.column(column)).to_numpy()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()):
         if i > low and held + n > most:
             yield b.slice(low, i - low)
             low, held = i, 0

@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The benchmark is the stated query set.  Terms are its words and the most frequent words of a
-bounded, hash-chosen sample of documents; they weigh their inverse document frequency over the
-whole corpus.  A randomised SVD of TF-IDF passages (distributed products A'AX; rows of A are
-the sample's passages and all items, each of unit length with the words that are no terms
-counted in it) gives the latent space.  A passage is a window of 1.5 times a length class (a
+The benchmark is the stated query set.  Terms are its words and the most frequent words of all
+documents; they weigh their inverse document frequency over the whole corpus.  A randomised
+SVD of TF-IDF passages (distributed products A'AX; rows of A are the passages of all documents
+and all items, each of unit length with the words that are no terms counted in it) gives the
+latent space.  A passage is a window of 1.5 times a length class (a
 power of two) that moves by half of it, so an item lies whole in a window of its class.  Items
 whose folded rows are within ``min_cosine`` of the passage's are its candidates.
 
@@ -31,15 +31,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .brown import slices
 from .common import materialize
 
 #: Words of the items that one pass over the documents looks for.
 BLOCK_WORDS = 1 << 20
-#: Documents in the fit of the SVD, words in its passages, terms besides those of the items.
+#: Documents whose passages a task holds as rows at once, words of a passage, terms besides those
+#: of the items.
 FIT_DOCUMENTS, FIT_WORDS, FIT_TERMS = 4000, 48, 1 << 14
+#: Passages that are multiplied at once, terms in a row of the sums.
+FIT_ROWS, SUM_TERMS = 64, 64
+#: Text bytes that a task holds as numbers at once.
+WORK_BYTES = 1 << 22
 #: A term that fewer than this share of the documents hold is a content word; a last sentence
 #: with fewer of them is no answer.
 CONTENT_SHARE, ANSWER_WORDS = 0.05, 3
@@ -72,8 +79,8 @@ class Item(NamedTuple):
 
 
 class Model(NamedTuple):
-    """Items that one pass looks for.  ``first`` and ``items`` are the index from terms to items:
-    those of term t are items[first[t]:first[t + 1]]."""
+    """Items that one pass looks for.  ``first`` and ``posted`` are the index from terms to items:
+    those of term t are posted[first[t]:first[t + 1]]."""
     space: Space
     items: list[Item]
     vectors: np.ndarray
@@ -81,6 +88,7 @@ class Model(NamedTuple):
     rare_need: np.ndarray  # occurrences of its indexed terms in a window that may hold it
     first: np.ndarray
     posted: np.ndarray
+    times: np.ndarray  # how often the item's indexed words are the term
     params: Params
 
 
@@ -142,100 +150,164 @@ def lcs_length(masks: dict[int, int], n: int, other: Iterable[int]) -> int:
     return n - row.bit_count()
 
 
-def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
-    """How many rows hold each term: one count vector per task, summed by Spark."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(vocab) + 1, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                n[np.unique(word_ids(t.as_py() or b"", vocab))] += 1
-        at = np.nonzero(n[:-1])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])],
-                                         names=["term", "n"])
-    out = np.zeros(len(vocab), np.int64)
-    for r in docs.mapInArrow(run, "term int, n long").groupBy("term").agg(
-            F.sum("n").alias("n")).collect():  # one row per term
-        out[r["term"]] = r["n"]
-    return out
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(``plain_words`` of all texts one after the other, words of each text); a null text has none."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    plain = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_PLAIN) if data else b""
+    cut = pc.ascii_split_whitespace(pa.Array.from_buffers(
+        pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(plain)]))
+    real = pc.greater(pc.binary_length(cut.values), 0)
+    row = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))[real.to_numpy(zero_copy_only=False)]
+    return cut.values.filter(real).cast(pa.binary()), np.bincount(row, minlength=len(texts))
+
+
+def text_ids(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(``word_ids`` of all texts one after the other, words of each text)."""
+    words, many = split_words(texts)
+    return pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(), many
+
 
+def term_array(vocab: dict[bytes, int]) -> pa.Array:
+    return pa.array(list(vocab), pa.binary())
 
-def frequent_words(sample: DataFrame) -> list[bytes]:
-    """The ``FIT_TERMS`` words that most rows of the sample hold, ties by the word."""
+
+def word_rows(texts: DataFrame) -> DataFrame:
+    """(binary word, n): how many rows of ``texts`` hold each word."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
-                n.update(set(plain_words(t.as_py() or b"")))
-        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64())],
-                                         names=["word", "n"])
-    rows = sample.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")) \
-        .orderBy(F.desc("n"), "word").limit(FIT_TERMS).collect()
-    return [bytes(r["word"]) for r in rows]
+            for part in slices(b, 0):
+                found, many = split_words(part.column(0))
+                found = found.dictionary_encode()
+                words = found.dictionary
+                key = np.repeat(np.arange(len(part)), many) * len(words) + found.indices.to_numpy()
+                key.sort()
+                held = key[np.flatnonzero(np.diff(key, prepend=-1))] % max(1, len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [words, pa.array(np.bincount(held, minlength=len(words)))], names=["word", "n"])
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(spark: SparkSession, texts: DataFrame, items: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+    """(terms, rows of ``texts`` that hold each): the words of the items and the ``FIT_TERMS`` words
+    that most rows hold, ties by the word."""
+    own = list(dict.fromkeys(w for t in items for w in plain_words(t)))
+    counts = materialize(spark, word_rows(texts), "word_rows")
+    listed = spark.createDataFrame([(w,) for w in own], "word binary")
+    held = {bytes(r["word"]): r["n"] for r in counts.join(F.broadcast(listed), "word").collect()}
+    often = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FIT_TERMS).collect()}
+    vocab = {w: i for i, w in enumerate(dict.fromkeys([*own, *often]))}
+    return vocab, np.array([often.get(w, held.get(w, 0)) for w in vocab], np.int64)
+
 
+class Rows(NamedTuple):
+    """A few unit TF-IDF rows: their matrix over the terms they hold, and those."""
+    a: np.ndarray
+    held: np.ndarray
 
-def _gram_rows(ids: np.ndarray, weights: np.ndarray, other: float, x: np.ndarray, words: int, z: np.ndarray):
-    """Adds a'(a x) of every passage a (unit TF-IDF rows of ``words`` words) to ``z``.  Words that
+
+def _rows(ids: np.ndarray, passage: np.ndarray, weights: np.ndarray, other: float) -> Iterator[Rows]:
+    """Rows of the passages; ``passage``: the number of each word's passage, ascending.  Words that
     are no terms (-1) weigh ``other`` in a row's length and have no column."""
     if not len(ids) or ids.max() < 0:
         return
-    n = -(-len(ids) // words)
-    missing = np.bincount(np.flatnonzero(ids < 0) // words, minlength=n)
-    hit = np.flatnonzero(ids >= 0)
-    key, count = np.unique((hit // words).astype(np.int64) * len(weights) + ids[hit], return_counts=True)
-    passage, term = key // len(weights), key % len(weights)
+    n = int(passage[-1]) + 1
+    missing = np.bincount(passage[ids < 0], minlength=n)
+    hit = ids >= 0
+    key, count = np.unique(passage[hit] * len(weights) + ids[hit], return_counts=True)
+    row, term = np.divmod(key, len(weights))
     value = count * weights[term]
-    norm = np.sqrt(np.bincount(passage, value * value, n) + missing * other ** 2)
-    value /= norm[passage]
-    y = np.zeros((n, x.shape[1]))
-    np.add.at(y, passage, value[:, None] * x[term])
-    np.add.at(z, term, value[:, None] * y[passage])
-
-
-def gram_product(sample: DataFrame, items: list[np.ndarray], vocab: dict[bytes, int],
+    value /= np.sqrt(np.bincount(row, value * value, n) + missing * other ** 2)[row]
+    value = value.astype(np.float32)
+    cuts = np.searchsorted(row, np.arange(0, n + FIT_ROWS, FIT_ROWS))
+    place = np.zeros(len(weights), np.int64)
+    for j, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        if low < high:
+            held = np.flatnonzero(np.bincount(term[low:high], minlength=len(weights)))
+            place[held] = np.arange(len(held))
+            a = np.zeros((FIT_ROWS, len(held)), np.float32)
+            a[row[low:high] - j * FIT_ROWS, place[term[low:high]]] = value[low:high]
+            yield Rows(a, held)
+
+
+def _text_rows(batches: Iterable[pa.RecordBatch], terms: pa.Array, weights: np.ndarray, other: float) -> Iterator[Rows]:
+    """``_rows`` of the passages of all texts: ``FIT_WORDS`` words, or what is left of a text."""
+    for b in batches:
+        for part in (p.slice(low, FIT_DOCUMENTS) for p in slices(b, 0, WORK_BYTES)
+                     for low in range(0, len(p), FIT_DOCUMENTS)):
+            ids, many = text_ids(part.column(0), terms)
+            passages = -(-many // FIT_WORDS)
+            first, word = np.cumsum(passages) - passages, np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
+            yield from _rows(ids, np.repeat(first, many) + word // FIT_WORDS, weights, other)
+
+
+def _shares(texts: DataFrame) -> DataFrame:
+    """``texts`` in a few parts to each core: what tasks sum up does not grow with the texts."""
+    return texts.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
+
+
+def gram_product(texts: DataFrame, items: list[np.ndarray], vocab: dict[bytes, int],
                  weight: np.ndarray, other: float, x: np.ndarray) -> np.ndarray:
-    """A'A x with the passages of ``sample`` and the items as the rows of A."""
-    width = x.shape[1]
+    """A'A x with the passages of ``texts`` and the items as the rows of A; sums are shuffled with
+    ``SUM_TERMS`` terms to a row."""
+    narrow, blocks = x.astype(np.float32), -(-len(x) // SUM_TERMS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = np.zeros_like(x)
-        for b in batches:
-            for t in b.column(0):
-                _gram_rows(word_ids(t.as_py() or b"", vocab), weight, other, x, FIT_WORDS, z)
-        at = np.nonzero(z.any(axis=1))[0]
+        z = np.zeros((blocks * SUM_TERMS, x.shape[1]))
+        for a, held in _text_rows(batches, term_array(vocab), weight, other):
+            z[held] += a.T @ (a @ narrow[held])
+        z = z.reshape(blocks, -1)
+        at = np.flatnonzero(z.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), pa.FixedSizeListArray.from_arrays(
-                pa.array(z[at].ravel()), width).cast(pa.list_(pa.float64()))],
-            names=["term", "z"])
-    out = np.zeros_like(x)
-    rows = sample.mapInArrow(run, "term int, z array<double>").groupBy("term").agg(
-        F.array(*[F.sum(F.col("z")[i]) for i in range(width)]).alias("z"))
-    for r in rows.collect():  # terms x rank
-        out[r["term"]] = r["z"]
+            [pa.array(at, pa.int32()), pa.array([r.tobytes() for r in z[at]], pa.binary())], names=["block", "z"])
+
+    def add(t: pa.Table) -> pa.Table:
+        z = sum(np.frombuffer(r.as_buffer()) for r in t["z"])
+        return pa.table([t["block"][:1], pa.array([z.tobytes()], pa.binary())], names=["block", "z"])
+    out = np.zeros((blocks, SUM_TERMS * x.shape[1]))
+    for r in _shares(texts).mapInArrow(run, "block int, z binary").groupBy("block").applyInArrow(
+            add, "block int, z binary").collect():  # terms x rank
+        out[r["block"]] = np.frombuffer(r["z"])
+    out = out.reshape(-1, x.shape[1])
     for ids in items:
-        _gram_rows(ids, weight, other, x, max(1, len(ids)), out)
+        for a, held in _rows(ids, np.zeros(len(ids), np.int64), weight, other):
+            out[held] += a.T @ (a @ narrow[held])
+    return out[:len(x)]
+
+
+def gram_form(texts: DataFrame, items: list[np.ndarray], vocab: dict[bytes, int],
+              weight: np.ndarray, other: float, x: np.ndarray) -> np.ndarray:
+    """x'A'A x, of rank x rank: the same rows, of which each needs its product with x only."""
+    narrow, width = x.astype(np.float32), x.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = np.zeros((width, width))
+        for a, held in _text_rows(batches, term_array(vocab), weight, other):
+            y = a @ narrow[held]
+            small += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([small.tobytes()], pa.binary())], names=["z"])
+    out = np.zeros((width, width))
+    for r in _shares(texts).mapInArrow(run, "z binary").collect():  # a small matrix to each task
+        out += np.frombuffer(r["z"]).reshape(width, width)
+    for ids in items:
+        for a, held in _rows(ids, np.zeros(len(ids), np.int64), weight, other):
+            y = a @ narrow[held]
+            out += y.T @ y
     return out
 
 
 def fit(spark: SparkSession, texts: DataFrame, items: list[bytes], params: Params) -> Space:
-    """Weights and latent space of the benchmark.  ``texts``: (binary _text, _hash)."""
+    """Weights and latent space of the benchmark.  ``texts``: (binary _text)."""
     n_docs = texts.count()
-    share = min(1.0, FIT_DOCUMENTS / max(1, n_docs))
-    sample = materialize(spark, texts.filter(
-        F.col("_hash") <= int((1 << 63) * (2 * share - 1)) - 1 if share < 1 else F.lit(True))
-        .select("_text"), "sample")
-    vocab: dict[bytes, int] = {}
-    for w in (w for t in items for w in plain_words(t)):
-        vocab.setdefault(w, len(vocab))
-    for w in frequent_words(sample):
-        vocab.setdefault(w, len(vocab))
-    df = document_frequencies(texts.select("_text"), vocab)
+    vocab, df = vocabulary(spark, texts, items)
     weight = np.maximum(np.log((n_docs + 1) / (df + 1)), 0.01)
     other = max(math.log(n_docs + 1), 0.01)  # a word that is no term is as good as unique
     ids = [word_ids(t, vocab) for t in items]
     width = min(params.rank + 8, max(1, len(vocab)))
     x = np.linalg.qr(np.random.default_rng(1).standard_normal((len(vocab), width)))[0]
-    x = np.linalg.qr(gram_product(sample, ids, vocab, weight, other, x))[0]
-    small = x.T @ gram_product(sample, ids, vocab, weight, other, x)
+    x = np.linalg.qr(gram_product(texts, ids, vocab, weight, other, x))[0]
+    small = gram_form(texts, ids, vocab, weight, other, x)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-values)[:params.rank]
     fold = (weight[:, None] * (x @ vectors[:, top])).astype(np.float32)
@@ -252,21 +324,22 @@ def model_of(items: list[tuple[int, bytes]], space: Space, params: Params) -> Mo
 
     Of an item's n words a leak lacks n - need at most, so of its rarest n - need + k words it
     holds k.  A fifth more than it may lack are indexed."""
-    built, strides, rare_needs, pairs = [], [], [], set()
+    built, strides, rare_needs, pairs = [], [], [], Counter()
     for key, text in items:
         words = word_ids(text, space.vocab).tolist()
         if not words:
             continue
         n, need = len(words), need_of(len(words), params)
         rare = sorted(words, key=lambda w: (space.df[w], w))[:n - need + max(1, min(need, n // 5))]
-        pairs |= {(w, len(built)) for w in rare}
+        pairs.update((w, len(built)) for w in rare)
         rare_needs.append(len(rare) - (n - need))
         strides.append(max(4, (1 << (n - 1).bit_length()) // 2))
         built.append(Item(key, words, *answer_terms(text, space)))
     terms = np.array(sorted(pairs), np.int64).reshape(-1, 2)
     first = np.concatenate([[0], np.cumsum(np.bincount(terms[:, 0], minlength=len(space.vocab) + 1))])
     return Model(space, built, _unit(np.stack([space.fold[i.words].sum(axis=0) for i in built])),
-                 np.array(strides), np.array(rare_needs), first, terms[:, 1], params)
+                 np.array(strides), np.array(rare_needs), first, terms[:, 1],
+                 np.array([pairs[p] for p in sorted(pairs)]), params)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -278,14 +351,24 @@ def windows(ids: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
 
     Windows start at multiples of the item's stride and are three strides wide; the last one
     reaches the text's end."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(ids >= 0)
     many = m.first[ids[at] + 1] - m.first[ids[at]]
     at, many = at[many > 0], many[many > 0]
-    total = int(many.sum())
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.repeat(m.first[ids[at]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
-    item, block = m.posted[place], np.repeat(at, many)
+    if not len(at):
+        return none
+
+    # An item has no window if the whole text lacks its terms; a subsequence takes each word once.
+    def postings(terms: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return np.repeat(m.first[terms] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    term, one, count = np.unique(ids[at], return_index=True, return_counts=True)
+    place = postings(term, many[one])
+    held = np.bincount(m.posted[place], np.minimum(np.repeat(count, many[one]), m.times[place]), len(m.items))
+    able = held >= m.rare_need
+    if not able.any():
+        return none
+    item = m.posted[postings(ids[at], many)]
+    item, block = item[able[item]], np.repeat(at, many)[able[item]]
     block = block // m.stride[item]
     last = np.maximum(0, -(-(len(ids) - 3 * m.stride) // m.stride))
     key, count = np.unique(item << 40 | block, return_counts=True)
@@ -301,9 +384,8 @@ def windows(ids: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return item[good], start[good] * m.stride[item[good]]
 
 
-def leaks_in(data: bytes, m: Model) -> list[tuple[int, float, float, int, int]]:
+def leaks_in(ids: np.ndarray, m: Model) -> list[tuple[int, float, float, int, int]]:
     """(key, lcs share, cosine, first word, end word): the best passage per item."""
-    ids = word_ids(data, m.space.vocab)
     best: dict[int, tuple] = {}
     if not len(ids) or not m.items:
         return []
@@ -335,11 +417,19 @@ def verify(item: Item, masks: dict[int, int], passage: list[int], p: Params) ->
     return common / n
 
 
+def _leaks(b: pa.RecordBatch, column: int, m: Model, terms: pa.Array) -> Iterator[list]:
+    """``leaks_in`` of every row's text."""
+    for part in slices(b, column, WORK_BYTES):
+        ids, many = text_ids(part.column(column), terms)
+        for one in np.split(ids, np.cumsum(many)[:-1]):
+            yield leaks_in(one, m)
+
+
 def _search(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
             item_col: str, item_text_col: str, params: Params) -> tuple[list, list[Model]]:
     """(ids by item key, models): the items of a pass hold up to ``BLOCK_WORDS`` words."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-                        .alias("_text"), F.xxhash64(F.col(id_col).cast("string")).alias("_hash"))
+                        .alias("_text"))
     rows = [(r["i"], bytes(r["t"])) for r in benchmark.select(F.col(item_col).alias("i"), F.coalesce(
         F.col(item_text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
         .orderBy("i", "t").collect()]  # the stated query set
@@ -384,9 +474,9 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
+            terms = term_array(m.space.vocab)
             for b in batches:
-                found = [(at, x) for at, t in enumerate(b.column(1))
-                         for x in leaks_in(t.as_py() or b"", m)]
+                found = [(at, x) for at, leaks in enumerate(_leaks(b, 1, m, terms)) for x in leaks]
                 cols = list(zip(*[x for _, x in found])) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([at for at, _ in found], pa.int64())),
@@ -409,8 +499,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
+            terms = term_array(m.space.vocab)
             for b in batches:
-                clean = [not leaks_in((t.as_py() or "").encode(), m) for t in b.column(at)]
+                clean = [not leaks for leaks in _leaks(b, at, m, terms)]
                 yield b.filter(pa.array(clean, pa.bool_()))
         left = left.mapInArrow(run, docs.schema)
     return left

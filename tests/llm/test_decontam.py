@@ -214,3 +214,37 @@ def test_paraphrases_without_rare_words_are_found(frame, spark):
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(
         spark, frame(docs, "doc_id long, text string"), bench).collect()}
     assert len(leaks) == 40 and len(got & leaks) >= 0.95 * len(leaks) and got <= leaks
+
+
+def test_terms_and_space_come_from_all_documents(frame, spark, monkeypatch):
+    """Words and passages of every row count, however few rows a task holds at once."""
+    monkeypatch.setattr(D, "FIT_DOCUMENTS", 7)
+    monkeypatch.setattr(D, "FIT_TERMS", 150)
+    own = random.Random(5)
+    texts = [" ".join("W%d" % int(own.random() ** 2 * 400) for _ in range(own.randint(0, 130))) for _ in range(300)]
+    items = [" ".join("w%d" % own.randrange(500) for _ in range(20)) for _ in range(5)]
+    space = D._search(spark, frame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string"),
+                      frame(list(enumerate(items)), "item_id long, text string"),
+                      "doc_id", "text", "item_id", "text", D.Params(rank=4))[1][0].space
+    rows = [t.lower().encode().split() for t in texts]
+    held = np.unique([w for r in rows for w in set(r)], return_counts=True)
+    counts = dict(zip(held[0].tolist(), held[1].tolist()))
+    often = sorted(counts, key=lambda w: (-counts[w], w))[:150]
+    assert set(space.vocab) == {w for t in items for w in t.encode().split()} | set(often) and space.n_docs == 301
+    assert [counts.get(w, 0) for w in space.vocab] == space.df.tolist()
+    weight, other = np.maximum(np.log(302 / (space.df + 1)), 0.01), np.log(302)
+    a = []
+    for words in [r[k:k + 48] for r in rows for k in range(0, len(r), 48)] + [t.encode().split() for t in items]:
+        row, missing = np.zeros(len(weight)), 0
+        for w in words:
+            if w in space.vocab:
+                row[space.vocab[w]] += weight[space.vocab[w]]
+            else:
+                missing += 1
+        a.append(row / max(np.sqrt(row @ row + missing * other ** 2), 1e-12))
+    a = np.array(a)
+    x = np.linalg.qr(np.random.default_rng(1).standard_normal((len(weight), 12)))[0]
+    x = np.linalg.qr(a.T @ (a @ x))[0]
+    values, vectors = np.linalg.eigh(x.T @ a.T @ (a @ x))
+    want = weight[:, None] * (x @ vectors[:, np.argsort(-values)[:4]])
+    assert np.allclose(np.abs(space.fold[:-1]), np.abs(want), atol=1e-3)
