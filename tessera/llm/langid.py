@@ -25,9 +25,9 @@ BUCKETS = 8192
 TEMPER = 6.0
 #: Pages of the level above that a level's own counts are mixed with.
 STRENGTH = 4.0
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|(?P<tag><[^>]*>)|&#?\w+;")
-#: The same where no ``>`` follows.
-_HIDDEN_AT_END = re.compile(rb"(?is)<(?:script|style)\b.*|<!--.*|&#?\w+;")
+_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>|&#?\w+;")
+#: The same where no ``>`` follows (like the first, it leaves a line feed at the very end).
+_HIDDEN_AT_END = re.compile(rb"(?is)<(?:script|style)\b.*?$|<!--.*?$|&#?\w+;")
 _DECLARED = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -46,7 +46,7 @@ def visible(html: bytes) -> bytes:
     ``>`` follows is text; with one put at the end, each search stops at the first of them."""
     out, at = [], 0
     for m in _HIDDEN.finditer(html + b">"):
-        if m["tag"] and m.end() > len(html):
+        if m.end() > len(html):
             return b" ".join([*out, _HIDDEN_AT_END.sub(b" ", html[at:])])
         out.append(html[at:m.start()])
         at = m.end()
