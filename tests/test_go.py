@@ -323,6 +323,14 @@ def test_tokens_are_sorted_few_times_and_narrow(spark):
     assert not {"partner_beg", "partner_tag", "level", "scope_tag"} & set(go_tokens(files).columns)
 
 
+def test_farther_neighbours_are_not_carried(spark):
+    files = spark.createDataFrame([(1, "package p\n")], "doc_id long, text string")
+    a = go_tokens(files)
+    assert not {f"{s}{j}" for s in "pn" for j in range(2, 6)} & set(a.columns)
+    plan = go_items(a)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 11  # the next break of a name list needs no order of its own
+
+
 def test_member_joins_are_not_broadcast(spark):
     from tessera.operators.gosrc import go_members
     files = spark.createDataFrame([(1, "package p\n")], "doc_id long, text string")
