@@ -35,12 +35,10 @@ def _trim(edges: DataFrame, side: str, other: str) -> DataFrame:
 
 def _spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
     """``marks`` (node, own, color) with the least color that reaches each node along the edges
-    (src to dst) between nodes of one ``own``."""
-    within = edges.join(marks.select(F.col("node").alias("src"), "own"), "src").join(
-        marks.select(F.col("node").alias("dst"), F.col("own")), ["dst", "own"]).select("src", "dst").checkpoint()
+    (src to dst), which lie between nodes of one ``own``."""
     before = None
     while True:
-        step = within.join(marks.select(F.col("node").alias("src"), "own", "color"), "src").select(
+        step = edges.join(marks.select(F.col("node").alias("src"), "own", "color"), "src").select(
             F.col("dst").alias("node"), "own", "color")
         marks = marks.select("node", "own", "color").unionByName(step).groupBy("node", "own").agg(
             F.min("color").alias("color")).checkpoint()
@@ -67,7 +65,9 @@ def import_cycles(edges: DataFrame) -> DataFrame:
             break
         nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
         colored = _spread(e, nodes.select("node", F.lit("").alias("own"), F.col("node").alias("color")))
-        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = e.join(colored.select(F.col("node").alias("src"), F.col("color").alias("own")), "src").join(
+            colored.select(F.col("node").alias("dst"), F.col("color").alias("own")), ["dst", "own"]).select(
+            F.col("dst").alias("src"), F.col("src").alias("dst")).checkpoint()
         home = _spread(back, colored.select("node", F.col("color").alias("own"), F.when(
             F.col("node") == F.col("color"), 0).otherwise(1).alias("color"))).filter("color = 0")
         home = home.select("node", F.col("own").alias("cycle")).checkpoint()
@@ -82,18 +82,21 @@ def import_cycles(edges: DataFrame) -> DataFrame:
 def import_levels(packages: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, cycle) per package of ``packages`` (node): 0 for one that imports no known
     package, else one more than the highest level it imports; null for a package in a cycle
-    or that imports one, directly or not."""
+    or that imports one, directly or not.
+
+    A round keeps the edges to packages that still have edges; a package has a level once it
+    has none.  What never loses its edges holds all cycles, so only that is searched for them."""
     ensure_checkpoint_dir(packages.sparkSession)
     e = edges.filter("known").select("src", "dst").distinct().checkpoint()
-    cycles = import_cycles(e)
-    rest, out, level = packages.select("node").distinct().checkpoint(), None, 0
-    while True:
-        ready = rest.join(e.select(F.col("src").alias("node")), "node", "left_anti").select(
-            "node", F.lit(level).alias("level")).checkpoint()
-        out = ready if out is None else out.unionByName(ready)
-        if ready.isEmpty():
+    rest = packages.select("node").distinct().checkpoint()
+    sources = lambda edges: edges.select(F.col("src").alias("node")).distinct()
+    out, level, n = rest.join(sources(e), "node", "left_anti").withColumn("level", F.lit(0)), 0, e.count()
+    while n:
+        left = e.join(sources(e).withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
+        before, n = n, left.count()
+        if n == before:
             break
-        rest = rest.join(ready, "node", "left_anti").select("node").checkpoint()
-        e = e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").checkpoint()
         level += 1
-    return out.unionByName(rest.withColumn("level", F.lit(None).cast("int"))).join(cycles, "node", "left")
+        out = out.unionByName(sources(e).join(sources(left), "node", "left_anti").withColumn("level", F.lit(level)))
+        e = left
+    return rest.join(out, "node", "left").join(import_cycles(e), "node", "left").select("node", "level", "cycle")

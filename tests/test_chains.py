@@ -154,3 +154,14 @@ def test_cycles_and_levels_of_random_graphs(spark, seed):
     got = P.import_levels(spark.createDataFrame([(n,) for n in nodes], "node string"), e).collect()
     assert {r.node: (r.level, r.cycle) for r in got} == {n: (depth(n), cycle[n]) for n in nodes}
     assert len(got) == len(nodes)
+
+
+def test_cycles_are_searched_for_only_in_what_has_no_level(spark, monkeypatch):
+    seen, search = [], P.import_cycles
+    monkeypatch.setattr(P, "import_cycles", lambda e: seen.append({tuple(r) for r in e.collect()}) or search(e))
+    edges = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("y", "a"), ("t", "x")]
+    got = P.import_levels(spark.createDataFrame([(n,) for n in "abctxyz"], "node string"), spark.createDataFrame(
+        [(a, b, True) for a, b in edges], "src string, dst string, known boolean")).collect()
+    assert seen == [{("x", "y"), ("y", "x"), ("t", "x")}]
+    assert {r.node: (r.level, r.cycle) for r in got} == {
+        "a": (2, None), "b": (1, None), "c": (0, None), "z": (0, None), "t": (None, None), "x": (None, "x"), "y": (None, "x")}
