@@ -61,3 +61,11 @@ def test_bucketed_pages_resolution_chain_has_no_shuffle(spark):
     plan = _plan(spark, r)
     assert "Exchange" not in plan, plan          # tokens, scopes and the sweep share the buckets
     assert r.count() == resolve_refs(P.page_items(spark, SF001), "page_id").count()
+
+
+def test_usages_reads_and_splits_the_texts_once(spark):
+    import __spark_entry__ as entry
+    df = entry.queries()["usages"](spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("posexplode(regexp_extract_all") == 1 and "ReusedExchange" in plan
