@@ -86,3 +86,12 @@ def test_first_rows_per_key(spark):
     got = sorted((r.k, r.rank, r.v) for r in first_per_key(df, "k", ["v"], limit, salts=4).collect())
     want = [(k, i, v) for k in limits for i, v in enumerate(sorted(v for x, v in rows if x == k)[:limits[k]], 1)]
     assert got == sorted(want)
+
+
+def test_ranks_know_the_names_of_their_own_document_and_blocks_are_made_once_a_prefix(spark):
+    decls = spark.createDataFrame([(1, f"n{k:02d}") for k in range(40)] + [(2, "one"), (2, "one")], "d long, name string")
+    cursors = spark.createDataFrame([(1, 5, "n1"), (1, 6, "n1"), (1, 7, "x"), (2, 8, "o")], "d long, cursor long, pref string")
+    d, c = C.ranked(decls, cursors, "d")
+    assert {(r.d, r.names) for r in d.collect()} == {(1, 40), (2, 1)}
+    got = {r.cursor: sorted(n for b in r.blocks for n in range(b.block << b.size, (b.block + 1) << b.size)) for r in c.collect()}
+    assert got == {5: list(range(10, 20)), 6: list(range(10, 20)), 8: [0]}
