@@ -76,7 +76,7 @@ def import_cycles(edges: DataFrame) -> DataFrame:
         for end in ("src", "dst"):
             e = e.join(home.select(F.col("node").alias(end)), end, "left_anti")
         e = e.select("src", "dst").checkpoint()
-    return found.groupBy("node").agg(F.min("cycle").alias("cycle"))
+    return found.repartition("node").groupBy("node").agg(F.min("cycle").alias("cycle"))
 
 
 def import_levels(packages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,4 +99,6 @@ def import_levels(packages: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
         out = out.unionByName(sources(e).join(sources(left), "node", "left_anti").withColumn("level", F.lit(level)))
         e = left
-    return rest.join(out, "node", "left").join(import_cycles(e), "node", "left").select("node", "level", "cycle")
+    # Dealt anew: a union passes for dealt by node, but adaptive execution coalesces its branches
+    # unequally, and then its partitions are no longer those of what it is joined with.
+    return rest.join(out.repartition("node"), "node", "left").join(import_cycles(e), "node", "left").select("node", "level", "cycle")
