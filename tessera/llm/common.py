@@ -47,9 +47,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str,
 
     ``small`` (one row per key) is repeated ``salts`` times, so a key that holds a
     third of ``big`` still spreads.  ``spread`` names columns of ``big`` that differ
-    within a key."""
+    within a key.  The copies are never broadcast: the planner sees the bytes of ``small``'s
+    files, not how many rows become of them."""
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -169,3 +169,13 @@ def test_words_are_cut_in_pieces_with_the_same_counts(monkeypatch):
     assert whole[0].to_pylist() == pieces[0].to_pylist() == ["b", "a", "c", "c" * 40]
     assert all(np.array_equal(x, y) for x, y in zip(whole[1:], pieces[1:], strict=True))
     assert A.count_words(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_salted_copies_are_not_broadcast(spark):
+    """The planner takes the few bytes of the file for the size of sixteen copies of its rows."""
+    from tessera.llm.common import salted_join
+    big = spark.createDataFrame([(k % 3, k) for k in range(9)], "k long, n long")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    joined = salted_join(big, small, ["k"], "left", ["n"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.k, r.n, r.v) for r in joined.collect()) == sorted((k % 3, k, {0: "a", 1: "b"}.get(k % 3)) for k in range(9))
