@@ -349,3 +349,24 @@ def test_queries_run_compiled_methods(spark):
         assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_stored_tokens_hold_their_items(spark):
+    from tessera.operators.gosrc import stored_tokens
+    files = spark.createDataFrame([(1, BAD), (2, "package p\n\nvar a, b = 1, 2\n")], "doc_id long, text string")
+    a = go_tokens(files)
+    once = stored_tokens(a)
+    assert not {"q", "_body", "_header_end", "run_type"} & set(once.columns)
+    plan = go_items(once)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "parquet" in plan
+    assert sorted(map(str, go_items(once).collect())) == sorted(map(str, go_items(a).collect()))
+
+
+def test_partitions_follow_the_texts(spark, monkeypatch):
+    from tessera.operators import gosrc
+    files = spark.createDataFrame([(k, "package p\n" * 10) for k in range(50)], "doc_id long, text string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert gosrc.text_parts(files) == least
+    monkeypatch.setattr(gosrc, "PART_BYTES", 100)
+    assert gosrc.text_parts(files) == 50
+    assert go_tokens(files, parts=50).rdd.getNumPartitions() == 50
