@@ -95,3 +95,19 @@ def test_ranks_know_the_names_of_their_own_document_and_blocks_are_made_once_a_p
     assert {(r.d, r.names) for r in d.collect()} == {(1, 40), (2, 1)}
     got = {r.cursor: sorted(n for b in r.blocks for n in range(b.block << b.size, (b.block + 1) << b.size)) for r in c.collect()}
     assert got == {5: list(range(10, 20)), 6: list(range(10, 20)), 8: [0]}
+
+
+def test_cursors_are_not_copied_for_scopes_that_declare_nothing(spark, monkeypatch):
+    from tessera.operators import choices as C
+    kept = {}
+    plain = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    decls = spark.createDataFrame([(1, 0, "ab", "VAR", True, 10, 12, 3, 90)],
+                                  "doc long, i long, name string, kind string, local boolean, beg long, end long, scope_i long, vis_end long")
+    cursors = spark.createDataFrame([(1, 50, 60, "a", 9)], "doc long, cursor long, pos long, pref string, scope_i long")
+    scopes = spark.createDataFrame([(1, s, s - 1 if s > 3 else None) for s in range(3, 10)],
+                                   "doc long, scope_i long, parent_i long")
+    got = C.choices_at(decls, cursors, scopes, "doc")
+    assert [(r.name, r.tier) for r in got.collect()] == [("ab", 0)]
+    assert set(kept) == {"declarations", "cursors"}
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
