@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 
 def import_edges(files: DataFrame, imports: DataFrame, key: str = "doc_id", pkg: str = "pkg") -> DataFrame:
@@ -76,7 +76,7 @@ def import_cycles(edges: DataFrame) -> DataFrame:
         for end in ("src", "dst"):
             e = e.join(home.select(F.col("node").alias(end)), end, "left_anti")
         e = e.select("src", "dst").checkpoint()
-    return found.repartition("node").groupBy("node").agg(F.min("cycle").alias("cycle"))
+    return stored(found, "cycles").groupBy("node").agg(F.min("cycle").alias("cycle"))
 
 
 def import_levels(packages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,6 +99,6 @@ def import_levels(packages: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
         out = out.unionByName(sources(e).join(sources(left), "node", "left_anti").withColumn("level", F.lit(level)))
         e = left
-    # Dealt anew: a union passes for dealt by node, but adaptive execution coalesces its branches
-    # unequally, and then its partitions are no longer those of what it is joined with.
-    return rest.join(out.repartition("node"), "node", "left").join(import_cycles(e), "node", "left").select("node", "level", "cycle")
+    # Stored first: to the planner a union of branches dealt by node is dealt by node itself (it even
+    # takes a repartition out again), but when it runs its branches may lie one after the other.
+    return rest.join(stored(out, "levels"), "node", "left").join(import_cycles(e), "node", "left").select("node", "level", "cycle")
